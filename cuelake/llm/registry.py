@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .language_id import op6_language_id
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op6_language_id": op6_language_id,
 }
 
