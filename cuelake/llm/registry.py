@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .language_id import op6_language_id
+from .quality import op4_quality
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op4_quality": op4_quality,
     "op1_toxicity": op1_toxicity,
     "op6_language_id": op6_language_id,
 }
