@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op7_byte_bpe
 from .language_id import op6_language_id
 from .quality import op4_quality
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op7_byte_bpe": op7_byte_bpe,
     "op4_quality": op4_quality,
     "op1_toxicity": op1_toxicity,
     "op6_language_id": op6_language_id,
