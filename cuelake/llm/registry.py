@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .byte_bpe import op7_byte_bpe
 from .language_id import op6_language_id
+from .minhash import op5_minhash
 from .quality import op4_quality
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op5_minhash": op5_minhash,
     "op7_byte_bpe": op7_byte_bpe,
     "op4_quality": op4_quality,
     "op1_toxicity": op1_toxicity,
