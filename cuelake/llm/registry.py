@@ -6,9 +6,11 @@ from .byte_bpe import op7_byte_bpe
 from .language_id import op6_language_id
 from .minhash import op5_minhash
 from .quality import op4_quality
+from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op5_minhash": op5_minhash,
     "op7_byte_bpe": op7_byte_bpe,
     "op4_quality": op4_quality,
