@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from .byte_bpe import op7_byte_bpe
 from .language_id import op6_language_id
+from .license_scan import ORACLE as LICENSE_SQL
+from .license_scan import op2_license_scan
 from .minhash import op5_minhash
 from .quality import op4_quality
 from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op5_minhash": op5_minhash,
     "op7_byte_bpe": op7_byte_bpe,
@@ -18,4 +21,6 @@ QUERIES = {
     "op6_language_id": op6_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_license_scan": LICENSE_SQL,
+}
