@@ -36,6 +36,9 @@ PHRASES = [
     ("unlicense", False, "this is free and unencumbered software released into the public domain"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: lower() changes more than A-Z, but only outside ASCII, where it leaves word characters word characters; the only ones that it
+#: turns into ASCII are the Kelvin sign (k) and the dotted capital I (i with a combining dot), and no phrase has a k.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ROWS = ", ".join(f"({i}, '{label}', {str(base).lower()}, '{phrase}')" for i, (label, base, phrase) in enumerate(PHRASES))
 
@@ -52,15 +55,16 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and spans
     (phrase label, first word, word after the last, share of the phrase)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = docs.select("doc_id", F.xxhash64(text).alias("key"), F.expr(f"regexp_extract_all(translate(coalesce(`{text_col}`, ''), '{UPPER}', '{LOWER}'), r'({WORD})', 1)").alias("w"))
+    words = docs.select("doc_id", F.xxhash64(text).alias("key"), F.array_remove(F.split(F.lower(text), BETWEEN), "").alias("w"))
     # The first element of each array stands for the text itself; it matches nothing and keeps the text in the result.
+    # posexplode_outer, as posexplode would add a filter that makes the array once more.
     alone = "array(named_struct('w0', cast(null as string), 'w1', cast(null as string), 'w2', cast(null as string)))"
     shifted = words.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), F.col("w").alias("w0"), F.expr("slice(w, 2, size(w))").alias("w1"), F.expr("slice(w, 3, size(w))").alias("w2"))
     zipped = shifted.select("doc_id", "key", "n_words", F.expr(f"concat({alone}, arrays_zip(w0, w1, w2))").alias("z"))
-    grams = zipped.select("doc_id", "key", "n_words", F.posexplode("z").alias("pos", "g")).select("doc_id", "key", "n_words", (F.col("pos") - 1).alias("pos"), "g.w0", "g.w1", "g.w2", F.xxhash64("g.w0", "g.w1", "g.w2").alias("h"))
+    grams = zipped.select("doc_id", "key", "n_words", F.posexplode_outer("z").alias("pos", "g")).select("doc_id", "key", "n_words", (F.col("pos") - 1).alias("pos"), "g.w0", "g.w1", "g.w2", F.xxhash64("g.w0", "g.w1", "g.w2").alias("h"))
     t = F.broadcast(templates(docs.sparkSession))
-    hit = (F.col("h") == F.col("th")) & (F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2"))
-    votes = grams.join(t, hit, "left").where("phrase is not null or pos = -1")
+    # The join key is the hash alone (one long); the words are compared afterwards.
+    votes = grams.join(t, F.col("h") == F.col("th"), "left").where("pos = -1 or (phrase is not null and w0 = t0 and w1 = t1 and w2 = t2)")
     diagonals = votes.groupBy("doc_id", "key", F.coalesce(F.col("phrase"), F.lit(-1)).alias("phrase"), F.coalesce(F.col("pos") - F.col("place"), F.lit(0)).alias("diagonal")).agg(
         F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("size").alias("size"),
         F.bit_or("bit").alias("bits"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count("*").alias("_rows"),
