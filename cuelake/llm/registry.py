@@ -7,11 +7,13 @@ from .language_id import op6_language_id
 from .license_scan import ORACLE as LICENSE_SQL
 from .license_scan import op2_license_scan
 from .minhash import op5_minhash
+from .packing import op3_best_fit_packing
 from .quality import op4_quality
 from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op2_license_scan": op2_license_scan,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op5_minhash": op5_minhash,
