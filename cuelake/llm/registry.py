@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op10_hilbert_ann
 from .byte_bpe import op7_byte_bpe
 from .language_id import op6_language_id
 from .license_scan import ORACLE as LICENSE_SQL
@@ -13,6 +14,7 @@ from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op10_hilbert_ann": op10_hilbert_ann,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op2_license_scan": op2_license_scan,
     "op8_suffix_dedup": op8_suffix_dedup,
