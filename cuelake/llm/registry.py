@@ -9,11 +9,13 @@ from .license_scan import ORACLE as LICENSE_SQL
 from .license_scan import op2_license_scan
 from .minhash import op5_minhash
 from .packing import op3_best_fit_packing
+from .progressive_jpeg import op9_progressive_jpeg
 from .quality import op4_quality
 from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op9_progressive_jpeg": op9_progressive_jpeg,
     "op10_hilbert_ann": op10_hilbert_ann,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op2_license_scan": op2_license_scan,
