@@ -339,7 +339,7 @@ def _finished(with_text: bool, id_type: pa.DataType):
                 kept.append(text[at:s])
                 at = e
             kept = b"".join(x.tobytes() for x in [*kept, text[at:]])
-            rows.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "stop": e} for s, e in spans] if with_text else None, kept if with_text else None))
+            rows.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "stop": e} for s, e in spans] if with_text else None, kept.decode(errors="ignore").encode() if with_text else None))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary())
         return pa.table([pa.array(b.ids, id_type), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
@@ -368,7 +368,7 @@ def splitters(texts: DataFrame, rows: int, buckets: int, sampled: int = 2000) ->
 
 def deduplicated(docs: DataFrame, text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with ``with_text`` also the removed spans and the kept
-    bytes. doc_id must be an integer."""
+    text as bytes (without characters that a cut has broken). doc_id must be an integer."""
     spark = docs.sparkSession
     tune(spark)
     kind = dict(docs.dtypes)["doc_id"]
