@@ -6,10 +6,11 @@ set is min over x of pi(sigma(x) + k), the sum modulo 2^32: sigma scrambles a sh
 circular shift. ``BANDS`` bands of ``ROWS`` coordinates miss a pair of similarity 0.75 with probability 5e-6.
 
 Documents with equal sets are one node from the start (they are linked with all their links), so copies are never compared.
-Within a band's bucket no list of pairs is made: every member is first compared with one centre. Components of the
-confirmed links follow by propagating smallest ids. Only in buckets that still hold several components do members meet again:
-with a second centre, then each member of one component with the members of the others, so that no link that banding proposes is
-lost. Comparisons run on the full sets, made anew from both texts, in bounded Arrow batches.
+Within a band's bucket no list of pairs is made: every member is first compared with one centre, the member that shares most
+buckets. Components of the confirmed links follow by propagating smallest ids. Only in buckets that still hold several
+components do members meet again, in small groups of two parts of a bucket each, where members of different components are
+compared by matrix products; only links come out. So no link that banding proposes is lost. Comparisons run on the full sets,
+made anew from the texts.
 
 Edge cases: null, empty and blank texts have an empty set, n_shingles 0, and are linked with nothing; repeated
 rows (one doc_id, one text) are one node and come out as often as they went in, and a doc_id that stands for several texts takes
@@ -161,11 +162,82 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component, with that component."""
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component, with that component, the bucket's size k, and the number u of
+    members outside its largest component (``other``)."""
     named = members.join(labels.withColumnRenamed("component", "_c"), "node", "left").withColumn("component", F.coalesce("_c", "node")).drop("_c")
-    mixed = named.groupBy("band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("band")
-    return named.join(mixed, "band", "left_semi")
+    sizes = named.groupBy("band", "component").count()
+    many = sizes.groupBy("band").agg(F.sum("count").alias("k"), F.max(F.struct("count", "component")).alias("_m")).where("k > _m.count")
+    many = many.select("band", "k", (F.col("k") - F.col("_m.count")).alias("u"), F.col("_m.component").alias("_main"))
+    return named.join(many, "band").withColumn("other", F.col("component") != F.col("_main")).drop("_main")
+
+
+def links_between(sets: list[np.ndarray], ask: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of sets that reach the similarity among those asked for (a symmetric matrix of booleans). Of the pairs that a path of
+    others already joins, only the first few needed to join them are returned."""
+    m, size = len(sets), np.array([len(x) for x in sets])
+    value, owner = np.concatenate(sets), np.repeat(np.arange(m), size)
+    number, count = np.unique(value, return_inverse=True, return_counts=True)[1:]
+    common = count >= 2
+    column = np.cumsum(common) - 1
+    use = common[number]
+    column, owner = column[number[use]], owner[use]
+    inner = np.zeros((m, m), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        x, z = np.searchsorted(column, [lo, lo + 4096])
+        present = np.zeros((m, 4096), np.float32)
+        present[owner[x:z], column[x:z] - lo] = 1
+        inner += present @ present.T
+    outer = size[:, None] + size[None, :] - inner
+    parent = list(range(m))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu((100 * inner >= NUMERATOR * outer) & ask, 1))):
+        a, b = root(int(i)), root(int(j))
+        if a != b:
+            parent[b] = a
+            out.append((int(i), int(j)))
+    return out
+
+
+def _block_links(key, table):
+    """Links between the two parts of a bucket that meet in a group, among texts of different components. A pair of texts is looked at
+    only in the first band that they share."""
+    band = key[0].as_py()
+    nodes, side, component = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "side", "component"))
+    keys = np.array(table.column("bands").to_pylist())
+    sets: list[np.ndarray] = []
+    for _, value, bounds in shingle_sets(table.column("text").combine_chunks()):
+        sets += [value[x:z] for x, z in zip(bounds[:-1], bounds[1:])]
+    size = np.array([len(x) for x in sets])
+    ask = (side[:, None] != side[None, :]) & (component[:, None] != component[None, :])
+    ask &= 100 * np.minimum.outer(size, size) >= NUMERATOR * np.maximum.outer(size, size)
+    for earlier in range(int(np.flatnonzero((keys == band).all(0))[0])):
+        ask &= keys[:, earlier, None] != keys[None, :, earlier]
+    found = [(nodes[x], nodes[z]) for x, z in links_between(sets, ask)] if ask.any() else []
+    kind = table.schema.field("node").type
+    return pa.table([pa.array([f[k] for f in found], kind) for k in (0, 1)], names=["a", "b"])
+
+
+def links_across(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, size: int = 300) -> DataFrame:
+    """Links (a, b) between different components within the buckets of ``mixed``. All members of a bucket are cut into parts of about
+    ``size`` texts, those outside its largest component once more; every two parts of the two kinds meet in a group of their
+    own, in which sets are compared by matrix products: neither one task nor one row for each pair."""
+    part = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / size)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / size).cast("int") - 1))
+    whole = mixed.select("band", part("k").alias("i"), every("u").alias("j"), "node", "component", F.lit(0).alias("side"))
+    others = mixed.where("other").select("band", every("k").alias("i"), part("u").alias("j"), "node", "component", F.lit(1).alias("side"))
+    full = whole.unionByName(others).join(nodes.select("node", "bands"), "node").join(texts, "node")
+    kind = dict(mixed.dtypes)["node"]
+    return full.groupBy("band", "i", "j").applyInArrow(_block_links, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -173,28 +245,21 @@ def classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     docs = docs.select("doc_id", F.col(text_col).alias("text"))
     rows = durable(described(docs))
     sets = rows.where("n > 0 and doc_id is not null")
-    nodes = sets.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands")).alias("_m")).select(F.col("_m.doc_id").alias("node"), "_m.n", "_m.bands")
-    keys = durable(nodes.select("node", "n", F.explode("bands").alias("band")))
-    shared = keys.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("_k")).where("_k > 1")
-    members = durable(keys.join(shared.select("band", "a"), "band"))
-    texts = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "node")
-    pairs = members.where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    nodes = sets.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("_m")).select(F.col("_m.doc_id").alias("node"), "_m.bands")
+    nodes = durable(nodes)
+    keys = nodes.select("node", F.explode("bands").alias("band"))
+    shared = keys.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
+    members = durable(keys.join(shared, "band"))
+    # The centre of a bucket is the member that shares most buckets: the text that the others of its group were made from.
+    fame = members.groupBy("node").agg(F.sum("k").alias("fame"))
+    centres = members.join(fame, "node").groupBy("band").agg(F.max(F.struct("fame", -F.col("node"))).alias("_m")).select("band", (-F.col("_m.col2")).alias("c"))
+    texts = durable(docs.join(fame.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "node"))
+    pairs = members.join(centres, "band").where("c <> node").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
     edges = durable(confirmed(pairs, texts))
     labels = components(edges)
-    tried = pairs
-    # A second centre: in each bucket of several components, a member of the component with the largest label.
-    mixed = durable(_relabelled(members.select("band", "node", "n"), labels))
+    mixed = durable(_mixed(members.select("band", "node"), labels))
     if mixed.limit(1).count():
-        centre = mixed.groupBy("band").agg(F.max(F.struct("component", "node")).alias("_m")).select("band", F.col("_m.node").alias("_a"), F.col("_m.component").alias("_ca"))
-        second = mixed.join(centre, "band").where("component <> _ca").select(F.least("_a", "node").alias("a"), F.greatest("_a", "node").alias("b")).distinct()
-        second = durable(second.join(tried, ["a", "b"], "left_anti"))
-        edges = durable(edges.union(confirmed(second, texts)))
-        tried = tried.union(second)
-        labels = components(edges)
-        mixed = durable(_relabelled(mixed.select("band", "node", "n"), labels))
-        left, right = mixed.toDF("band", "a", "na", "ca"), mixed.toDF("band", "b", "nb", "cb")
-        rest = left.join(right, "band").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {NUMERATOR} * greatest(na, nb)").select("a", "b").distinct()
-        found = durable(confirmed(rest.join(tried, ["a", "b"], "left_anti"), texts))
+        found = durable(links_across(mixed, nodes, texts))
         if found.limit(1).count():
             labels = components(edges.union(found))
     # Equal sets share a node; rows of one doc_id share their class.
