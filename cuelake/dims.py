@@ -28,14 +28,14 @@ BENGALI_STRUCTURE = ["এর", "টি", "টা", "কে", "রে", "তে",
 HINDI_CONTEXT = ["नमस्ते", "धन्यवाद", "आप", "तुम", "भाई", "बहन", "जी", "साहब"]
 
 
-def _frame(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+def frame(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     value = lambda v: f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v}D" if isinstance(v, float) else str(v)
     return spark.sql("select * from values " + ", ".join("(" + ", ".join(map(value, r)) + ")" for r in rows) + f" as t({names})")
 
 
 def languages(spark: SparkSession) -> DataFrame:
-    return _frame(spark, LANGUAGES, "language, name, core")
+    return frame(spark, LANGUAGES, "language, name, core")
 
 
 def benchmarks(spark: SparkSession) -> DataFrame:
-    return _frame(spark, BENCHMARKS, "src_lang, tgt_lang, min_bleu, min_meteor, min_semantic, min_cultural, min_fluency")
+    return frame(spark, BENCHMARKS, "src_lang, tgt_lang, min_bleu, min_meteor, min_semantic, min_cultural, min_fluency")
