@@ -288,11 +288,33 @@ class _Picture:
         for name, h, v, q in parts:
             rows, columns = self.mcus[0] * v, self.mcus[1] * h
             seen = -(-(-(-self.height * v // self.vmax)) // 8), -(-(-(-self.width * h // self.hmax)) // 8)
-            self.components.append({"name": name, "h": h, "v": v, "q": q, "rows": rows, "columns": columns, "seen": seen, "base": at})
+            self.components.append({"name": name, "h": h, "v": v, "q": q, "rows": rows, "columns": columns, "base": at, "key": (at, columns, v, h, *seen)})
             at += rows * columns
         self.blocks = at
 
 
+@lru_cache(maxsize=256)
+def _quant_tables(body: bytes) -> dict[int, np.ndarray]:
+    out, k = {}, 0
+    while k < len(body):
+        wide = body[k] >> 4
+        table = np.zeros(64, np.int64)
+        table[ZIGZAG] = np.frombuffer(body[k + 1 : k + 1 + 64 * (1 + wide)], ">u2" if wide else np.uint8)
+        out[body[k] & 15] = table
+        k += 65 + 64 * wide
+    return out
+
+
+@lru_cache(maxsize=256)
+def _huffman_tables(body: bytes) -> dict[int, bytes]:
+    out, k = {}, 0
+    while k < len(body):
+        size = 17 + sum(body[k + 1 : k + 17])
+        out[body[k]] = body[k + 1 : k + size]
+        k += size
+    return out
+
+
 def _parsed(data: bytes, offset: int, entropy_end) -> tuple[_Picture, list[dict]]:
     """Segments of one stream that begins at ``offset`` of the chunk. entropy_end(position): where the entropy-coded data from there
     end (the next marker other than a restart)."""
@@ -317,20 +339,9 @@ def _parsed(data: bytes, offset: int, entropy_end) -> tuple[_Picture, list[dict]
         elif marker == 0xDD:
             p.interval = body[0] << 8 | body[1]
         elif marker == 0xDB:
-            k = 0
-            while k < len(body):
-                wide = body[k] >> 4
-                values = np.frombuffer(body[k + 1 : k + 1 + 64 * (1 + wide)], ">u2" if wide else np.uint8).astype(np.int64)
-                table = np.zeros(64, np.int64)
-                table[ZIGZAG] = values
-                p.quant[body[k] & 15] = table
-                k += 65 + 64 * wide
+            p.quant.update(_quant_tables(body))
         elif marker == 0xC4:
-            k = 0
-            while k < len(body):
-                size = 17 + sum(body[k + 1 : k + 17])
-                p.tables[body[k]] = body[k + 1 : k + size]
-                k += size
+            p.tables.update(_huffman_tables(body))
         elif marker == 0xDA:
             n = body[0]
             parts = [next(c for c in p.components if c["name"] == body[1 + 2 * k]) for k in range(n)]
@@ -395,41 +406,39 @@ def _layout(parts: tuple[tuple[int, ...], ...], mcus: tuple[int, int], interval:
     return slots, component, first, np.minimum(step, len(slots) - first)
 
 
-def _lanes(scan: dict, picture: _Picture, restarts: np.ndarray) -> dict:
-    """Starts (byte positions) of the lanes of a scan, its blocks, and the blocks of each lane."""
-    parts = tuple((c["base"], c["columns"], c["v"], c["h"], *c["seen"]) for c in scan["parts"])
-    slots, component, first, count = _layout(parts, picture.mcus, scan["interval"])
-    lo, hi = np.searchsorted(restarts, (scan["begin"], scan["end"])) if len(first) > 1 else (0, 0)
-    starts = np.concatenate([[scan["begin"]], restarts[lo:hi] + 2])
-    if len(first) != len(starts):
+def _joined(phase: list[tuple[dict, _Picture]], restarts: np.ndarray, bits: _Bits) -> dict:
+    """Lanes of several scans side by side: first bit, first block and number of blocks of each lane, and its scan's numbers."""
+    layouts = [_layout(tuple(c["key"] for c in s["parts"]), p.mcus, s["interval"]) for s, p in phase]
+    each, blocks = np.array([len(x[2]) for x in layouts]), np.array([len(x[0]) for x in layouts])
+    begin, end = np.array([s["begin"] for s, _ in phase]), np.array([s["end"] for s, _ in phase])
+    lo = np.searchsorted(restarts, begin)
+    if (np.searchsorted(restarts, end) - lo + 1 != each)[each > 1].any():
         raise ValueError("restart markers do not match the interval")
-    return {"start": starts, "slots": slots + picture.base, "component": component, "first": first, "count": count}
-
-
-def _joined(scans: list[tuple[dict, dict]], bits: _Bits) -> dict:
-    """Lanes of several scans side by side."""
-    out: dict = {"at": np.concatenate([bits.moved[x["start"]] * 8 for _, x in scans]), "slots": np.concatenate([x["slots"] for _, x in scans]), "component": np.concatenate([x["component"] for _, x in scans])}
-    shift = np.cumsum([0] + [len(x["slots"]) for _, x in scans[:-1]])
-    out["first"] = np.concatenate([x["first"] + s for (_, x), s in zip(scans, shift)])
-    out["count"] = np.concatenate([x["count"] for _, x in scans])
-    each = [len(x["start"]) for _, x in scans]
+    scan = np.repeat(np.arange(len(phase)), each)
+    within = np.arange(len(scan)) - np.repeat(np.cumsum(each) - each, each)
+    start = begin[scan]
+    rest = np.flatnonzero(within)
+    start[rest] = restarts[lo[scan[rest]] + within[rest] - 1] + 2
+    out: dict = {"at": bits.moved[start] * 8, "scan": scan, "component": [x[1] for x in layouts]}
+    out["slots"] = np.concatenate([x[0] for x in layouts]) + np.repeat([p.base for _, p in phase], blocks)
+    out["first"] = np.concatenate([x[2] for x in layouts]) + (np.cumsum(blocks) - blocks)[scan]
+    out["count"] = np.concatenate([x[3] for x in layouts])
     for k in ("lo", "hi", "low"):
-        out[k] = np.repeat([s[k] for s, _ in scans], each)
-    out["scan"] = np.repeat(np.arange(len(scans)), each)
+        out[k] = np.array([s[k] for s, _ in phase])[scan]
     return out
 
 
-def _read_dc_first(scans, bits: _Bits, tables: _Tables, out: np.ndarray) -> None:
-    x = _joined(scans, bits)
+def _read_dc_first(scans, restarts: np.ndarray, bits: _Bits, tables: _Tables, out: np.ndarray) -> None:
+    x = _joined(scans, restarts, bits)
     table_of = np.zeros((len(scans), 4), np.int64)
     for k, (s, _) in enumerate(scans):
         table_of[k, : len(s["dc"])] = [tables.of(t) for t in s["dc"]]
-    looked = tables.all()
+    looked, component = tables.all(), np.concatenate(x["component"])
     at, last = x["at"], np.zeros((len(x["at"]), 4), np.int64)
     for t in range(int(x["count"].max())):
         lane = np.flatnonzero(x["count"] > t)
         slot = x["first"][lane] + t
-        c = x["component"][slot]
+        c = component[slot]
         code = looked[table_of[x["scan"][lane], c] << 16 | bits.peek(at[lane], 16)].astype(np.int64)
         size, p = code & 255, at[lane] + (code >> 8)
         last[lane, c] += np.where(size > 0, _extend(bits.peek(p, size), size), 0)
@@ -437,8 +446,8 @@ def _read_dc_first(scans, bits: _Bits, tables: _Tables, out: np.ndarray) -> None
         out[x["slots"][slot], 0] = last[lane, c] << x["low"][lane]
 
 
-def _read_dc_refine(scans, bits: _Bits, tables: _Tables, out: np.ndarray) -> None:
-    x = _joined(scans, bits)
+def _read_dc_refine(scans, restarts: np.ndarray, bits: _Bits, tables: _Tables, out: np.ndarray) -> None:
+    x = _joined(scans, restarts, bits)
     n = x["count"]
     lane = np.repeat(np.arange(len(n)), n)
     within = np.arange(len(lane)) - np.repeat(np.cumsum(n) - n, n)
@@ -446,8 +455,8 @@ def _read_dc_refine(scans, bits: _Bits, tables: _Tables, out: np.ndarray) -> Non
     out[slot, 0] |= bits.peek(x["at"][lane] + within, 1) << x["low"][lane]
 
 
-def _read_ac_first(scans, bits: _Bits, tables: _Tables, out: np.ndarray) -> None:
-    x = _joined(scans, bits)
+def _read_ac_first(scans, restarts: np.ndarray, bits: _Bits, tables: _Tables, out: np.ndarray) -> None:
+    x = _joined(scans, restarts, bits)
     table = np.array([tables.of(s["ac"]) for s, _ in scans])[x["scan"]] << 16
     looked, flat, slots, words = tables.all(), out.reshape(-1), x["slots"], bits.words
     at, slot, end, k = x["at"], x["first"].copy(), x["first"] + x["count"], x["lo"].copy()
@@ -479,8 +488,8 @@ def _read_ac_first(scans, bits: _Bits, tables: _Tables, out: np.ndarray) -> None
                 at, slot, end, k, lo, hi, low, table = (y[live] for y in (at, slot, end, k, lo, hi, low, table))
 
 
-def _read_ac_refine(scans, bits: _Bits, tables: _Tables, out: np.ndarray) -> None:
-    x = _joined(scans, bits)
+def _read_ac_refine(scans, restarts: np.ndarray, bits: _Bits, tables: _Tables, out: np.ndarray) -> None:
+    x = _joined(scans, restarts, bits)
     table = np.array([tables.of(s["ac"]) for s, _ in scans])[x["scan"]] << 16
     looked, slots, place = tables.all(), x["slots"], np.arange(64)
     at, slot, end, k = x["at"], x["first"].copy(), x["first"] + x["count"], x["lo"].copy()
@@ -551,25 +560,26 @@ def read(streams: list[bytes]) -> tuple[list[_Picture], np.ndarray]:
         pictures.append(p)
         plans.append(scans)
         offset += len(s)
-    out, bits, tables = np.zeros((blocks, 64), np.int64), _Bits(data), _Tables()
+    out, bits, tables = np.zeros((blocks, 64), np.int32), _Bits(data), _Tables()
     at = [0] * len(streams)
     while True:
         phase, which = [], None
         for i, scans in enumerate(plans):
-            touched: set = set()
+            touched: dict[int, int] = {}
             while at[i] < len(scans):
                 s = scans[at[i]]
                 now = s["lo"] == 0, s["high"] == 0
-                mine = {(c["name"], k) for c in s["parts"] for k in range(s["lo"], s["hi"] + 1)} if len(s["parts"]) == 1 and s["lo"] else {(c["name"], 0) for c in s["parts"]}
-                if which not in (None, now) or touched & mine:
+                mine = (2 << s["hi"]) - (1 << s["lo"])
+                if which not in (None, now) or any(touched.get(c["name"], 0) & mine for c in s["parts"]):
                     break
                 which = now
-                touched |= mine
-                phase.append((s, _lanes(s, pictures[i], restarts)))
+                for c in s["parts"]:
+                    touched[c["name"]] = touched.get(c["name"], 0) | mine
+                phase.append((s, pictures[i]))
                 at[i] += 1
         if which is None:
             return pictures, out
-        _READERS[which](phase, bits, tables, out)
+        _READERS[which](phase, restarts, bits, tables, out)
 
 
 # ---- Pixels ---------------------------------------------------------------------------------------------------------------
@@ -589,7 +599,7 @@ def _rgb(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
     y, cb, cr = (v.astype(np.int32) for v in (y, cb, cr))
     cb, cr = cb - 128, cr - 128
     half = 1 << 15
-    r, g, b = y + ((91881 * cr + half) >> 16), y - ((22554 * cb + 46802 * cr - half) >> 16), y + ((116130 * cb + half) >> 16)
+    r, g, b = y + ((91881 * cr + half) >> 16), y + ((half - 22554 * cb - 46802 * cr) >> 16), y + ((116130 * cb + half) >> 16)
     return np.clip(np.stack([r, g, b], -1), 0, 255).astype(np.uint8)
 
 
@@ -609,17 +619,22 @@ def tensors(streams: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def _units(pictures: list[_Picture], coefficients: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Units stored in each picture, and the bytes of all blocks (blocks x 3 x 64), picture after picture."""
+    if any(len(p.components) != 3 or len(p.comment) != 8 for p in pictures):
+        raise ValueError("the stream holds no payload")
+    n = np.array([p.blocks // 3 for p in pictures])
+    y = np.arange(int(n.sum())) + np.repeat([p.base for p in pictures] - (np.cumsum(n) - n), n)
+    step, data = np.repeat(n, n), (coefficients + 128).astype(np.uint8)
+    return [struct.unpack(">Q", p.comment)[0] for p in pictures], np.stack([data[y + k * step] for k in range(3)], 1)
+
+
 def payloads(streams: list[bytes]) -> list[bytes]:
     """What write() stored."""
     pictures, coefficients = read(streams)
-    return [_payload(p, coefficients) for p in pictures]
-
-
-def _payload(p: _Picture, coefficients: np.ndarray) -> bytes:
-    if len(p.components) != 3 or len(p.comment) != 8:
-        raise ValueError("the stream holds no payload")
-    n = struct.unpack(">Q", p.comment)[0]
-    return np.stack([(coefficients[p.base + c["base"] : p.base + c["base"] + n] + 128).astype(np.uint8) for c in p.components], 1).tobytes()
+    units, data = _units(pictures, coefficients)
+    at = np.cumsum([0] + [p.blocks // 3 for p in pictures])
+    return [data[a : a + u].tobytes() for a, u in zip(at, units)]
 
 
 # ---- Columns --------------------------------------------------------------------------------------------------------------
@@ -688,17 +703,23 @@ def described(media: DataFrame, media_col: str = "media", out_col: str = "found"
             rows = []
             for values in _streams(column):
                 pictures, coefficients = read(values)
+                units, data = _units(pictures, coefficients)
                 natural = np.zeros_like(coefficients)
                 natural[:, ZIGZAG] = coefficients
                 for p in pictures:
-                    natural[p.base : p.base + p.blocks] *= np.repeat(np.stack([p.quant[c["q"]] for c in p.components]), [c["rows"] * c["columns"] for c in p.components], 0)
+                    if any((p.quant[c["q"]] != 1).any() for c in p.components):
+                        natural[p.base : p.base + p.blocks] *= np.repeat(np.stack([p.quant[c["q"]] for c in p.components]), [c["rows"] * c["columns"] for c in p.components], 0).astype(np.int32)
                 s = samples(natural)
-                for p in pictures:
-                    n = p.components[0]["rows"] * p.components[0]["columns"]
-                    planes = s[p.base : p.base + 3 * n].reshape(3, n, 64)
-                    mean = _rgb(*planes).reshape(-1, 3).sum(0, dtype=np.int64) / (64 * n)
-                    data = _payload(p, coefficients)
-                    rows.append({"payload_bytes": len(data), "payload_sha256": hashlib.sha256(data).hexdigest(), "tail_crc32": zlib.crc32(data[-16:]), "feature": f"{p.height}x{p.width} r={mean[0]:.3f} g={mean[1]:.3f} b={mean[2]:.3f}"})
+                n = np.array([p.blocks // 3 for p in pictures])
+                y = np.arange(int(n.sum())) + np.repeat([p.base for p in pictures] - (np.cumsum(n) - n), n)
+                step = np.repeat(n, n)
+                sums = _rgb(*(s[y + k * step].reshape(-1, 64) for k in range(3))).sum(1, dtype=np.int64)
+                means = np.add.reduceat(sums, np.cumsum(n) - n) / (64 * n)[:, None]
+                lo = 0
+                for p, u, mean in zip(pictures, units, means):
+                    payload = data[lo : lo + u].tobytes()
+                    lo += p.blocks // 3
+                    rows.append({"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "feature": f"{p.height}x{p.width} r={mean[0]:.3f} g={mean[1]:.3f} b={mean[2]:.3f}"})
             yield pa.array(rows, pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())]))
 
     return without(media, out_col).withColumn(out_col, batch_udf(run, "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")(F.col(media_col)))
