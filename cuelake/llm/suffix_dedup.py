@@ -6,7 +6,7 @@ The array is sparse: of each 50-byte window only the suffix at its anchor counts
 the smallest hash. Equal windows have their anchor at the same offset, so equal windows meet in the sorted order of anchors,
 and nothing is lost; about one suffix in 14 is kept.
 
-1. Documents are dealt into blocks of about ``BLOCK`` bytes by a hash of doc_id. A document whose whole text has a smaller
+1. Documents are dealt into blocks of ``BLOCK`` to ``BLOCK_MOST`` bytes by a hash of doc_id. A document whose whole text has a smaller
    doc_id elsewhere is removed whole (if long enough) and takes no further part.
 2. Each block lists the hashes of its anchors, 4 bytes each; hash shards find those that two documents share.
 3. Each block cuts the shared anchors' suffixes with the bytes before them that a window can reach. Equal suffixes of a block are
@@ -37,7 +37,10 @@ LENGTH, TOKEN = 50, 24
 WIDTH = LENGTH - TOKEN + 1
 LEFT = WIDTH - 1
 CONTEXT = LEFT + LENGTH
-BLOCK = 3 << 20
+#: Blocks, hash shards and suffix buckets grow with the input between these bounds, so that the messages between them stay few.
+BLOCK, BLOCK_MOST = 3 << 20, 16 << 20
+SHARD, SHARD_MOST, SHARDS = 1 << 20, 64 << 20, 256
+BUCKET = 10 << 20
 SLICE = 1 << 19
 _POS = np.uint64((1 << 20) - 1)
 
@@ -351,10 +354,10 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for text in batch.column(0).to_pylist():
-            data = np.frombuffer((text or "").encode()[:], np.uint8)
-            n = len(data)
-            if n >= LENGTH:
-                out += [data[i : i + TOKEN].tobytes() for i in np.unique(np.linspace(0, n - TOKEN, min(24, n // TOKEN)).astype(int))]
+            data = np.frombuffer((text or "").encode(), np.uint8)
+            if len(data) >= LENGTH:
+                p = anchors(data, np.array([len(data)]))[0]
+                out += [data[i : i + TOKEN].tobytes() for i in p[np.unique(np.linspace(0, len(p) - 1, 24).astype(int))]]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["token"])
 
 
@@ -376,10 +379,12 @@ def deduplicated(docs: DataFrame, text_col: str = "text", with_text: bool = Fals
     source = docs.select("doc_id", F.col(text_col).alias("text"))
     size = source.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     total = size["b"] or 0
-    blocks = max(1, -(-total // BLOCK))
-    bits = max(4, int(np.ceil(np.log2(max(1, total * 0.3 / (8 << 20))))))
+    blocks = max(1, -(-total // min(BLOCK_MOST, max(BLOCK, total >> 13))))
+    listed_bytes = total * 3 // 10  # an anchor in 14 bytes, 4 bytes an anchor
+    shards = listed_bytes / min(SHARD_MOST, max(SHARD, listed_bytes // SHARDS))
+    bits = max(3, int(np.ceil(np.log2(max(1, shards)))))
     with_id = source.where("doc_id is not null")
-    limits = splitters(with_id, size["n"], max(1, -(-total * 3 // (2 * (10 << 20)))))
+    limits = splitters(with_id, size["n"], max(1, -(-total * 3 // (2 * BUCKET))))
     block = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int")
     dealt = with_id.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block"))
     hashed = with_id.where(F.octet_length("text") >= LENGTH).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("h"))
