@@ -67,7 +67,7 @@ def work_units(spark, d):
 
 def _requests(spark, d):
     """Requested codes with repeats, unknown and malformed ones, from events."""
-    e = X.table(spark, d, "events").where("user_id % 10 = 0")
+    e = X.table(spark, d, "events")
     code = F.expr("element_at(array('eng', ' HIN', 'ben', 'xx', 'zzz', 'tel', 'Mar', 'tam', 'guj', 'kan', 'mal', 'ori', 'asm', 'urd', 'san'), int(event_id % 15) + 1)")
     return e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("pos"), code.alias("language"))
 
@@ -145,7 +145,7 @@ QUERIES = {
     "work_units": (work_units, f"""with {X.UNITS}, {LANGUAGE_CTE}, c as (select distinct media_id, chunk_no from units), u as (select language, core, sdh from c, language_dim, (values (false), (true)) s(sdh))
         select language, case when core then 'precision' when sdh then 'dual' else 'standard' end as method, count(*) as units, sum(sdh::int)::bigint as sdh_units from u group by 1, 2"""),
     "language_normalise": (language_normalise, f"""with {LANGUAGE_CTE},
-        req as (select user_id as job_id, event_id as pos, lower(trim(['eng', ' HIN', 'ben', 'xx', 'zzz', 'tel', 'Mar', 'tam', 'guj', 'kan', 'mal', 'ori', 'asm', 'urd', 'san'][event_id % 15 + 1])) as code from events where user_id % 10 = 0),
+        req as (select user_id as job_id, event_id as pos, lower(trim(['eng', ' HIN', 'ben', 'xx', 'zzz', 'tel', 'Mar', 'tam', 'guj', 'kan', 'mal', 'ori', 'asm', 'urd', 'san'][event_id % 15 + 1])) as code from events),
         bad as (select job_id, pos, code, case when not regexp_full_match(code, '[a-z]{{3}}') then 'bad format' when language is null then 'unsupported' end as bad from req left join language_dim on code = language),
         ag as (select *, row_number() over (partition by job_id, code, bad is null order by pos) as again from bad),
         pl as (select *, sum(case when bad is null and again = 1 then 1 else 0 end) over (partition by job_id order by pos) as place from ag)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cuelake import dims
 from cuelake.operators import ops as L
+from cuelake.sources import files
 from cuelake.streaming import streams as S
 
 from . import fixtures as X
@@ -55,6 +56,23 @@ def stage_funnel(spark, d):
     return L.stage_funnel(X.job_states(spark, d)).select("stage", "jobs", "failed")
 
 
+def log_ingest(spark, d):
+    """Log lines written as JSON, every fiftieth broken off, and read back."""
+    logs = X.logs(spark, d)
+    line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), "level", "message", F.col("job_id").cast("string").alias("job_id"), "duration_ms", "error_type", F.create_map(F.lit("operation"), F.col("operation")).alias("context")))
+    lines = logs.select("event_id", line.alias("line")).withColumn("line", F.when(F.col("event_id") % 50 == 0, F.substring("line", 1, 30)).otherwise(F.col("line")))
+    p = files.parse_log_lines(lines)
+    return p.groupBy(F.col("context")["operation"].alias("operation")).agg(F.count("*").alias("lines"), F.count("_corrupt_record").alias("corrupt"), F.count("error_type").alias("errors"), F.round(F.sum("duration_ms"), 6).alias("total_ms"), F.max(F.unix_micros("timestamp")).alias("last_us"))
+
+
+def job_state_ingest(spark, d):
+    """Job documents written as JSON, every thirtieth without a job, and read back."""
+    j = X.job_states(spark, d)
+    body = F.to_json(F.struct(F.when(F.col("event_id") % 30 != 0, F.concat(F.lit("j"), F.col("job_id").cast("string"))).alias("job_id"), F.lit("v.mp4").alias("video_path"), F.array(F.lit("eng"), F.lit("hin")).alias("languages"), F.col("stage").alias("current_stage"), F.expr("updated_us div 1000000").cast("double").alias("updated_at")))
+    p = files.parse_job_states(j.select(body.alias("body")))
+    return p.groupBy("job_id").agg(F.count("*").alias("states"), F.sum("stage").alias("stages"), F.max(F.unix_seconds("updated_at")).alias("last_s"), F.max(F.size("languages")).alias("languages"))
+
+
 def stream_timers(spark, d):
     t = S.stream_timers(X.logs(spark, d))
     return t.select(F.unix_seconds("window_start").alias("window_s"), "operation", "calls", R("total_ms"), R("mean_ms"), "min_ms", "max_ms")
@@ -91,6 +109,9 @@ def stream_merge(spark, d):
 
 
 QUERIES = {
+    "log_ingest": (log_ingest, f"""with {X.LOGS}, p as (select case when event_id % 50 <> 0 then operation end as operation, event_id % 50 = 0 as bad, error_type, duration_ms, ts from logs)
+        select operation, count(*) as lines, count(*) filter (bad) as corrupt, count(error_type) filter (not bad) as errors, round(sum(duration_ms) filter (not bad), 6) as total_ms, max(epoch_us(ts)) filter (not bad) as last_us from p group by 1"""),
+    "job_state_ingest": (job_state_ingest, f"with {X.JOB_STATES} select 'j' || job_id::varchar as job_id, count(*) as states, sum(stage)::bigint as stages, max(updated_us // 1000000) as last_s, 2 as languages from job_states where event_id % 30 <> 0 group by 1"),
     "operation_timers": (operation_timers, f"with {X.LOGS} select operation, count(duration_ms) as calls, round(sum(duration_ms), 6) as total_ms, round(avg(duration_ms), 6) as mean_ms, min(duration_ms) as min_ms, max(duration_ms) as max_ms from logs group by 1"),
     "error_summary": (error_summary, f"with {X.LOGS} select error_type, count(*) as errors, max(epoch_us(ts)) as last_us from logs where level = 'ERROR' group by rollup (error_type)"),
     "event_counters": (event_counters, f"with {X.LOGS} select event_id, operation, count(*) over (partition by operation order by ts, event_id rows unbounded preceding) as counter from logs"),

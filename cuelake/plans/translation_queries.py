@@ -56,7 +56,7 @@ def bleu_components(spark, d):
 
 def language_pairing(spark, d):
     c = X.cues(spark, d)
-    twin = c.where("media_id % 3 = 0").withColumn("language", F.lit("hin")).unionByName(c.withColumn("language", F.lit("eng")))
+    twin = c.withColumn("language", F.lit("hin")).unionByName(c.withColumn("language", F.lit("eng")))
     return T.pair_languages(twin, "eng", "hin").select("media_id", F.char_length("ref").alias("ref_chars"), F.md5(F.col("hyp").cast("binary")).alias("hyp_md5"))
 
 
@@ -87,12 +87,12 @@ QUERIES = {
         select media_id, round(case when len(a) + len(b) > 0 then len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) else 0 end, 6)::double as jaccard from t"""),
     "semantic_estimate": (lambda s, d: X.pairs(s, d).select("media_id", F.round(T.semantic_estimate(), 6).alias("semantic")), f"with {X.PAIRS} select media_id, round({SEMANTIC}, 6)::double as semantic from pairs"),
     "cultural_accuracy": (lambda s, d: X.pairs(s, d).select("media_id", F.round(T.cultural_accuracy(), 6).alias("cultural")), f"with {X.PAIRS} select media_id, round({CULTURAL}, 6)::double as cultural from pairs"),
-    "tfa": (tfa, f"with {MAPPED} select media_id, 1.0::double as terminology, len({TERMS})::int as n_terms, round({KEPT(TERMS, 'hyp')}, 6)::double as terms_verbatim, round({FLUENCY}, 6) as fluency, round({ADEQUACY}, 6) as adequacy from pairs"),
+    "terminology_fluency_adequacy": (tfa, f"with {MAPPED} select media_id, 1.0::double as terminology, len({TERMS})::int as n_terms, round({KEPT(TERMS, 'hyp')}, 6)::double as terms_verbatim, round({FLUENCY}, 6) as fluency, round({ADEQUACY}, 6) as adequacy from pairs"),
     "translation_score": (translation_score, f"with {MAPPED}, {GRAMS}, {BENCH}, {PARTS} select media_id, round(overall, 6) as overall, case when overall >= 90 then 'EXCELLENT' when overall >= 80 then 'GOOD' when overall >= 70 then 'FAIR' else 'POOR' end as verdict from scores"),
     "translation_recommendations": (translation_recommendations, f"""with {MAPPED}, {GRAMS}, {BENCH}, {PARTS} select media_id, array_to_string(list_filter([case when bleu < 0.3 then 'lexical accuracy' end, case when semantic < 0.7 then 'meaning' end, case when cultural < 0.8 then 'cultural context' end,
         case when fluency < 0.8 then 'fluency' end, case when adequacy < 0.9 then 'completeness' end, 'English flow'], lambda x: x is not null)[1:5], '; ') as recommendations,
         coalesce(array_to_string(list_filter([case when length(hyp) / greatest(length(ref), 1) < 0.5 then 'omission' end, case when length(hyp) / greatest(length(ref), 1) > 2.5 then 'addition' end], lambda x: x is not null), '; '), '') as errors,
         case when length(hyp) / greatest(length(ref), 1) < 0.5 then 'high' when length(hyp) / greatest(length(ref), 1) > 2.5 then 'medium' else 'low' end as severity, {_ST('bleu', 0.3, 0.2)}, {_ST('semantic', 0.7, 0.5)}, {_ST('adequacy', 0.8, 0.6)} from scores"""),
-    "language_pairing": (language_pairing, f"with {X.CUES}, t as (select media_id, string_agg(text, ' ' order by seq) as text from cues group by 1) select media_id, length(text)::int as ref_chars, md5(text) as hyp_md5 from t where media_id % 3 = 0"),
+    "language_pairing": (language_pairing, f"with {X.CUES}, t as (select media_id, string_agg(text, ' ' order by seq) as text from cues group by 1) select media_id, length(text)::int as ref_chars, md5(text) as hyp_md5 from t"),
     "benchmark_lookup": (benchmark_lookup, f"with {X.PAIRS}, {BENCH}, p as (select media_id, src_lang, case media_id % 3 when 0 then 'bn' when 1 then 'hi' else 'de' end as tgt_lang from pairs) select * from p left join bench using (src_lang, tgt_lang)"),
 }

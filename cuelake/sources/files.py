@@ -34,8 +34,25 @@ def log_ingest(spark: SparkSession, path: str, stream: bool = False) -> DataFram
     return reader.schema(LOG_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
+def parse_log_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """As log_ingest, for lines in a column; the other columns are kept."""
+    parsed = F.from_json(F.col(line_col), LOG_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.withColumn("_p", parsed).select(*[c for c in lines.columns if c != line_col], "_p.*")
+
+
+def parse_job_states(documents: DataFrame, body_col: str = "body") -> DataFrame:
+    """As job_state_ingest, for documents in a column; the other columns are kept."""
+    keep = [c for c in documents.columns if c != body_col]
+    parsed = documents.withColumn("_p", F.from_json(F.col(body_col), JOB_SCHEMA)).where("_p.job_id is not null")
+    return _jobs(parsed.select(*keep, "_p.*"), keep)
+
+
+def _jobs(raw: DataFrame, keep: list[str]) -> DataFrame:
+    stamp = lambda c: F.timestamp_seconds(F.col(c))
+    return raw.select(*keep, "job_id", F.col("video_path").alias("media"), "languages", F.col("current_stage").alias("stage"), stamp("created_at").alias("created_at"), stamp("updated_at").alias("updated_at"), stamp("completed_at").alias("completed_at"), F.col("error_message").alias("error"), "metadata")
+
+
 def job_state_ingest(spark: SparkSession, path: str) -> DataFrame:
     """Job records (job_*.json, one document a file); unreadable ones are skipped, backups are not read."""
     raw = spark.read.schema(JOB_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", "job_*.json").json(path)
-    stamp = lambda c: F.timestamp_seconds(F.col(c))
-    return raw.where("job_id is not null").select("job_id", F.col("video_path").alias("media"), "languages", F.col("current_stage").alias("stage"), stamp("created_at").alias("created_at"), stamp("updated_at").alias("updated_at"), stamp("completed_at").alias("completed_at"), F.col("error_message").alias("error"), "metadata")
+    return _jobs(raw.where("job_id is not null"), [])
