@@ -273,3 +273,16 @@ def classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+ORACLE = r"""
+with recursive docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g from docs, unnest(range(1, greatest(len(w) - 4, 1) + 1)) u(i) where len(w) > 0),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as k from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+ways as (select a, b from links union all select b, a from links),
+reach(node, root) as (select doc_id, doc_id from docs union select ways.b, reach.root from reach join ways on ways.a = reach.node),
+classes as (select node as doc_id, min(root) as component_id from reach group by 1)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from docs left join sizes using (doc_id) join classes using (doc_id)
+"""

@@ -7,6 +7,7 @@ from .byte_bpe import op7_byte_bpe
 from .language_id import op6_language_id
 from .license_scan import ORACLE as LICENSE_SQL
 from .license_scan import op2_license_scan
+from .minhash import ORACLE as MINHASH_SQL
 from .minhash import op5_minhash
 from .packing import op3_best_fit_packing
 from .progressive_jpeg import op9_progressive_jpeg
@@ -29,4 +30,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": LICENSE_SQL,
+    "op5_minhash": MINHASH_SQL,
 }
