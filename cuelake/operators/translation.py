@@ -30,22 +30,21 @@ def pair_languages(cues: DataFrame, src: str, tgt: str) -> DataFrame:
 
 
 def ngram_precisions(pairs: DataFrame, max_n: int = 4, by_language: bool = False, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
-    """media_id, hyp_len, ref_len, and clipped precision p1..pN. An n-gram is a 64-bit hash, one row a pair and n-gram after
-    counting on the map side, as both texts of a pair are in one row. ``by_language``: whitespace tokens for Bengali and Hindi."""
+    """media_id, hyp_len, ref_len, and clipped precision p1..pN. The texts of a pair are dealt by media_id once; their n-grams (64-bit
+    hashes) are then made, counted and compared without another shuffle. ``by_language``: whitespace tokens for Bengali and
+    Hindi."""
     token = lambda c: F.when(F.col("tgt_lang").isin("bn", "hi"), words(c)).otherwise(tokens(c)) if by_language else tokens(c)
-    sides = pairs.select("media_id", token(hyp).alias("_h"), token(ref).alias("_r"))
-
-    def grams(c: str, n: int, a: int) -> Column:
-        starts = F.when(F.size(c) >= n, F.sequence(F.lit(1), F.size(c) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice(c, i, n)).alias("h"), F.lit(a).alias("a")))
-
-    every = F.concat(*[grams(c, n, a) for n in range(1, max_n + 1) for c, a in (("_h", 1), ("_r", 0))])
-    rows = sides.select("media_id", F.explode_outer(every).alias("g")).select("media_id", "g.n", "g.h", "g.a")
+    dealt = pairs.select("media_id", "tgt_lang", hyp, ref).repartition("media_id")
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("a"), token(hyp).alias("t")), F.struct(F.lit(0).alias("a"), token(ref).alias("t"))))
+    rows = dealt.select("media_id", sides.alias("s")).select("media_id", "s.a", *[(F.expr(f"slice(s.t, {k + 1}, size(s.t))") if k else F.col("s.t")).alias(f"w{k}") for k in range(max_n)])
+    # explode_outer, as explode would add a filter that makes the arrays once more
+    rows = rows.select("media_id", "a", F.explode_outer(F.arrays_zip(*[f"w{k}" for k in range(max_n)])).alias("g")).select("media_id", "a", *[f"g.w{k}" for k in range(max_n)])
+    grams = [F.struct(F.lit(n).alias("n"), F.when(F.col(f"w{n - 1}").isNotNull(), F.xxhash64(*[f"w{k}" for k in range(n)])).alias("h")) for n in range(1, max_n + 1)]
+    rows = rows.select("media_id", "a", F.explode(F.array(*grams)).alias("g")).select("media_id", "g.n", "g.h", "a")
     counts = rows.groupBy("media_id", "n", "h").agg(F.sum("a").alias("a"), F.sum(1 - F.col("a")).alias("b"))
-    at = lambda k, c: F.coalesce(F.sum(F.when(F.col("n") == k, c)), F.lit(0))
+    at = lambda k, c: F.coalesce(F.sum(F.when((F.col("n") == k) & F.col("h").isNotNull(), c)), F.lit(0))
     same = F.least("a", "b")
-    out = counts.groupBy("media_id").agg(at(1, F.col("a")).alias("hyp_len"), at(1, F.col("b")).alias("ref_len"), *[F.when(at(k, F.col("a")) > 0, at(k, same) / at(k, F.col("a"))).otherwise(0.0).alias(f"p{k}") for k in range(1, max_n + 1)])
-    return out
+    return counts.groupBy("media_id").agg(at(1, F.col("a")).alias("hyp_len"), at(1, F.col("b")).alias("ref_len"), *[F.when(at(k, F.col("a")) > 0, at(k, same) / at(k, F.col("a"))).otherwise(0.0).alias(f"p{k}") for k in range(1, max_n + 1)])
 
 
 def brevity() -> Column:
@@ -134,8 +133,9 @@ def tfa(pairs: DataFrame) -> DataFrame:
 
 
 def scored(pairs: DataFrame) -> DataFrame:
-    """All parts of the score of every pair."""
-    parts = tfa(pairs).withColumns({"meteor": token_f1(), "semantic": semantic_estimate(), "cultural": cultural_accuracy()})
+    """All parts of the score of every pair. The texts are dealt by media_id before the parts are computed, so that the join with
+    the n-gram score finds them there."""
+    parts = tfa(pairs.repartition("media_id")).withColumns({"meteor": token_f1(), "semantic": semantic_estimate(), "cultural": cultural_accuracy()})
     return parts.join(bleu(pairs).select("media_id", "bleu"), "media_id")
 
 
