@@ -107,10 +107,10 @@ def _described(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def described(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, n (set size), digest (of the set) and bands (keys; null without shingles) of every row."""
+    """doc_id, key (a hash of the text), n (set size), digest (of the set) and bands (keys; null without shingles) of every row."""
     tune(docs.sparkSession)
-    made = docs.select("doc_id", batch_udf(_described, "n long, digest binary, bands array<long>")(F.col(text_col)).alias("_d"))
-    return made.select("doc_id", "_d.*")
+    made = docs.select("doc_id", F.xxhash64(text_col).alias("key"), batch_udf(_described, "n long, digest binary, bands array<long>")(F.col(text_col)).alias("_d"))
+    return made.select("doc_id", "key", "_d.*")
 
 
 def _similar(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -245,7 +245,8 @@ def classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     docs = docs.select("doc_id", F.col(text_col).alias("text"))
     rows = durable(described(docs))
     sets = rows.where("n > 0 and doc_id is not null")
-    nodes = sets.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("_m")).select(F.col("_m.doc_id").alias("node"), "_m.bands")
+    # A node is a set, not a doc_id, which may stand for several sets; its numbers are fixed by the durable table.
+    nodes = sets.groupBy("digest").agg(F.min(F.struct("doc_id", "key", "bands")).alias("_m")).select(F.monotonically_increasing_id().alias("node"), "digest", "_m.*")
     nodes = durable(nodes)
     keys = nodes.select("node", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
@@ -253,7 +254,8 @@ def classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # The centre of a bucket is the member that shares most buckets: the text that the others of its group were made from.
     fame = members.groupBy("node").agg(F.sum("k").alias("fame"))
     centres = members.join(fame, "node").groupBy("band").agg(F.max(F.struct("fame", -F.col("node"))).alias("_m")).select("band", (-F.col("_m.col2")).alias("c"))
-    texts = durable(docs.join(fame.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "node"))
+    named = nodes.join(fame, "node").select("doc_id", "key", "node")
+    texts = durable(docs.withColumn("key", F.xxhash64("text")).join(named, ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.first("node").alias("node"), F.min("text").alias("text")).select("node", "text"))
     pairs = members.join(centres, "band").where("c <> node").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
     edges = durable(confirmed(pairs, texts))
     labels = components(edges)
@@ -263,7 +265,8 @@ def classes(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if found.limit(1).count():
             labels = components(edges.union(found))
     # Equal sets share a node; rows of one doc_id share their class.
-    by_digest = sets.groupBy("digest").agg(F.min("doc_id").alias("node")).join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("_c"))
+    owned = nodes.select("node", "digest", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    by_digest = owned.join(owned.groupBy("component").agg(F.min("doc_id").alias("_c")), "component").select("digest", "_c")
     links = sets.join(by_digest, "digest").select("doc_id", "_c")
     by_doc = links.groupBy("doc_id").agg(F.min("_c").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(by_doc, "doc_id", "left")

@@ -139,6 +139,19 @@ def test_near_duplicates_edge_cases(spark):
     assert minhash.classes(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_near_duplicates_with_two_texts_under_one_id(spark, seed):
+    """The smallest doc_id has a text of each of two groups: in mixed buckets both its texts keep their own links."""
+    rows = [(i, t) for i, (_, t) in enumerate(near_rows(seed, n=120, base=2, edits=12), 1)]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    far = next(i for i, _ in rows[1:] if not sets[1] & sets[i])
+    want = brute_classes(rows)
+    root = {c: (1 if c == want[far][1] else c) for c in {c for _, c in want.values()}}
+    moved = [(1 if i == far else i, t) for i, t in rows]
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.classes(frame(spark, moved)).collect()}
+    assert got == {(1 if i == far else i, root[c]) for i, (_, c) in want.items()}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in minhash.components(edges).collect()}
