@@ -10,8 +10,8 @@ Equal vectors are one entry with their ``KEEP`` smallest ids (no result can hold
 rows costs one comparison. The window is a share of the curve because the test vectors have no low-dimensional structure; on
 clustered vectors a smaller ``share`` reaches the same recall at less work.
 
-Edge cases: vectors that are null, empty, zero, hold null or non-finite components, or are shorter than the longest ones take no
-part, neither do rows with a null vec_id; repeated rows count once; a query never finds its own id; with fewer candidates all of
+Edge cases: vectors that are null, empty, zero, hold null or non-finite components take no part, neither do
+rows with a null vec_id; vectors of each length are a collection of their own, with its own curves and cells; repeated rows count once; a query never finds its own id; with fewer candidates all of
 them are returned; ties go to the smaller vec_id; an empty table gives no rows; other columns are not read.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_udf, durable, tune
+from .common import durable, tune
 
 CURVES, DIMS, BITS, SHARE, KEEP, CELL_ROWS, LEAST_CELLS = 8, 3, 10, 0.3, 21, 4096, 16
 
@@ -72,29 +72,32 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def with_keys(rows: DataFrame, longest: float, queries: bool, seed: int) -> DataFrame:
-    """One row a curve: curve and key beside the columns of rows."""
+def with_keys(rows: DataFrame, queries: bool, seed: int) -> DataFrame:
+    """One row a curve: curve and key beside the columns of rows. ``longest`` is the largest length among vectors of that size."""
 
-    def keyed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
-            x = _matrix(b)
-            if not len(x):
-                yield pa.array([], pa.list_(pa.int64()))
-                continue
-            square = (x * x).sum(1)
-            more = np.zeros(len(x)) if queries else np.sqrt(np.maximum(longest**2 - square, 0))
-            unit = np.column_stack([x, more]) / (np.sqrt(square)[:, None] if queries else longest)
-            k = curve_keys(unit, seed)
-            yield pa.ListArray.from_arrays(np.arange(len(k) + 1, dtype=np.int32) * k.shape[1], k.ravel())
+    def keyed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for b, longest in batches:
+            sizes, most = b.value_lengths().to_numpy(zero_copy_only=False), longest.to_numpy(zero_copy_only=False)
+            k = np.zeros((len(b), CURVES), np.int64)
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                x = _matrix(b.take(pa.array(at)))
+                square, m = (x * x).sum(1), most[at]
+                more = np.zeros(len(x)) if queries else np.sqrt(np.maximum(m**2 - square, 0))
+                k[at] = curve_keys(np.column_stack([x, more]) / (np.sqrt(square) if queries else m)[:, None], seed)
+            yield pa.ListArray.from_arrays(np.arange(len(k) + 1, dtype=np.int32) * CURVES, k.ravel())
 
-    return rows.withColumn("_keys", batch_udf(keyed, "array<long>")("embedding")).select(*rows.columns, F.posexplode("_keys").alias("curve", "key"))
+    keyed.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    keys = F.arrow_udf(keyed, "array<long>")("embedding", "longest")
+    return rows.withColumn("_keys", keys).select(*rows.columns, F.posexplode("_keys").alias("curve", "key"))
 
 
 def _compared(key, left, right):
     """The KEEP best entries of a cell for each query that visits it."""
+    n = key[0].as_py()
     queries, ids = right.column("query").to_numpy(), left.column("rep").to_numpy()
     if not len(queries) or not len(ids):
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.struct([("score", pa.float64()), ("rep", pa.int64())])))], names=["query", "best"])
+        return pa.table([pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.struct([("score", pa.float64()), ("rep", pa.int64())])))], names=["n", "query", "best"])
     q, x = _matrix(right.column("vector").combine_chunks()), _matrix(left.column("embedding").combine_chunks())
     by = np.argsort(ids)
     ids, x = ids[by], x[by]
@@ -110,43 +113,48 @@ def _compared(key, left, right):
             picked.append((exact[top], ids[at][top]))
     score, rep = (np.concatenate([p[i] for p in picked]) for i in (0, 1))
     pairs = pa.StructArray.from_arrays([pa.array(score), pa.array(rep)], ["score", "rep"])
-    return pa.table([pa.array(queries), pa.ListArray.from_arrays(np.arange(len(q) + 1, dtype=np.int32) * k, pairs)], names=["query", "best"])
+    return pa.table([pa.array(np.full(len(q), n, np.int32)), pa.array(queries), pa.ListArray.from_arrays(np.arange(len(q) + 1, dtype=np.int32) * k, pairs)], names=["n", "query", "best"])
 
 
 def neighbours(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE, seed: int = 17) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest found for every row for which the Column is_query holds."""
     tune(vectors.sparkSession)
     sound = "vec_id is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"
-    rows = vectors.select("vec_id", "embedding").where(sound)
-    width = rows.agg(F.max(F.size("embedding")).alias("w"), F.max(F.expr("aggregate(embedding, 0d, (a, x) -> a + double(x) * double(x))")).alias("m")).first()
-    if width["w"] is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("embedding") == width["w"]).distinct()
-    longest = float(np.sqrt(width["m"])) * (1 + 1e-12)
+    rows = vectors.select("vec_id", "embedding").where(sound).distinct()
     rank = Window.partitionBy("embedding").orderBy("vec_id")
     smallest = rows.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    entries = durable(smallest.select(F.col("ids")[0].alias("rep"), "ids", "embedding"))
+    entries = durable(smallest.select(F.size("embedding").alias("n"), F.col("ids")[0].alias("rep"), "ids", "embedding"))
+    # Each length n of vectors is searched by itself; cells is its number of cells a curve.
+    square = F.expr("aggregate(embedding, 0d, (a, x) -> a + double(x) * double(x))")
+    sizes = entries.groupBy("n").agg((F.sqrt(F.max(square)) * (1 + 1e-12)).alias("longest"), F.greatest(F.lit(LEAST_CELLS), F.ceil(F.count("*") / CELL_ROWS)).cast("int").alias("cells"))
+    sizes = durable(sizes)
+    numbers = sorted(r["cells"] for r in sizes.select("cells").distinct().collect())
+    if not numbers:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = rows.where(is_query)
-    names = entries.select("rep", "embedding")
-    queries = durable(asked.join(names, "embedding").select("vec_id", "rep"))
-    reps = queries.select(F.col("rep").alias("query")).distinct().join(names.withColumnRenamed("rep", "query"), "query")
-    cells = max(LEAST_CELLS, -(-entries.count() // CELL_ROWS))
-    reach = max(1, round(share * cells / 2))
-    keyed = durable(with_keys(names, longest, False, seed))
-    cuts = [i / cells for i in range(1, cells)]
-    limits = keyed.groupBy("curve").agg(F.percentile_approx("key", cuts, 20 * cells).alias("limits"))
-    limits = F.broadcast(limits)  # CURVES rows of cells - 1 numbers
-    cell = F.expr("size(filter(limits, x -> x < key))") if cells <= 64 else F.expr("cast(array_position(transform(limits, x -> x >= key), true) as int)")
-    placed = keyed.join(limits, "curve").withColumn("cell", cell).select("curve", "cell", "rep", "embedding")
-    visits = with_keys(reps, longest, True, seed).join(limits, "curve").withColumn("_c", cell)
-    visits = visits.withColumn("cell", F.explode(F.sequence(F.greatest(F.col("_c") - reach, F.lit(0)), F.least(F.col("_c") + reach, F.lit(cells - 1))))).select(F.col("curve").alias("at_curve"), F.col("cell").alias("at_cell"), "query", F.col("embedding").alias("vector"))
-    best = placed.groupBy("curve", "cell").cogroup(visits.groupBy("at_curve", "at_cell")).applyInArrow(_compared, "query long, best array<struct<score:double,rep:long>>")
+    names = entries.select("n", "rep", "embedding").join(F.broadcast(sizes), "n")
+    queries = durable(asked.join(entries.select("n", "rep", "embedding"), "embedding").select("vec_id", "n", "rep"))
+    reps = queries.select("n", F.col("rep").alias("query")).distinct().join(names.withColumnRenamed("rep", "query"), ["n", "query"])
+    keyed = durable(with_keys(names, False, seed).drop("longest"))
+    # percentile_approx takes fixed shares only: one aggregate for each number of cells
+    limits = None
+    for cells in numbers:
+        cuts = [i / cells for i in range(1, cells)]
+        part = keyed.where(F.col("cells") == cells).groupBy("n", "curve").agg(F.percentile_approx("key", cuts, 20 * cells).alias("limits"))
+        limits = part if limits is None else limits.union(part)
+    limits = F.broadcast(limits)  # for each length, CURVES rows of cells - 1 numbers
+    cell = F.expr("size(filter(limits, x -> x < key))")
+    reach = F.greatest(F.lit(1), F.rint(F.col("cells") * share / 2).cast("int"))
+    placed = keyed.join(limits, ["n", "curve"]).withColumn("cell", cell).select("n", "curve", "cell", "rep", "embedding")
+    visits = with_keys(reps, True, seed).join(limits, ["n", "curve"]).withColumn("_c", cell).withColumn("_reach", reach)
+    visits = visits.withColumn("cell", F.explode(F.sequence(F.greatest(F.col("_c") - F.col("_reach"), F.lit(0)), F.least(F.col("_c") + F.col("_reach"), F.col("cells") - 1)))).select(F.col("n").alias("at_n"), F.col("curve").alias("at_curve"), F.col("cell").alias("at_cell"), "query", F.col("embedding").alias("vector"))
+    best = placed.groupBy("n", "curve", "cell").cogroup(visits.groupBy("at_n", "at_curve", "at_cell")).applyInArrow(_compared, "n int, query long, best array<struct<score:double,rep:long>>")
     # Each window gives at most KEEP entries; the same entry has the same score in all of them.
-    merged = best.groupBy("query").agg(F.expr(f"slice(array_sort(array_distinct(flatten(collect_list(transform(best, b -> struct(-b.score as minus, b.rep as rep)))))), 1, {k + 1})").alias("best"))
-    found = merged.select("query", F.explode("best").alias("b")).select("query", F.col("b.rep").alias("rep"), (-F.col("b.minus")).alias("score"))
-    full = found.join(entries.select("rep", "ids"), "rep").select("query", F.explode("ids").alias("vec_id"), "score")
-    lists = full.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("list"))
-    answer = queries.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")).join(lists, "query")
+    merged = best.groupBy("n", "query").agg(F.expr(f"slice(array_sort(array_distinct(flatten(collect_list(transform(best, b -> struct(-b.score as minus, b.rep as rep)))))), 1, {k + 1})").alias("best"))
+    found = merged.select("n", "query", F.explode("best").alias("b")).select("n", "query", F.col("b.rep").alias("rep"), (-F.col("b.minus")).alias("score"))
+    full = found.join(entries.select("n", "rep", "ids"), ["n", "rep"]).select("n", "query", F.explode("ids").alias("vec_id"), "score")
+    lists = full.groupBy("n", "query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("list"))
+    answer = queries.select(F.col("vec_id").alias("query_id"), "n", F.col("rep").alias("query")).join(lists, ["n", "query"])
     own = answer.select("query_id", F.posexplode(F.expr(f"slice(filter(list, x -> x.vec_id <> query_id), 1, {k})")).alias("pos", "x"))
     return own.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"))
 

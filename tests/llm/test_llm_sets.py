@@ -382,6 +382,20 @@ def test_neighbours_edge_cases(spark):
     assert ann.neighbours(df.where("false"), "vec_id % 20 = 0").count() == 0
 
 
+def test_neighbours_of_each_length(spark):
+    """A row with one component too many finds others of its length and leaves the rest alone."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(np.float32(a)) for a in rng.normal(size=4)]) for i in range(50)]
+    other = [(1000 + i, [float(np.float32(a)) for a in rng.normal(size=5)]) for i in range(8)]
+    for more in (other, other[:1]):
+        df = spark.createDataFrame(rows + more, "vec_id long, embedding array<float>")
+        got = {}
+        for r in ann.neighbours(df, "vec_id % 20 = 0", share=2.0).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        want = {**brute_neighbours(rows), **brute_neighbours(more)}
+        assert got == {q: w for q, w in want.items() if w}
+
+
 def test_neighbours_recall(spark, sf):
     rows = [(r[0], list(r[1])) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
     want, got = brute_neighbours(rows), {}
