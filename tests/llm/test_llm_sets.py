@@ -87,6 +87,26 @@ def test_packing_places_every_word_once(spark):
     assert packing.packed(packing.measured(docs.where("false"))).count() == 0
 
 
+def test_packing_query_is_best_fit_in_each_shard(spark, sf):
+    """The query itself on more documents than a shard holds, against brute force shard by shard."""
+    sf = sf.replace("sf0.001", "sf0.1")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    shards = -(-docs.count() // packing.SHARD)
+    assert shards > 1
+    dealt = {}
+    for r in docs.selectExpr("*", f"pmod(xxhash64(doc_id), {shards}) as shard").collect():
+        w = [x for x in re.split(r"[ \t\n\x0B\f\r]+", (r["text"] or "").lower()) if x]
+        for k in range(-(-len(w) // packing.CAPACITY)):
+            dealt.setdefault(r["shard"], []).append((-min(packing.CAPACITY, len(w) - k * packing.CAPACITY), r["doc_id"], k, r["source"], " ".join(w)))
+    want = set()
+    for n, pieces in dealt.items():
+        pieces.sort(key=lambda p: p[:3])
+        placed = naive([-p[0] for p in pieces], [p[3] for p in pieces], [p[4] for p in pieces], packing.CAPACITY, packing.PER_SOURCE)
+        want |= {(p[1], p[2], -p[0], f"{n:06d}-{b:06d}", o) for p, (b, o) in zip(pieces, placed)}
+    got = registry.QUERIES["op3_best_fit_packing"](spark, sf).where("bin_id is not null").collect()
+    assert {(r["doc_id"], r["piece"], r["length"], r["bin_id"], r["bin_offset"]) for r in got} == want and len(got) == len(want)
+
+
 # ---- near-duplicates
 
 
