@@ -7,6 +7,7 @@ vectorised code depends neither on the batch nor on the longest text.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,14 +26,33 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new name in the shared folder of spark.checkpoint.dir. Without that setting a temporary folder serves a local master;
+    a cluster, whose machines would not share it, gets an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there: no later job computes it again, and a lost
-    executor takes nothing with it. The folder is the one in spark.checkpoint.dir; only without it (tests) a temporary one."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    """df as a table in the shared folder: no later job computes it again, a lost executor takes nothing with it, and the plan that
+    reads it has neither df's lineage nor its estimates, so that loops do not grow their plans."""
+    path = _folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``durable`` that nothing will read any more."""
+    for t in tables:
+        spark = t.sparkSession
+        for name in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def fold(doc_id: Column | str, modulus: int) -> Column:

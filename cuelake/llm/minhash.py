@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_VALUES, batch_udf, chunks, durable, mix, prefix_sums, span_hashes, spans, tune
+from .common import LOWER_VALUES, batch_udf, chunks, discard, durable, mix, prefix_sums, span_hashes, spans, tune
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -144,22 +144,37 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(test("_ta", "_tb")).select("a", "b")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of the edges (a, b): component is the smallest node that can be reached. Every round takes
-    the smallest label among neighbours and then that label's own label, so that long chains halve."""
-    both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).select(F.col("a").alias("node"), F.col("l").alias("component")))
-    for _ in range(max_rounds):
-        seen = labels.select(F.col("node").alias("b"), F.col("component").alias("l"))
-        near = both.join(seen, "b").groupBy("a").agg(F.min("l").alias("m"))
-        lower = labels.join(near.select(F.col("a").alias("node"), "m"), "node").select("node", F.least("component", "m").alias("component"), F.col("component").alias("_old"))
-        root = labels.select(F.col("node").alias("component"), F.col("component").alias("_root"))
-        nxt = durable(lower.join(root, "component", "left").select("node", F.least("component", F.coalesce("_root", "component")).alias("component"), "_old"))
-        changed = nxt.where("component <> _old").limit(1).count()
-        labels = nxt.drop("_old")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of the edges (a, b): component is the smallest node that can be reached.
+
+    Random contraction: every round ranks the nodes anew by a hash, each node moves to the lowest-ranked of itself and its neighbours,
+    and edges within a node vanish. That leaves about half of the nodes of a path in whatever order its ids stand, and fewer
+    elsewhere, so the rounds are logarithmic for any graph; each works only on what the last one left."""
+    steps, left = [], durable(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
+    while not left.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+        ways = left.select("a", rank("b").alias("to")).union(left.select("b", rank("a")))
+        best = ways.groupBy("a").agg(F.min("to").alias("to")).select(F.col("a").alias("node"), F.when(F.col("to") < rank("a"), F.col("to.n")).otherwise(F.col("a")).alias("into"))
+        step = durable(best)
+        moved = left.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x <> y")
+        left, done = durable(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()), left
+        if steps:
+            discard(done)
+        steps.append(step)
+    if not steps:
+        return nodes.withColumn("component", F.col("node"))
+    # from the last step back to the first: where each node has ended
+    ended = steps[-1]
+    for k, step in enumerate(reversed(steps[:-1]), 1):
+        ended = step.join(ended.select(F.col("node").alias("into"), F.col("into").alias("end")), "into", "left").select("node", F.coalesce("end", "into").alias("into"))
+        if k % 6 == 0:
+            ended = durable(ended)
+    ended = durable(ended)
+    least = ended.groupBy("into").agg(F.min("node").alias("component"))
+    labels = durable(ended.join(least, "into").select("node", "component"))
+    discard(*steps, ended)
+    return labels
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:

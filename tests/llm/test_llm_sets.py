@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from cuelake.llm import ann, license_scan, minhash, packing, progressive_jpeg, registry, suffix_dedup
-from cuelake.llm.common import chunks
+from cuelake.llm.common import chunks, durable
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, score string"
@@ -172,10 +172,44 @@ def test_near_duplicates_with_two_texts_under_one_id(spark, seed):
     assert got == {(1 if i == far else i, root[c]) for i, (_, c) in want.items()}
 
 
-def test_components_of_a_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
-    got = {r["node"]: r["component"] for r in minhash.components(edges).collect()}
-    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+def linked(edges):
+    """Union-find: the smallest node that each node reaches."""
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def _chain(n, r):
+    ids = list(range(n))
+    r.shuffle(ids)
+    return list(zip(ids, ids[1:]))
+
+
+def _grid(n, r):
+    ids = list(range(n * n))
+    r.shuffle(ids)
+    return [(ids[i * n + j], ids[i * n + j + 1]) for i in range(n) for j in range(n - 1)] + [(ids[i * n + j], ids[i * n + n + j]) for i in range(n - 1) for j in range(n)]
+
+
+@pytest.mark.parametrize("shape", ["chain of 150", "chain of 10000", "grid", "star and pairs"])
+def test_components(spark, monkeypatch, shape):
+    r = random.Random(shape)
+    edges = {"chain of 150": lambda: _chain(150, r), "chain of 10000": lambda: _chain(10000, r), "grid": lambda: _grid(40, r), "star and pairs": lambda: [(500, i) for i in range(400)] + [(1000, 1001), (1001, 1000), (1003, 1002)]}[shape]()
+    written = []
+    monkeypatch.setattr(minhash, "durable", lambda df: written.append(1) or durable(df))
+    got = {r["node"]: r["component"] for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == linked(edges)
+    assert len(written) / 2 <= 2 * np.log2(len(got)) + 2  # two tables a round
+    assert minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # ---- repeated passages
