@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 K, GAP, COVER = 3, 2, 0.8
 #: Label, whether it is a base phrase, and the phrase's words.
 PHRASES = [
-    ("mit", True, "the mit license"),
+    ("mit", True, "under the mit license"),
     ("apache-2", True, "apache license version 2"),
     ("cc-by-nc", True, "cc by nc"),
+    ("mit", False, "the mit license"),
     ("gpl-3", False, "gnu general public license version 3"),
     ("gpl-2", False, "gnu general public license version 2"),
     ("lgpl", False, "gnu lesser general public license"),

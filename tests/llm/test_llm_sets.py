@@ -22,7 +22,15 @@ def frame(spark, rows):
 # ---- license scans
 
 TEXTS = [(1, None), (2, ""), (3, "The MIT License the mit-license"), (4, "cc"), (5, "Licensed under the Apache License, Version 2.0. CC BY-NC"), (5, "Licensed under the Apache License, Version 2.0. CC BY-NC"),
-         (6, "gnu general public licence version 3"), (7, "GNU General Public License, version 3"), (8, "mıt the mİt license"), (9, "permission is hereby granted free of charge to any given person obtaining a copy of this software and associated documentation files " * 2), (None, "the mit license")]
+         (6, "gnu general public licence version 3"), (7, "GNU General Public License, version 3"), (8, "mıt the mİt license"), (9, "permission is hereby granted free of charge to any given person obtaining a copy of this software and associated documentation files " * 2), (None, "the mit license"),
+         (10, "Released under the MIT License; under THE mit license. cc by nc"), (11, "under mit the license, Apache License version 2 by cc by nc cc by nc"), (12, "under the mit lıcense apache-license_version 2")]
+#: The contract's base phrases, written out.
+BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+
+def base_places(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    return len(w), sorted((i, label) for phrase, label in BASE.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split())
 
 
 def test_license_scan_is_its_sql(spark):
@@ -34,7 +42,13 @@ def test_license_scan_is_its_sql(spark):
     key = lambda r: repr(tuple(r))
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key) and len(got) == len(TEXTS)
     by = {r["doc_id"]: r for r in got}
-    assert (by[3]["n_base"], by[3]["first_word"], by[3]["last_word"], by[3]["base_labels"]) == (2, 0, 3, "mit")
+    for doc_id, text in TEXTS:
+        n, places = base_places(text)
+        first, last = (places[0][0], places[-1][0]) if places else (None, None)
+        r = by[doc_id]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (n, len(places), first, last, ",".join(sorted({x for _, x in places})))
+        assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
+    assert (by[3]["n_base"], by[3]["base_labels"], by[3]["labels"]) == (0, "", "mit")
     assert by[5]["base_labels"] == "apache-2,cc-by-nc" and by[7]["labels"] == "gpl-3" and by[6]["labels"] == "" and by[9]["labels"] == "mit" and by[9]["base_labels"] == ""
     assert by[1]["n_words"] == 0 and by[1]["first_word"] is None and by[1]["score"] == 0
 
