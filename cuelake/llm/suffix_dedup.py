@@ -1,20 +1,26 @@
 """Suffix-array deduplication of exact passages: sampled splitters range-partition suffixes by their leading tokens; buckets sort
-locally by multikey quicksort and compare.
+locally by multikey quicksort and compare, across their boundaries too.
 
 A byte is removed if a ``LENGTH``-byte string that covers it also starts in a document with a smaller doc_id. Tokens are bytes.
 The array is sparse: of each 50-byte window only the suffix at its anchor counts, the leftmost of its ``TOKEN``-byte strings with
 the smallest hash. Equal windows have their anchor at the same offset, so equal windows meet in the sorted order of anchors,
 and nothing is lost; about one suffix in 14 is kept.
 
-1. Documents are dealt into blocks of ``BLOCK`` to ``BLOCK_MOST`` bytes by a hash of doc_id. A document whose whole text has a smaller
-   doc_id elsewhere is removed whole (if long enough) and takes no further part.
-2. Each block lists the hashes of its anchors, 4 bytes each; hash shards find those that two documents share.
+1. Documents are dealt into blocks of ``BLOCK`` to ``BLOCK_MOST`` bytes by a hash of doc_id.
+2. Each block lists the hashes of its anchors, 4 bytes each; hash shards find those that two documents share. A block has one message
+   for each shard in which it has anchors, so there are never more messages than anchors.
 3. Each block cuts the shared anchors' suffixes with the bytes before them that a window can reach. Equal suffixes of a block are
    sent once, for the smallest doc_id; the block removes the others itself, so a passage in a third of all documents
-   costs one suffix a block. Splitters sampled from the corpus deal the suffixes by their leading TOKEN bytes. All of these
-   decide the bucket, so no run of equal anchors crosses a boundary and a bucket needs no neighbour.
-4. Buckets sort by multikey quicksort; among equal anchors, every window is given the smallest doc_id that has it.
-5. Removed runs return to their block, which merges them and hashes what is left.
+   costs one suffix a block. The order is that of the ``LENGTH`` bytes from the anchor on, then of the bytes before it, backwards;
+   splitters sampled in that order, in proportion to the number of buckets, deal the suffixes. All bytes decide, so a
+   frequent phrase in changing surroundings is spread over buckets. Splitters take ``CONTEXT`` bytes for each ``BUCKET`` to
+   ``BUCKET_MOST`` bytes of suffixes, about 2 MB a terabyte of text.
+4. Buckets sort by multikey quicksort. A window with ``o`` bytes before its anchor is the same for suffixes that stand in one run of
+   common prefixes of LENGTH - o bytes, and in one run of the order of the preceding bytes with o bytes in common: both runs
+   come from comparing neighbours in sorted order, byte by byte. Of such windows all but those of the smallest doc_id go.
+5. A run that a splitter cuts goes on in the next bucket. Windows in it that the bucket keeps are compared once more among buckets,
+   by their bytes.
+6. Removed runs return to their block, which merges them and hashes what is left.
 
 Edge cases: null and empty texts have no bytes; texts under 50 bytes lose nothing; matches never cross documents; repeated rows
 (one doc_id, one text) are one document and are both returned; rows with a null doc_id are compared with nothing and kept
@@ -28,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +47,8 @@ CONTEXT = LEFT + LENGTH
 #: Blocks, hash shards and suffix buckets grow with the input between these bounds, so that the messages between them stay few.
 BLOCK, BLOCK_MOST = 3 << 20, 16 << 20
 SHARD, SHARD_MOST, SHARDS = 1 << 20, 64 << 20, 256
-BUCKET = 10 << 20
+BUCKET, BUCKET_MOST = 10 << 20, 64 << 20
+SPLIT_TEXTS, SPLIT_TOKENS, OVERSAMPLED = 2000, 24, 16
 SLICE = 1 << 19
 _POS = np.uint64((1 << 20) - 1)
 
@@ -104,15 +112,14 @@ def multikey_quicksort(words: np.ndarray, small: int = 1024) -> np.ndarray:
 class Block:
     """The documents of a block that take part, one after the other."""
 
-    def __init__(self, table: pa.Table, copies: set[int]) -> None:
+    def __init__(self, table: pa.Table) -> None:
         self.ids = table.column("doc_id").to_numpy()
         self.texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
         if isinstance(self.texts, pa.ChunkedArray):
             self.texts = pa.concat_arrays(self.texts.chunks)
         data, at = raw(self.texts)
         self.bytes, self.at = data, at
-        self.copy = np.isin(self.ids, np.fromiter(copies, np.int64, len(copies)))
-        keep = np.flatnonzero(~self.copy & (np.diff(at) >= LENGTH))
+        keep = np.flatnonzero(np.diff(at) >= LENGTH)
         self.data = np.concatenate([data[at[i] : at[i + 1]] for i in keep]) if len(keep) else np.zeros(0, np.uint8)
         size = np.diff(at)[keep]
         self.ends = np.cumsum(size)
@@ -126,14 +133,37 @@ class Block:
         return np.searchsorted(self.ends, p, "right")
 
 
-def _copies(right: pa.Table) -> set[int]:
-    return {x for x in right.column("copy").to_pylist() if x is not None}
+def contexts(data: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The CONTEXT bytes around each anchor (zeros beyond the data)."""
+    padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(LENGTH, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[p]
+
+
+def in_order(context: np.ndarray) -> np.ndarray:
+    """Contexts with their bytes in the order in which they count: from the anchor on, then before it, backwards."""
+    return np.concatenate([context[:, LEFT:], context[:, :LEFT][:, ::-1]], axis=1)
+
+
+def _as_strings(key: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(key).view(f"S{key.shape[1]}").ravel()
+
+
+def _as_words(key: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(key), -(-key.shape[1] // 8) * 8), np.uint8)
+    out[:, : key.shape[1]] = key
+    return out.view(">u8").astype(np.uint64)
+
+
+def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each row of a and b."""
+    other = a != b
+    return np.where(other.any(1), other.argmax(1), a.shape[1])
 
 
 def _shared_hashes(bits: int):
-    def listed(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def listed(key, table):
         """The block's anchor hashes by shard: 32 bits each, and a bit that says whether two of its documents have it."""
-        b = Block(left, _copies(right))
+        b = Block(table)
         p, h, _, _ = b.anchors()
         h >>= np.uint64(64 - 32 - bits)
         doc = b.doc_of(p)
@@ -144,8 +174,8 @@ def _shared_hashes(bits: int):
         many = doc[first] != doc[last] if len(h) else np.zeros(0, bool)
         h = h[first]
         shard = (h >> np.uint64(32)).astype(np.int64)
-        cut = np.searchsorted(shard, np.arange((1 << bits) + 1))
-        rows = [(s, int(key[0].as_py()), h[a:z].astype("<u4").tobytes(), np.packbits(many[a:z]).tobytes()) for s, (a, z) in enumerate(zip(cut[:-1], cut[1:])) if a < z]
+        head = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(h) else np.zeros(0, np.int64)
+        rows = [(int(shard[a]), int(key[0].as_py()), h[a:z].astype("<u4").tobytes(), np.packbits(many[a:z]).tobytes()) for a, z in zip(head, np.append(head[1:], len(h)))]
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["shard", "block", "hashes", "many"])
 
     return listed
@@ -179,13 +209,24 @@ _SUFFIXES = [("bucket", pa.int32()), ("block", pa.int32()), ("docs", pa.binary()
 _SUFFIX_SCHEMA = "bucket int, block int, docs binary, reach binary, context binary, places binary"
 
 
+def _distinct(context: np.ndarray, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ordered by equal contexts, then by id, and a mark on the first of each. Hashes order them; bytes have the last word."""
+    order = np.lexsort((ids, hashes))
+    first = np.r_[True, hashes[order[1:]] != hashes[order[:-1]]]
+    if (context[order[1:]] != context[order[:-1]]).any(1)[~first[1:]].any():  # two contexts of one hash
+        number = np.unique(_as_strings(np.pad(context, ((0, 0), (0, 1)), constant_values=1)), return_inverse=True)[1]
+        order = np.lexsort((ids, number))
+        first = np.r_[True, number[order[1:]] != number[order[:-1]]]
+    return order, first
+
+
 def _cut(bits: int, splitters: np.ndarray):
     def suffixes(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """The block's shared suffixes by bucket, and the runs that it can remove by itself (bucket -1)."""
         block = int(key[0].as_py())
-        b = Block(left, _copies(right))
+        b = Block(left)
         p, h, lo, hi = b.anchors()
-        wanted = [np.frombuffer(x, "<u4").astype(np.uint64) | (np.uint64(s) << np.uint64(32)) for s, x in zip(right.column("shard").to_pylist(), right.column("hashes").to_pylist()) if x is not None]
+        wanted = [np.frombuffer(x, "<u4").astype(np.uint64) | (np.uint64(s) << np.uint64(32)) for s, x in zip(right.column("shard").to_pylist(), right.column("hashes").to_pylist())]
         wanted = np.sort(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
         h >>= np.uint64(64 - 32 - bits)
         at = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
@@ -194,135 +235,145 @@ def _cut(bits: int, splitters: np.ndarray):
         rows: list[tuple] = []
         if len(p):
             doc = b.doc_of(p)
-            begin, end = np.maximum(p - LEFT, b.starts[doc]), np.minimum(p + LENGTH, b.ends[doc])
-            whole = np.empty(len(p), np.uint64)
-            for a in range(0, len(b.data), SLICE):
-                i = np.arange(np.searchsorted(p, a), np.searchsorted(p, a + SLICE))
-                base = max(0, a - LEFT)
-                sums = prefix_sums(b.data[base : a + SLICE + LENGTH])
-                whole[i] = span_hashes(sums, begin[i] - base, end[i] - base)
-            whole = whole * np.uint64(1024) * np.uint64(0x9E3779B97F4A7C15) ^ whole ^ ((lo << 5 | hi) + (p - begin << 10)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            ids = b.doc_ids[doc]
-            order = np.lexsort((ids, whole))
-            w, d = whole[order], ids[order]
-            first = np.r_[True, w[1:] != w[:-1]]
+            ids, context = b.doc_ids[doc], contexts(b.data, p)
+            # bytes of neighbouring documents do not count, and what a window cannot reach does not either
+            step = np.arange(CONTEXT) - LEFT
+            context[(step < -hi[:, None]) | (step >= LENGTH - lo[:, None])] = 0
+            seen = np.concatenate([context, lo.astype(np.uint8)[:, None], hi.astype(np.uint8)[:, None]], 1)
+            sums, row = prefix_sums(seen.ravel()), np.arange(len(p) + 1) * seen.shape[1]
+            order, first = _distinct(seen, span_hashes(sums, row[:-1], row[1:]), ids)
+            d = ids[order]
             group = np.cumsum(first) - 1
-            owner = d[np.flatnonzero(first)][group]
-            mine = d == owner
+            mine = d == d[np.flatnonzero(first)][group]
             gone = order[~mine]
             if len(gone):
                 rows.append((-1, block, ids[gone].astype("<i8").tobytes(), b"", b"", np.stack([p[gone] - hi[gone] - b.starts[doc[gone]], p[gone] - lo[gone] + LENGTH - b.starts[doc[gone]]], 1).astype("<i8").tobytes()))
             heads = order[first]
-            padded = np.concatenate([np.zeros(LEFT, np.uint8), b.data, np.zeros(LENGTH, np.uint8)])
-            context = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[p[heads]]
-            leading = np.ascontiguousarray(context[:, LEFT : LEFT + TOKEN]).view(f"S{TOKEN}").ravel()
-            bucket = np.searchsorted(splitters, leading, "right")
+            context = context[heads]
+            bucket = np.searchsorted(splitters, _as_strings(in_order(context)), "right")
             place = order[mine]
             of = group[mine]
             by = np.argsort(bucket, kind="stable")
             number = np.empty(len(by), np.int64)
             number[by] = np.arange(len(by))
-            cut = np.searchsorted(bucket[by], np.arange(len(splitters) + 2))
             number_of = number[of]
             sort = np.argsort(number_of, kind="stable")
             place, number_of = place[sort], number_of[sort]
-            for k in np.flatnonzero(np.diff(cut)):
-                i = heads[by[cut[k] : cut[k + 1]]]
-                x, z = np.searchsorted(number_of, cut[k : k + 2])
-                places = np.stack([number_of[x:z] - cut[k], p[place[x:z]] - b.starts[doc[place[x:z]]]], 1).astype("<i8")
-                rows.append((int(k), block, ids[i].astype("<i8").tobytes(), np.stack([lo[i], hi[i]], 1).astype(np.uint8).tobytes(), context[by[cut[k] : cut[k + 1]]].tobytes(), places.tobytes()))
+            head = np.flatnonzero(np.r_[True, np.diff(bucket[by]) != 0])
+            for k, z in zip(head, np.append(head[1:], len(by))):
+                i = heads[by[k:z]]
+                x, y = np.searchsorted(number_of, (k, z))
+                places = np.stack([number_of[x:y] - k, p[place[x:y]] - b.starts[doc[place[x:y]]]], 1).astype("<i8")
+                rows.append((int(bucket[by[k]]), block, ids[i].astype("<i8").tobytes(), np.stack([lo[i], hi[i]], 1).astype(np.uint8).tobytes(), context[by[k:z]].tobytes(), places.tobytes()))
         return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_SUFFIXES)], names=[n for n, _ in _SUFFIXES])
 
     return suffixes
 
 
-def window_hashes(context: np.ndarray) -> np.ndarray:
-    """Hashes of the windows at offsets 0..LEFT before the anchor of each context."""
-    out = np.empty((len(context), WIDTH), np.uint64)
-    for a in range(0, len(context), 8192):
-        part = np.ascontiguousarray(context[a : a + 8192])
-        sums = prefix_sums(part.ravel())
-        row = np.arange(len(part)) * CONTEXT
-        for o in range(WIDTH):
-            out[a : a + len(part), o] = span_hashes(sums, row + LEFT - o, row + LEFT - o + LENGTH)
-    return out
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorts a bucket and returns removed runs: block, docs, and (start, stop) pairs."""
-    parts = []
-    for batch in batches:
-        for bucket, block, docs, reach, context, places in zip(*(c.to_pylist() for c in batch.columns)):
-            if bucket < 0:
-                yield _runs([block], [docs], [places])
-            else:
-                parts.append((block, np.frombuffer(docs, "<i8"), np.frombuffer(reach, np.uint8).reshape(-1, 2), np.frombuffer(context, np.uint8).reshape(-1, CONTEXT), np.frombuffer(places, "<i8").reshape(-1, 2)))
-    if not parts:
-        return
-    docs, reach, context = (np.concatenate([x[k] for x in parts]) for k in (1, 2, 3))
+def compared(context: np.ndarray, docs: np.ndarray, reach: np.ndarray, below: np.ndarray | None, above: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (rows x WIDTH booleans) of a bucket's suffixes that go, and those that it keeps but that a run over the bucket's limits
+    (keys below and above; None: no bucket there) may still remove."""
     n = len(docs)
-    words = np.zeros((n, 7 * 8), np.uint8)
-    words[:, :LENGTH] = context[:, LEFT:]
-    words = words.view(">u8").astype(np.uint64)
-    order = multikey_quicksort(words)
-    words, docs, reach, context = words[order], docs[order], reach[order], context[order]
-    same = np.zeros(n, bool)
-    same[1:] = (words[1:, : TOKEN // 8] == words[:-1, : TOKEN // 8]).all(1)
-    near = same.copy()
-    near[:-1] |= same[1:]
-    gone = np.zeros((n, WIDTH), bool)
-    at = np.flatnonzero(near)
-    for lo in range(0, len(at), 1 << 17):  # runs of equal anchors are kept together
-        while lo and lo < len(at) and same[at[lo]]:
-            lo += 1
-        hi = min(lo + (1 << 17), len(at))
-        while hi < len(at) and same[at[hi]]:
-            hi += 1
-        i = at[lo:hi]
-        h = window_hashes(context[i])
-        for o in range(WIDTH):
-            own = np.flatnonzero((reach[i, 0] <= o) & (o <= reach[i, 1]))
-            by = own[np.lexsort((docs[i[own]], h[own, o]))]
-            v, d = h[by, o], docs[i[by]]
-            head = np.r_[True, v[1:] != v[:-1]] if len(v) else np.zeros(0, bool)
-            least = d[np.flatnonzero(head)][np.cumsum(head) - 1] if len(v) else d
-            gone[i[by], o] = least < d
-    back = np.empty(n, np.int64)
-    back[order] = np.arange(n)
-    base = 0
-    for block, ids, _, _, places in parts:
-        g = gone[back[base : base + len(ids)]]
-        base += len(ids)
-        edge = np.diff(np.pad(g, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        r, a = np.nonzero(edge == 1)
-        z = np.nonzero(edge == -1)[1]
-        if not len(r):
-            continue
-        # every place of a suffix takes all the runs of it
-        begin, end = np.searchsorted(r, places[:, 0]), np.searchsorted(r, places[:, 0], "right")
-        k = end - begin
-        which = np.repeat(begin - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        p = np.repeat(places[:, 1], k)
-        pair = np.stack([p - (z[which] - 1), p - a[which] + LENGTH], 1)
-        yield _runs([block], [np.repeat(ids[places[:, 0]], k).astype("<i8").tobytes()], [pair.astype("<i8").tobytes()])
+    gone, open_ = np.zeros((n, WIDTH), bool), np.zeros((n, WIDTH), bool)
+    key = in_order(context)
+    order = multikey_quicksort(_as_words(key))
+    key = key[order]
+    right = np.zeros(n + 1, np.int64)
+    right[1:-1] = common(key[1:, :LENGTH], key[:-1, :LENGTH])
+    over = np.zeros(n, np.int64)
+    for limit in (below, above):
+        if limit is not None:
+            over = np.maximum(over, common(key[:, :LENGTH], np.broadcast_to(limit[:LENGTH], (n, LENGTH))))
+    near = np.flatnonzero((np.maximum(right[:-1], right[1:]) >= TOKEN) | (over >= TOKEN))
+    if not len(near):
+        return gone, open_
+    rows, right, over = order[near], right[near], over[near]
+    before = key[near, LENGTH:]
+    by_left = multikey_quicksort(_as_words(before))
+    left = np.zeros(len(near), np.int64)
+    left[1:] = common(before[by_left[1:]], before[by_left[:-1]])
+    by_doc = np.argsort(docs[rows], kind="stable")
+    d, low, high = docs[rows], reach[rows, 0], reach[rows, 1]
+    run = np.empty(len(near), np.int64)
+    for o in range(WIDTH):
+        run[by_left] = np.cumsum(left < o)
+        window = np.cumsum(right < LENGTH - o) * (len(near) + 1) + run
+        own = by_doc[((low <= o) & (o <= high))[by_doc]]
+        _, first, inverse = np.unique(window[own], return_index=True, return_inverse=True)
+        later = d[own[first]][inverse] < d[own]
+        gone[rows[own], o] = later
+        open_[rows[own], o] = ~later & (over[own] >= LENGTH - o)
+    return gone, open_
+
+
+def _compared(splitters: np.ndarray):
+    limits = splitters.view(np.uint8).reshape(-1, CONTEXT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Removed runs of a bucket (block, docs, and (start, stop) pairs), then its windows that other buckets may remove."""
+        parts, number = [], 0
+        for batch in batches:
+            for bucket, block, docs, reach, context, places in zip(*(batch.column(name).to_pylist() for name, _ in _SUFFIXES)):
+                if bucket < 0:
+                    yield _runs([block], [docs], [places])
+                else:
+                    number = bucket
+                    parts.append((block, np.frombuffer(docs, "<i8"), np.frombuffer(reach, np.uint8).reshape(-1, 2), np.frombuffer(context, np.uint8).reshape(-1, CONTEXT), np.frombuffer(places, "<i8").reshape(-1, 2)))
+        if not parts:
+            return
+        docs, reach, context = (np.concatenate([x[k] for x in parts]) for k in (1, 2, 3))
+        all_gone, all_open = compared(context, docs, reach, limits[number - 1] if number else None, limits[number] if number < len(limits) else None)
+        base = 0
+        for block, ids, _, _, places in parts:
+            g, still = all_gone[base : base + len(ids)], all_open[base : base + len(ids)]
+            edge = np.diff(np.pad(g, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+            r, a = np.nonzero(edge == 1)
+            z = np.nonzero(edge == -1)[1]
+            if len(r):
+                which, p, doc = _of_places(r, places, ids)
+                pair = np.stack([p - (z[which] - 1), p - a[which] + LENGTH], 1)
+                yield _runs([block], [doc.astype("<i8").tobytes()], [pair.astype("<i8").tobytes()])
+            r, o = np.nonzero(still)
+            for lo in range(0, len(r), 20000):
+                which, p, doc = _of_places(r[lo : lo + 20000], places, ids)
+                offset = o[lo : lo + 20000]
+                windows = np.lib.stride_tricks.sliding_window_view(context[base : base + len(ids)], LENGTH, axis=1)[r[lo : lo + 20000], LEFT - offset][which]
+                yield _windows(block, windows, doc, p - offset[which])
+            base += len(ids)
+
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return run
+
+
+def _of_places(r: np.ndarray, places: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every place of a suffix takes all that was found for it (rows r, ascending): index into r, position, and document."""
+    begin, end = np.searchsorted(r, places[:, 0]), np.searchsorted(r, places[:, 0], "right")
+    k = end - begin
+    which = np.repeat(begin - (np.cumsum(k) - k), k) + np.arange(k.sum())
+    return which, np.repeat(places[:, 1], k), np.repeat(ids[places[:, 0]], k)
+
+
+_FOUND = [("block", pa.int32()), ("docs", pa.binary()), ("runs", pa.binary()), ("window", pa.binary()), ("doc", pa.int64()), ("start", pa.int64())]
+_FOUND_SCHEMA = "block int, docs binary, runs binary, window binary, doc long, start long"
 
 
-_compared.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+def _runs(block: list, docs: list, pairs: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(docs, pa.binary()), pa.array(pairs, pa.binary()), *(pa.nulls(len(block), t) for _, t in _FOUND[3:])], names=[n for n, _ in _FOUND])
 
 
-def _runs(block: list, docs: list, pairs: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(docs, pa.binary()), pa.array(pairs, pa.binary())], names=["block", "docs", "runs"])
+def _windows(block: int, windows: np.ndarray, doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    n = len(doc)
+    text = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * LENGTH).tobytes()), pa.py_buffer(windows.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), text, pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int64))], names=[n for n, _ in _FOUND])
 
 
 def _finished(with_text: bool, id_type: pa.DataType):
     def merged(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Block(left, _copies(right))
-        order = np.argsort(b.ids, kind="stable")
-        ids = b.ids[order]
-        docs = [np.frombuffer(x, "<i8") for x in right.column("docs").to_pylist() if x is not None]
-        runs = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in right.column("runs").to_pylist() if x is not None]
-        docs, runs = (np.concatenate(x) if x else np.zeros((0, 2), np.int64) for x in (docs, runs))
-        docs = docs.reshape(-1)[: len(runs)]
+        b = Block(left)
+        one = right.filter(pa.compute.is_valid(right.column("doc")))
+        doc, start = one.column("doc").to_numpy(), one.column("start").to_numpy()
+        docs = np.concatenate([doc, *(np.frombuffer(x, "<i8") for x in right.column("docs").to_pylist() if x is not None)])
+        runs = np.concatenate([np.stack([start, start + LENGTH], 1), *(np.frombuffer(x, "<i8").reshape(-1, 2) for x in right.column("runs").to_pylist() if x is not None)])
         by = np.lexsort((runs[:, 0], docs))
         docs, runs = docs[by], runs[by]
         lo, hi = np.searchsorted(docs, b.ids), np.searchsorted(docs, b.ids, "right")
@@ -330,9 +381,7 @@ def _finished(with_text: bool, id_type: pa.DataType):
         for i in range(len(b.ids)):
             text = b.bytes[b.at[i] : b.at[i + 1]]
             spans = []
-            if b.copy[i] and len(text) >= LENGTH:
-                spans = [(0, len(text))]
-            elif hi[i] > lo[i]:
+            if hi[i] > lo[i]:
                 r = runs[lo[i] : hi[i]]
                 stop = np.maximum.accumulate(r[:, 1])
                 new = np.flatnonzero(np.r_[True, r[1:, 0] > stop[:-1]])
@@ -350,23 +399,33 @@ def _finished(with_text: bool, id_type: pa.DataType):
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A few leading tokens of each sampled text."""
+    """A few keys of each sampled text."""
     for batch in batches:
         out = []
         for text in batch.column(0).to_pylist():
             data = np.frombuffer((text or "").encode(), np.uint8)
             if len(data) >= LENGTH:
                 p = anchors(data, np.array([len(data)]))[0]
-                out += [data[i : i + TOKEN].tobytes() for i in p[np.unique(np.linspace(0, len(p) - 1, 24).astype(int))]]
+                out += [k.tobytes() for k in in_order(contexts(data, p[np.unique(np.linspace(0, len(p) - 1, SPLIT_TOKENS).astype(int))]))]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["token"])
 
 
-def splitters(texts: DataFrame, rows: int, buckets: int, sampled: int = 2000) -> np.ndarray:
-    """Bucket limits: quantiles of leading tokens of about ``sampled`` texts, however many there are."""
-    share = min(1.0, sampled / max(rows, 1))
-    tokens = sorted(bytes(r[0]) for r in texts.select("text").sample(share, seed=1).mapInArrow(_sampled, "token binary").collect())
-    cuts = [tokens[len(tokens) * k // buckets] for k in range(1, buckets)] if tokens else []
-    return np.unique(np.array(cuts, f"S{TOKEN}"))
+def splitters(texts: DataFrame, rows: int, buckets: int) -> np.ndarray:
+    """Bucket limits: quantiles of the keys of sampled texts, ``OVERSAMPLED`` keys a bucket and ``SPLIT_TEXTS`` texts at least. Only the
+    limits come to the driver."""
+    share = min(1.0, max(SPLIT_TEXTS, OVERSAMPLED * buckets / SPLIT_TOKENS) / max(rows, 1))
+    tokens = durable(texts.select("text").sample(share, seed=1).mapInArrow(_sampled, "token binary"))
+    step = max(1, tokens.count() // buckets)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for b in batches:
+            i = np.arange((-at - 1) % step, b.num_rows, step)
+            at += b.num_rows
+            yield b.take(pa.array(i))
+
+    cuts = [bytes(r[0]) for r in tokens.orderBy("token").mapInArrow(every, "token binary").collect()] if buckets > 1 else []
+    return np.unique(np.array(cuts, f"S{CONTEXT}"))
 
 
 def deduplicated(docs: DataFrame, text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -384,22 +443,22 @@ def deduplicated(docs: DataFrame, text_col: str = "text", with_text: bool = Fals
     shards = listed_bytes / min(SHARD_MOST, max(SHARD, listed_bytes // SHARDS))
     bits = max(3, int(np.ceil(np.log2(max(1, shards)))))
     with_id = source.where("doc_id is not null")
-    limits = splitters(with_id, size["n"], max(1, -(-total * 3 // (2 * BUCKET))))
+    cut_bytes = total * 3 // 2
+    limits = splitters(with_id, size["n"], max(1, -(-cut_bytes // min(BUCKET_MOST, max(BUCKET, cut_bytes >> 16)))))
     block = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int")
     dealt = with_id.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block"))
-    hashed = with_id.where(F.octet_length("text") >= LENGTH).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("h"))
-    firsts = hashed.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
-    copies = durable(hashed.join(firsts, "h").where("doc_id > lo").select(block.alias("block"), F.col("doc_id").alias("copy")).distinct())
-    none = lambda t: F.lit(None).cast(t)
     groups = dealt.groupBy("block")
-    listed = groups.cogroup(copies.groupBy("block")).applyInArrow(_shared_hashes(bits), "shard int, block int, hashes binary, many binary")
+    listed = groups.applyInArrow(_shared_hashes(bits), "shard int, block int, hashes binary, many binary")
     matched = listed.groupBy("shard").applyInArrow(_matched, "block int, shard int, hashes binary")
-    side = matched.select("block", none("long").alias("copy"), "shard", "hashes").unionByName(copies.select("block", "copy", none("int").alias("shard"), none("binary").alias("hashes")))
-    suffixes = groups.cogroup(side.groupBy("block")).applyInArrow(_cut(bits, limits), _SUFFIX_SCHEMA)
+    suffixes = groups.cogroup(matched.groupBy("block")).applyInArrow(_cut(bits, limits), _SUFFIX_SCHEMA)
     # what a block removes by itself has no bucket to go to: it is spread by block
     keyed = suffixes.withColumn("to", F.when(F.col("bucket") < 0, -1 - F.col("block")).otherwise(F.col("bucket")))
-    runs = keyed.groupBy("to").applyInArrow(_without_key, "block int, docs binary, runs binary")
-    side = runs.select("block", none("long").alias("copy"), "docs", "runs").unionByName(copies.select("block", "copy", none("binary").alias("docs"), none("binary").alias("runs")))
+    found = durable(keyed.groupBy("to").applyInArrow(_compared(limits), _FOUND_SCHEMA))
+    windows = found.where("window is not null")
+    first = windows.groupBy("window").agg(F.min("doc").alias("_first"))
+    none = lambda t: F.lit(None).cast(t)
+    later = windows.join(first, "window").where("doc > _first").select("block", none("binary").alias("docs"), none("binary").alias("runs"), "doc", "start")
+    side = found.where("window is null").select("block", "docs", "runs", "doc", "start").unionByName(later)
     done = groups.cogroup(side.groupBy("block")).applyInArrow(_finished(with_text, id_type), OUT.format(id=kind))
     text = F.coalesce(F.col("text"), F.lit(""))
     spans_type = "array<struct<start:long,stop:long>>"
@@ -408,12 +467,5 @@ def deduplicated(docs: DataFrame, text_col: str = "text", with_text: bool = Fals
     return done if with_text else done.drop("spans", "kept")
 
 
-def _without_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _compared(b.select([n for n, _ in _SUFFIXES]) for b in batches)
-
-
-_without_key.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-
-
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -258,6 +258,54 @@ def test_passages_are_brute_force(spark, monkeypatch, seed):
     assert got == brute_passages(rows)
 
 
+@pytest.mark.parametrize("kind", ["phrase", "line"])
+def test_passages_with_one_prefix_everywhere(spark, monkeypatch, kind):
+    """A phrase (24 to 49 bytes) or a line (50 to 75 bytes) in changing surroundings in all documents: one run of many buckets."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 2000)
+    monkeypatch.setattr(suffix_dedup, "SPLIT_TOKENS", 200)
+    r = random.Random(kind)
+    common = "the same words in every text" + (", and then a good many more of them" if kind == "line" else "")
+    sides = ["".join(r.choice("abcd") for _ in range(40)) for _ in range(7)]
+    rows = [(i, "".join(r.choice(sides)[-r.randint(1, 40) :] + common + r.choice(sides)[: r.randint(1, 40)] for _ in range(3))) for i in r.sample(range(1000), 80)]
+    opened = []
+    real = suffix_dedup.durable
+    monkeypatch.setattr(suffix_dedup, "durable", lambda df: opened.append(real(df)) or opened[-1])
+    got = sorted(tuple(x) for x in suffix_dedup.deduplicated(frame(spark, rows)).collect())
+    assert got == brute_passages(rows)
+    found = opened[-1].where("window is not null")
+    assert found.groupBy("window").agg({"doc": "min"}).count() < found.count()  # some windows did go on in other buckets
+
+
+def test_passages_by_sorted_order():
+    """Windows of contexts under random reaches, cut into two buckets, against a dictionary of their bytes."""
+    S, rng = suffix_dedup, np.random.default_rng(3)
+    context = rng.integers(97, 99, (400, S.CONTEXT)).astype(np.uint8)
+    context[:, S.LEFT : S.LEFT + S.TOKEN] = 97
+    context[::3, 10:70] = context[0, 10:70]
+    docs, reach = rng.integers(0, 90, 400), np.sort(rng.integers(0, S.WIDTH, (400, 2)), axis=1)
+    step = np.arange(S.CONTEXT) - S.LEFT
+    context[(step < -reach[:, 1:]) | (step >= S.LENGTH - reach[:, :1])] = 0
+    first, windows = {}, [(i, o, context[i, S.LEFT - o : S.LEFT - o + S.LENGTH].tobytes()) for i in range(400) for o in range(reach[i, 0], reach[i, 1] + 1)]
+    for i, o, w in windows:
+        first[w, o] = min(first.get((w, o), 1000), docs[i])
+    want = {(i, o) for i, o, w in windows if first[w, o] < docs[i]}
+    gone, still = S.compared(context, docs, reach, None, None)
+    assert set(zip(*map(np.ndarray.tolist, np.nonzero(gone)))) == want and not still.any()
+    key = S.in_order(context)
+    limit = np.array(sorted(k.tobytes() for k in key)[200:201], f"S{S.CONTEXT}")
+    at = np.searchsorted(limit, S._as_strings(key), "right")
+    found, open_ = set(), {}
+    for k in (0, 1):
+        i = np.flatnonzero(at == k)
+        gone, still = S.compared(context[i], docs[i], reach[i], limit.view(np.uint8) if k else None, None if k else limit.view(np.uint8))
+        found |= {(int(i[a]), int(b)) for a, b in zip(*np.nonzero(gone))}
+        for a, o in zip(*np.nonzero(still)):
+            open_.setdefault((context[i[a], S.LEFT - o : S.LEFT - o + S.LENGTH].tobytes(), o), []).append((docs[i[a]], int(i[a]), int(o)))
+    later = {(i, o) for group in open_.values() for d, i, o in group if d > min(group)[0]}
+    assert found | later == want and later
+
+
 def test_passages_edge_cases(spark):
     text = "0123456789" * 8
     rows = [(3, text), (3, text), (None, text), (9, "é" + text + "ü")]
