@@ -293,7 +293,7 @@ def test_passages_by_sorted_order():
     gone, still = S.compared(context, docs, reach, None, None)
     assert set(zip(*map(np.ndarray.tolist, np.nonzero(gone)))) == want and not still.any()
     key = S.in_order(context)
-    limit = np.array(sorted(k.tobytes() for k in key)[200:201], f"S{S.CONTEXT}")
+    limit = np.array(sorted(k.tobytes() for k in key[::3])[60:61], f"S{S.CONTEXT}")
     at = np.searchsorted(limit, S._as_strings(key), "right")
     found, open_ = set(), {}
     for k in (0, 1):
