@@ -5,21 +5,19 @@ numpy, upsamples chroma and gives full-resolution RGB tensors. All images of a c
 interval of every scan is a lane, and the lanes advance one Huffman symbol (AC), one block (refinement, DC) at a time in numpy.
 Scans of one kind that follow each other and touch different coefficients run side by side.
 
-Storing: a payload of whole 192-byte units becomes an image of 8 x 8 RGB blocks without chroma subsampling. Each unit's bytes,
-less 128, are the quantised coefficients of one block of Y, Cb and Cr in zigzag order (the format keeps coefficients without
-loss), written as one DC scan, two AC bands a component with the lowest bit held back, and refinement scans for that bit.
-A comment segment holds the number of units.
+Storing: a payload of whole 192-byte units becomes an image with chroma subsampled by two in both directions. Two units are one MCU of
+16 x 16 pixels: their bytes, less 128, are the quantised coefficients in zigzag order of four blocks of Y and one of Cb and Cr (the
+format keeps coefficients without loss), written as one DC scan, two AC bands a component with the lowest bit held back, and
+refinement scans for that bit. A comment segment holds the number of units; a missing second unit is zeros.
 
 Edge cases: null and empty texts are one unit of blanks; empty payloads are not images and raise ValueError; a
 null medium gives null tensors; streams that are not progressive JPEG raise ValueError; copies give equal bytes; images are as
-high as 8,191 blocks, then more columns are used, so texts may be as long as Spark's strings.
+high as 4,095 MCUs, then more columns are used, so texts may be as long as Spark's strings.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import batch_udf, raw, tune, without
 
-UNIT, ROWS_MOST, INTERVAL = 192, 8191, 4
+UNIT, ROWS_MOST, INTERVAL = 192, 4095, 4
+#: Sampling of the stored images: (horizontal, vertical) of Y, Cb and Cr.
+SAMPLING = ((2, 2), (1, 1), (1, 1))
 CHUNK = 1 << 20
 
 _ORDER = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
@@ -162,39 +162,58 @@ def _ac_refine(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     length = np.tile(np.array([bits[0], 21, 21, 21]), (len(v), 1))
     if plain.all():
         return value.ravel(), length.ravel(), np.repeat(np.arange(len(v)), 4)
-    odd = {}
-    for i in np.flatnonzero(~plain):
-        tokens, run, waiting = [], 0, []
-        fresh = np.flatnonzero(band[i] == 1)
-        end = fresh[-1] if len(fresh) else -1
-        for k, x in enumerate(band[i].tolist()):
-            if x == 0:
-                run += 1
-                continue
-            while run > 15 and k <= end:
-                tokens += [(int(code[0xF0]), int(bits[0xF0])), *waiting]
-                run, waiting = run - 16, []
-            if x > 1:
-                waiting.append((x & 1, 1))
-                continue
-            symbol = run << 4 | 1
-            tokens += [(int(code[symbol]), int(bits[symbol])), (int(v[i, k + 1] > 0), 1), *waiting]
-            run, waiting = 0, []
-        if run or waiting:
-            tokens += [(int(code[0]), int(bits[0])), *waiting]
-        odd[i] = tokens
+    odd = np.flatnonzero(~plain)
+    code_value, code_length, code_row = _refine_tokens(v[odd, 1:], code, bits)
     count = np.where(plain, 4, 0)
-    for i, tokens in odd.items():
-        count[i] = len(tokens)
+    count[odd] = np.bincount(code_row, minlength=len(odd))
     base = np.cumsum(count) - count
     out_value, out_length = np.zeros(int(count.sum()), np.uint64), np.zeros(int(count.sum()), np.int64)
     at = (base[plain][:, None] + np.arange(4)).ravel()
     out_value[at], out_length[at] = value[plain].ravel(), length[plain].ravel()
-    for i, tokens in odd.items():
-        out_value[base[i] : base[i] + len(tokens)], out_length[base[i] : base[i] + len(tokens)] = zip(*tokens)
+    at = base[odd][code_row] + np.arange(len(code_row)) - (np.cumsum(count[odd]) - count[odd])[code_row]
+    out_value[at], out_length[at] = code_value, code_length
     return out_value, out_length, np.repeat(np.arange(len(v)), count)
 
 
+def _refine_tokens(band: np.ndarray, code: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Value, length and row of the bit strings of blocks with zeros or fresh coefficients (those whose first bit this scan adds).
+
+    A fresh coefficient is a code with the zeros before it, a sign, and the correction bits of older coefficients passed since the last
+    code. Sixteen zeros too many are a code of their own before the next coefficient, and the end of the block is one."""
+    n = np.abs(band)
+    row, col = np.nonzero(n)
+    index, begin = np.arange(len(row)), np.searchsorted(row, row)
+    fresh, opens = n[row, col] == 1, begin == index
+    zeros = col - (index - begin)  # zeros of the block before each coefficient
+    last = np.r_[-1, np.maximum.accumulate(np.where(fresh, index, -1))][:-1]
+    run = zeros - np.where(last >= begin, zeros[last], 0)  # those since the last fresh one
+    before = np.where(opens | np.r_[False, fresh][:-1], 0, np.r_[0, run][:-1])
+    end = np.full(len(n), -1)
+    end[row[fresh]] = col[fresh]
+    long_runs = np.where(col <= end[row], run // 16 - before // 16, 0)
+    ended = n[:, -1] != 1
+    # codes in order: those of each coefficient, then that of the block's end
+    per = long_runs + fresh
+    per_row = np.bincount(row, per, len(n)).astype(np.int64) + ended
+    first_code = np.cumsum(per_row) - per_row
+    done = np.cumsum(per) - per
+    at = first_code[row] + done - done[begin]
+    total = int(per_row.sum())
+    symbol = np.full(total, 0xF0)
+    own = at[fresh] + long_runs[fresh]
+    symbol[own] = (run[fresh] & 15) << 4 | 1
+    symbol[(first_code + per_row - 1)[ended]] = 0
+    code_row = np.repeat(np.arange(len(n)), per_row)
+    old = ~fresh
+    # an older coefficient's bit follows the next code after it
+    after = (at + long_runs)[old]
+    value = np.concatenate([code[symbol].astype(np.uint64), (band[row, col][fresh] > 0).astype(np.uint64), (n[row, col][old] & 1).astype(np.uint64)])
+    length = np.concatenate([bits[symbol], np.ones(len(row), np.int64)])
+    of = np.concatenate([code_row, row[fresh], row[old]])
+    order = np.argsort(np.concatenate([np.arange(total) * 3, own * 3 + 1, after * 3 + 2]), kind="stable")
+    return value[order], length[order], of[order]
+
+
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 255, marker, len(body) + 2) + body
 
@@ -206,10 +225,30 @@ def _scan_header(components: list[int], dc: int, ac: int, lo: int, hi: int, high
 _FIXED = b"".join([_segment(0xDB, bytes([0]) + bytes([1] * 64)), _segment(0xC4, b"".join(bytes([kind]) + t[0] for kind, t in ((0x00, DC_TABLE), (0x10, AC_TABLE), (0x11, REFINE_TABLE)))), _segment(0xDD, struct.pack(">H", INTERVAL))])
 
 
-def shape(units: int) -> tuple[int, int]:
-    """Block rows and columns of the picture of a payload."""
-    columns = -(-units // ROWS_MOST)
-    return -(-units // columns), columns
+def shape(mcus: int) -> tuple[int, int]:
+    """MCU rows and columns of the picture of a payload."""
+    columns = -(-mcus // ROWS_MOST)
+    return -(-mcus // columns), columns
+
+
+@lru_cache(maxsize=64)
+def _raster(rows: int, columns: int) -> np.ndarray:
+    """Place among the Y blocks, row by row, of the four Y blocks of each MCU."""
+    r, c = np.divmod(np.arange(rows * columns), columns)
+    return np.stack([(2 * r + i) * 2 * columns + 2 * c + j for i in (0, 1) for j in (0, 1)], 1)
+
+
+class _Lanes:
+    """Restart intervals of a scan: ``counts`` are its MCUs in each picture."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        base = np.cumsum(counts) - counts
+        within = np.arange(int(counts.sum())) - np.repeat(base, counts)
+        self.opens = within % INTERVAL == 0
+        self.lane = np.cumsum(self.opens) - 1
+        self.count = int(self.lane[-1]) + 1
+        self.first = within[self.opens] == 0
+        self.of_picture = np.append(self.lane[base], self.count)
 
 
 def write(payloads: list[bytes]) -> list[bytes]:
@@ -219,47 +258,50 @@ def write(payloads: list[bytes]) -> list[bytes]:
         return []
     if (units == 0).any() or any(len(p) % UNIT for p in payloads):
         raise ValueError("a payload is a positive number of 192-byte units")
-    blocks = np.array([np.prod(shape(int(u))) for u in units])
-    base = np.cumsum(blocks) - blocks
-    total = int(blocks.sum())
-    coefficients = np.zeros((total, 3, 64), np.int64)
-    where = np.arange(int(units.sum())) + np.repeat(base - (np.cumsum(units) - units), units)
-    coefficients[where] = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 3, 64).astype(np.int64) - 128
-    picture = np.repeat(np.arange(len(units)), blocks)
-    within = np.arange(total) - base[picture]
-    opens = within % INTERVAL == 0
-    lane = np.cumsum(opens) - 1
-    lanes = int(lane[-1]) + 1
-    first = within[opens] == 0
-    lane_of = np.append(lane[base], lanes)
-
+    shapes = [shape(-(-int(u) // 2)) for u in units]
+    mcus = np.array([r * c for r, c in shapes])
+    base = np.cumsum(mcus) - mcus
+    total = int(mcus.sum())
+    coefficients = np.zeros((2 * total, UNIT), np.int32)
+    where = np.arange(int(units.sum())) + np.repeat(2 * base - (np.cumsum(units) - units), units)
+    coefficients[where] = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, UNIT).astype(np.int32) - 128
+    coefficients = coefficients.reshape(total, 6, 64)
+    luma = coefficients[:, :4].reshape(-1, 64)
+    for (rows, columns), at in zip(shapes, base):
+        if columns > 1:
+            own = luma[4 * at : 4 * at + 4 * rows * columns].copy()
+            luma[4 * at + _raster(rows, columns).ravel()] = own
+    together, bright, plain = _Lanes(mcus), _Lanes(4 * mcus), _Lanes(mcus)
     scans: list[tuple[bytes, np.ndarray, np.ndarray]] = []
 
-    def add(header: bytes, value: np.ndarray, length: np.ndarray, of: np.ndarray) -> None:
-        data, begin = _packed(value, length, of, lanes, first)
-        scans.append((header, data, np.append(begin, len(data))[lane_of]))
+    def add(header: bytes, value: np.ndarray, length: np.ndarray, lanes: _Lanes, mcu: np.ndarray) -> None:
+        data, begin = _packed(value, length, lanes.lane[mcu], lanes.count, lanes.first)
+        scans.append((header, data, np.append(begin, len(data))[lanes.of_picture]))
 
     dc = coefficients[:, :, 0] >> 1
-    before = np.zeros_like(dc)
-    before[1:] = dc[:-1]
-    before[opens] = 0
-    x = (dc - before).ravel()
+    x = dc.copy()
+    x[:, 1:4] -= dc[:, :3]
+    for own, last in ((0, 3), (4, 4), (5, 5)):
+        before = np.r_[0, dc[:-1, last]]
+        before[together.opens] = 0
+        x[:, own] -= before
+    x, each = x.ravel(), np.repeat(np.arange(total), 6)
     size = _sizes(x)
-    add(_scan_header([1, 2, 3], 0, 0, 0, 0, 0, 1), DC_TABLE[1][size].astype(np.uint64) << size.astype(np.uint64) | (np.where(x < 0, x - 1, x) & ((1 << size) - 1)).astype(np.uint64), DC_TABLE[2][size] + size, np.repeat(lane, 3))
-    for c in range(3):
-        v = coefficients[:, c]
+    add(_scan_header([1, 2, 3], 0, 0, 0, 0, 0, 1), DC_TABLE[1][size].astype(np.uint64) << size.astype(np.uint64) | (np.where(x < 0, x - 1, x) & ((1 << size) - 1)).astype(np.uint64), DC_TABLE[2][size] + size, together, each)
+    parts = [(luma, bright), (coefficients[:, 4], plain), (coefficients[:, 5], plain)]
+    for c, (v, lanes) in enumerate(parts):
         half = np.sign(v) * (np.abs(v) >> 1)
         for lo, hi in ((1, 8), (9, 63)):
             value, length, row = _ac_first(half, lo, hi)
-            add(_scan_header([c + 1], 0, 0, lo, hi, 0, 1), value, length, lane[row])
-    add(_scan_header([1, 2, 3], 0, 0, 0, 0, 1, 0), (coefficients[:, :, 0] & 1).ravel().astype(np.uint64), np.ones(total * 3, np.int64), np.repeat(lane, 3))
-    for c in range(3):
-        value, length, row = _ac_refine(coefficients[:, c])
-        add(_scan_header([c + 1], 0, 1, 1, 63, 1, 0), value, length, lane[row])
+            add(_scan_header([c + 1], 0, 0, lo, hi, 0, 1), value, length, lanes, row)
+    add(_scan_header([1, 2, 3], 0, 0, 0, 0, 1, 0), (coefficients[:, :, 0] & 1).ravel().astype(np.uint64), np.ones(total * 6, np.int64), together, each)
+    for c, (v, lanes) in enumerate(parts):
+        value, length, row = _ac_refine(v)
+        add(_scan_header([c + 1], 0, 1, 1, 63, 1, 0), value, length, lanes, row)
     out = []
     for i, u in enumerate(units):
-        rows, columns = shape(int(u))
-        frame = _segment(0xC2, struct.pack(">BHHB", 8, rows * 8, columns * 8, 3) + bytes([1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0]))
+        rows, columns = shapes[i]
+        frame = _segment(0xC2, struct.pack(">BHHB", 8, rows * 16, columns * 16, 3) + bytes(x for k, (h, v) in enumerate(SAMPLING) for x in (k + 1, h << 4 | v, 0)))
         parts = [b"\xff\xd8", _segment(0xFE, struct.pack(">Q", int(u))), _FIXED, frame]
         for header, data, at in scans:
             parts += [header, data[at[i] : at[i + 1]].tobytes()]
@@ -603,38 +645,83 @@ def _rgb(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
     return np.clip(np.stack([r, g, b], -1), 0, 255).astype(np.uint8)
 
 
-def tensors(streams: list[bytes]) -> list[np.ndarray]:
-    """Full-resolution RGB arrays (height, width, 3) of progressive JPEG streams; one component gives equal channels."""
-    pictures, coefficients = read(streams)
-    out = []
+def _natural(pictures: list[_Picture], coefficients: np.ndarray) -> np.ndarray:
+    """Dequantised coefficients in natural order."""
+    out = np.empty_like(coefficients)
+    out[:, ZIGZAG] = coefficients
     for p in pictures:
+        if any((p.quant[c["q"]] != 1).any() for c in p.components):
+            out[p.base : p.base + p.blocks] *= np.repeat(np.stack([p.quant[c["q"]] for c in p.components]), [c["rows"] * c["columns"] for c in p.components], 0).astype(out.dtype)
+    return out
+
+
+def _mcu_blocks(pictures: list[_Picture]) -> np.ndarray:
+    """The six blocks (four Y, Cb, Cr) of each MCU of pictures of the stored form, picture after picture."""
+    n = np.array([p.mcus[0] * p.mcus[1] for p in pictures])
+    first = np.cumsum(n) - n
+    i = np.arange(int(n.sum())) - np.repeat(first, n)
+    base, n_of = np.repeat([p.base for p in pictures], n), np.repeat(n, n)
+    out = np.empty((len(i), 6), np.int64)
+    out[:, :4] = (base + 4 * i)[:, None] + np.arange(4)
+    out[:, 4], out[:, 5] = base + 4 * n_of + i, base + 5 * n_of + i
+    for p, at in zip(pictures, first):
+        if p.mcus[1] > 1:
+            out[at : at + p.mcus[0] * p.mcus[1], :4] = p.base + _raster(*p.mcus)
+    return out
+
+
+def _is_stored_form(p: _Picture) -> bool:
+    return tuple((c["h"], c["v"]) for c in p.components) == SAMPLING and p.height == 16 * p.mcus[0] and p.width == 16 * p.mcus[1]
+
+
+def images(pictures: list[_Picture], coefficients: np.ndarray) -> list[np.ndarray]:
+    """Full-resolution RGB arrays (height, width, 3) of pictures; one component gives equal channels. Pictures of the stored form are
+    transformed, upsampled and coloured together."""
+    s = samples(_natural(pictures, coefficients))
+    alike = [p for p in pictures if _is_stored_form(p)]
+    if alike:
+        blocks = _mcu_blocks(alike)
+        y = s[blocks[:, :4]].reshape(-1, 2, 2, 8, 8).transpose(0, 1, 3, 2, 4).reshape(-1, 16, 16)
+        cb, cr = (np.repeat(np.repeat(s[blocks[:, k]], 2, 1), 2, 2) for k in (4, 5))
+        together = _rgb(y, cb, cr)
+    out, at = [], 0
+    for p in pictures:
+        if _is_stored_form(p):
+            rows, columns = p.mcus
+            x = together[at : at + rows * columns]
+            at += rows * columns
+            out.append(x.reshape(rows, columns, 16, 16, 3).transpose(0, 2, 1, 3, 4).reshape(p.height, p.width, 3))
+            continue
         planes = []
         for c in p.components:
-            n = c["rows"] * c["columns"]
-            natural = np.zeros((n, 64), np.int64)
-            natural[:, ZIGZAG] = coefficients[p.base + c["base"] : p.base + c["base"] + n]
-            s = samples(natural * p.quant[c["q"]]).reshape(c["rows"], c["columns"], 8, 8).transpose(0, 2, 1, 3).reshape(c["rows"] * 8, c["columns"] * 8)
-            planes.append(np.repeat(np.repeat(s, p.vmax // c["v"], 0), p.hmax // c["h"], 1)[: p.height, : p.width])
+            own = s[p.base + c["base"] : p.base + c["base"] + c["rows"] * c["columns"]]
+            plane = own.reshape(c["rows"], c["columns"], 8, 8).transpose(0, 2, 1, 3).reshape(c["rows"] * 8, c["columns"] * 8)
+            planes.append(np.repeat(np.repeat(plane, p.vmax // c["v"], 0), p.hmax // c["h"], 1)[: p.height, : p.width])
         out.append(_rgb(*planes) if len(planes) == 3 else np.repeat(planes[0].astype(np.uint8)[:, :, None], 3, 2))
     return out
 
 
-def _units(pictures: list[_Picture], coefficients: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """Units stored in each picture, and the bytes of all blocks (blocks x 3 x 64), picture after picture."""
-    if any(len(p.components) != 3 or len(p.comment) != 8 for p in pictures):
+def tensors(streams: list[bytes]) -> list[np.ndarray]:
+    """Full-resolution RGB arrays of progressive JPEG streams."""
+    return images(*read(streams))
+
+
+def contents(pictures: list[_Picture], coefficients: np.ndarray) -> list[bytes]:
+    """What write() stored in the pictures."""
+    if any(not _is_stored_form(p) or len(p.comment) != 8 for p in pictures):
         raise ValueError("the stream holds no payload")
-    n = np.array([p.blocks // 3 for p in pictures])
-    y = np.arange(int(n.sum())) + np.repeat([p.base for p in pictures] - (np.cumsum(n) - n), n)
-    step, data = np.repeat(n, n), (coefficients + 128).astype(np.uint8)
-    return [struct.unpack(">Q", p.comment)[0] for p in pictures], np.stack([data[y + k * step] for k in range(3)], 1)
+    data = (coefficients + 128).astype(np.uint8)[_mcu_blocks(pictures)] if pictures else None
+    out, at = [], 0
+    for p in pictures:
+        n = p.mcus[0] * p.mcus[1]
+        out.append(data[at : at + n].tobytes()[: struct.unpack(">Q", p.comment)[0] * UNIT])
+        at += n
+    return out
 
 
 def payloads(streams: list[bytes]) -> list[bytes]:
     """What write() stored."""
-    pictures, coefficients = read(streams)
-    units, data = _units(pictures, coefficients)
-    at = np.cumsum([0] + [p.blocks // 3 for p in pictures])
-    return [data[a : a + u].tobytes() for a, u in zip(at, units)]
+    return contents(*read(streams))
 
 
 # ---- Columns --------------------------------------------------------------------------------------------------------------
@@ -676,56 +763,43 @@ def _streams(media: pa.Array) -> Iterator[list[bytes | None]]:
         yield values[lo:hi]
 
 
-def decoded(media: DataFrame, media_col: str = "media", out_col: str = "image") -> DataFrame:
-    """Adds the decoded image: struct of height, width and rgb (binary, height x width x 3 bytes); null for null media."""
+_IMAGE = "height int, width int, rgb binary"
+
+
+def decoded(media: DataFrame, media_col: str = "media", out_col: str = "image", with_payload: bool = False) -> DataFrame:
+    """Adds the decoded image: struct of height, width and rgb (binary, height x width x 3 bytes), with_payload also of payload (what
+    ``stored`` was given); null for null media."""
     tune(media.sparkSession)
+    kinds = [("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())] + ([("payload", pa.binary())] if with_payload else [])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            out = []
+            rows: list[tuple | None] = []
             for values in _streams(column):
-                found = iter(tensors([v for v in values if v is not None]) if any(v is not None for v in values) else [])
-                for v in values:
-                    x = next(found) if v is not None else None
-                    out.append(None if x is None else {"height": x.shape[0], "width": x.shape[1], "rgb": x.tobytes()})
-            yield pa.array(out, pa.struct([("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())]))
+                pictures, coefficients = read([v for v in values if v is not None])
+                found = [(p.height, p.width, x.tobytes()) for p, x in zip(pictures, images(pictures, coefficients))]
+                if with_payload:
+                    found = [(*f, x) for f, x in zip(found, contents(pictures, coefficients))]
+                each = iter(found)
+                rows += [None if v is None else next(each) for v in values]
+            columns = [pa.array([None if r is None else r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)]
+            yield pa.StructArray.from_arrays(columns, fields=[pa.field(*k) for k in kinds], mask=pa.array([r is None for r in rows], pa.bool_()))
 
-    return without(media, out_col).withColumn(out_col, batch_udf(run, "height int, width int, rgb binary")(F.col(media_col)))
+    return without(media, out_col).withColumn(out_col, batch_udf(run, _IMAGE + (", payload binary" if with_payload else ""))(F.col(media_col)))
 
 
-def described(media: DataFrame, media_col: str = "media", out_col: str = "found") -> DataFrame:
-    """Adds a digest of stored payloads: struct of payload_bytes, payload_sha256, tail_crc32, and feature (size of the picture and mean
-    red, green and blue of its decoded tensor)."""
-    tune(media.sparkSession)
+def colours(images_: DataFrame, image_col: str = "image", out_col: str = "colours") -> DataFrame:
+    """Adds the mean red, green and blue of each decoded image (array of doubles); null for null images."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            rows = []
-            for values in _streams(column):
-                pictures, coefficients = read(values)
-                units, data = _units(pictures, coefficients)
-                natural = np.zeros_like(coefficients)
-                natural[:, ZIGZAG] = coefficients
-                for p in pictures:
-                    if any((p.quant[c["q"]] != 1).any() for c in p.components):
-                        natural[p.base : p.base + p.blocks] *= np.repeat(np.stack([p.quant[c["q"]] for c in p.components]), [c["rows"] * c["columns"] for c in p.components], 0).astype(np.int32)
-                s = samples(natural)
-                n = np.array([p.blocks // 3 for p in pictures])
-                y = np.arange(int(n.sum())) + np.repeat([p.base for p in pictures] - (np.cumsum(n) - n), n)
-                step = np.repeat(n, n)
-                sums = _rgb(*(s[y + k * step].reshape(-1, 64) for k in range(3))).sum(1, dtype=np.int64)
-                means = np.add.reduceat(sums, np.cumsum(n) - n) / (64 * n)[:, None]
-                lo = 0
-                for p, u, mean in zip(pictures, units, means):
-                    payload = data[lo : lo + u].tobytes()
-                    lo += p.blocks // 3
-                    rows.append({"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "feature": f"{p.height}x{p.width} r={mean[0]:.3f} g={mean[1]:.3f} b={mean[2]:.3f}"})
-            yield pa.array(rows, pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())]))
-
-    return without(media, out_col).withColumn(out_col, batch_udf(run, "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")(F.col(media_col)))
+        for rgb in batches:
+            yield pa.array([None if v is None else np.frombuffer(v, np.uint8).reshape(-1, 3).mean(0).tolist() for v in rgb.to_pylist()], pa.list_(pa.float64()))
+
+    return without(images_, out_col).withColumn(out_col, batch_udf(run, "array<double>")(F.col(f"{image_col}.rgb")))
 
 
 def op9_progressive_jpeg(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = described(stored(docs))
-    return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "found.payload_bytes", "found.payload_sha256", "found.tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "found.feature")
+    found = colours(decoded(stored(docs), with_payload=True))
+    feature = F.format_string("%dx%d r=%.3f g=%.3f b=%.3f", "image.height", "image.width", F.col("colours")[0], F.col("colours")[1], F.col("colours")[2])
+    return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.octet_length("image.payload").cast("long").alias("payload_bytes"), F.sha2("image.payload", 256).alias("payload_sha256"), F.crc32(F.substring("image.payload", -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))

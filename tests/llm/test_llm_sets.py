@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -451,17 +452,80 @@ def test_jpeg_subsampled_chroma_and_pixels():
     assert got.shape == (37, 52, 3) and np.abs(got - rgb).max() <= 2
 
 
+def slow_refinement(v):
+    """The refinement scan's bit strings, coefficient by coefficient."""
+    _, code, bits = progressive_jpeg.REFINE_TABLE
+    out = []
+    for block in v[:, 1:].tolist():
+        tokens, run, waiting = [], 0, []
+        end = max((k for k, x in enumerate(block) if abs(x) == 1), default=-1)
+        for k, x in enumerate(block):
+            if x == 0:
+                run += 1
+                continue
+            while run > 15 and k <= end:
+                tokens += [(int(code[0xF0]), int(bits[0xF0])), *waiting]
+                run, waiting = run - 16, []
+            if abs(x) > 1:
+                waiting.append((abs(x) & 1, 1))
+                continue
+            tokens += [(int(code[run << 4 | 1]), int(bits[run << 4 | 1])), (int(x > 0), 1), *waiting]
+            run, waiting = 0, []
+        if run or waiting:
+            tokens += [(int(code[0]), int(bits[0])), *waiting]
+        out.append("".join(format(a, f"0{n}b") for a, n in tokens))
+    return out
+
+
+def test_jpeg_refinement_is_slow_refinement():
+    rng = np.random.default_rng(4)
+    v = rng.integers(-3, 4, (300, 64)) * (rng.random((300, 64)) < rng.random((300, 1)))
+    v[::7] = rng.integers(2, 50, (43, 64))
+    v[1], v[2, 1:], v[3, :63], v[3, 63] = 0, 0, 0, 1
+    value, length, row = progressive_jpeg._ac_refine(v)
+    got = [""] * len(v)
+    for a, n, r in zip(value.tolist(), length.tolist(), row.tolist()):
+        got[r] += format(a, f"0{n}b")
+    assert got == slow_refinement(v)
+
+
 def test_jpeg_columns(spark):
-    docs = frame(spark, [(1, None), (2, ""), (3, "x" * 1000), (4, "é" * 400), (4, "é" * 400)])
+    docs = frame(spark, [(1, None), (2, ""), (3, "x" * 1000), (4, "é" * 400), (4, "é" * 400), (5, "привет, мир " * 300), (6, "字" * 700_000)])
     media = progressive_jpeg.stored(docs)
-    rows = progressive_jpeg.described(media).collect()
+    rows = progressive_jpeg.colours(progressive_jpeg.decoded(media, with_payload=True)).collect()
     for r in rows:
         p = progressive_jpeg.padded((r["text"] or "").encode())
-        assert r["found"]["payload_sha256"] == hashlib.sha256(p).hexdigest() and r["found"]["payload_bytes"] == len(p)
-    assert len({r["found"]["feature"] for r in rows if r["doc_id"] == 4}) == 1
-    image = progressive_jpeg.decoded(media).where("doc_id = 3").first()["image"]
-    assert len(image["rgb"]) == image["height"] * image["width"] * 3 and image["width"] == 8
-    assert progressive_jpeg.described(progressive_jpeg.stored(frame(spark, []))).count() == 0
+        image = progressive_jpeg.tensors([bytes(r["media"])])[0]
+        assert bytes(r["image"]["payload"]) == p and bytes(r["image"]["rgb"]) == image.tobytes() and image.shape == (r["image"]["height"], r["image"]["width"], 3)
+        assert np.allclose(r["colours"], image.reshape(-1, 3).mean(0)) and image.shape[1] == (32 if r["doc_id"] == 6 else 16)
+    assert len({tuple(r["colours"]) for r in rows if r["doc_id"] == 4}) == 1 and len(rows) == 7
+    nothing = spark.createDataFrame([(1, None)], "doc_id long, media binary")
+    assert progressive_jpeg.colours(progressive_jpeg.decoded(nothing)).first()["colours"] is None
+    assert progressive_jpeg.decoded(progressive_jpeg.stored(frame(spark, []))).count() == 0
+
+
+def test_jpeg_chroma_of_the_stored_form():
+    """The stored form's images by the general way: planes of each component, upsampled."""
+    J = progressive_jpeg
+    streams = J.write([np.random.default_rng(5).integers(60, 200, 192 * n, dtype=np.uint8).tobytes() for n in (1, 5, 9000)])
+    pictures, coefficients = J.read(streams)
+    s = J.samples(J._natural(pictures, coefficients))
+    for p, got in zip(pictures, J.images(pictures, coefficients)):
+        planes = []
+        for c in p.components:
+            own = s[p.base + c["base"] : p.base + c["base"] + c["rows"] * c["columns"]].reshape(c["rows"], c["columns"], 8, 8).transpose(0, 2, 1, 3).reshape(c["rows"] * 8, -1)
+            planes.append(np.repeat(np.repeat(own, 2 // c["v"], 0), 2 // c["h"], 1))
+        assert (J._rgb(*planes) == got).all() and got.shape == (p.height, p.width, 3)
+
+
+def test_media_query(spark, sf):
+    rows = {r["doc_id"]: r for r in registry.QUERIES["op9_progressive_jpeg"](spark, sf).collect()}
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) == len(texts)
+    for doc_id, text in texts:
+        raw = (text or "").encode()
+        p = progressive_jpeg.padded(raw)
+        assert (rows[doc_id]["n_bytes"], rows[doc_id]["payload_bytes"], rows[doc_id]["payload_sha256"], rows[doc_id]["tail_crc32"]) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
 
 
 # ---- vector search
