@@ -2,17 +2,23 @@
 
 Inner products become distances by one more component (sqrt(M^2 - |x|^2), M the largest length; 0 for queries). For each of
 ``CURVES`` curves the vectors are projected to ``DIMS`` random directions, made even by the normal distribution function, shifted
-and numbered along a Hilbert curve. Quantiles of the keys cut every curve into cells of about equal size, which range-partition the
-vectors in Spark. A query goes to the cells of its key window on each curve, ``SHARE`` of the curve in all; there it is compared
-with all vectors of the cell in double precision, and the best of all windows are merged and ranked.
-
-Equal vectors are one entry with their ``KEEP`` smallest ids (no result can hold more of them), so a vector shared by a third of all
-rows costs one comparison. The window is a share of the curve because the test vectors have no low-dimensional structure; on
-clustered vectors a smaller ``share`` reaches the same recall at less work.
-
-Edge cases: vectors that are null, empty, zero, hold null or non-finite components take no part, neither do
-rows with a null vec_id; vectors of each length are a collection of their own, with its own curves and cells; repeated rows count once; a query never finds its own id; with fewer candidates all of
-them are returned; ties go to the smaller vec_id; an empty table gives no rows; other columns are not read.
+and numbered along a Hilbert curve. Spark range-partitions and sorts the keys of every curve; running counts give each vector its
+place on the curve, and ``CELL_ROWS`` places in a row are a cell, however many vectors share a key. A query takes the curves on
+whose directions it lies farthest out, where neighbours stand out most, and on each the window of so many places on either side
+of its own key; in the window's cells it is compared with all vectors in double precision, and the best of all windows are
+merged and ranked.
+
+The number of curves that a query takes and the width of its windows are fitted: of ``SAMPLE`` queries the true neighbours are looked up
+in all rows, and of all numbers of curves the one is taken whose windows hold the share ``TARGET`` of them with the fewest
+comparisons. So windows hold a bounded number of neighbours where the vectors have local structure, and widen where they have none.
+
+Equal vectors are one entry with their smallest ids (k + 1; no result can hold more of them), so a vector shared by a third of all
+rows costs one comparison. Entries and queries know each other by a hash of the vector (128 bits); nothing is joined on vectors.
+
+Edge cases: vectors that are null, empty, zero, hold null or non-finite components take no part, neither do rows with a null vec_id;
+vectors of each length are a collection of their own, with its own curves and cells; repeated rows count once; a query never
+finds its own id; with fewer candidates all of them are returned (up to ``CELL_ROWS`` vectors are one cell); ties go to the
+smaller vec_id; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,12 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, tune
 
-CURVES, DIMS, BITS, SHARE, KEEP, CELL_ROWS, LEAST_CELLS = 8, 3, 10, 0.3, 21, 4096, 16
+CURVES, DIMS, BITS, CELL_ROWS = 16, 4, 10, 1024
+SAMPLE, TARGET = 100, 0.95
 
 
 def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -57,15 +65,17 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-1.702 * x))
 
 
-def curve_keys(x: np.ndarray, seed: int, curves: int = CURVES) -> np.ndarray:
-    """Keys of unit vectors on every curve, rows x curves."""
+def curve_keys(x: np.ndarray, seed: int, curves: int = CURVES) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of unit vectors on every curve, and how far out they lie on its directions (both rows x curves)."""
     rng = np.random.default_rng(seed)
-    out = np.empty((len(x), curves), np.int64)
+    dims = min(DIMS, x.shape[1])
+    key, out = np.empty((len(x), curves), np.int64), np.empty((len(x), curves))
     for c in range(curves):
-        way, shift = np.linalg.qr(rng.normal(size=(x.shape[1], min(DIMS, x.shape[1]))))[0], rng.uniform(0, 0.25, min(DIMS, x.shape[1]))
-        even = _normal(x @ way * np.sqrt(x.shape[1]))
-        out[:, c] = hilbert(np.minimum((even * 0.75 + shift) * (1 << BITS), (1 << BITS) - 1).astype(np.int64))
-    return out
+        way, shift = np.linalg.qr(rng.normal(size=(x.shape[1], dims)))[0], rng.uniform(0, 0.25, dims)
+        at = x @ way * np.sqrt(x.shape[1])
+        key[:, c] = hilbert(np.minimum((_normal(at) * 0.75 + shift) * (1 << BITS), (1 << BITS) - 1).astype(np.int64))
+        out[:, c] = (at * at).sum(1)
+    return key, out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -73,88 +83,155 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def with_keys(rows: DataFrame, queries: bool, seed: int) -> DataFrame:
-    """One row a curve: curve and key beside the columns of rows. ``longest`` is the largest length among vectors of that size."""
+    """(n, rep, curve, key, turn) of rows with n, rep, embedding and longest (largest length among vectors of that size). turn: place
+    of the curve among those of a query, the one on which it lies farthest out first."""
 
     def keyed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for b, longest in batches:
             sizes, most = b.value_lengths().to_numpy(zero_copy_only=False), longest.to_numpy(zero_copy_only=False)
-            k = np.zeros((len(b), CURVES), np.int64)
+            key, turn = np.zeros((len(b), CURVES), np.int64), np.zeros((len(b), CURVES), np.int32)
             for n in np.unique(sizes):
                 at = np.flatnonzero(sizes == n)
                 x = _matrix(b.take(pa.array(at)))
                 square, m = (x * x).sum(1), most[at]
                 more = np.zeros(len(x)) if queries else np.sqrt(np.maximum(m**2 - square, 0))
-                k[at] = curve_keys(np.column_stack([x, more]) / (np.sqrt(square) if queries else m)[:, None], seed)
-            yield pa.ListArray.from_arrays(np.arange(len(k) + 1, dtype=np.int32) * CURVES, k.ravel())
+                key[at], out = curve_keys(np.column_stack([x, more]) / (np.sqrt(square) if queries else m)[:, None], seed)
+                turn[at] = np.argsort(np.argsort(-out, 1, kind="stable"), 1)
+            pairs = pa.StructArray.from_arrays([pa.array(key.ravel()), pa.array(turn.ravel())], ["key", "turn"])
+            yield pa.ListArray.from_arrays(np.arange(len(key) + 1, dtype=np.int32) * CURVES, pairs)
 
     keyed.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    keys = F.arrow_udf(keyed, "array<long>")("embedding", "longest")
-    return rows.withColumn("_keys", keys).select(*rows.columns, F.posexplode("_keys").alias("curve", "key"))
-
-
-def _compared(key, left, right):
-    """The KEEP best entries of a cell for each query that visits it."""
-    n = key[0].as_py()
-    queries, ids = right.column("query").to_numpy(), left.column("rep").to_numpy()
-    if not len(queries) or not len(ids):
-        return pa.table([pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.struct([("score", pa.float64()), ("rep", pa.int64())])))], names=["n", "query", "best"])
-    q, x = _matrix(right.column("vector").combine_chunks()), _matrix(left.column("embedding").combine_chunks())
-    by = np.argsort(ids)
-    ids, x = ids[by], x[by]
-    k = min(KEEP, len(ids))
-    picked = []
+    keys = F.arrow_udf(keyed, "array<struct<key:long,turn:int>>")("embedding", "longest")
+    return rows.select("n", "rep", F.posexplode(keys).alias("curve", "k")).select("n", "rep", "curve", "k.key", "k.turn")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with the number of their partition and how many entries of their curve come before them in it."""
+    part, last, held = TaskContext.get().partitionId(), None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        n, curve, asked = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "curve", "asked"))
+        new = np.r_[last != (n[0], curve[0]), (n[1:] != n[:-1]) | (curve[1:] != curve[:-1])]
+        count = np.cumsum(~asked)
+        before = count - ~asked
+        start = np.maximum.accumulate(np.where(new, np.arange(len(n)), -1))
+        local = before - np.where(start >= 0, before[np.maximum(start, 0)], -held)
+        last, held = (n[-1], curve[-1]), int(local[-1]) + int(not asked[-1])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(local.astype(np.int64))], names=[*b.schema.names, "part", "local"])
+
+
+def placed(points: DataFrame) -> DataFrame:
+    """points (n, rep, curve, key, turn, asked) with their place on the curve: how many entries stand before them."""
+    order = ["n", "curve", "key", "asked", "rep"]
+    kept = points.select("n", "rep", "curve", "key", "turn", "asked")
+    schema = f"{kept._jdf.schema().toDDL()}, part int, local long"
+    ordered = durable(kept.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_counted, schema))
+    earlier = Window.partitionBy("n", "curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy("n", "curve", "part").agg(F.sum((~F.col("asked")).cast("long")).alias("held"))
+    offsets = parts.select("n", "curve", "part", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset"))
+    return ordered.join(offsets, ["n", "curve", "part"]).select("n", "rep", "curve", "turn", "asked", (F.col("offset") + F.col("local")).alias("place"))
+
+
+def nearest(x: np.ndarray, low: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and rows of the k best of x for each row of q (queries x min(k, rows)); ties go to the smaller ``low``."""
+    by = np.argsort(low, kind="stable")
+    x, k = x[by], min(k, len(x))
+    score, rows = np.empty((len(q), k)), np.empty((len(q), k), np.int64)
     for lo in range(0, len(q), 256):
         s = q[lo : lo + 256] @ x.T
         limit = np.partition(s, -k, axis=1)[:, -k] if k < s.shape[1] else s.min(1)
-        for row, scores in enumerate(s):
-            at = np.flatnonzero(scores >= limit[row] - 1e-9)
-            exact = (x[at] * q[lo + row]).sum(1)
-            top = np.lexsort((ids[at], -exact))[:k]
-            picked.append((exact[top], ids[at][top]))
-    score, rep = (np.concatenate([p[i] for p in picked]) for i in (0, 1))
-    pairs = pa.StructArray.from_arrays([pa.array(score), pa.array(rep)], ["score", "rep"])
-    return pa.table([pa.array(np.full(len(q), n, np.int32)), pa.array(queries), pa.ListArray.from_arrays(np.arange(len(q) + 1, dtype=np.int32) * k, pairs)], names=["n", "query", "best"])
-
-
-def neighbours(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE, seed: int = 17) -> DataFrame:
+        for i, scores in enumerate(s, lo):
+            at = np.flatnonzero(scores >= limit[i - lo] - 1e-9)
+            exact = (x[at] * q[i]).sum(1)
+            top = np.lexsort((at, -exact))[:k]
+            score[i], rows[i] = exact[top], by[at[top]]
+    return score, rows
+
+
+_BEST = "n int, query string, score double, rep string, low long"
+
+
+def _table(n: int, query: pa.Array, score: np.ndarray, rows: np.ndarray, rep: pa.Array, low: np.ndarray) -> pa.Table:
+    flat = pa.array(rows.ravel())
+    return pa.table([pa.array(np.full(rows.size, n, np.int32)), query.take(pa.array(np.repeat(np.arange(len(rows)), rows.shape[1]))), pa.array(score.ravel()), rep.take(flat), pa.array(low[rows.ravel()])], names=["n", "query", "score", "rep", "low"])
+
+
+def _compared(k: int):
+    def cell(key, left, right):
+        """The k best entries of a cell for each query that visits it."""
+        if not left.num_rows or not right.num_rows:
+            return _table(0, pa.array([], pa.string()), np.zeros((0, 0)), np.zeros((0, 0), np.int64), pa.array([], pa.string()), np.zeros(0, np.int64))
+        low = left.column("low").to_numpy()
+        score, rows = nearest(_matrix(left.column("embedding").combine_chunks()), low, _matrix(right.column("vector").combine_chunks()), k)
+        return _table(key[0].as_py(), right.column("query").combine_chunks(), score, rows, left.column("rep").combine_chunks(), low)
+
+    return cell
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best distinct entries of each query. An entry has the same score in all windows; partial ranks come before the shuffle."""
+    order = Window.partitionBy("n", "query").orderBy(F.desc("score"), "low", "rep")
+    return found.withColumn("_r", F.dense_rank().over(order)).where(F.col("_r") <= k).drop("_r").distinct()
+
+
+def fitted(entries: DataFrame, queries: DataFrame, places: DataFrame, sizes: DataFrame, k: int, target: float, sample: int) -> DataFrame:
+    """(n, turns, width) of each length n: the number of curves a query takes and the places on either side of its key."""
+    chosen = queries.withColumn("_r", F.row_number().over(Window.partitionBy("n").orderBy(F.xxhash64("rep"), "rep"))).where(F.col("_r") <= sample).select("n", F.col("rep").alias("query"), "embedding")
+    asked: dict[int, list] = {}
+    for r in chosen.collect():  # at most ``sample`` vectors of each length
+        asked.setdefault(r["n"], []).append((r["query"], np.array(r["embedding"], np.float64)))
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = b.column("n").to_numpy()
+            for n in np.unique(size):
+                part = b.take(pa.array(np.flatnonzero(size == n)))
+                if int(n) in asked:
+                    low = part.column("low").to_numpy()
+                    score, rows = nearest(_matrix(part.column("embedding")), low, np.array([v for _, v in asked[int(n)]]), k + 1)
+                    yield from _table(int(n), pa.array([q for q, _ in asked[int(n)]]), score, rows, part.column("rep"), low).to_batches()
+
+    truth = _best(entries.select("n", "rep", "low", "embedding").mapInArrow(looked_up, _BEST), k + 1).where("rep <> query").select("n", "query", "rep")
+    of_entry = places.where("not asked").select("n", "rep", "curve", F.col("place").alias("_there"))
+    of_query = places.where("asked").select("n", F.col("rep").alias("query"), "curve", "turn", F.col("place").alias("_here"))
+    far = truth.join(of_entry, ["n", "rep"]).join(of_query, ["n", "query", "curve"]).groupBy("n", "query", "rep").agg(F.array_sort(F.collect_list(F.struct("turn", F.abs(F.col("_here") - F.col("_there")).alias("d")))).alias("way"))
+    # with the first t + 1 curves, the nearest that any of them brings query and neighbour
+    nearest_by = far.select("n", F.posexplode(F.expr("transform(way, (w, i) -> array_min(transform(slice(way, 1, i + 1), x -> x.d)))")).alias("t", "d"))
+    widths = nearest_by.groupBy("n", (F.col("t") + 1).alias("turns")).agg(F.percentile_approx("d", target, 1000).alias("width"))
+    cost = F.col("turns") * F.least(2 * F.col("width") + CELL_ROWS, F.col("held"))
+    best = widths.join(sizes.select("n", "held"), "n").groupBy("n").agg(F.min(F.struct(cost.alias("cost"), "turns", "width")).alias("_b")).select("n", "_b.turns", "_b.width")
+    # a length without neighbours to learn from is searched whole
+    return sizes.select("n", "held").join(best, "n", "left").select("n", "held", F.coalesce("turns", F.lit(1)).alias("turns"), F.coalesce("width", "held").alias("width"))
+
+
+def neighbours(vectors: DataFrame, is_query, k: int = 20, target: float = TARGET, sample: int = SAMPLE, seed: int = 17) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest found for every row for which the Column is_query holds."""
     tune(vectors.sparkSession)
     sound = "vec_id is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"
-    rows = vectors.select("vec_id", "embedding").where(sound).distinct()
-    rank = Window.partitionBy("embedding").orderBy("vec_id")
-    smallest = rows.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    entries = durable(smallest.select(F.size("embedding").alias("n"), F.col("ids")[0].alias("rep"), "ids", "embedding"))
-    # Each length n of vectors is searched by itself; cells is its number of cells a curve.
+    zero = F.transform("embedding", lambda x: x + F.lit(0).cast("float"))  # one zero, not two
+    rep = F.concat(F.hex(F.xxhash64("embedding")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), F.col("embedding"))))
+    rows = vectors.select("vec_id", "embedding").where(sound).withColumn("embedding", zero).withColumn("rep", rep).withColumn("n", F.size("embedding"))
+    smallest = rows.select("n", "rep", "vec_id", "embedding").withColumn("_r", F.dense_rank().over(Window.partitionBy("n", "rep").orderBy("vec_id"))).where(F.col("_r") <= k + 1)
+    entries = durable(smallest.groupBy("n", "rep").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"), F.first("embedding").alias("embedding")).withColumn("low", F.col("ids")[0]))
     square = F.expr("aggregate(embedding, 0d, (a, x) -> a + double(x) * double(x))")
-    sizes = entries.groupBy("n").agg((F.sqrt(F.max(square)) * (1 + 1e-12)).alias("longest"), F.greatest(F.lit(LEAST_CELLS), F.ceil(F.count("*") / CELL_ROWS)).cast("int").alias("cells"))
-    sizes = durable(sizes)
-    numbers = sorted(r["cells"] for r in sizes.select("cells").distinct().collect())
-    if not numbers:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = rows.where(is_query)
-    names = entries.select("n", "rep", "embedding").join(F.broadcast(sizes), "n")
-    queries = durable(asked.join(entries.select("n", "rep", "embedding"), "embedding").select("vec_id", "n", "rep"))
-    reps = queries.select("n", F.col("rep").alias("query")).distinct().join(names.withColumnRenamed("rep", "query"), ["n", "query"])
-    keyed = durable(with_keys(names, False, seed).drop("longest"))
-    # percentile_approx takes fixed shares only: one aggregate for each number of cells
-    limits = None
-    for cells in numbers:
-        cuts = [i / cells for i in range(1, cells)]
-        part = keyed.where(F.col("cells") == cells).groupBy("n", "curve").agg(F.percentile_approx("key", cuts, 20 * cells).alias("limits"))
-        limits = part if limits is None else limits.union(part)
-    limits = F.broadcast(limits)  # for each length, CURVES rows of cells - 1 numbers
-    cell = F.expr("size(filter(limits, x -> x < key))")
-    reach = F.greatest(F.lit(1), F.rint(F.col("cells") * share / 2).cast("int"))
-    placed = keyed.join(limits, ["n", "curve"]).withColumn("cell", cell).select("n", "curve", "cell", "rep", "embedding")
-    visits = with_keys(reps, True, seed).join(limits, ["n", "curve"]).withColumn("_c", cell).withColumn("_reach", reach)
-    visits = visits.withColumn("cell", F.explode(F.sequence(F.greatest(F.col("_c") - F.col("_reach"), F.lit(0)), F.least(F.col("_c") + F.col("_reach"), F.col("cells") - 1)))).select(F.col("n").alias("at_n"), F.col("curve").alias("at_curve"), F.col("cell").alias("at_cell"), "query", F.col("embedding").alias("vector"))
-    best = placed.groupBy("n", "curve", "cell").cogroup(visits.groupBy("at_n", "at_curve", "at_cell")).applyInArrow(_compared, "n int, query long, best array<struct<score:double,rep:long>>")
-    # Each window gives at most KEEP entries; the same entry has the same score in all of them.
-    merged = best.groupBy("n", "query").agg(F.expr(f"slice(array_sort(array_distinct(flatten(collect_list(transform(best, b -> struct(-b.score as minus, b.rep as rep)))))), 1, {k + 1})").alias("best"))
-    found = merged.select("n", "query", F.explode("best").alias("b")).select("n", "query", F.col("b.rep").alias("rep"), (-F.col("b.minus")).alias("score"))
-    full = found.join(entries.select("n", "rep", "ids"), ["n", "rep"]).select("n", "query", F.explode("ids").alias("vec_id"), "score")
+    sizes = durable(entries.groupBy("n").agg((F.sqrt(F.max(square)) * (1 + 1e-12)).alias("longest"), F.count("*").alias("held")))  # a row for each length
+    asked = durable(rows.where(is_query).select("vec_id", "n", "rep").distinct())
+    queries = durable(entries.join(asked.select("n", "rep").distinct(), ["n", "rep"]).join(sizes.select("n", "longest"), "n").select("n", "rep", "embedding", "longest"))
+    mine = with_keys(queries, True, seed).withColumn("asked", F.lit(True))
+    points = with_keys(entries.join(sizes.select("n", "longest"), "n"), False, seed).withColumn("asked", F.lit(False)).unionByName(mine)
+    places = durable(placed(points))
+    fit = durable(fitted(entries, queries, places, sizes, k, target, sample))
+    cell = lambda c: F.floor(c / CELL_ROWS)
+    cells = places.where("not asked").select("n", "curve", cell(F.col("place")).alias("cell"), "rep").join(entries.select("n", "rep", "low", "embedding"), ["n", "rep"])
+    first, last = F.greatest(F.col("place") - F.col("width"), F.lit(0)), F.least(F.col("place") + F.col("width"), F.col("held") - 1)
+    visits = places.where("asked").join(fit, "n").where("turn < turns").select(F.col("n").alias("at_n"), F.col("curve").alias("at_curve"), F.col("rep").alias("query"), F.explode(F.sequence(cell(F.least(first, F.col("held") - 1)), cell(last))).alias("at_cell"))
+    visits = visits.join(queries.select(F.col("n").alias("at_n"), F.col("rep").alias("query"), F.col("embedding").alias("vector")), ["at_n", "query"])
+    found = cells.groupBy("n", "curve", "cell").cogroup(visits.groupBy("at_n", "at_curve", "at_cell")).applyInArrow(_compared(k + 1), _BEST)
+    best = _best(found, k + 1)
+    full = best.join(entries.select("n", "rep", "ids"), ["n", "rep"]).select("n", "query", F.explode("ids").alias("vec_id"), "score")
     lists = full.groupBy("n", "query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("list"))
-    answer = queries.select(F.col("vec_id").alias("query_id"), "n", F.col("rep").alias("query")).join(lists, ["n", "query"])
+    answer = asked.select(F.col("vec_id").alias("query_id"), "n", F.col("rep").alias("query")).join(lists, ["n", "query"])
     own = answer.select("query_id", F.posexplode(F.expr(f"slice(filter(list, x -> x.vec_id <> query_id), 1, {k})")).alias("pos", "x"))
     return own.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"))
 

@@ -555,7 +555,7 @@ def test_neighbours_edge_cases(spark):
     rows += [(100 + i, rows[3][1]) for i in range(40)] + [(200, None), (220, []), (240, [0.0] * 4), (260, [1.0, None, 0.0, 0.0]), (280, [float("nan"), 1.0, 0.0, 0.0]), (300, [1.0, 2.0]), (None, rows[0][1]), rows[20]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
-    for r in ann.neighbours(df, "vec_id % 20 = 0", share=2.0).orderBy("query_id", "rank").collect():
+    for r in ann.neighbours(df, "vec_id % 20 = 0").orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     want = brute_neighbours([r for r in rows if r[0] != 300])
     assert got == want
@@ -570,7 +570,7 @@ def test_neighbours_of_each_length(spark):
     for more in (other, other[:1]):
         df = spark.createDataFrame(rows + more, "vec_id long, embedding array<float>")
         got = {}
-        for r in ann.neighbours(df, "vec_id % 20 = 0", share=2.0).orderBy("query_id", "rank").collect():
+        for r in ann.neighbours(df, "vec_id % 20 = 0").orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append(r["vec_id"])
         want = {**brute_neighbours(rows), **brute_neighbours(more)}
         assert got == {q: w for q, w in want.items() if w}
