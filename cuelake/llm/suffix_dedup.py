@@ -38,7 +38,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, prefix_sums, raw, span_hashes, tune
+from .common import durable, mix, prefix_sums, raw, span_hashes, tune
 
 LENGTH, TOKEN = 50, 24
 WIDTH = LENGTH - TOKEN + 1
@@ -148,12 +148,19 @@ def _as_strings(key: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(key).view(f"S{key.shape[1]}").ravel()
 
 
-def _as_words(key: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(key), -(-key.shape[1] // 8) * 8), np.uint8)
+def _as_words(key: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Rows of bytes, then of further numbers below 256, as big-endian words."""
+    out = np.zeros((len(key), -(-(key.shape[1] + len(more)) // 8) * 8), np.uint8)
     out[:, : key.shape[1]] = key
+    for k, m in enumerate(more):
+        out[:, key.shape[1] + k] = m
     return out.view(">u8").astype(np.uint64)
 
 
+#: 255 for the bytes of a context that windows at offsets lo to hi reach, at row lo * WIDTH + hi.
+_REACHED = np.array([[255 * (-hi <= k < LENGTH - lo) for k in range(-LEFT, LENGTH)] for lo in range(WIDTH) for hi in range(WIDTH)], np.uint8)
+
+
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each row of a and b."""
     other = a != b
@@ -209,12 +216,15 @@ _SUFFIXES = [("bucket", pa.int32()), ("block", pa.int32()), ("docs", pa.binary()
 _SUFFIX_SCHEMA = "bucket int, block int, docs binary, reach binary, context binary, places binary"
 
 
-def _distinct(context: np.ndarray, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows ordered by equal contexts, then by id, and a mark on the first of each. Hashes order them; bytes have the last word."""
+def _distinct(words: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ordered by equal words, then by id, and a mark on the first of each. Hashes order them; the words have the last say."""
+    hashes = np.zeros(len(words), np.uint64)
+    for column in words.T:
+        hashes = mix(hashes ^ column)
     order = np.lexsort((ids, hashes))
     first = np.r_[True, hashes[order[1:]] != hashes[order[:-1]]]
-    if (context[order[1:]] != context[order[:-1]]).any(1)[~first[1:]].any():  # two contexts of one hash
-        number = np.unique(_as_strings(np.pad(context, ((0, 0), (0, 1)), constant_values=1)), return_inverse=True)[1]
+    if (words[order[1:]] != words[order[:-1]]).any(1)[~first[1:]].any():  # two contexts of one hash
+        number = np.unique(words, axis=0, return_inverse=True)[1]
         order = np.lexsort((ids, number))
         first = np.r_[True, number[order[1:]] != number[order[:-1]]]
     return order, first
@@ -236,12 +246,8 @@ def _cut(bits: int, splitters: np.ndarray):
         if len(p):
             doc = b.doc_of(p)
             ids, context = b.doc_ids[doc], contexts(b.data, p)
-            # bytes of neighbouring documents do not count, and what a window cannot reach does not either
-            step = np.arange(CONTEXT) - LEFT
-            context[(step < -hi[:, None]) | (step >= LENGTH - lo[:, None])] = 0
-            seen = np.concatenate([context, lo.astype(np.uint8)[:, None], hi.astype(np.uint8)[:, None]], 1)
-            sums, row = prefix_sums(seen.ravel()), np.arange(len(p) + 1) * seen.shape[1]
-            order, first = _distinct(seen, span_hashes(sums, row[:-1], row[1:]), ids)
+            context &= _REACHED[lo * WIDTH + hi]  # what no window reaches, as bytes of neighbouring documents, does not count
+            order, first = _distinct(_as_words(context, lo, hi), ids)
             d = ids[order]
             group = np.cumsum(first) - 1
             mine = d == d[np.flatnonzero(first)][group]
@@ -263,7 +269,7 @@ def _cut(bits: int, splitters: np.ndarray):
             for k, z in zip(head, np.append(head[1:], len(by))):
                 i = heads[by[k:z]]
                 x, y = np.searchsorted(number_of, (k, z))
-                places = np.stack([number_of[x:y] - k, p[place[x:y]] - b.starts[doc[place[x:y]]]], 1).astype("<i8")
+                places = np.stack([number_of[x:y] - k, p[place[x:y]] - b.starts[doc[place[x:y]]]], 1).astype("<i4")
                 rows.append((int(bucket[by[k]]), block, ids[i].astype("<i8").tobytes(), np.stack([lo[i], hi[i]], 1).astype(np.uint8).tobytes(), context[by[k:z]].tobytes(), places.tobytes()))
         return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_SUFFIXES)], names=[n for n, _ in _SUFFIXES])
 
@@ -276,34 +282,49 @@ def compared(context: np.ndarray, docs: np.ndarray, reach: np.ndarray, below: np
     n = len(docs)
     gone, open_ = np.zeros((n, WIDTH), bool), np.zeros((n, WIDTH), bool)
     key = in_order(context)
-    order = multikey_quicksort(_as_words(key))
+    words = _as_words(key, reach[:, 0], reach[:, 1])
+    order = multikey_quicksort(words)
+    # of suffixes alike in all bytes and in reach only that of the smallest document goes on
+    words, d = words[order], docs[order]
+    head = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]).any(1)]) if n else np.zeros(0, np.int64)
+    group = np.repeat(np.arange(len(head)), np.diff(np.append(head, n)))
+    mine = d == (np.minimum.reduceat(d, head)[group] if n else d)
+    offset = np.arange(WIDTH)
+    rest = order[~mine]
+    gone[rest] = (reach[rest, :1] <= offset) & (offset <= reach[rest, 1:])
+    order = order[mine]
     key = key[order]
-    right = np.zeros(n + 1, np.int64)
+    right = np.zeros(len(order) + 1, np.int64)
     right[1:-1] = common(key[1:, :LENGTH], key[:-1, :LENGTH])
-    over = np.zeros(n, np.int64)
+    over = np.zeros(len(order), np.int64)
     for limit in (below, above):
         if limit is not None:
-            over = np.maximum(over, common(key[:, :LENGTH], np.broadcast_to(limit[:LENGTH], (n, LENGTH))))
-    near = np.flatnonzero((np.maximum(right[:-1], right[1:]) >= TOKEN) | (over >= TOKEN))
+            over = np.maximum(over, common(key[:, :LENGTH], np.broadcast_to(limit[:LENGTH], (len(order), LENGTH))))
+    either = np.maximum(right[:-1], right[1:])
+    near = np.flatnonzero(np.maximum(either, over) >= TOKEN)
     if not len(near):
         return gone, open_
-    rows, right, over = order[near], right[near], over[near]
+    rows, right, over, either = order[near], right[near], over[near], either[near]
     before = key[near, LENGTH:]
     by_left = multikey_quicksort(_as_words(before))
-    left = np.zeros(len(near), np.int64)
-    left[1:] = common(before[by_left[1:]], before[by_left[:-1]])
+    left = np.zeros(len(near) + 1, np.int64)
+    left[1:-1] = common(before[by_left[1:]], before[by_left[:-1]])
+    either_left = np.empty(len(near), np.int64)
+    either_left[by_left] = np.maximum(left[:-1], left[1:])
     by_doc = np.argsort(docs[rows], kind="stable")
     d, low, high = docs[rows], reach[rows, 0], reach[rows, 1]
     run = np.empty(len(near), np.int64)
-    for o in range(WIDTH):
-        run[by_left] = np.cumsum(left < o)
+    for o in offset:
+        valid = (low <= o) & (o <= high)
+        open_[rows, o] = valid & (over >= LENGTH - o)
+        own = by_doc[(valid & (either >= LENGTH - o) & (either_left >= o))[by_doc]]  # the others stand alone in a run
+        if len(own) < 2:
+            continue
+        run[by_left] = np.cumsum(left[:-1] < o)
         window = np.cumsum(right < LENGTH - o) * (len(near) + 1) + run
-        own = by_doc[((low <= o) & (o <= high))[by_doc]]
         _, first, inverse = np.unique(window[own], return_index=True, return_inverse=True)
-        later = d[own[first]][inverse] < d[own]
-        gone[rows[own], o] = later
-        open_[rows[own], o] = ~later & (over[own] >= LENGTH - o)
-    return gone, open_
+        gone[rows[own], o] = d[own[first]][inverse] < d[own]
+    return gone, open_ & ~gone
 
 
 def _compared(splitters: np.ndarray):
@@ -318,7 +339,7 @@ def _compared(splitters: np.ndarray):
                     yield _runs([block], [docs], [places])
                 else:
                     number = bucket
-                    parts.append((block, np.frombuffer(docs, "<i8"), np.frombuffer(reach, np.uint8).reshape(-1, 2), np.frombuffer(context, np.uint8).reshape(-1, CONTEXT), np.frombuffer(places, "<i8").reshape(-1, 2)))
+                    parts.append((block, np.frombuffer(docs, "<i8"), np.frombuffer(reach, np.uint8).reshape(-1, 2), np.frombuffer(context, np.uint8).reshape(-1, CONTEXT), np.frombuffer(places, "<i4").reshape(-1, 2).astype(np.int64)))
         if not parts:
             return
         docs, reach, context = (np.concatenate([x[k] for x in parts]) for k in (1, 2, 3))
@@ -457,7 +478,7 @@ def deduplicated(docs: DataFrame, text_col: str = "text", with_text: bool = Fals
     windows = found.where("window is not null")
     first = windows.groupBy("window").agg(F.min("doc").alias("_first"))
     none = lambda t: F.lit(None).cast(t)
-    later = windows.join(first, "window").where("doc > _first").select("block", none("binary").alias("docs"), none("binary").alias("runs"), "doc", "start")
+    later = windows.join(first.hint("merge"), "window").where("doc > _first").select("block", none("binary").alias("docs"), none("binary").alias("runs"), "doc", "start")
     side = found.where("window is null").select("block", "docs", "runs", "doc", "start").unionByName(later)
     done = groups.cogroup(side.groupBy("block")).applyInArrow(_finished(with_text, id_type), OUT.format(id=kind))
     text = F.coalesce(F.col("text"), F.lit(""))
