@@ -1,7 +1,8 @@
 """Shared parts: durable intermediate tables, label folds, bounded training samples, and byte-level text in numpy.
 
 Texts reach Python in Arrow batches. ``chunks`` cuts a batch into pieces of about a megabyte, so that the working set of the
-vectorised code depends neither on the batch nor on the longest text.
+vectorised code does not depend on the batch; operators that can take a text in parts join them so that the result is that of
+the whole text.
 """
 
 from __future__ import annotations
@@ -69,15 +70,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def sample_ids(classes: DataFrame, class_col: str, per_class: int, id_col: str = "doc_id") -> DataFrame:
     """At most ``per_class`` ids of each class, those with the smallest id hashes: a bounded sample of labelled rows that
-    does not depend on the order or partitioning of the rows. One row per id and class."""
+    does not depend on the order or partitioning of the rows. One row per id and class. Counts first leave about twice as many rows
+    of a class as are wanted, so that ranking sees few, however frequent a class is."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy(class_col).orderBy(F.xxhash64(id_col), id_col)
-    return (
-        classes.where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull())
-        .select(id_col, class_col).distinct()
-        .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).drop("_rank")
-    )
+    named = classes.where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull()).select(id_col, class_col)
+    named = named.withColumn("_h", F.xxhash64(id_col).bitwiseAND(F.lit((1 << 62) - 1)))
+    counts = named.groupBy(class_col).agg(F.count("*").alias("_n"))
+    few = named.join(counts, class_col).where(F.col("_h") < F.lit(float(1 << 62)) * (2 * per_class + 50) / F.col("_n"))
+    order = Window.partitionBy(class_col).orderBy("_h", id_col)
+    return few.select(id_col, class_col, "_h").distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).drop("_rank", "_h")
 
 
 @dataclass
@@ -102,32 +104,35 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
 
 
-def chunks(texts: pa.Array, limit: int = CHUNK_BYTES, split: bool = True) -> Iterator[Chunk]:
-    """Pieces of the texts in order, about ``limit`` bytes at a time. A longer text is cut at the last space or line end
-    before the limit (anywhere if it has none) when ``split`` is set; otherwise it is a chunk of its own."""
+def chunks(texts: pa.Array, limit: int = CHUNK_BYTES, cuts: np.ndarray | None = None) -> Iterator[Chunk]:
+    """The texts in order, about ``limit`` bytes at a time. A longer text is a chunk of its own; with ``cuts`` (a table of bytes) it comes
+    in several chunks, each ending with the last such byte before the limit, or with the first one after it."""
     data, at = raw(texts)
-    starts, ends, docs, held = [], [], [], 0
+    lo = 0
 
-    def flush() -> Chunk:
-        lo, hi = starts[0], ends[-1]
-        s, e = np.array(starts, np.int64) - lo, np.array(ends, np.int64) - lo
-        return Chunk(data[lo:hi], s, e, np.array(docs, np.int64))
+    def chunk(a: int, z: int) -> Chunk:
+        return Chunk(data[at[a] : at[z]], at[a:z] - at[a], at[a + 1 : z + 1] - at[a], np.arange(a, z))
 
     for i in range(len(at) - 1):
         s, e = int(at[i]), int(at[i + 1])
-        if held and held + e - s > limit:
-            yield flush()
-            starts, ends, docs, held = [], [], [], 0
-        while split and e - s > limit:
-            blank = np.flatnonzero((data[s + limit // 2 : s + limit] == 32) | (data[s + limit // 2 : s + limit] == 10))
-            cut = s + limit // 2 + int(blank[-1]) + 1 if len(blank) else s + limit
-            starts, ends, docs = [s], [cut], [i]
-            yield flush()
-            starts, ends, docs, s = [], [], [], cut
-        starts.append(s), ends.append(e), docs.append(i)
-        held += e - s
-    if starts:
-        yield flush()
+        if i > lo and e - int(at[lo]) > limit:
+            yield chunk(lo, i)
+            lo = i
+        if e - s > limit:
+            while cuts is not None and e - s > limit:
+                step, found = limit, np.flatnonzero(cuts[data[s : s + limit]])[-1:]
+                while not len(found) and s + step < e:
+                    found = np.flatnonzero(cuts[data[s + step : min(s + 2 * step, e)]])[:1] + step
+                    step *= 2
+                if not len(found):
+                    break
+                cut = s + int(found[0]) + 1
+                yield Chunk(data[s:cut], np.zeros(1, np.int64), np.array([cut - s]), np.array([i]))
+                s = cut
+            yield Chunk(data[s:e], np.zeros(1, np.int64), np.array([e - s]), np.array([i]))
+            lo = i + 1
+    if lo < len(at) - 1:
+        yield chunk(lo, len(at) - 1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -41,7 +41,7 @@ _PLACES = mix(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yields (first row, sorted distinct 64-bit shingle hashes of consecutive rows, row bounds) for about a megabyte of
     texts at a time."""
-    for c in chunks(texts, split=False):
+    for c in chunks(texts):
         starts, ends, piece = spans(c, _WORD)
         h = span_hashes(prefix_sums(c.data, LOWER_VALUES), starts, ends)
         m = len(c.starts)

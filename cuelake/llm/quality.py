@@ -46,8 +46,8 @@ SUMS = COUNTS + 9
 STATS = COUNTS - 1 + 13
 
 
-def _piece_sums(chunk: Chunk) -> np.ndarray:
-    """Additive counts of each piece."""
+def _piece_sums(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of each piece, and the hashes of the chunk's words and of its lines."""
     m = len(chunk.starts)
     out = np.zeros((m, SUMS))
     piece = np.repeat(np.arange(m), chunk.ends - chunk.starts)
@@ -59,10 +59,11 @@ def _piece_sums(chunk: Chunk) -> np.ndarray:
     upper = summed(CLASSES["upper"][chunk.data].astype(np.float64), s, e)
     ls, le, lp = spans(chunk, _NOT_LINE)
     ts, _, tp = spans(chunk, _NOT_SPACE)
-    distinct = lambda a, b, q: np.bincount(_first(span_hashes(sums, a, b), q), minlength=m)
-    for k, v in enumerate((np.bincount(p, minlength=m), np.bincount(p, n, m), np.bincount(p, n * n, m), np.bincount(p, n <= 3, m), np.bincount(p, (upper == n) & (n > 1), m), distinct(s, e, p), np.bincount(lp, minlength=m), distinct(ls, le, lp), np.bincount(tp, minlength=m))):
+    words, lines = span_hashes(sums, s, e), span_hashes(sums, ls, le)
+    distinct = lambda h, q: np.bincount(_first(h, q), minlength=m)
+    for k, v in enumerate((np.bincount(p, minlength=m), np.bincount(p, n, m), np.bincount(p, n * n, m), np.bincount(p, n <= 3, m), np.bincount(p, (upper == n) & (n > 1), m), distinct(words, p), np.bincount(lp, minlength=m), distinct(lines, lp), np.bincount(tp, minlength=m))):
         out[:, COUNTS + k] = v
-    return out
+    return out, words, lines
 
 
 def _first(key: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -73,10 +74,19 @@ def _first(key: np.ndarray, piece: np.ndarray) -> np.ndarray:
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
-    """STATS numbers for each text. Of texts over a megabyte, distinct words and lines are counted within megabytes."""
+    """STATS numbers for each text. A long text is counted line by line group; its distinct words and lines are those of the whole."""
     total = np.zeros((len(texts), SUMS))
-    for chunk in chunks(texts, CHUNK_BYTES):
-        np.add.at(total, chunk.docs, _piece_sums(chunk))
+    parts: dict[int, list[np.ndarray]] = {}
+    last = -1
+    for chunk in chunks(texts, CHUNK_BYTES, ~_NOT_LINE):
+        sums, words, lines = _piece_sums(chunk)
+        total[chunk.docs] += sums
+        if len(chunk.docs) == 1 and len(chunk.data):
+            doc = int(chunk.docs[0])
+            old = parts.get(doc, [np.zeros(0, np.uint64)] * 2) if doc == last else [np.zeros(0, np.uint64)] * 2
+            parts = {doc: [np.union1d(old[0], words), np.union1d(old[1], lines)]}
+            total[doc, COUNTS + 5], total[doc, COUNTS + 7] = map(len, parts[doc])
+            last = doc
     size = np.maximum(total[:, :1], 1)
     words, letters, squares, short, capital, kinds, lines, line_kinds, tokens = total[:, COUNTS:].T
     w, n = np.maximum(words, 1), np.maximum(lines, 1)

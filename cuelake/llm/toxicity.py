@@ -4,7 +4,7 @@ in numpy; every overlapping window of a text is scored and the text takes its hi
 Words are runs of ASCII letters, digits and bytes over 127, lower-cased. A word's input joins a hashed word embedding and the
 mean of hashed embeddings of its letter trigrams; the first component of either starts as the smoothed log-odds of that bucket
 among the training documents. Windows are ``WINDOW`` words, ``STRIDE`` apart, the last one ending with the text (texts
-over a megabyte are scored in pieces cut at spaces). Labels say only whether a document is toxic somewhere, so the network
+over a megabyte are scored in overlapping parts that hold the windows of the whole text). Labels say only whether a document is toxic somewhere, so the network
 learns from each document's windows of highest log-odds, and from plain windows of clean documents. The maximum of the
 window logits becomes a probability by Platt scaling on sampled documents that were kept out of training, weighted to the
 class shares of all training labels.
@@ -91,6 +91,40 @@ class Words:
         return padded[np.where(mask, begin[:, None] + steps, len(self.word))], mask
 
 
+def parts(texts: pa.Array) -> Iterator[Chunk]:
+    """Chunks of the texts. A long text comes in parts that begin at a multiple of STRIDE words and overlap, so that their windows, one
+    after the other, are those of the whole text."""
+    for chunk in chunks(texts, CHUNK_BYTES):
+        if len(chunk.data) <= CHUNK_BYTES or len(chunk.docs) > 1:
+            yield chunk
+            continue
+        data, s, size, earlier = chunk.data, 0, CHUNK_BYTES, None
+        while True:
+            z = min(s + size, len(data))
+            if z < len(data):
+                gap = np.flatnonzero(~MEMBER[data[s:z]])
+                z = s + int(gap[-1]) + 1 if len(gap) else s
+            starts, ends, _ = spans(_one(data[s:z], chunk), MEMBER)
+            n = len(starts)
+            if z < len(data) or s + size < len(data):
+                if n < WINDOW + STRIDE:
+                    size *= 2
+                    continue
+                k = (n - WINDOW) // STRIDE
+                yield _one(data[s : s + ends[k * STRIDE + WINDOW - 1]], chunk)
+                earlier = s + starts[: (k + 1) * STRIDE]
+                s, size = s + int(starts[(k + 1) * STRIDE]), CHUNK_BYTES
+                continue
+            if n < WINDOW and earlier is not None:
+                s = int(earlier[n - WINDOW])
+            yield _one(data[s:], chunk)
+            break
+
+
+def _one(data: np.ndarray, of: Chunk) -> Chunk:
+    return Chunk(data, np.zeros(1, np.int64), np.array([len(data)]), of.docs)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -219,39 +253,56 @@ def train(texts: list[bytes], labels: np.ndarray, m: dict, epochs: int = 4, size
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, bucket, label, documents with it) of sampled documents."""
     for batch in batches:
-        label = batch.column(2).to_numpy(zero_copy_only=False).astype(int)
-        for chunk in chunks(batch.column(1)):
+        label, seen = batch.column(2).to_numpy(zero_copy_only=False).astype(int), {"w": [], "c": []}
+        for chunk in chunks(batch.column(1), CHUNK_BYTES, ~MEMBER):
             w = Words(chunk)
-            seen = np.unique(w.piece_of_word * (len(w) + 1) + w.word)
-            piece, word = seen // (len(w) + 1), seen % (len(w) + 1)
-            count = np.bincount(word * 2 + label[chunk.docs[piece]], minlength=2 * len(w)).reshape(-1, 2) if len(w) else np.zeros((0, 2), int)
-            for kind, bucket, n in (("w", w.word_bucket, count), ("c", w.char_bucket, count[w.owner])):
-                key, inverse = np.unique(bucket, return_inverse=True)
-                total = np.stack([np.bincount(inverse, n[:, c], len(key)) for c in (0, 1)], 1)
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(key), pa.string()), pa.array(key, pa.int64()), pa.array(total[:, 0]), pa.array(total[:, 1])], names=["kind", "bucket", "clean", "toxic"])
+            doc = chunk.docs[w.piece_of_word]
+            pairs = np.unique(doc * (len(w) + 1) + w.word)
+            doc, word = pairs // (len(w) + 1), pairs % (len(w) + 1)
+            seen["w"].append(np.unique(doc << WORD_BITS | w.word_bucket[word]))
+            count = np.bincount(w.owner, minlength=len(w))
+            by = np.argsort(w.owner, kind="stable")
+            begin = np.cumsum(count) - count
+            at, owner = _flat(begin[word], begin[word] + count[word])
+            seen["c"].append(np.unique(doc[owner] << CHAR_BITS | w.char_bucket[by[at]]))
+        for kind, bits in (("w", WORD_BITS), ("c", CHAR_BITS)):
+            pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *seen[kind]]))  # a document in several chunks counts once
+            bucket, of = pairs & ((1 << bits) - 1), label[pairs >> bits]
+            key, inverse = np.unique(bucket, return_inverse=True)
+            total = np.stack([np.bincount(inverse, of == c, len(key)) for c in (0, 1)], 1).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(key), pa.string()), pa.array(key, pa.int64()), pa.array(total[:, 0]), pa.array(total[:, 1])], names=["kind", "bucket", "clean", "toxic"])
 
 
 def _candidates(odds: np.ndarray):
-    """Of each sampled document: its two windows of highest log-odds, and an ordinary one."""
+    """Of each sampled document: its two windows of highest log-odds among all, and an ordinary one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, labels, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
-            for chunk in chunks(batch.column(1)):
+            found: list[tuple] = []
+
+            def picked() -> None:
+                doc, high, lo, hi = (np.concatenate([f[k] for f in found]) for k in range(4))
+                data = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+                order = np.lexsort((-high, doc))
+                rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+                n = np.bincount(doc - doc.min())
+                middle = n[doc - doc.min()] // 2
+                for k, i in zip(rank, order):
+                    if (k < 2 or k == middle[i]) and lo[i] < hi[i]:
+                        rows.append((ids[doc[i]], int(labels[doc[i]]), int(k), found[data[i]][4][lo[i] : hi[i]].tobytes()))
+                found.clear()
+
+            for chunk in parts(batch.column(1)):
+                if found and found[-1][0][-1] != chunk.docs[0]:
+                    picked()
                 w = Words(chunk)
-                if not len(w):
-                    continue
                 value = np.append(np.maximum(odds[w.word_bucket], 0) ** 2, 0)
-                grid, mask = w.grid()
-                high = value[grid].sum(1)
-                order = np.lexsort((-high, w.piece))
-                rank = np.arange(len(order)) - np.searchsorted(w.piece[order], w.piece[order])
-                middle = np.bincount(w.piece, minlength=len(chunk.starts)) // 2
-                for k, i in zip(rank, order):
-                    if (k < 2 or k == middle[w.piece[i]]) and w.length[i]:
-                        lo, hi = w.starts[w.begin[i]], w.ends[w.begin[i] + w.length[i] - 1]
-                        doc = chunk.docs[w.piece[i]]
-                        rows.append((ids[doc], int(labels[doc]), int(k), chunk.data[lo:hi].tobytes()))
+                grid, _ = w.grid()
+                starts, ends = np.append(w.starts, 0), np.append(0, w.ends)
+                found.append((chunk.docs[w.piece], value[grid].sum(1), starts[w.begin], np.where(w.length > 0, ends[w.begin + w.length], 0), chunk.data))
+            if found:
+                picked()
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((batch.schema.field(0).type, pa.int32(), pa.int32(), pa.binary()))], names=["doc_id", "label", "rank", "piece"])
 
     return run
@@ -270,7 +321,7 @@ def _platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
 def text_logits(texts: pa.Array, m: dict) -> np.ndarray:
     """Highest window logit of each text."""
     out = np.full(len(texts), -np.inf)
-    for chunk in chunks(texts, CHUNK_BYTES):
+    for chunk in parts(texts):
         w = Words(chunk)
         np.maximum.at(out, chunk.docs[w.piece], window_logits(m, w))
     return out

@@ -24,11 +24,27 @@ def empty(spark):
 
 def test_chunks_cover_every_byte_once():
     texts = pa.array(["ab cd " * 500, None, "", "x" * 3000, "é" * 10])
-    got = [b""] * 5
-    for c in common.chunks(texts, 1000):
-        for d, s, e in zip(c.docs, c.starts, c.ends):
-            got[d] += c.data[s:e].tobytes()
-    assert got == [(t or "").encode() for t in texts.to_pylist()]
+    for cuts in (None, np.arange(256) == 32):
+        got, seen = [b""] * 5, 0
+        for c in common.chunks(texts, 1000, cuts):
+            seen += 1
+            for d, s, e in zip(c.docs, c.starts, c.ends):
+                got[d] += c.data[s:e].tobytes()
+        assert got == [(t or "").encode() for t in texts.to_pylist()] and seen == 4 if cuts is None else seen > 4
+
+
+def test_chunks_are_cut_after_a_byte():
+    text = b"a" * 2500 + b" " + b"b" * 700 + b" " + b"c" * 900 + b"  d"
+    got = [c.data.tobytes() for c in common.chunks(pa.array([text], pa.binary()), 1000, np.arange(256) == 32)]
+    assert b"".join(got) == text and [len(x) for x in got] == [2501, 701, 903]
+
+
+def long_text(seed, size=3_000_000, line=True):
+    rng = np.random.default_rng(seed)
+    words = np.array(["alpha", "Beta", "gamma", "d", "été", "QUX", "12", "x-y", "the", "  ", "..", "zeta!"] + [f"w{i}" for i in range(3000)])
+    ends = np.array([" ", " ", " ", " ", "\n", "  ", ", "]) if line else np.array([" ", "  ", ", "])
+    n = size // 6
+    return "".join(np.char.add(rng.choice(words, n), rng.choice(ends, n)))
 
 
 def test_span_hashes_depend_on_bytes_only():
@@ -49,6 +65,70 @@ def test_language_edge_cases(spark, odd, empty):
     assert language_id.predict(empty, model).count() == 0
 
 
+def naive_subwords(text):
+    """Buckets of the 2-, 3- and 4-grams of the reduced text, one by one."""
+    import re
+
+    b = re.sub(rb"[\x00-\x60\x7b-\x7f]+", b" ", (text or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")))
+    out = {}
+    for k, n in enumerate(language_id.ORDERS):
+        for i in range(len(b) - n + 1):
+            h = b[i]
+            for j in range(1, n):
+                h = (h * 0x01000193 + b[i + j] + j + 1) & 0xFFFFFFFF
+            bucket = (((h * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - language_id.BITS)) + (k << language_id.BITS)
+            out[bucket] = out.get(bucket, 0) + 1
+    return out
+
+
+def test_language_is_a_dictionary_of_subwords(monkeypatch):
+    table = np.random.default_rng(2).normal(size=(language_id.BUCKETS, 3))
+    texts = ["Der  Hund, 12 und -- die Katze", None, "", "a", "!!", "Ünïcödé  wörd\n\nZ", "ab   " * 400 + "cd", " x" * 700, "abc" * 500]
+    for limit in (1 << 20, 64, 7):
+        monkeypatch.setattr(language_id, "CHUNK_BYTES", limit)
+        sums, counts = language_id.logit_sums(pa.array(texts), table)
+        for t, s, n in zip(texts, sums, counts):
+            want = naive_subwords(t)
+            assert n == sum(want.values()) and np.allclose(s, sum((table[b] * c for b, c in want.items()), np.zeros(3)))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(["x"] * len(texts))], names=["doc_id", "text", "label"])
+        found = {}
+        for b in language_id._counted(iter([batch])):
+            for d, _, used, count in zip(*(c.to_pylist() for c in b.columns)):
+                found[d] = dict(zip(np.frombuffer(used, "<i4").tolist(), np.frombuffer(count, "<f4").tolist()))
+        assert found == {i: w for i, t in enumerate(texts) if (w := naive_subwords(t))}
+
+
+def test_long_texts_are_one_piece(monkeypatch):
+    """Texts of 3 MB in parts and at once: subwords, statistics and windows are the same."""
+    texts = pa.array(["short one", long_text(1), None, long_text(2, line=False), "x" * 1_500_000 + " tail of few words"])
+    table = np.random.default_rng(2).normal(size=(language_id.BUCKETS, 3))
+    m = toxicity._initial(np.random.default_rng(1).normal(size=1 << toxicity.WORD_BITS), np.zeros(1 << toxicity.CHAR_BITS, np.float32))
+    stride = 16
+
+    def all_windows():
+        out = {}
+        for chunk in toxicity.parts(texts):
+            w = toxicity.Words(chunk)
+            for piece, begin, length in zip(w.piece, w.begin, w.length):
+                span = chunk.data[w.starts[begin] : w.ends[begin + length - 1]].tobytes() if length else b""
+                out.setdefault(int(chunk.docs[piece]), []).append(hash(span))
+        return out
+
+    got = language_id.logit_sums(texts, table), quality.statistics(texts), all_windows()
+    sample = pa.array([long_text(3, 120_000), long_text(4, 70_000, line=False), "few words"])
+    for module in (language_id, quality, toxicity):
+        monkeypatch.setattr(module, "CHUNK_BYTES", 1 << 30)
+    once = language_id.logit_sums(texts, table), quality.statistics(texts), all_windows()
+    assert np.allclose(got[0][0], once[0][0]) and (got[0][1] == once[0][1]).all() and np.allclose(got[1], once[1]) and got[2] == once[2]
+    whole = toxicity.text_logits(sample, m)
+    odds = np.random.default_rng(3).normal(size=1 << toxicity.WORD_BITS)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), sample, pa.array([0, 1, 1])], names=["doc_id", "text", "label"])
+    tables = [[b.to_pylist() for b in toxicity._candidates(odds)(iter([batch]))], [b.to_pylist() for b in toxicity._presence(iter([batch]))]]
+    monkeypatch.setattr(toxicity, "CHUNK_BYTES", 20_000)
+    assert np.allclose(toxicity.text_logits(sample, m), whole, atol=1e-4) and stride == toxicity.STRIDE
+    assert [[b.to_pylist() for b in toxicity._candidates(odds)(iter([batch]))], [b.to_pylist() for b in toxicity._presence(iter([batch]))]] == tables
+
+
 def test_language_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     got = registry.QUERIES["op6_language_id"](spark, sf).join(docs, "doc_id").where("held_out")
@@ -91,6 +171,54 @@ def test_toxicity_gradients():
             assert abs((f[0] - f[1]) / 2e-2 - g[name][1, 2]) < 5e-3 * max(1, abs(g[name][1, 2]))
 
 
+def slow_score(text, m):
+    """Highest logit of a text's windows, word by word and number by number."""
+    import math
+    import re
+
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())
+    H = toxicity.HIDDEN
+
+    def vector(word):
+        data = np.frombuffer(word, np.uint8)
+        h = common.span_hashes(common.prefix_sums(data, common.LOWER_VALUES), np.array([0]), np.array([len(data)]))[0]
+        b = [1, *word.lower(), 2] if word.isascii() else [1, *(x + 32 if 65 <= x <= 90 else x for x in word), 2]
+        chars = [m["char"][(((b[i - 1] * 263 + b[i]) * 263 + b[i + 1]) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - toxicity.CHAR_BITS)] for i in range(1, len(b) - 1)]
+        return [*m["word"][int(h) >> (64 - toxicity.WORD_BITS)], *(sum(c[d] for c in chars) / len(chars) for d in range(toxicity.CHAR_DIM))]
+
+    def gru(way, xs):
+        h, out = [0.0] * H, []
+        for x in xs:
+            a = [sum(v * m[f"w{way}"][i, k] for i, v in enumerate(x)) + m[f"b{way}"][k] for k in range(3 * H)]
+            g = [sum(h[i] * m[f"u{way}"][i, k] for i in range(H)) for k in range(3 * H)]
+            z, r = [sig(a[k] + g[k]) for k in range(H)], [sig(a[H + k] + g[H + k]) for k in range(H)]
+            n = [math.tanh(a[2 * H + k] + r[k] * g[2 * H + k]) for k in range(H)]
+            h = [(1 - z[k]) * n[k] + z[k] * h[k] for k in range(H)]
+            out.append(h)
+        return out
+
+    starts = sorted({*range(0, max(len(words) - toxicity.WINDOW, 0), toxicity.STRIDE), max(len(words) - toxicity.WINDOW, 0)})
+    best = -math.inf
+    for s in starts:
+        xs = [vector(w) for w in words[s : s + toxicity.WINDOW]]
+        states = [f + b for f, b in zip(gru("f", xs), gru("b", xs[::-1])[::-1])]
+        e = [sum(math.tanh(sum(h[i] * m["a"][i, j] for i in range(2 * H))) * m["v"][j] for j in range(toxicity.ATTEND)) for h in states]
+        top = max(e, default=0)
+        alpha = [math.exp(v - top) for v in e]
+        context = [sum(a * h[i] for a, h in zip(alpha, states)) / sum(alpha) for i in range(2 * H)] if xs else [0.0] * (2 * H)
+        best = max(best, sum(c * o for c, o in zip(context, m["o"])) + float(m["c"][0]))
+    return best
+
+
+def test_toxicity_is_the_slow_network():
+    rng = np.random.default_rng(6)
+    m = toxicity._initial(rng.normal(size=1 << toxicity.WORD_BITS), rng.normal(size=1 << toxicity.CHAR_BITS))
+    m |= {k: rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in m.items() if k[0] == "b" or k == "c"}
+    texts = ["", "One two, THREE", "été Über naïve 12 " * 3, None, " ".join(f"w{i % 17}" for i in range(32)), " ".join(f"w{i % 17}x" for i in range(33)), " ".join(f"v{i * i % 23}" for i in range(75))]
+    assert np.allclose(toxicity.text_logits(pa.array(texts), m), [slow_score(t, m) for t in texts], atol=1e-4)
+
+
 def test_toxicity_held_out(spark, sf):
     sf = sf.replace("sf0.001", "sf0.1")  # thousands of labels: the labels are noisy
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -136,6 +264,49 @@ def test_fourier_features_approximate_the_kernel():
     assert np.abs(z @ z.T - exact).max() < 0.35 and np.abs(z @ z.T - exact).mean() < 0.08
 
 
+def naive_statistics(text):
+    """The statistics of one text, by loops over its bytes, words and lines."""
+    import math
+    import re
+
+    b = (text or "").encode()
+    names = list(quality.CLASSES)
+    count = dict.fromkeys(names, 0)
+    for x in b:
+        for name in names:
+            if quality.CLASSES[name][x]:
+                count[name] += 1
+                break
+    words, lines, tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+", b), re.findall(rb"[^\n]+", b), re.findall(rb"[^ \t-\r]+", b)
+    low = lambda x: bytes(c + 32 if 65 <= c <= 90 else c for c in x)
+    n, w, ln = [len(x) for x in words], max(len(words), 1), max(len(lines), 1)
+    mean = sum(n) / w
+    spread = math.sqrt(max(sum(k * k for k in n) / w - mean**2, 0))
+    capital = sum(len(x) > 1 and all(65 <= c <= 90 for c in x) for x in words)
+    rest = [math.log1p(len(b)), math.log1p(len(words)), mean, spread, sum(k <= 3 for k in n) / w, capital / w, len({low(x) for x in words}) / w, math.log1p(len(lines)), len({low(x) for x in lines}) / ln, math.log1p(len(b) / ln), len(words) / max(len(tokens), 1), math.log1p(len(tokens) / ln), len(b) / (len(tokens) + 1)]
+    return [math.sqrt(count[name] / max(len(b), 1)) for name in names] + rest
+
+
+def test_quality_statistics_are_naive():
+    texts = ["", None, "Hello, World! HELLO world\nhello world\n\n", "A b CC 12 | x_y #tag (q) 'z'\ttab", "été ÉTÉ é\nété", long_text(7, 20_000), "\n\n", "same line\n" * 40]
+    assert np.allclose(quality.statistics(pa.array(texts)), [naive_statistics(t) for t in texts])
+
+
+def test_quality_fit_is_a_closed_form_ridge(spark):
+    """Weights from partition sums against one solve over all rows."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, quality.STATS)) * rng.uniform(0.5, 3, quality.STATS)
+    y = (x[:, 0] + 0.3 * rng.normal(size=400) > 0).astype(int)
+    rows = [(i, x[i].tolist()) for i in range(400)]
+    m = quality.fit(spark.createDataFrame(rows, "doc_id long, stats array<double>").repartition(7), spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int"))
+    own = {"mean": x.mean(0), "scale": np.maximum(x.std(0), 1e-3), "freq": m["freq"], "phase": m["phase"]}
+    z = quality.fourier(x, own)
+    want = np.linalg.solve(z.T @ z + quality.RIDGE * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(z @ m["weight"], z @ want, atol=1e-6) and np.allclose(m["mean"], x.mean(0))
+    share = [np.mean(y[np.clip(np.round(z @ m["weight"] * quality.BINS), 0, quality.BINS - 1) >= k]) for k in (100, 256, 400)]
+    assert (np.diff(m["bins"]) >= 0).all() and share[0] <= share[2]
+
+
 def test_quality_accuracy(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")  # a few hundred labels at least
     labels = spark.read.parquet(f"{sf}/labels.parquet")
