@@ -109,6 +109,21 @@ def multikey_quicksort(words: np.ndarray, small: int = 1024) -> np.ndarray:
     return order
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers for a message: their number of bytes, then all first bytes, all second bytes and so on, compressed."""
+    raw_bytes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T).tobytes()
+    return len(raw_bytes).to_bytes(8, "little") + _ZSTD.compress(raw_bytes, asbytes=True)
+
+
+def _unpack(message: bytes, kind: str) -> np.ndarray:
+    size, width = int.from_bytes(message[:8], "little"), np.dtype(kind).itemsize
+    data = np.frombuffer(_ZSTD.decompress(message[8:], size, asbytes=True) if size else b"", np.uint8)
+    return np.ascontiguousarray(data.reshape(width, -1).T).view(kind).ravel()
+
+
 class Block:
     """The documents of a block that take part, one after the other."""
 
@@ -182,7 +197,7 @@ def _shared_hashes(bits: int):
         h = h[first]
         shard = (h >> np.uint64(32)).astype(np.int64)
         head = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(h) else np.zeros(0, np.int64)
-        rows = [(int(shard[a]), int(key[0].as_py()), h[a:z].astype("<u4").tobytes(), np.packbits(many[a:z]).tobytes()) for a, z in zip(head, np.append(head[1:], len(h)))]
+        rows = [(int(shard[a]), int(key[0].as_py()), _pack(np.diff(h[a:z].astype("<u4"), prepend=np.uint32(0))), np.packbits(many[a:z]).tobytes()) for a, z in zip(head, np.append(head[1:], len(h)))]
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["shard", "block", "hashes", "many"])
 
     return listed
@@ -193,7 +208,7 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, many, blocks, shard = [], [], [], 0
     for batch in batches:
         for s, block, h, m in zip(*(c.to_pylist() for c in batch.columns)):
-            hashes.append(np.frombuffer(h, "<u4")), blocks.append(block)
+            hashes.append(np.cumsum(_unpack(h, "<u4"), dtype=np.uint32)), blocks.append(block)
             many.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(hashes[-1])).astype(bool))
             shard = s
     h, of = np.concatenate(hashes), np.repeat(np.arange(len(blocks)), [len(x) for x in hashes])
@@ -206,7 +221,7 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shared[order] |= same
     h, of = h[shared], of[shared]
     cut = np.searchsorted(of, np.arange(len(blocks) + 1))
-    rows = [(blocks[i], shard, h[cut[i] : cut[i + 1]].tobytes()) for i in range(len(blocks)) if cut[i] < cut[i + 1]]
+    rows = [(blocks[i], shard, _pack(np.diff(h[cut[i] : cut[i + 1]], prepend=np.uint32(0)))) for i in range(len(blocks)) if cut[i] < cut[i + 1]]
     for lo in range(0, len(rows), 2000):
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[lo : lo + 2000]], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["block", "shard", "hashes"])
 
@@ -236,7 +251,7 @@ def _cut(bits: int, splitters: np.ndarray):
         block = int(key[0].as_py())
         b = Block(left)
         p, h, lo, hi = b.anchors()
-        wanted = [np.frombuffer(x, "<u4").astype(np.uint64) | (np.uint64(s) << np.uint64(32)) for s, x in zip(right.column("shard").to_pylist(), right.column("hashes").to_pylist())]
+        wanted = [np.cumsum(_unpack(x, "<u4"), dtype=np.uint32).astype(np.uint64) | (np.uint64(s) << np.uint64(32)) for s, x in zip(right.column("shard").to_pylist(), right.column("hashes").to_pylist())]
         wanted = np.sort(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
         h >>= np.uint64(64 - 32 - bits)
         at = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
@@ -253,7 +268,7 @@ def _cut(bits: int, splitters: np.ndarray):
             mine = d == d[np.flatnonzero(first)][group]
             gone = order[~mine]
             if len(gone):
-                rows.append((-1, block, ids[gone].astype("<i8").tobytes(), b"", b"", np.stack([p[gone] - hi[gone] - b.starts[doc[gone]], p[gone] - lo[gone] + LENGTH - b.starts[doc[gone]]], 1).astype("<i8").tobytes()))
+                rows.append((-1, block, _pack(ids[gone].astype("<i8")), b"", b"", _pack(np.stack([p[gone] - hi[gone] - b.starts[doc[gone]], p[gone] - lo[gone] + LENGTH - b.starts[doc[gone]]], 1).astype("<i4").ravel())))
             heads = order[first]
             context = context[heads]
             bucket = np.searchsorted(splitters, _as_strings(in_order(context)), "right")
@@ -270,7 +285,7 @@ def _cut(bits: int, splitters: np.ndarray):
                 i = heads[by[k:z]]
                 x, y = np.searchsorted(number_of, (k, z))
                 places = np.stack([number_of[x:y] - k, p[place[x:y]] - b.starts[doc[place[x:y]]]], 1).astype("<i4")
-                rows.append((int(bucket[by[k]]), block, ids[i].astype("<i8").tobytes(), np.stack([lo[i], hi[i]], 1).astype(np.uint8).tobytes(), context[by[k:z]].tobytes(), places.tobytes()))
+                rows.append((int(bucket[by[k]]), block, _pack(ids[i].astype("<i8")), np.stack([lo[i], hi[i]], 1).astype(np.uint8).tobytes(), _pack(context[by[k:z]].ravel()), _pack(places.ravel())))
         return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_SUFFIXES)], names=[n for n, _ in _SUFFIXES])
 
     return suffixes
@@ -339,7 +354,7 @@ def _compared(splitters: np.ndarray):
                     yield _runs([block], [docs], [places])
                 else:
                     number = bucket
-                    parts.append((block, np.frombuffer(docs, "<i8"), np.frombuffer(reach, np.uint8).reshape(-1, 2), np.frombuffer(context, np.uint8).reshape(-1, CONTEXT), np.frombuffer(places, "<i4").reshape(-1, 2).astype(np.int64)))
+                    parts.append((block, _unpack(docs, "<i8"), np.frombuffer(reach, np.uint8).reshape(-1, 2), _unpack(context, "u1").reshape(-1, CONTEXT), _unpack(places, "<i4").reshape(-1, 2).astype(np.int64)))
         if not parts:
             return
         docs, reach, context = (np.concatenate([x[k] for x in parts]) for k in (1, 2, 3))
@@ -353,7 +368,7 @@ def _compared(splitters: np.ndarray):
             if len(r):
                 which, p, doc = _of_places(r, places, ids)
                 pair = np.stack([p - (z[which] - 1), p - a[which] + LENGTH], 1)
-                yield _runs([block], [doc.astype("<i8").tobytes()], [pair.astype("<i8").tobytes()])
+                yield _runs([block], [_pack(doc.astype("<i8"))], [_pack(pair.astype("<i4").ravel())])
             r, o = np.nonzero(still)
             for lo in range(0, len(r), 20000):
                 which, p, doc = _of_places(r[lo : lo + 20000], places, ids)
@@ -393,8 +408,8 @@ def _finished(with_text: bool, id_type: pa.DataType):
         b = Block(left)
         one = right.filter(pa.compute.is_valid(right.column("doc")))
         doc, start = one.column("doc").to_numpy(), one.column("start").to_numpy()
-        docs = np.concatenate([doc, *(np.frombuffer(x, "<i8") for x in right.column("docs").to_pylist() if x is not None)])
-        runs = np.concatenate([np.stack([start, start + LENGTH], 1), *(np.frombuffer(x, "<i8").reshape(-1, 2) for x in right.column("runs").to_pylist() if x is not None)])
+        docs = np.concatenate([doc, *(_unpack(x, "<i8") for x in right.column("docs").to_pylist() if x is not None)])
+        runs = np.concatenate([np.stack([start, start + LENGTH], 1), *(_unpack(x, "<i4").reshape(-1, 2) for x in right.column("runs").to_pylist() if x is not None)])
         by = np.lexsort((runs[:, 0], docs))
         docs, runs = docs[by], runs[by]
         lo, hi = np.searchsorted(docs, b.ids), np.searchsorted(docs, b.ids, "right")
