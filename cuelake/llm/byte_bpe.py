@@ -4,8 +4,9 @@ its leftmost minimum-rank pair, by hashed pair lookup and compaction.
 A text is cut by the tokenizer's pattern; each piece is encoded alone. Within an Arrow batch the distinct pieces are put into
 matrices of like length, one row a piece, one column a token. A round looks up the ranks of all neighbouring pairs in an
 open-addressing table, finds each row's leftmost smallest rank, writes the merged token and closes the gap; rows without a
-pair leave the matrix. Encoded pieces are kept for later batches of the task up to ``CACHE`` pieces. Pieces over ``LONG`` bytes
-(a run of one kind of character can be a whole text) are merged with the same rule over a linked list and a heap, in time n log n.
+pair leave the matrix. Encoded pieces are kept for later batches of the task up to ``CACHE`` pieces. In the matrices of pieces over
+``LONG`` bytes (a run of one kind of character can be a whole text) a row is cut into blocks of columns whose smallest ranks are kept,
+so that a round looks at those and at the blocks it changes; gaps are skipped by links and closed when the row is done.
 
 Edge cases: a null or empty text has no tokens and decodes to nothing; text is taken as its UTF-8 bytes, special-token strings are
 ordinary text; ids outside the vocabulary raise ValueError when decoding; extra columns pass through, columns named as
@@ -15,7 +16,6 @@ the results are replaced.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_udf, tune, without
 
-LONG = 64
+LONG, BLOCK, CELLS = 64, 64, 1 << 20
 CACHE = 400_000
 NO_RANK = np.int32(2**31 - 1)
 
@@ -135,34 +135,46 @@ class Ranks:
                 ok = (k >= 0) & (k + 1 < tokens.shape[1])
                 ranks[at[ok], k[ok]] = self.pair_ranks(tokens[at[ok], k[ok]], tokens[at[ok], k[ok] + 1])
 
-    def encode_long(self, piece: bytes) -> bytes:
-        """The same merges for one long piece: leftmost smallest rank first, from a heap of (rank, position)."""
-        ids = self.of_byte[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        nxt, prv, ranks, bytes_of = [*range(1, n + 1)], [*range(-1, n - 1)], self.ranks, self.bytes_of
-
-        def rank(i: int) -> int | None:
-            j = nxt[i]
-            return None if j >= n else ranks.get(bytes_of[ids[i]] + bytes_of[ids[j]])
-
-        heap = [(r, i) for i in range(n - 1) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if ids[i] < 0 or rank(i) != r:
-                continue
-            j = nxt[i]
-            ids[i], ids[j] = r, -1
-            nxt[i] = nxt[j]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-            for k in (prv[i], i):
-                if k >= 0 and (x := rank(k)) is not None:
-                    heapq.heappush(heap, (x, k))
-        return np.array([i for i in ids if i >= 0], "<u4").tobytes()
+    def encode_wide(self, pieces: list[bytes]) -> list[bytes]:
+        """Token ids of long pieces of like length: the same rounds, with links over gaps and the smallest rank of each block."""
+        count = np.array([len(p) for p in pieces])
+        rows, blocks = len(pieces), -(-int(count.max()) // BLOCK)
+        width = blocks * BLOCK
+        flat = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(rows, width)
+        column = np.arange(width, dtype=np.int32)
+        tokens = np.where(column < count[:, None], self.of_byte[flat], np.int32(-1))
+        ranks = np.full((rows, width), NO_RANK)
+        ranks[:, :-1] = self.pair_ranks(tokens[:, :-1], tokens[:, 1:])
+        after, before = np.tile(column + 1, (rows, 1)), np.tile(column - 1, (rows, 1))
+        by_block = ranks.reshape(rows, blocks, BLOCK)
+        least = by_block.min(2)
+        row = np.arange(rows)
+        while True:
+            block = least[row].argmin(1)
+            low = least[row, block]
+            more = low != NO_RANK
+            if not more.all():
+                row, block, low = row[more], block[more], low[more]
+            if not len(row):
+                break
+            at = block * BLOCK + by_block[row, block].argmin(1)
+            gone = after[row, at]
+            tokens[row, at], tokens[row, gone], ranks[row, gone] = low, -1, NO_RANK
+            right = after[row, gone]
+            after[row, at] = right
+            left = before[row, at]
+            inside = right < width
+            before[row[inside], right[inside]] = at[inside]
+            ranks[row, at] = np.where(inside, self.pair_ranks(low, tokens[row, np.minimum(right, width - 1)]), NO_RANK)
+            has = left >= 0
+            ranks[row[has], left[has]] = self.pair_ranks(tokens[row[has], left[has]], low[has])
+            for changed in (at, gone, np.maximum(left, 0)):
+                k = changed // BLOCK
+                least[row, k] = by_block[row, k].min(1)
+        return [t[t >= 0].astype("<u4").tobytes() for t in tokens]
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Token ids of each piece; pieces of 1-4, 5-8, 9-12, ... bytes share a matrix."""
+        """Token ids of each piece. Pieces of 1-4, 5-8, 9-12, ... bytes share a matrix; over LONG bytes, those up to an eighth longer."""
         out: list[bytes | None] = [None] * len(pieces)
         groups: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
@@ -170,13 +182,14 @@ class Ranks:
             if token is not None:
                 out[i] = token.to_bytes(4, "little")
             elif len(p) > LONG:
-                out[i] = self.encode_long(p)
+                groups.setdefault(-int(np.log(len(p)) / np.log(1.125)), []).append(i)
             else:
                 groups.setdefault((len(p) + 3) // 4, []).append(i)
-        for group in groups.values():
-            for lo in range(0, len(group), 8192):
-                part = group[lo : lo + 8192]
-                for i, ids in zip(part, self.encode_matrix([pieces[i] for i in part])):
+        for kind, group in groups.items():
+            encode, rows = (self.encode_matrix, 8192) if kind >= 0 else (self.encode_wide, max(1, int(CELLS / 1.125 ** (1 - kind))))
+            for lo in range(0, len(group), rows):
+                part = group[lo : lo + rows]
+                for i, ids in zip(part, encode([pieces[i] for i in part])):
                     out[i] = ids
         return out
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def tune(spark: SparkSession) -> None:

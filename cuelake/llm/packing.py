@@ -76,6 +76,8 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int = CAPACI
 
 
 def _packed(capacity: int, per_source: int, id_type: pa.DataType):
+    none = "" if pa.types.is_string(id_type) else 0
+
     def shard(key, table):
         rows = table.select(["doc_id", "length", "source", "cluster"]).to_pylist()
         pieces = []
@@ -84,7 +86,7 @@ def _packed(capacity: int, per_source: int, id_type: pa.DataType):
             pieces += [(-capacity, r["doc_id"], k, r["source"], r["cluster"]) for k in range(whole)]
             if rest:
                 pieces.append((-rest, r["doc_id"], whole, r["source"], r["cluster"]))
-        pieces.sort(key=lambda p: (p[0], p[1] is not None, p[1] or 0, p[2]))
+        pieces.sort(key=lambda p: (p[0], p[1] is not None, p[1] if p[1] is not None else none, p[2]))
         placed = pack([-p[0] for p in pieces], [p[3] for p in pieces], [p[4] for p in pieces], capacity, per_source)
         name = f"{key[0].as_py():06d}-"
         return pa.table([

@@ -102,6 +102,14 @@ def test_packing_places_every_word_once(spark):
     assert packing.packed(packing.measured(docs.where("false"))).count() == 0
 
 
+def test_packing_with_text_ids_and_clashing_columns(spark):
+    rows = [("", "a b", "s", 1, "x"), (None, "c d", "s", 2, "x"), ("9", "e f", None, 3, "x"), ("10", None, "s", 4, "x"), (None, "c d", "s", 2, "x")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string, length int, cluster string")
+    got = packing.packed(packing.measured(docs), capacity=4).collect()
+    assert sorted(("-" if r["doc_id"] is None else r["doc_id"], r["length"]) for r in got) == [("", 2), ("-", 2), ("-", 2), ("10", 0), ("9", 2)]
+    assert [r["bin_id"] for r in got if r["length"] == 0] == [None]
+
+
 def test_packing_query_is_best_fit_in_each_shard(spark, sf):
     """The query itself on more documents than a shard holds, against brute force shard by shard."""
     sf = sf.replace("sf0.001", "sf0.1")
@@ -492,15 +500,15 @@ def test_jpeg_refinement_is_slow_refinement():
 def test_jpeg_columns(spark):
     docs = frame(spark, [(1, None), (2, ""), (3, "x" * 1000), (4, "é" * 400), (4, "é" * 400), (5, "привет, мир " * 300), (6, "字" * 700_000)])
     media = progressive_jpeg.stored(docs)
-    rows = progressive_jpeg.colours(progressive_jpeg.decoded(media, with_payload=True)).collect()
+    rows = progressive_jpeg.decoded(media, with_payload=True).collect()
     for r in rows:
         p = progressive_jpeg.padded((r["text"] or "").encode())
         image = progressive_jpeg.tensors([bytes(r["media"])])[0]
         assert bytes(r["image"]["payload"]) == p and bytes(r["image"]["rgb"]) == image.tobytes() and image.shape == (r["image"]["height"], r["image"]["width"], 3)
-        assert np.allclose(r["colours"], image.reshape(-1, 3).mean(0)) and image.shape[1] == (32 if r["doc_id"] == 6 else 16)
-    assert len({tuple(r["colours"]) for r in rows if r["doc_id"] == 4}) == 1 and len(rows) == 7
+        assert image.shape[1] == (32 if r["doc_id"] == 6 else 16)
+    assert len({bytes(r["image"]["rgb"]) for r in rows if r["doc_id"] == 4}) == 1 and len(rows) == 7
     nothing = spark.createDataFrame([(1, None)], "doc_id long, media binary")
-    assert progressive_jpeg.colours(progressive_jpeg.decoded(nothing)).first()["colours"] is None
+    assert progressive_jpeg.decoded(nothing).first()["image"] is None
     assert progressive_jpeg.decoded(progressive_jpeg.stored(frame(spark, []))).count() == 0
 
 
@@ -515,7 +523,7 @@ def test_jpeg_chroma_of_the_stored_form():
         for c in p.components:
             own = s[p.base + c["base"] : p.base + c["base"] + c["rows"] * c["columns"]].reshape(c["rows"], c["columns"], 8, 8).transpose(0, 2, 1, 3).reshape(c["rows"] * 8, -1)
             planes.append(np.repeat(np.repeat(own, 2 // c["v"], 0), 2 // c["h"], 1))
-        assert (J._rgb(*planes) == got).all() and got.shape == (p.height, p.width, 3)
+        assert (J._coloured(planes[0], J._tints(*planes[1:])) == got).all() and got.shape == (p.height, p.width, 3)
 
 
 def test_media_query(spark, sf):
@@ -525,6 +533,8 @@ def test_media_query(spark, sf):
     for doc_id, text in texts:
         raw = (text or "").encode()
         p = progressive_jpeg.padded(raw)
+        image = progressive_jpeg.tensors(progressive_jpeg.write([p]))[0]
+        assert rows[doc_id]["feature"] == f"{image.shape[0]}x{image.shape[1]} rgb={zlib.crc32(image.tobytes()):08x}"
         assert (rows[doc_id]["n_bytes"], rows[doc_id]["payload_bytes"], rows[doc_id]["payload_sha256"], rows[doc_id]["tail_crc32"]) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
 
 

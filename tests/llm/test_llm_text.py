@@ -333,10 +333,31 @@ def test_bpe_is_tiktoken(ranks):
     assert [ranks.decode(g).decode() for g in got[:-1]] == TEXTS
 
 
-def test_bpe_matrix_and_list_agree(ranks):
+def slow_merges(ranks, piece):
+    """The leftmost pair of smallest rank, again and again."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        best = min(((ranks.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks.ranks), default=None)
+        if best is None:
+            return np.array([ranks.ranks[p] for p in parts], "<u4").tobytes()
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+
+def test_bpe_matrices_are_slow_merges(ranks):
     rng = np.random.default_rng(0)
-    pieces = [bytes(rng.choice(list(b"aeinrst thoud"), n).astype(np.uint8)) for n in rng.integers(2, 60, 300)]
-    assert ranks.encode_pieces(pieces) == [ranks.encode_long(p) for p in pieces]
+    pieces = [bytes(rng.choice(list(b"aeinrst thoud"), n).astype(np.uint8)) for n in [*rng.integers(2, 60, 200), *rng.integers(60, 400, 60), 64, 65, 128, 129, 700]]
+    pieces += [b"ab" * 100, b"a" * 333, "字符串编码测试".encode() * 20, "ß".encode() * 70, bytes(range(256))]
+    assert ranks.encode_pieces(pieces) == [slow_merges(ranks, p) for p in pieces]
+
+
+def test_bpe_long_pieces_are_tiktoken(ranks):
+    """Paragraphs without a space, and one piece of a quarter of a megabyte."""
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=ranks.pattern, mergeable_ranks=ranks.ranks, special_tokens={})
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x5200, n))) for n in (30, 400, 3000)] + ["".join(rng.choice(list("abcdefg"), 250_000))]
+    assert byte_bpe.Encoder(ranks)(texts) == [np.array(own.encode_ordinary(t), "<u4").tobytes() for t in texts]
 
 
 def test_bpe_query(spark, sf, ranks):
