@@ -52,7 +52,7 @@ SPLIT_TEXTS, SPLIT_TOKENS, OVERSAMPLED = 2000, 24, 16
 SLICE = 1 << 19
 _POS = np.uint64((1 << 20) - 1)
 
-OUT = "doc_id {id}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>, kept binary"
+OUT = "doc_id {id}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>, kept binary, text_sha256 string"
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -427,9 +427,9 @@ def _finished(with_text: bool, id_type: pa.DataType):
                 kept.append(text[at:s])
                 at = e
             kept = b"".join(x.tobytes() for x in [*kept, text[at:]])
-            rows.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "stop": e} for s, e in spans] if with_text else None, kept.decode(errors="ignore").encode() if with_text else None))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary())
-        return pa.table([pa.array(b.ids, id_type), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+            rows.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "stop": e} for s, e in spans] if with_text else None, kept.decode(errors="ignore").encode() if with_text else None, hashlib.sha256(text).hexdigest() if with_text else None))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary(), pa.string())
+        return pa.table([pa.array(b.ids, id_type), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "text_sha256"])
 
     return merged
 
@@ -465,8 +465,8 @@ def splitters(texts: DataFrame, rows: int, buckets: int) -> np.ndarray:
 
 
 def deduplicated(docs: DataFrame, text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with ``with_text`` also the removed spans and the kept
-    text as bytes (without characters that a cut has broken). doc_id must be an integer."""
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with ``with_text`` also the removed spans, the kept
+    text as bytes (without characters that a cut has broken), and a checksum of the text before. doc_id must be an integer."""
     spark = docs.sparkSession
     tune(spark)
     kind = dict(docs.dtypes)["doc_id"]
@@ -498,9 +498,9 @@ def deduplicated(docs: DataFrame, text_col: str = "text", with_text: bool = Fals
     done = groups.cogroup(side.groupBy("block")).applyInArrow(_finished(with_text, id_type), OUT.format(id=kind))
     text = F.coalesce(F.col("text"), F.lit(""))
     spans_type = "array<struct<start:long,stop:long>>"
-    rest = source.where("doc_id is null").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), (F.array().cast(spans_type) if with_text else none(spans_type)).alias("spans"), (text.cast("binary") if with_text else none("binary")).alias("kept"))
+    rest = source.where("doc_id is null").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), (F.array().cast(spans_type) if with_text else none(spans_type)).alias("spans"), (text.cast("binary") if with_text else none("binary")).alias("kept"), (F.sha2(text, 256) if with_text else none("string")).alias("text_sha256"))
     done = done.union(rest)
-    return done if with_text else done.drop("spans", "kept")
+    return done if with_text else done.drop("spans", "kept", "text_sha256")
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
