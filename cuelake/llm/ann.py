@@ -3,7 +3,8 @@
 Inner products become distances by one more component (sqrt(M^2 - |x|^2), M the largest length; 0 for queries). For each of
 ``CURVES`` curves the vectors are projected to ``DIMS`` random directions, made even by the normal distribution function, shifted
 and numbered along a Hilbert curve. Spark range-partitions and sorts the keys of every curve; running counts give each vector its
-place on the curve, and ``CELL_ROWS`` places in a row are a cell, however many vectors share a key. A query takes the curves on
+place on the curve, and ``CELL_ROWS`` to ``CELL_MOST`` places in a row are a cell (so many that a window has about ``CELLS``), however
+many vectors share a key. A query takes the curves on
 whose directions it lies farthest out, where neighbours stand out most, and on each the window of so many places on either side
 of its own key; in the window's cells it is compared with all vectors in double precision, and the best of all windows are
 merged and ranked.
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import durable, tune
 
-CURVES, DIMS, BITS, CELL_ROWS = 16, 4, 10, 1024
+CURVES, DIMS, BITS = 16, 4, 10
+CELL_ROWS, CELL_MOST, CELLS = 1024, 1 << 16, 16
 SAMPLE, TARGET = 100, 0.95
 
 
@@ -176,7 +178,8 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def fitted(entries: DataFrame, queries: DataFrame, places: DataFrame, sizes: DataFrame, k: int, target: float, sample: int) -> DataFrame:
-    """(n, turns, width) of each length n: the number of curves a query takes and the places on either side of its key."""
+    """(n, held, turns, width, rows) of each length n: its entries, the number of curves a query takes, the places on either side of its
+    key, and the places of a cell."""
     chosen = queries.withColumn("_r", F.row_number().over(Window.partitionBy("n").orderBy(F.xxhash64("rep"), "rep"))).where(F.col("_r") <= sample).select("n", F.col("rep").alias("query"), "embedding")
     asked: dict[int, list] = {}
     for r in chosen.collect():  # at most ``sample`` vectors of each length
@@ -202,7 +205,8 @@ def fitted(entries: DataFrame, queries: DataFrame, places: DataFrame, sizes: Dat
     cost = F.col("turns") * F.least(2 * F.col("width") + CELL_ROWS, F.col("held"))
     best = widths.join(sizes.select("n", "held"), "n").groupBy("n").agg(F.min(F.struct(cost.alias("cost"), "turns", "width")).alias("_b")).select("n", "_b.turns", "_b.width")
     # a length without neighbours to learn from is searched whole
-    return sizes.select("n", "held").join(best, "n", "left").select("n", "held", F.coalesce("turns", F.lit(1)).alias("turns"), F.coalesce("width", "held").alias("width"))
+    found = sizes.select("n", "held").join(best, "n", "left").select("n", "held", F.coalesce("turns", F.lit(1)).alias("turns"), F.coalesce("width", "held").alias("width"))
+    return found.withColumn("rows", F.greatest(F.lit(CELL_ROWS), F.least(F.lit(CELL_MOST), F.ceil(2 * F.col("width") / CELLS))))
 
 
 def neighbours(vectors: DataFrame, is_query, k: int = 20, target: float = TARGET, sample: int = SAMPLE, seed: int = 17) -> DataFrame:
@@ -222,8 +226,8 @@ def neighbours(vectors: DataFrame, is_query, k: int = 20, target: float = TARGET
     points = with_keys(entries.join(sizes.select("n", "longest"), "n"), False, seed).withColumn("asked", F.lit(False)).unionByName(mine)
     places = durable(placed(points))
     fit = durable(fitted(entries, queries, places, sizes, k, target, sample))
-    cell = lambda c: F.floor(c / CELL_ROWS)
-    cells = places.where("not asked").select("n", "curve", cell(F.col("place")).alias("cell"), "rep").join(entries.select("n", "rep", "low", "embedding"), ["n", "rep"])
+    cell = lambda c: F.floor(c / F.col("rows"))
+    cells = places.where("not asked").join(fit, "n").select("n", "curve", cell(F.col("place")).alias("cell"), "rep").join(entries.select("n", "rep", "low", "embedding"), ["n", "rep"])
     first, last = F.greatest(F.col("place") - F.col("width"), F.lit(0)), F.least(F.col("place") + F.col("width"), F.col("held") - 1)
     visits = places.where("asked").join(fit, "n").where("turn < turns").select(F.col("n").alias("at_n"), F.col("curve").alias("at_curve"), F.col("rep").alias("query"), F.explode(F.sequence(cell(F.least(first, F.col("held") - 1)), cell(last))).alias("at_cell"))
     visits = visits.join(queries.select(F.col("n").alias("at_n"), F.col("rep").alias("query"), F.col("embedding").alias("vector")), ["at_n", "query"])
