@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def interval_join(spans: DataFrame, points: DataFrame, on: str = "media_id", width_ms: int = 4000, closed: bool = True, how: str = "inner", start: str = "start_ms", end: str = "end_ms", t: str = "t_ms") -> DataFrame:
+def interval_join(spans: DataFrame, points: DataFrame, on: str = "media_id", width_ms: int = 4000, closed: bool = True, how: str = "inner", start: str = "start_ms", end: str = "end_ms", t: str = "t_ms", most_ms: int = 12 * 3600 * 1000) -> DataFrame:
     """Points with start <= t <= end (``closed``) or start <= t < end of each span. A span stands in each bucket that it touches, a
-    point in its own only, so every match comes once; a left join keeps spans without points once for each bucket."""
-    buckets = F.explode(F.sequence(F.floor(F.col(start) / width_ms), F.floor(F.greatest(F.col(start), F.col(end)) / width_ms)))
+    point in its own only, so every match comes once; a left join keeps spans without points once for each bucket. Of a span only the first ``most_ms`` are looked
+    at (longer media are not admitted), so that a damaged end does not make buckets without end."""
+    buckets = F.explode(F.sequence(F.floor(F.col(start) / width_ms), F.floor(F.greatest(F.col(start), F.least(F.col(end), F.col(start) + most_ms)) / width_ms)))
     a = spans.withColumn("_b", buckets).alias("a")
     b = points.withColumn("_b", F.floor(F.col(t) / width_ms)).alias("b")
     inside = (F.col(f"b.{t}") >= F.col(f"a.{start}")) & ((F.col(f"b.{t}") <= F.col(f"a.{end}")) if closed else (F.col(f"b.{t}") < F.col(f"a.{end}")))

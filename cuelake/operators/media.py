@@ -83,7 +83,7 @@ def _runs(frames: DataFrame, inside: Column, least_ms: int, strict: bool) -> Dat
 
 def _with_percentile(frames: DataFrame, p: float, sounding: bool) -> DataFrame:
     value = F.when(F.col("rms") > 0, F.col("rms")) if sounding else F.col("rms")
-    return frames.join(frames.groupBy("media_id").agg(F.percentile(value, p).alias("_p")), "media_id")
+    return frames.withColumn("_p", F.percentile(value, p).over(Window.partitionBy("media_id")))
 
 
 def detect_pauses(frames: DataFrame, min_ms: int = 300) -> DataFrame:

@@ -25,10 +25,10 @@ def chunk_manifest(media: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
 
 
 def work_units(chunks: DataFrame, languages: DataFrame, sdh: bool = True) -> DataFrame:
-    """Every (chunk, language, regular or SDH) with its generation method. languages is a small dimension (language, core) and
-    must be one; it is broadcast by its size in rows times chunks."""
+    """Every (chunk, language, regular or SDH) with its generation method. languages is a small dimension (language, core); the
+    result has a row for each chunk and language, as every one of them is work."""
     kinds = F.explode(F.array(F.lit(False), F.lit(True)) if sdh else F.array(F.lit(False))).alias("sdh")
-    units = chunks.crossJoin(F.broadcast(languages.select("language", "core"))).select("media_id", "chunk_no", "language", "core", kinds)
+    units = chunks.crossJoin(languages.select("language", "core")).select("media_id", "chunk_no", "language", "core", kinds)
     method = F.when(F.col("core"), "precision").when(F.col("sdh"), "dual").otherwise("standard")
     return units.select("media_id", "chunk_no", "language", "sdh", method.alias("method"))
 
@@ -37,7 +37,7 @@ def normalise_languages(requests: DataFrame, dim: DataFrame, most: int = 10) ->
     """Requested codes, trimmed and in lower case, with accepted or a reason: bad format, unsupported, duplicate, over the limit."""
     code = F.lower(F.trim(F.coalesce(F.col("language"), F.lit(""))))
     known = dim.select(F.col("language").alias("_k"))
-    r = requests.withColumn("code", code).join(F.broadcast(known), F.col("code") == F.col("_k"), "left")
+    r = requests.withColumn("code", code).join(known, F.col("code") == F.col("_k"), "left")
     bad = F.when(~F.col("code").rlike(r"^[a-z]{3}$"), "bad format").when(F.col("_k").isNull(), "unsupported")
     r = r.withColumn("_bad", bad)
     again = F.row_number().over(Window.partitionBy("job_id", "code", F.col("_bad").isNull()).orderBy("pos"))
@@ -61,23 +61,28 @@ def admit_media(media: DataFrame, limits: dict = LIMITS, formats: tuple[str, ...
     return media.withColumn("reasons", reasons).withColumn("accepted", F.size("reasons") == 0)
 
 
-def safe_output_name(media: DataFrame, most: int = 200) -> DataFrame:
+def safe_output_name(media: DataFrame, most: int = 200, bucket: int = 50_000) -> DataFrame:
     """Output names without characters that file systems refuse, at most ``most`` long with their extension; equal names are
-    numbered in order of media_id."""
+    numbered in order of media_id. They are counted within ranges of ``bucket`` ids, and ranges start from the totals of those before,
+    so that a common name is not one task."""
     base = F.regexp_extract("path", r"([^/]*)$", 1)
     clean = F.trim(F.translate(base, '<>:"/\\|?*', "_________"))
     clean = F.regexp_replace(clean, r"^[. ]+|[. ]+$", "")
     extension = F.regexp_extract(clean, r"(\.[^.]*)$", 1)
     stem = F.substring(clean, F.lit(1), F.char_length(clean) - F.char_length(extension))
     short = F.concat(F.substring(stem, F.lit(1), F.lit(most) - F.char_length(extension)), extension)
-    named = media.select("media_id", short.alias("name"))
-    again = F.row_number().over(Window.partitionBy("name").orderBy("media_id"))
-    return named.withColumn("_n", again).select("media_id", F.when(F.col("_n") == 1, F.col("name")).otherwise(F.concat("name", F.lit("~"), F.col("_n").cast("string"))).alias("name"))
+    named = media.select("media_id", short.alias("name"), F.floor(F.col("media_id") / bucket).alias("_b"))
+    totals = named.groupBy("name", "_b").count()
+    earlier = F.sum("count").over(Window.partitionBy("name").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    base = totals.select("name", "_b", F.coalesce(earlier, F.lit(0)).alias("_base"))
+    again = F.row_number().over(Window.partitionBy("name", "_b").orderBy("media_id"))
+    return named.withColumn("_i", again).join(base, ["name", "_b"]).withColumn("_n", F.col("_base") + F.col("_i")).select("media_id", F.when(F.col("_n") == 1, F.col("name")).otherwise(F.concat("name", F.lit("~"), F.col("_n").cast("string"))).alias("name"))
 
 
 def latest_states(states: DataFrame) -> DataFrame:
-    w = Window.partitionBy("job_id").orderBy(F.desc("updated_us"), F.desc("event_id"))
-    return states.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The last state of each job; the maximum is taken map-side."""
+    last = states.groupBy("job_id").agg(F.max_by(F.struct(*states.columns), F.struct("updated_us", "event_id")).alias("_m"))
+    return last.select("_m.*")
 
 
 def incomplete_jobs(states: DataFrame, path: str | None = None, id_part: str | None = None) -> DataFrame:

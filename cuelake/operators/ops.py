@@ -71,7 +71,7 @@ def call_rate(calls: DataFrame, quotas: DataFrame, keys: tuple[str, ...] = ("hos
     """Calls in the ``window_s`` seconds up to each call (the call itself counts), over quota or not, and the seconds to wait until the
     oldest of them has left the window."""
     w = Window.partitionBy(*keys).orderBy("t_s").rangeBetween(-(window_s - 1), 0)
-    x = calls.withColumn("recent", F.count("*").over(w)).withColumn("_first", F.min("t_s").over(w)).join(F.broadcast(quotas), "service", "left")
+    x = calls.withColumn("recent", F.count("*").over(w)).withColumn("_first", F.min("t_s").over(w)).join(quotas, "service", "left")
     over = F.col("recent") > F.col("quota")
     return x.withColumn("over", F.coalesce(over, F.lit(False))).withColumn("wait_s", F.when(over, F.col("_first") + window_s - F.col("t_s")).otherwise(0)).drop("_first")
 
@@ -84,7 +84,7 @@ def due_retries(queue: DataFrame, now_us: int) -> DataFrame:
 def classify_failures(logs: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     """Errors with retryable and action: by type, else by the message."""
     dim = dim if dim is not None else dims.frame(logs.sparkSession, FAILURES, "error_type, known_retry, known_action")
-    e = logs.where("level in ('ERROR', 'CRITICAL')").join(F.broadcast(dim), "error_type", "left")
+    e = logs.where("level in ('ERROR', 'CRITICAL')").join(dim, "error_type", "left")
     text = F.lower(F.coalesce("message", F.lit("")))
     says = F.exists(F.array(*map(F.lit, RETRYABLE)), lambda p: text.contains(p))
     action = F.when(text.contains("quota") | text.contains("rate limit"), "skip").when(text.contains("permission") | text.contains("access"), "skip").when(text.contains("safety") | text.contains("blocked"), "skip").otherwise(F.when(says, "retry_later").otherwise("use_alternative"))

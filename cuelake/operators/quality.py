@@ -139,11 +139,10 @@ def overall_assessment(parts: DataFrame) -> DataFrame:
 
 
 def sentiment_preservation(pairs: DataFrame, lexicon: DataFrame, a: str = "ref", b: str = "hyp") -> DataFrame:
-    """Polarity and subjectivity of both texts of a pair (means over the words found in the lexicon; it is broadcast, as a lexicon is
-    bounded by a language's words), their differences, and whether the sentiment is preserved."""
+    """Polarity and subjectivity of both texts of a pair (means over the words found in the lexicon), their differences, and whether the sentiment is preserved."""
     sides = F.explode(F.array(F.struct(F.lit("a").alias("side"), tokens(a).alias("w")), F.struct(F.lit("b").alias("side"), tokens(b).alias("w")))).alias("s")
     toks = pairs.select("media_id", sides).select("media_id", "s.side", F.explode("s.w").alias("token"))
-    found = toks.join(F.broadcast(lexicon), "token")
+    found = toks.join(lexicon, "token")
     mean = lambda c, side: F.coalesce(F.avg(F.when(F.col("side") == side, F.col(c))), F.lit(0.0))
     scores = found.groupBy("media_id").agg(*[mean(c, s).alias(f"{c}_{s}") for c in ("polarity", "subjectivity") for s in "ab"])
     full = pairs.select("media_id").join(scores, "media_id", "left").na.fill(0.0)

@@ -221,7 +221,7 @@ SUGGESTIONS = [
 def suggest(findings: DataFrame) -> DataFrame:
     """Findings that have a suggestion, with it."""
     dim = dims.frame(findings.sparkSession, SUGGESTIONS, "rule_id, category, suggestion, auto_fixable")
-    return findings.join(F.broadcast(dim), "rule_id")
+    return findings.join(dim, "rule_id")
 
 
 def auto_fix(df: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -65,15 +65,15 @@ def bleu_components(pairs: DataFrame, max_n: int = 4) -> DataFrame:
 
 
 def token_f1(hyp: str = "hyp", ref: str = "ref") -> Column:
+    # without branches, so that either token array is made once
     h, r = F.array_distinct(tokens(hyp)), F.array_distinct(tokens(ref))
-    n = F.size(F.array_intersect(h, r))
-    return F.when(n > 0, 2.0 * n / (F.size(h) + F.size(r))).otherwise(0.0)
+    return F.coalesce(2.0 * F.size(F.array_intersect(h, r)) / F.nullif(F.size(h) + F.size(r), F.lit(0)), F.lit(0.0))
 
 
 def token_jaccard(a: str = "ref", b: str = "back") -> Column:
     x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
-    union = F.size(F.array_union(x, y))
-    return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(0.0)
+    both = F.size(F.array_intersect(x, y))
+    return F.coalesce(both / F.nullif(F.size(x) + F.size(y) - both, F.lit(0)), F.lit(0.0))
 
 
 def _kept(elements: Column, target: Column) -> Column:
@@ -141,7 +141,7 @@ def scored(pairs: DataFrame) -> DataFrame:
 
 def with_benchmarks(scores: DataFrame, dim: DataFrame) -> DataFrame:
     """Least scores of the pair of languages; null if there are none."""
-    return scores.join(F.broadcast(dim), ["src_lang", "tgt_lang"], "left")
+    return scores.join(dim, ["src_lang", "tgt_lang"], "left")
 
 
 def translation_score(parts: DataFrame, bench: DataFrame, all_benchmarks: bool = False) -> DataFrame:

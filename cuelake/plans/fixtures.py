@@ -13,12 +13,22 @@ WORD = r"[\p{L}\p{N}_]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Documents of less than a scan partition, which one row group may hold, are dealt to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "documents" and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 128 << 20:
+        return df.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    return df
 
 
-def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of its files; as a pattern, the name may be that of a file or of a folder."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def cues(spark: SparkSession, sf_dir: str, read: Callable = table) -> DataFrame:
     """One cue for each non-blank line of a document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     lines = d.select("doc_id", "lang", F.posexplode_outer(F.expr(r"filter(split(text, '\n'), x -> trim(x) <> '')")).alias("pos", "text")).where("text is not null")
     n = F.char_length("text").cast("long")
     start = (F.col("pos") * 3000 + F.col("doc_id") % 7 * 100).cast("long")
@@ -43,9 +53,9 @@ LINED = CUES + r""",
 lined as (select media_id, language, sdh, seq, start_ms, end_ms, replace(text, ', ', ',' || chr(10)) as text from cues)"""
 
 
-def chunk_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunk_cues(spark: SparkSession, sf_dir: str, read: Callable = table) -> DataFrame:
     """Cues with times from the start of their minute."""
-    c = cues(spark, sf_dir).withColumn("chunk_no", F.expr("int(start_ms div 60000)"))
+    c = cues(spark, sf_dir, read).withColumn("chunk_no", F.expr("int(start_ms div 60000)"))
     return c.withColumn("start_ms", F.expr("start_ms - chunk_no * 60000L")).withColumn("end_ms", F.expr("end_ms - chunk_no * 60000L"))
 
 
@@ -144,8 +154,8 @@ media as (select page_id as media_id, url || case when page_id % 11 = 0 then '/.
   length(html) * (page_id % 50) * 1000 as size_bytes, page_id * 977 % 50000 * 1000 as duration_ms, (page_id % 3)::int as video_streams from pages)"""
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def logs(spark: SparkSession, sf_dir: str, read: Callable = table) -> DataFrame:
+    e = read(spark, sf_dir, "events")
     kind = F.expr("element_at(array('ConnectionError', 'ValidationError', 'QuotaExceeded', 'TimeoutError'), int(event_id % 4) + 1)")
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("operation"), F.col("value").alias("duration_ms"), F.col("user_id").alias("job_id"), F.expr("case when event_type = 'error' then 'ERROR' else 'INFO' end").alias("level"), F.when(F.col("event_type") == "error", kind).alias("error_type"), F.concat(F.lit("step "), F.expr("case when event_id % 3 = 0 then 'rate limit hit' else 'bad input' end")).alias("message"))
 
@@ -166,8 +176,8 @@ CALLS = """
 calls as (select user_id as host, event_type as service, (row_number() over (partition by user_id order by ts, event_id) * 7)::bigint as t_s, event_type <> 'error' as ok, event_id, value from events)"""
 
 
-def health_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def health_samples(spark: SparkSession, sf_dir: str, read: Callable = table) -> DataFrame:
+    e = read(spark, sf_dir, "events")
     metric = F.expr("element_at(array('disk_free_gb', 'rss_mb', 'temp_mb'), int(event_id % 3) + 1)")
     value = F.expr("case event_id % 3 when 0 then value / 20 when 1 then value * 20 else value * 8 end")
     return e.select(F.col("user_id").alias("host"), "event_id", F.col("ts").cast("timestamp").alias("ts"), metric.alias("metric"), value.alias("value"))

@@ -1,10 +1,13 @@
-"""Queries on operational tables and the tables' side of the streams, each with the same in DuckDB SQL."""
+"""Queries on operational tables, and streams run over what the tables hold, each with the same in DuckDB SQL."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from cuelake import dims
+from cuelake.functions.scratch import scratch
 from cuelake.operators import ops as L
 from cuelake.sources import files
 from cuelake.streaming import streams as S
@@ -61,7 +64,9 @@ def log_ingest(spark, d):
     logs = X.logs(spark, d)
     line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), "level", "message", F.col("job_id").cast("string").alias("job_id"), "duration_ms", "error_type", F.create_map(F.lit("operation"), F.col("operation")).alias("context")))
     lines = logs.select("event_id", line.alias("line")).withColumn("line", F.when(F.col("event_id") % 50 == 0, F.substring("line", 1, 30)).otherwise(F.col("line")))
-    p = files.parse_log_lines(lines)
+    path = scratch(spark)
+    lines.select("line").write.text(path)
+    p = files.log_ingest(spark, path)
     return p.groupBy(F.col("context")["operation"].alias("operation")).agg(F.count("*").alias("lines"), F.count("_corrupt_record").alias("corrupt"), F.count("error_type").alias("errors"), F.round(F.sum("duration_ms"), 6).alias("total_ms"), F.max(F.unix_micros("timestamp")).alias("last_us"))
 
 
@@ -73,40 +78,80 @@ def job_state_ingest(spark, d):
     return p.groupBy("job_id").agg(F.count("*").alias("states"), F.sum("stage").alias("stages"), F.max(F.unix_seconds("updated_at")).alias("last_s"), F.max(F.size("languages")).alias("languages"))
 
 
+def media_inventory(spark, d):
+    """Addresses written as one folder of text files for each format, listed again by their folder."""
+    path = scratch(spark)
+    X.media(spark, d).select(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("kind"), "path").write.partitionBy("kind").text(path)
+    found = files.media_inventory(spark, path, formats=("txt",))
+    return found.where("format = 'txt' and name like 'part-%'").groupBy(F.regexp_extract("path", "kind=([^/]*)", 1).alias("kind")).agg(F.sum("size_bytes").alias("bytes"), F.count_distinct("format").alias("formats"))
+
+
+@contextmanager
+def _rocks(spark):
+    """State of own operators needs the RocksDB store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, S.PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def stream_timers(spark, d):
-    t = S.stream_timers(X.logs(spark, d))
+    t = S.as_table(S.stream_timers(X.logs(spark, d, X.arriving)), ("window_start", "operation"), "update")
     return t.select(F.unix_seconds("window_start").alias("window_s"), "operation", "calls", R("total_ms"), R("mean_ms"), "min_ms", "max_ms")
 
 
 def stream_call_rate(spark, d):
-    calls = X.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("service"))
-    r = S.stream_call_rate(calls, _quotas(spark, 1))
+    calls = X.arriving(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("service"))
+    r = S.as_table(S.stream_call_rate(calls, _quotas(spark, 1)), ("window_start", "service"), "update")
     return r.groupBy("service", "calls", "over").agg(F.count("*").alias("windows"), F.sum(F.unix_seconds("window_start") % 100000).alias("starts"))
 
 
-def _services(spark, d):
-    return X.calls(spark, d).select(F.concat("service", F.lit("-"), (F.col("host") % 50).cast("string")).alias("service"), (F.col("event_id") * 7).alias("t_s"), (F.col("value") < 60).alias("ok"))
+def _services(events):
+    return events.select(F.col("event_type").alias("service"), (F.col("event_id") * 7).alias("t_s"), (F.col("value") < 60).alias("ok"))
+
+
+def failure_streak(spark, d):
+    return S.failure_streak(_services(X.table(spark, d, "events")))
 
 
 def stream_failure_streak(spark, d):
-    return S.failure_streak(_services(spark, d))
+    with _rocks(spark):
+        return S.as_table(S.stream_failure_streak(_services(X.arriving(spark, d, "events"))))
 
 
-def stream_health(spark, d):
+def health_changes(spark, d):
     return S.health_changes(X.health_samples(spark, d))
 
 
-def stream_merge(spark, d):
-    """The table that the stream keeps, for arrivals that are all there: the newest delivery of each chunk, merged."""
-    from cuelake.operators import merge
+def stream_health(spark, d):
+    with _rocks(spark):
+        return S.as_table(S.stream_health(X.health_samples(spark, d, X.arriving)))
 
-    c = X.chunk_cues(spark, d)
-    old = c.where("media_id % 3 = 0").withColumn("text", F.lit("old")).withColumn("modified", F.lit(1))
-    both = c.withColumn("modified", F.lit(2)).unionByName(old)
-    newest = both.groupBy("media_id", "language", "sdh", "chunk_no").agg(F.max("modified").alias("modified"))
-    now = both.join(newest, ["media_id", "language", "sdh", "chunk_no", "modified"])
-    return merge.merge_chunks(now).groupBy("media_id", "language", "sdh").agg(F.max("seq").alias("cues"), F.max("end_ms").alias("last_ms"), F.sum(F.char_length("text")).alias("chars"))
 
+def stream_merge(spark, d):
+    """Deliveries of every chunk, for some media an older one of other text beside it, merged by the stream."""
+    c = X.chunk_cues(spark, d, X.arriving)
+    new, old = F.struct(F.lit(20).alias("s"), "text"), F.struct(F.lit(10).alias("s"), F.lit("old").alias("text"))
+    both = c.withColumn("_v", F.explode(F.when(F.col("media_id") % 3 == 0, F.array(old, new)).otherwise(F.array(new))))
+    arrivals = both.select("media_id", "language", "sdh", "chunk_no", "seq", "start_ms", "end_ms", F.col("_v.text").alias("text"), F.timestamp_seconds("_v.s").alias("modified"))
+    path = scratch(spark)
+    S.stream_merge(arrivals, f"{path}/store", f"{path}/merged", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    now = spark.read.schema("media_id long, language string, sdh boolean, seq int, start_ms long, end_ms long, text string").parquet(f"{path}/merged")
+    return now.groupBy("media_id", "language", "sdh").agg(F.max("seq").alias("cues"), F.max("end_ms").alias("last_ms"), F.sum(F.char_length("text")).alias("chars"))
+
+
+#: Breaker states by islands of calls since the last success.
+STREAKS = f"""with n as (select event_type as service, event_id * 7 as t_s, value < 60 as ok, row_number() over (partition by event_type order by event_id) as n from events),
+        s as (select *, n - coalesce(max(case when ok then n end) over (partition by service order by n rows unbounded preceding), 0) as failures, t_s - lag(t_s) over (partition by service order by n) as waited from n),
+        r as (select *, coalesce(lag(failures) over (partition by service order by n), 0) as met from s)
+        select service, t_s, ok, case when met < {S.OPEN_AFTER} then 'CLOSED' when waited >= {S.RECOVERY_S} then 'HALF_OPEN' else 'OPEN' end as state, failures from r"""
+HEALTH_CHANGES = f"""with {X.HEALTH}, s as (select host::varchar as host, epoch_us(ts) as t_us, metric, {_HEALTH} as level from health),
+        g as (select host, t_us, metric, level, {", ".join(f"last_value(case when metric = '{m}' then level end ignore nulls) over (partition by host order by t_us, metric, level rows unbounded preceding) as l{k}" for k, m in enumerate(("disk_free_gb", "rss_mb", "temp_mb")))} from s),
+        n as (select host, t_us, greatest(l0, l1, l2) as now, lag(greatest(l0, l1, l2)) over (partition by host order by t_us, metric, level) as b from g)
+        select host, t_us, case b when 2 then 'critical' when 1 then 'warning' when 0 then 'healthy' end as before, {_NAME('now')} as status from n where b is distinct from now"""
 
 QUERIES = {
     "log_ingest": (log_ingest, f"""with {X.LOGS}, p as (select case when event_id % 50 <> 0 then operation end as operation, event_id % 50 = 0 as bad, error_type, duration_ms, ts from logs)
@@ -127,10 +172,10 @@ QUERIES = {
     "stream_timers": (stream_timers, f"with {X.LOGS} select (epoch_us(ts) // 300000000 * 300)::bigint as window_s, operation, count(*) as calls, round(sum(duration_ms), 6) as total_ms, round(avg(duration_ms), 6) as mean_ms, min(duration_ms) as min_ms, max(duration_ms) as max_ms from logs group by 1, 2"),
     "stream_call_rate": (stream_call_rate, """with w as (select event_type as service, (epoch_us(ts) // 10000000 - k) * 10 as s from events, unnest(range(6)) u(k)), c as (select service, s, count(*) as calls from w group by 1, 2)
         select service, calls, calls > 1 as over, count(*) as windows, sum(s % 100000)::bigint as starts from c group by 1, 2, 3"""),
-    "stream_failure_streak": (stream_failure_streak, None),
-    "stream_health": (stream_health, f"""with {X.HEALTH}, s as (select host::varchar as host, epoch_us(ts) as t_us, metric, {_HEALTH} as level from health),
-        g as (select host, t_us, metric, {", ".join(f"last_value(case when metric = '{m}' then level end ignore nulls) over (partition by host order by t_us, metric rows unbounded preceding) as l{k}" for k, m in enumerate(("disk_free_gb", "rss_mb", "temp_mb")))} from s),
-        n as (select host, t_us, metric, greatest(l0, l1, l2) as now, lag(greatest(l0, l1, l2)) over (partition by host order by t_us, metric) as b from g)
-        select host, t_us, case b when 2 then 'critical' when 1 then 'warning' when 0 then 'healthy' end as before, {_NAME('now')} as status from n where b is distinct from now"""),
+    "failure_streak": (failure_streak, STREAKS),
+    "stream_failure_streak": (stream_failure_streak, STREAKS),
+    "health_changes": (health_changes, HEALTH_CHANGES),
+    "stream_health": (stream_health, HEALTH_CHANGES),
+    "media_inventory": (media_inventory, f"with {X.MEDIA} select regexp_extract(lower(path), '[.]([^./]+)$', 1) as kind, sum(strlen(path) + 1)::bigint as bytes, 1::bigint as formats from media group by 1"),
     "stream_merge": (stream_merge, f"with {X.CUES} select media_id, language, sdh, max(seq) as cues, max(end_ms) as last_ms, sum(length(text))::bigint as chars from cues group by 1, 2, 3"),
 }

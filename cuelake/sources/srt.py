@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuelake.functions.text import clock
 
 TIME = r"(\d+):(\d{1,2}):(\d{1,2})[,.](\d{1,3})"
+#: Two digits of hours: strict files end before 100 hours.
 STRICT_TIME = r"(\d{2}):(\d{2}):(\d{2}),(\d{3})"
 
 
@@ -45,7 +46,8 @@ def srt_ingest(files: DataFrame, mode: str = "lenient", content_col: str = "cont
 
 
 def strict_blocks(files: DataFrame, content_col: str = "content") -> DataFrame:
-    """Every block of strict SRT texts with its fields and the reason why it is refused (null: accepted)."""
+    """Every block of strict SRT texts with its fields and the reason why it is refused (null: accepted). Hours have two digits, so
+    times from 100 hours on are refused as bad times; the lenient mode reads them."""
     keep = [c for c in files.columns if c != content_col]
     text = F.regexp_replace(F.replace(F.col(content_col), F.lit("\r\n"), F.lit("\n")), r"^\s+|\s+$", "")
     blocks = files.select(*keep, F.posexplode_outer(F.split(text, "\n\n")).alias("pos", "block")).where("block is not null and block <> ''")
@@ -96,7 +98,7 @@ def _rendered(cues: DataFrame, block: Column, keys: tuple[str, ...]) -> DataFram
 
 
 def srt_render(cues: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """One SRT text for each file."""
+    """One SRT text for each file. Hours have two digits or, from 100 hours on, as many as they need, which only the lenient mode reads."""
     block = F.concat(F.col("seq").cast("string"), F.lit("\n"), clock("start_ms"), F.lit(" --> "), clock("end_ms"), F.lit("\n"), F.col("text"), F.lit("\n"))
     return _rendered(cues, block, keys)
 

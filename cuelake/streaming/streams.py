@@ -5,12 +5,16 @@ Functions take a DataFrame and work on streams; those without their own state al
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from cuelake.functions.scratch import scratch
 from cuelake.operators import merge, ops
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -27,66 +31,84 @@ def stream_timers(logs: DataFrame, late: str = "10 minutes", size: str = "5 minu
 def stream_call_rate(calls: DataFrame, quotas: DataFrame, late: str = "2 minutes", size: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:
     """Calls of each service in sliding windows against its quota."""
     n = calls.withWatermark("ts", late).groupBy(F.window("ts", size, slide).alias("_w"), "service").agg(F.count("*").alias("calls"))
-    return n.join(F.broadcast(quotas), "service", "left").select(F.col("_w.start").alias("window_start"), "service", "calls", F.coalesce(F.col("calls") > F.col("quota"), F.lit(False)).alias("over"))
+    return n.join(quotas, "service", "left").select(F.col("_w.start").alias("window_start"), "service", "calls", F.coalesce(F.col("calls") > F.col("quota"), F.lit(False)).alias("over"))
 
 
-# ---- Failure streaks ---------------------------------------------------------------------------------------------------------
+def as_table(stream: DataFrame, keys: tuple[str, ...] = (), mode: str = "append") -> DataFrame:
+    """Runs a stream over what has arrived and returns its result as a table: with ``update``, the last row of each key."""
+    path = scratch(stream.sparkSession)
 
-STREAK = "service string, t_s long, ok boolean, state string, failures long"
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
+    run = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    rows = stream.sparkSession.read.schema(f"{schema}, batch long").parquet(f"{path}/rows")
+    if not keys:
+        return rows.drop("batch")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch").alias("_m")).select(*keys, "_m.*")
 
-def step(state: str, failures: int, opened: int, t: int, ok: bool) -> tuple[str, int, int]:
-    """The breaker after a call at second t: five failures in a row open it, after a minute one call is tried, success closes it."""
-    if state == "OPEN" and t - opened >= RECOVERY_S:
-        state = "HALF_OPEN"
-    if ok:
-        return "CLOSED", 0, opened
-    failures += 1
-    return ("OPEN", failures, t) if failures >= OPEN_AFTER else (state, failures, opened)
 
+# ---- Failure streaks ---------------------------------------------------------------------------------------------------------
 
-def _walk(calls: pd.DataFrame, service: str, state: str, failures: int, opened: int) -> tuple[pd.DataFrame, str, int, int]:
-    rows = []
-    for t, ok in zip(calls["t_s"].tolist(), calls["ok"].tolist()):
-        state, failures, opened = step(state, failures, opened, t, bool(ok))
-        rows.append((service, t, bool(ok), state, failures))
-    return pd.DataFrame(rows, columns=["service", "t_s", "ok", "state", "failures"]), state, failures, opened
+STREAK = "service string, t_s long, ok boolean, state string, failures long"
 
 
-def failure_streak(calls: DataFrame) -> DataFrame:
-    """State of each service's breaker after every call of a table (service, t_s, ok)."""
+def _state(failures: Column, waited: Column) -> Column:
+    """The breaker that a call meets: open after five failures in a row, on trial a minute after the last of them."""
+    return F.when(failures < OPEN_AFTER, "CLOSED").when(waited >= RECOVERY_S, "HALF_OPEN").otherwise("OPEN")
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        return _walk(group.sort_values(["t_s", "ok"]), key[0], "CLOSED", 0, 0)[0]
 
-    return calls.select("service", "t_s", "ok").groupBy("service").applyInPandas(run, STREAK)
+def failure_streak(calls: DataFrame, bucket_s: int = 3600) -> DataFrame:
+    """State of its service's breaker that each call of a table (service, t_s, ok) meets, and the failures in a row after it. Streaks
+    are counted within hours and go on from the hours before, so that a busy service is not one task."""
+    rows = calls.select("service", "t_s", "ok", F.floor(F.col("t_s") / bucket_s).alias("_b"))
+    within = Window.partitionBy("service", "_b").orderBy("t_s", "ok")
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_i", F.row_number().over(within)).withColumn("_s", F.max(F.when(F.col("ok"), F.col("_i"))).over(so_far)).withColumn("_t", F.lag("t_s").over(within))
+    hours = rows.groupBy("service", "_b").agg(F.max("_s").alias("_s"), F.count("*").alias("_n"), F.max("t_s").alias("_last"))
+    in_time = Window.partitionBy("service").orderBy("_b")
+    hours = hours.withColumn("_g", F.count("_s").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
+    since = F.sum(F.col("_n") - F.coalesce("_s", F.lit(0))).over(Window.partitionBy("service", "_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    hours = hours.withColumn("_f", since)
+    carried = hours.select("service", "_b", F.coalesce(F.lag("_f").over(in_time), F.lit(0)).alias("_held"), F.lag("_last").over(in_time).alias("_before"))
+    x = rows.join(carried, ["service", "_b"]).withColumn("failures", F.when(F.col("_s").isNotNull(), F.col("_i") - F.col("_s")).otherwise(F.col("_i") + F.col("_held")))
+    met = F.coalesce(F.lag("failures").over(within), F.col("_held"))
+    return x.withColumn("state", _state(met, F.col("t_s") - F.coalesce("_t", "_before"))).select("service", "t_s", "ok", "state", F.col("failures").cast("long").alias("failures"))
 
 
 class StreakProcessor(StatefulProcessor):
-    """Keeps (state, failures, opened) of a service between batches."""
+    """Keeps (failures in a row, second of the last call) of a service between batches."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("streak", "state string, failures long, opened long")
+        self.kept = handle.getValueState("streak", "failures long, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         calls = pd.concat(list(rows)).sort_values(["t_s", "ok"])
-        before = self.kept.get() if self.kept.exists() else ("CLOSED", 0, 0)
-        out, *after = _walk(calls, key[0], *before)
-        self.kept.update(tuple(after))
-        yield out
+        t, ok, place = calls["t_s"].to_numpy(), calls["ok"].to_numpy(bool), np.arange(1, len(calls) + 1)
+        held, last = self.kept.get() if self.kept.exists() else (0, 0)
+        success = np.maximum.accumulate(np.where(ok, place, 0))
+        failures = place - success + np.where(success, 0, held)
+        met, waited = np.r_[held, failures[:-1]], t - np.r_[last, t[:-1]]
+        state = np.where(met < OPEN_AFTER, "CLOSED", np.where(waited >= RECOVERY_S, "HALF_OPEN", "OPEN"))
+        self.kept.update((int(failures[-1]), int(t[-1])))
+        yield pd.DataFrame({"service": key[0], "t_s": t, "ok": ok, "state": state, "failures": failures})
 
     def close(self) -> None:
         pass
 
 
 def stream_failure_streak(calls: DataFrame) -> DataFrame:
-    """As failure_streak, for a stream. Needs the RocksDB state store (PROVIDER). Calls of a batch are taken in order of time."""
+    """As failure_streak, for a stream. Needs the RocksDB state store (PROVIDER). Calls of a batch are taken in order of time; the
+    source's limits on a trigger bound what one service has in a batch."""
     return calls.select("service", "t_s", "ok").groupBy("service").transformWithStateInPandas(statefulProcessor=StreakProcessor(), outputStructType=STREAK, outputMode="Append", timeMode="None")
 
 
 # ---- Health changes ----------------------------------------------------------------------------------------------------------
 
 CHANGE = "host string, t_us long, before string, status string"
+METRICS = tuple(m for m, *_ in ops.LIMITS)
 
 
 class HealthProcessor(StatefulProcessor):
@@ -96,29 +118,24 @@ class HealthProcessor(StatefulProcessor):
         self.kept = handle.getMapState("levels", "metric string", "level int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        levels = {k[0]: v[0] for k, v in self.kept.iterator()}
-        out = _changes(pd.concat(list(rows)).sort_values(["t_us", "metric"]), key[0], levels)
-        for metric, level in levels.items():
+        held = {k[0]: v[0] for k, v in self.kept.iterator()}
+        samples = pd.concat(list(rows)).sort_values(["t_us", "metric", "level"])
+        wide = pd.DataFrame({m: samples["level"].where(samples["metric"] == m).ffill().fillna(held.get(m, np.nan)) for m in {*held, *samples["metric"]}})
+        worst = wide.max(axis=1).to_numpy(int)
+        before = np.r_[max(held.values(), default=-1), worst[:-1]]
+        for metric, level in wide.iloc[-1].dropna().items():
             self.kept.updateValue((metric,), (int(level),))
-        yield out
+        at = np.flatnonzero(worst != before)
+        yield pd.DataFrame({"host": key[0], "t_us": samples["t_us"].to_numpy()[at], "before": [ops.SEVERITY[b] if b >= 0 else None for b in before[at]], "status": [ops.SEVERITY[w] for w in worst[at]]})
 
     def close(self) -> None:
         pass
 
 
-def _changes(samples: pd.DataFrame, host: str, levels: dict) -> pd.DataFrame:
-    rows = []
-    for t, metric, level in zip(samples["t_us"].tolist(), samples["metric"].tolist(), samples["level"].tolist()):
-        before = max(levels.values(), default=None)
-        levels[metric] = int(level)
-        now = max(levels.values())
-        if now != before:
-            rows.append((host, t, None if before is None else ops.SEVERITY[before], ops.SEVERITY[now]))
-    return pd.DataFrame(rows, columns=["host", "t_us", "before", "status"])
-
-
 def _levels(samples: DataFrame) -> DataFrame:
-    return samples.select(F.col("host").cast("string").alias("host"), F.unix_micros("ts").alias("t_us"), "metric", ops.severity().cast("int").alias("level"))
+    """Severity of each sample. Metrics without limits are always warnings, so they count as one."""
+    name = F.when(F.col("metric").isin(*METRICS), F.col("metric")).otherwise("other")
+    return samples.select(F.col("host").cast("string").alias("host"), F.unix_micros("ts").alias("t_us"), name.alias("metric"), ops.severity().cast("int").alias("level"))
 
 
 def stream_health(samples: DataFrame) -> DataFrame:
@@ -126,13 +143,23 @@ def stream_health(samples: DataFrame) -> DataFrame:
     return _levels(samples).groupBy("host").transformWithStateInPandas(statefulProcessor=HealthProcessor(), outputStructType=CHANGE, outputMode="Append", timeMode="None")
 
 
-def health_changes(samples: DataFrame) -> DataFrame:
-    """The same of a table."""
-
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        return _changes(group.sort_values(["t_us", "metric"]), key[0], {})
-
-    return _levels(samples).groupBy("host").applyInPandas(run, CHANGE)
+def health_changes(samples: DataFrame, bucket_us: int = 3_600_000_000) -> DataFrame:
+    """The same of a table. The last level of each metric is carried within hours, and hours start from those before, so that a host
+    with most of the samples is not one task."""
+    rows = _levels(samples).withColumn("_b", F.floor(F.col("t_us") / bucket_us))
+    names = {m: f"_l{k}" for k, m in enumerate((*METRICS, "other"))}
+    own = {c: F.when(F.col("metric") == m, F.col("level")) for m, c in names.items()}
+    order = F.struct("t_us", "metric", "level")
+    hours = rows.groupBy("host", "_b").agg(*[F.max_by("level", F.when(F.col("metric") == m, order)).alias(c) for m, c in names.items()])
+    earlier = Window.partitionBy("host").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    held = hours.select("host", "_b", *[F.last(c, ignorenulls=True).over(earlier).alias(f"{c}h") for c in names.values()])
+    within = Window.partitionBy("host", "_b").orderBy("t_us", "metric", "level")
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    x = rows.withColumns({c: F.last(v, ignorenulls=True).over(so_far) for c, v in own.items()}).join(held, ["host", "_b"])
+    x = x.withColumn("_now", F.greatest(*[F.coalesce(c, f"{c}h") for c in names.values()])).withColumn("_held", F.greatest(*[f"{c}h" for c in names.values()]))
+    x = x.withColumn("_before", F.coalesce(F.lag("_now").over(within), F.col("_held")))
+    named = lambda c: F.when(F.col(c).isNotNull(), ops.named(F.col(c)))
+    return x.where(~F.col("_now").eqNullSafe(F.col("_before"))).select("host", "t_us", named("_before").alias("before"), named("_now").alias("status"))
 
 
 # ---- Merging arriving chunk files ----------------------------------------------------------------------------------------------
@@ -140,37 +167,38 @@ def health_changes(samples: DataFrame) -> DataFrame:
 CHUNK_FILE = "media_id long, language string, sdh boolean, chunk_no int, seq int, start_ms long, end_ms long, text string, modified timestamp"
 
 
-def stream_merge(arrivals: DataFrame, store: str, merged: str, checkpoint: str, late: str = "1 hour"):
+def stream_merge(arrivals: DataFrame, store: str, merged: str, checkpoint: str, late: str = "1 hour", buckets: int = 64):
     """Keeps a merged cue table up to date with arriving cues of chunk files. Re-deliveries within the watermark are dropped; later
-    ones replace a chunk if they are newer. Only the partitions (language) that a batch touches are written again: the
-    chunk cues to ``store``, their merge to ``merged``. A repeated batch gives the same tables."""
+    ones replace a chunk if they are newer. Chunk cues (``store``) and their merge (``merged``) lie in partitions by language and one of
+    ``buckets`` of media; only those that a batch touches are written again, in place. A repeated batch gives the same tables."""
     keys = ["media_id", "language", "sdh", "chunk_no", "seq", "modified"]
+    place = ["language", "bucket"]
     fresh = arrivals.withWatermark("modified", late).dropDuplicatesWithinWatermark(keys)
+    bucketed = lambda df: df.withColumn("bucket", F.pmod(F.hash("media_id"), F.lit(buckets)))
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(keys)
-        touched = [r[0] for r in rows.select("language").distinct().collect()]  # languages, a bounded dimension
-        if not touched:
-            return
-        old = _stored(spark, store).where(F.col("language").isin(touched))
-        both = old.unionByName(rows.select(*old.columns))
-        newest = both.groupBy("media_id", "language", "sdh", "chunk_no").agg(F.max("modified").alias("modified"))
-        now = both.join(newest, ["media_id", "language", "sdh", "chunk_no", "modified"]).dropDuplicates(keys)
-        fresh_store = f"{store}/v{number}"
-        now.select(*old.columns).write.mode("overwrite").parquet(fresh_store)
-        kept = spark.read.schema(CHUNK_FILE).parquet(fresh_store)
-        _write(kept, f"{store}/current")
-        _write(merge.merge_chunks(kept), merged)
+        rows = bucketed(batch.dropDuplicates(keys)).persist()
+        touched = [tuple(r) for r in rows.select(*place).distinct().collect()]  # at most languages times buckets
+        if touched:
+            here = reduce(or_, [F.col("language").eqNullSafe(a) & (F.col("bucket") == b) for a, b in touched])
+            old = _stored(spark, store).where(here)
+            both = old.unionByName(rows.select(*old.columns))
+            newest = both.groupBy("media_id", "language", "sdh", "chunk_no").agg(F.max("modified").alias("modified"))
+            now = both.join(newest, ["media_id", "language", "sdh", "chunk_no", "modified"]).dropDuplicates(keys)
+            _write(now.select(*old.columns), store)
+            _write(bucketed(merge.merge_chunks(_stored(spark, store).where(here))), merged)
+        rows.unpersist()
 
     return fresh.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
 
 def _stored(spark: SparkSession, store: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/current")
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
     exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(CHUNK_FILE).parquet(f"{store}/current") if exists else spark.createDataFrame([], CHUNK_FILE)
+    schema = f"{CHUNK_FILE}, bucket int"
+    return spark.read.schema(schema).parquet(store) if exists else spark.createDataFrame([], schema)
 
 
 def _write(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("language").parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("language", "bucket").parquet(path)

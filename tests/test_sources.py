@@ -49,7 +49,7 @@ def test_repair(spark):
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.integers(0, 360_000_000), st.integers(1, 20_000)), min_size=1, max_size=20))
+@given(st.lists(st.tuples(st.integers(0, 359_979_999), st.integers(1, 20_000)), min_size=1, max_size=20))
 def test_round_trip(spark, times):
     rows = [(1, "eng", False, i + 1, s, s + d, f"cue {i}") for i, (s, d) in enumerate(times)]
     cues = spark.createDataFrame(rows, "media_id long, language string, sdh boolean, seq int, start_ms long, end_ms long, text string")
@@ -59,6 +59,15 @@ def test_round_trip(spark, times):
     assert vtt.startswith("WEBVTT\n\n") and vtt.count(" --> ") == len(rows)
 
 
+def test_times_from_a_hundred_hours(spark):
+    rows = [(1, "eng", False, 1, 359_999_999, 360_000_000, "late"), (1, "eng", False, 2, 359_999_000, 359_999_999, "last")]
+    cues = spark.createDataFrame(rows, "media_id long, language string, sdh boolean, seq int, start_ms long, end_ms long, text string")
+    text = srt.srt_render(cues)
+    assert sorted((r["start_ms"], r["end_ms"]) for r in srt.srt_ingest(text).collect()) == sorted(r[4:6] for r in rows)
+    accepted, refused = srt.srt_ingest_strict(text)
+    assert [r["seq"] for r in accepted.collect()] == [2] and [r["reason"] for r in refused.collect()] == ["bad times"]
+
+
 def test_folder_of_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.srt").write_text(GOOD)

@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from cuelake import dims
 from cuelake.streaming import streams as S
 
@@ -57,7 +55,26 @@ def test_failure_streak_and_its_table_side(spark, tmp_path):
     got = sorted(map(tuple, run(spark, path, schema, S.stream_failure_streak).collect()))
     assert got == sorted(map(tuple, S.failure_streak(spark.createDataFrame(first + second, schema)).collect()))
     states = [r[3] for r in got if r[0] == "s"]
-    assert states == ["CLOSED"] * 4 + ["OPEN"] * 3 + ["CLOSED"]
+    assert states == ["CLOSED"] * 5 + ["HALF_OPEN", "OPEN", "HALF_OPEN"]
+    assert [r[4] for r in got if r[0] == "s"] == [1, 2, 3, 4, 5, 6, 7, 0]
+
+
+def test_failure_streak_over_hours(spark):
+    """Streaks that go on over several hours without a success, against a walk call by call."""
+    import random
+
+    r = random.Random(4)
+    calls = [(s, t, r.random() < (0.02 if s == "a" else 0.4)) for s in "ab" for t in sorted(r.sample(range(40_000), 500))]
+    want = []
+    for name in "ab":
+        failures, last = 0, 0
+        for s, t, ok in calls:
+            if s == name:
+                state = "CLOSED" if failures < S.OPEN_AFTER else "HALF_OPEN" if t - last >= S.RECOVERY_S else "OPEN"
+                failures, last = (0 if ok else failures + 1), t
+                want.append((s, t, ok, state, failures))
+    got = S.failure_streak(spark.createDataFrame(calls, "service string, t_s long, ok boolean")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_health_changes(spark, tmp_path):
@@ -70,8 +87,9 @@ def test_health_changes(spark, tmp_path):
     feed(spark, path, 2, more, schema)
     got = run(spark, path, schema, S.stream_health).orderBy("t_us").collect()
     assert [(r["before"], r["status"]) for r in got] == [(None, "healthy"), ("healthy", "critical"), ("critical", "warning"), ("warning", "healthy")]
-    table = S.health_changes(spark.createDataFrame(rows + more, schema)).orderBy("t_us").collect()
-    assert list(map(tuple, got)) == list(map(tuple, table))
+    for bucket_us in (3_600_000_000, 2_000_000):
+        table = S.health_changes(spark.createDataFrame(rows + more, schema), bucket_us).orderBy("t_us").collect()
+        assert list(map(tuple, got)) == list(map(tuple, table))
 
 
 def test_merge_of_arrivals(spark, tmp_path):
@@ -87,12 +105,7 @@ def test_merge_of_arrivals(spark, tmp_path):
 
     assert deliver(1, ("eng", 1, 1, "b", 10), ("hin", 0, 1, "x", 10)) == [(1, 61000, "b")]
     assert deliver(2, ("eng", 0, 1, "a", 20)) == [(1, 1000, "a"), (2, 61000, "b")]
-    untouched = {p.name for p in (tmp_path / "merged" / "language=hin").glob("*.parquet")}
+    untouched = {p.name for p in (tmp_path / "merged" / "language=hin").rglob("*.parquet")}
     assert deliver(3, ("eng", 0, 1, "a", 20), ("eng", 1, 1, "B", 30)) == [(1, 1000, "a"), (2, 61000, "B")]
-    assert {p.name for p in (tmp_path / "merged" / "language=hin").glob("*.parquet")} == untouched
-
-
-def test_table_side_is_registered(spark, sf):
-    from cuelake.plans import catalog
-
-    assert catalog.QUERIES["stream_failure_streak"](spark, sf).where(F.col("state") == "OPEN").count() > 0
+    assert {p.name for p in (tmp_path / "merged" / "language=hin").rglob("*.parquet")} == untouched
+    assert {p.name for p in (tmp_path / "store").iterdir() if p.is_dir()} == {"language=eng", "language=hin"}  # no earlier versions
