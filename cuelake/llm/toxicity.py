@@ -5,8 +5,9 @@ Words are runs of ASCII letters, digits and bytes over 127, lower-cased. A word'
 mean of hashed embeddings of its letter trigrams; the first component of either starts as the smoothed log-odds of that bucket
 among the training documents. Windows are ``WINDOW`` words, ``STRIDE`` apart, the last one ending with the text (texts
 over a megabyte are scored in overlapping parts that hold the windows of the whole text). Labels say only whether a document is toxic somewhere, so the network
-learns from each document's windows of highest log-odds, and from plain windows of clean documents. The maximum of the
-window logits becomes a probability by Platt scaling on sampled documents that were kept out of training, weighted to the
+begins with each document's windows of highest log-odds and plain windows of clean documents; then it looks at all windows of the
+sampled documents itself and learns from the highest one of each, which is the one that decides a document's score. The maximum
+of the window logits becomes a probability by Platt scaling on sampled documents that were kept out of training, weighted to the
 class shares of all training labels.
 
 Training sees at most ``per_class`` documents of each class (those with the smallest id hashes). Edge cases: texts without
@@ -308,13 +309,46 @@ def _candidates(odds: np.ndarray):
     return run
 
 
+def _highest(m: dict):
+    """Of each sampled document: its window of highest logit among all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, labels, best = batch.column(0).to_pylist(), batch.column(2).to_pylist(), {}
+            for chunk in parts(batch.column(1)):
+                w = Words(chunk)
+                logit = window_logits(m, w)
+                order = np.lexsort((-logit, w.piece))
+                for i in order[np.r_[True, w.piece[order[1:]] != w.piece[order[:-1]]]]:
+                    doc = int(chunk.docs[w.piece[i]])
+                    if w.length[i] and (doc not in best or logit[i] > best[doc][0]):
+                        best[doc] = logit[i], chunk.data[w.starts[w.begin[i]] : w.ends[w.begin[i] + w.length[i] - 1]].tobytes()
+            rows = [(ids[d], int(labels[d]), 0, piece) for d, (_, piece) in best.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((batch.schema.field(0).type, pa.int32(), pa.int32(), pa.binary()))], names=["doc_id", "label", "rank", "piece"])
+
+    return run
+
+
 def _platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic regression of y on z by Newton steps, slightly regularised."""
-    x, beta = np.stack([z, np.ones_like(z)], 1), np.array([1.0, 0.0])
-    for _ in range(30):
+    """Weighted logistic regression of y on z, slightly regularised. Targets are a little inside 0 and 1, and steps are halved until
+    they lower the loss, so that classes which z separates give a finite slope."""
+    x, start, n = np.stack([z, np.ones_like(z)], 1), np.array([1.0, 0.0]), y.sum()
+    target = np.where(y == 1, (n + 1) / (n + 2), 1 / (len(y) - n + 2))
+
+    def loss(b: np.ndarray) -> float:
+        s = x @ b
+        return float((weight * (np.logaddexp(0, s) - target * s)).sum() + 5e-4 * ((b - start) ** 2).sum())
+
+    beta = start
+    for _ in range(50):
         p = _sigmoid(np.clip(x @ beta, -30, 30))
-        grad = x.T @ (weight * (p - y)) + 1e-3 * (beta - [1, 0])
-        beta = beta - np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 1e-3 * np.eye(2), grad)
+        grad = x.T @ (weight * (p - target)) + 1e-3 * (beta - start)
+        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 1e-3 * np.eye(2), grad)
+        while loss(beta - step) > loss(beta) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if np.abs(step).max() < 1e-9:
+            break
+        beta = beta - step
     return float(beta[0]), float(beta[1])
 
 
@@ -345,11 +379,19 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
     for r in counts:
         p, q = (r["toxic"] + 2) / (n[1] + 4), (r["clean"] + 2) / (n[0] + 4)
         odds[r["kind"]][r["bucket"]] = np.clip(np.log(p / q), -3, 3)
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = learn.mapInArrow(_candidates(odds["w"]), f"doc_id {kind}, label int, rank int, piece binary").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["rank"], bytes(r["piece"])))
-    rows = [r for r in rows if not (r["label"] and r["rank"] > 0 and r["rank"] != 1)]
-    m = train([bytes(r["piece"]) for r in rows], np.array([r["label"] for r in rows], np.float32), _initial(odds["w"], odds["c"]))
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, label int, rank int, piece binary"
+
+    def windows(pick) -> list:
+        rows = learn.mapInArrow(pick, schema).collect()
+        rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["rank"], bytes(r["piece"])))
+        return [r for r in rows if not (r["label"] and r["rank"] > 1)]
+
+    def learned(rows: list, m: dict, epochs: int) -> dict:
+        return train([bytes(r["piece"]) for r in rows], np.array([r["label"] for r in rows], np.float32), m, epochs)
+
+    rows = windows(_candidates(odds["w"]))
+    m = learned(rows, _initial(odds["w"], odds["c"]), 4)
+    m = learned(rows + windows(_highest(m)), m, 2)
     model = {"net": m, "scale": (1.0, 0.0), "rate": rate}
     tested = score(picked.where(apart), model, keep_logit=True).select("label", "logit").toPandas().sort_values(["logit", "label"])
     y = tested["label"].to_numpy(float)

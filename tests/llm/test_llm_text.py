@@ -227,6 +227,16 @@ def test_toxicity_held_out(spark, sf):
     assert got.where("predicted = 1 and toxic = 1").count() >= 0.75 * got.where("toxic = 1").count()
 
 
+def test_toxicity_scale_of_separated_classes():
+    """Logits that separate the classes, on however short a stretch, give a rising, finite scale between them."""
+    for seed, gap in ((0, 0.01), (1, 3.0), (2, -1.0)):
+        rng = np.random.default_rng(seed)
+        z, y = np.concatenate([rng.uniform(-6, 0, 300), rng.uniform(gap, 6, 60)]), np.repeat([0.0, 1.0], [300, 60])
+        a, b = toxicity._platt(z, y, np.where(y == 1, 0.1 / 60, 0.9 / 300) * 360)
+        p = 1 / (1 + np.exp(-(a * z + b)))
+        assert 0 < a < 1e4 and ((p >= 0.3) == (y == 1)).mean() > 0.85 and p[y == 1].min() >= p[z < -2].max()
+
+
 def test_toxicity_finds_a_word_in_a_long_text():
     words = ["alpha", "beta", "gamma", "delta"]
     rng = np.random.default_rng(1)
