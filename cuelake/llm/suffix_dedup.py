@@ -34,7 +34,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,18 +124,24 @@ def _unpack(message: bytes, kind: str) -> np.ndarray:
 
 
 class Block:
-    """The documents of a block that take part, one after the other."""
+    """The documents of a block that take part, one after the other in order of id and text. The order is the same in every step, so
+    positions in ``data`` name bytes across steps, also where one id stands for several texts."""
 
     def __init__(self, table: pa.Table) -> None:
-        self.ids = table.column("doc_id").to_numpy()
-        self.texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
-        if isinstance(self.texts, pa.ChunkedArray):
-            self.texts = pa.concat_arrays(self.texts.chunks)
-        data, at = raw(self.texts)
+        ids = table.column("doc_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
+        if isinstance(texts, pa.ChunkedArray):
+            texts = pa.concat_arrays(texts.chunks)
+        for i in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ids[order])) + 1):
+            if len(i) > 1:
+                order[i] = sorted(order[i], key=lambda k: texts[k].as_py() or "")
+        self.ids = ids[order]
+        data, at = raw(texts.take(pa.array(order)))
         self.bytes, self.at = data, at
         keep = np.flatnonzero(np.diff(at) >= LENGTH)
         self.data = np.concatenate([data[at[i] : at[i + 1]] for i in keep]) if len(keep) else np.zeros(0, np.uint8)
-        size = np.diff(at)[keep]
+        self.kept, size = keep, np.diff(at)[keep]
         self.ends = np.cumsum(size)
         self.starts = self.ends - size
         self.doc_ids = self.ids[keep]
@@ -268,7 +273,7 @@ def _cut(bits: int, splitters: np.ndarray):
             mine = d == d[np.flatnonzero(first)][group]
             gone = order[~mine]
             if len(gone):
-                rows.append((-1, block, _pack(ids[gone].astype("<i8")), b"", b"", _pack(np.stack([p[gone] - hi[gone] - b.starts[doc[gone]], p[gone] - lo[gone] + LENGTH - b.starts[doc[gone]]], 1).astype("<i4").ravel())))
+                rows.append((-1, block, b"", b"", b"", _pack(np.stack([p[gone] - hi[gone], p[gone] - lo[gone] + LENGTH], 1).astype("<i4").ravel())))
             heads = order[first]
             context = context[heads]
             bucket = np.searchsorted(splitters, _as_strings(in_order(context)), "right")
@@ -284,7 +289,7 @@ def _cut(bits: int, splitters: np.ndarray):
             for k, z in zip(head, np.append(head[1:], len(by))):
                 i = heads[by[k:z]]
                 x, y = np.searchsorted(number_of, (k, z))
-                places = np.stack([number_of[x:y] - k, p[place[x:y]] - b.starts[doc[place[x:y]]]], 1).astype("<i4")
+                places = np.stack([number_of[x:y] - k, p[place[x:y]]], 1).astype("<i4")
                 rows.append((int(bucket[by[k]]), block, _pack(ids[i].astype("<i8")), np.stack([lo[i], hi[i]], 1).astype(np.uint8).tobytes(), _pack(context[by[k:z]].ravel()), _pack(places.ravel())))
         return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_SUFFIXES)], names=[n for n, _ in _SUFFIXES])
 
@@ -346,12 +351,12 @@ def _compared(splitters: np.ndarray):
     limits = splitters.view(np.uint8).reshape(-1, CONTEXT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Removed runs of a bucket (block, docs, and (start, stop) pairs), then its windows that other buckets may remove."""
+        """Removed runs of a bucket ((start, stop) pairs in their block), then its windows that other buckets may remove."""
         parts, number = [], 0
         for batch in batches:
             for bucket, block, docs, reach, context, places in zip(*(batch.column(name).to_pylist() for name, _ in _SUFFIXES)):
                 if bucket < 0:
-                    yield _runs([block], [docs], [places])
+                    yield _runs(block, places)
                 else:
                     number = bucket
                     parts.append((block, _unpack(docs, "<i8"), np.frombuffer(reach, np.uint8).reshape(-1, 2), _unpack(context, "u1").reshape(-1, CONTEXT), _unpack(places, "<i4").reshape(-1, 2).astype(np.int64)))
@@ -366,9 +371,9 @@ def _compared(splitters: np.ndarray):
             r, a = np.nonzero(edge == 1)
             z = np.nonzero(edge == -1)[1]
             if len(r):
-                which, p, doc = _of_places(r, places, ids)
+                which, p, _ = _of_places(r, places, ids)
                 pair = np.stack([p - (z[which] - 1), p - a[which] + LENGTH], 1)
-                yield _runs([block], [_pack(doc.astype("<i8"))], [_pack(pair.astype("<i4").ravel())])
+                yield _runs(block, _pack(pair.astype("<i4").ravel()))
             r, o = np.nonzero(still)
             for lo in range(0, len(r), 20000):
                 which, p, doc = _of_places(r[lo : lo + 20000], places, ids)
@@ -389,36 +394,36 @@ def _of_places(r: np.ndarray, places: np.ndarray, ids: np.ndarray) -> tuple[np.n
     return which, np.repeat(places[:, 1], k), np.repeat(ids[places[:, 0]], k)
 
 
-_FOUND = [("block", pa.int32()), ("docs", pa.binary()), ("runs", pa.binary()), ("window", pa.binary()), ("doc", pa.int64()), ("start", pa.int64())]
-_FOUND_SCHEMA = "block int, docs binary, runs binary, window binary, doc long, start long"
+_FOUND = [("block", pa.int32()), ("runs", pa.binary()), ("window", pa.binary()), ("doc", pa.int64()), ("start", pa.int64())]
+_FOUND_SCHEMA = "block int, runs binary, window binary, doc long, start long"
 
 
-def _runs(block: list, docs: list, pairs: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(docs, pa.binary()), pa.array(pairs, pa.binary()), *(pa.nulls(len(block), t) for _, t in _FOUND[3:])], names=[n for n, _ in _FOUND])
+def _runs(block: int, pairs: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pairs], pa.binary()), *(pa.nulls(1, t) for _, t in _FOUND[2:])], names=[n for n, _ in _FOUND])
 
 
 def _windows(block: int, windows: np.ndarray, doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     n = len(doc)
     text = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * LENGTH).tobytes()), pa.py_buffer(windows.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), text, pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int64))], names=[n for n, _ in _FOUND])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int32)), pa.nulls(n, pa.binary()), text, pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int64))], names=[n for n, _ in _FOUND])
 
 
 def _finished(with_text: bool, id_type: pa.DataType):
     def merged(key, left: pa.Table, right: pa.Table) -> pa.Table:
         b = Block(left)
-        one = right.filter(pa.compute.is_valid(right.column("doc")))
-        doc, start = one.column("doc").to_numpy(), one.column("start").to_numpy()
-        docs = np.concatenate([doc, *(_unpack(x, "<i8") for x in right.column("docs").to_pylist() if x is not None)])
+        start = right.column("start").drop_null().to_numpy()
         runs = np.concatenate([np.stack([start, start + LENGTH], 1), *(_unpack(x, "<i4").reshape(-1, 2) for x in right.column("runs").to_pylist() if x is not None)])
-        by = np.lexsort((runs[:, 0], docs))
-        docs, runs = docs[by], runs[by]
-        lo, hi = np.searchsorted(docs, b.ids), np.searchsorted(docs, b.ids, "right")
+        runs = runs[np.argsort(runs[:, 0], kind="stable")]
+        lo, hi = np.zeros(len(b.ids), np.int64), np.zeros(len(b.ids), np.int64)
+        lo[b.kept], hi[b.kept] = np.searchsorted(runs[:, 0], b.starts), np.searchsorted(runs[:, 0], b.ends)
+        base = np.zeros(len(b.ids), np.int64)
+        base[b.kept] = b.starts
         rows = []
         for i in range(len(b.ids)):
             text = b.bytes[b.at[i] : b.at[i + 1]]
             spans = []
             if hi[i] > lo[i]:
-                r = runs[lo[i] : hi[i]]
+                r = runs[lo[i] : hi[i]] - base[i]
                 stop = np.maximum.accumulate(r[:, 1])
                 new = np.flatnonzero(np.r_[True, r[1:, 0] > stop[:-1]])
                 spans = list(zip(r[new, 0].tolist(), stop[np.append(new[1:], len(r)) - 1].tolist()))
@@ -493,8 +498,8 @@ def deduplicated(docs: DataFrame, text_col: str = "text", with_text: bool = Fals
     windows = found.where("window is not null")
     first = windows.groupBy("window").agg(F.min("doc").alias("_first"))
     none = lambda t: F.lit(None).cast(t)
-    later = windows.join(first.hint("merge"), "window").where("doc > _first").select("block", none("binary").alias("docs"), none("binary").alias("runs"), "doc", "start")
-    side = found.where("window is null").select("block", "docs", "runs", "doc", "start").unionByName(later)
+    later = windows.join(first.hint("merge"), "window").where("doc > _first").select("block", none("binary").alias("runs"), "start")
+    side = found.where("window is null").select("block", "runs", "start").unionByName(later)
     done = groups.cogroup(side.groupBy("block")).applyInArrow(_finished(with_text, id_type), OUT.format(id=kind))
     text = F.coalesce(F.col("text"), F.lit(""))
     spans_type = "array<struct<start:long,stop:long>>"

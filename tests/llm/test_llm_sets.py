@@ -235,6 +235,17 @@ def test_components(spark, monkeypatch, shape):
     assert minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_near_duplicates_of_a_very_long_text(spark):
+    r = random.Random(9)
+    words = [f"w{r.randrange(5000)}" for _ in range(250_000)]
+    near = list(words)
+    for _ in range(2000):
+        near[r.randrange(len(near))] = "x"
+    rows = [(5, " ".join(words)), (3, " ".join(near)), (4, " ".join(words[: len(words) // 2])), (1, "short text of five words or six")]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash.classes(frame(spark, rows)).collect()}
+    assert got == brute_classes(rows) and got[5][1] == 3
+
+
 # ---- repeated passages
 
 
@@ -323,6 +334,24 @@ def test_passages_edge_cases(spark):
     assert suffix_dedup.deduplicated(frame(spark, [])).count() == 0
 
 
+def test_passages_of_a_very_long_text(spark):
+    """A text of 400 kB that holds another document's passage twice, and its copy."""
+    r = random.Random(5)
+    filler = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage = filler(900)
+    long = filler(200_000) + passage + filler(150_000) + passage + filler(50_000)
+    rows = [(1, "head " + passage + " tail"), (2, long), (3, long)]
+    got = sorted(tuple(x) for x in suffix_dedup.deduplicated(frame(spark, rows)).collect())
+    assert got == brute_passages(rows)
+
+
+def test_passages_with_two_texts_under_one_id(spark):
+    text = "0123456789" * 9
+    rows = [(1, text), (2, "x" + text), (2, "other words " * 9)]
+    got = {(r["doc_id"], r["text_sha256"]): bytes(r["kept"]) for r in suffix_dedup.deduplicated(frame(spark, rows), with_text=True).collect()}
+    assert got == {(d, hashlib.sha256(t.encode()).hexdigest()): k for (d, t), k in zip(rows, (text.encode(), b"x", b"other words " * 9))}
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(0)
     words = rng.integers(0, 4, (5000, 5)).astype(np.uint64)
@@ -572,6 +601,59 @@ def test_neighbours_edge_cases(spark):
     assert ann.neighbours(df.where("false"), "vec_id % 20 = 0").count() == 0
 
 
+def test_neighbours_leave_clashing_columns_alone(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(np.float32(a)) for a in rng.normal(size=6)]) for i in range(100)]
+    names = ["n", "rep", "curve", "key", "turn", "place", "low", "ids", "query", "rows"]
+    df = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], "vec_id long, embedding array<float>, " + ", ".join(f"{n} string" for n in names))
+    got = {}
+    for r in ann.neighbours(df, "vec_id % 20 = 0").orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == brute_neighbours(rows)
+
+
+def test_places_are_ranks(spark):
+    """Places of entries and queries on every curve, over several partitions, against a sort."""
+    rng = np.random.default_rng(8)
+    rows = [(n, f"r{i:03d}", c, int(rng.integers(0, 6)), 0, bool(i % 5 == 0)) for i in range(300) for n in (3, 4) for c in range(2)]
+    df = spark.createDataFrame(rows, "n int, rep string, curve int, key long, turn int, asked boolean").repartition(5)
+    got = {(r["n"], r["curve"], r["rep"], r["asked"]): r["place"] for r in ann.placed(df).collect()}
+    want = {}
+    for n in (3, 4):
+        for c in range(2):
+            before = 0
+            for r in sorted((r for r in rows if (r[0], r[2]) == (n, c)), key=lambda r: (r[3], r[5], r[1])):
+                want[n, c, r[1], r[5]] = before
+                before += not r[5]
+    assert got == want
+
+
+def test_windows_narrow_where_vectors_cluster(spark):
+    """On clusters, fitted windows cost less than a scan and still find the neighbours."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(300, 24))
+    rows = [(i, [float(np.float32(a)) for a in centres[i % 300] + 0.2 * rng.normal(size=24)]) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    kept = []
+    real = ann.fitted
+    ann.fitted = lambda *a: kept.append(real(*a)) or kept[-1]
+    try:
+        got = {}
+        for r in ann.neighbours(df, "vec_id % 400 = 0").collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    finally:
+        ann.fitted = real
+    fit = kept[0].first()
+    assert fit["turns"] * (2 * fit["width"] + fit["rows"]) < 0.8 * fit["held"]
+    x = np.array([v for _, v in rows])
+    hit = 0
+    for q in got:
+        s = x @ x[q]
+        s[q] = -9
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.9 * 20 * len(got) and len(got) == 30
+
+
 def test_neighbours_of_each_length(spark):
     """A row with one component too many finds others of its length and leaves the rest alone."""
     rng = np.random.default_rng(1)
