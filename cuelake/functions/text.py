@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ def clock(ms: Column | str, sep: str = ",") -> Column:
     return F.concat(F.when(hours < 100, pad(hours, 2)).otherwise(hours.cast("string")), F.lit(":"), pad(F.floor(m / 60000).cast("long") % 60, 2), F.lit(":"), pad(F.floor(m / 1000).cast("long") % 60, 2), F.lit(sep), pad(m % 1000, 3))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value made once a row; within a lambda it would be made again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def clip(c: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
 

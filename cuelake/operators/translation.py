@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelake import dims
-from cuelake.functions.text import listed, tokens, words
+from cuelake.functions.text import let, listed, tokens, words
 
 from .rules import BENGALI, DEVANAGARI
 
@@ -77,8 +77,10 @@ def token_jaccard(a: str = "ref", b: str = "back") -> Column:
 
 
 def _kept(elements: Column, target: Column) -> Column:
-    """Share of elements that the target has; 0 without elements."""
-    return F.size(F.filter(elements, lambda x: target.contains(x))) / F.greatest(F.size(elements), F.lit(1))
+    """Share of elements that the target has; 0 without elements. An element that stands many times is looked for once."""
+    found = lambda e, t: F.filter(F.array_distinct(e), lambda x: t.contains(x))
+    share = lambda e, f: F.size(F.filter(e, lambda x: F.array_contains(f, x))) / F.greatest(F.size(e), F.lit(1))
+    return let(elements, lambda e: let(target, lambda t: let(found(e, t), lambda f: share(e, f))))
 
 
 def semantic_estimate(source: str = "ref", target: str = "hyp") -> Column:
