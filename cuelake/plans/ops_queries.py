@@ -47,12 +47,12 @@ def call_rate(spark, d):
 
 
 def due_retries(spark, d):
-    return L.due_retries(X.retry_queue(spark, d), NOW).groupBy("state").agg(F.count("*").alias("items"), F.sum("item").alias("ids"))
+    return L.due_retries(X.retry_queue(spark, d), NOW).select("item", "state")
 
 
 def failure_classes(spark, d):
     logs = X.logs(spark, d).withColumn("error_type", F.when(F.col("error_type") == "QuotaExceeded", "QuotaExceededError").otherwise(F.col("error_type")))
-    return L.classify_failures(logs).groupBy("error_type", "retryable", "action").agg(F.count("*").alias("errors"))
+    return L.classify_failures(logs).select("event_id", "error_type", "retryable", "action")
 
 
 def stage_funnel(spark, d):
@@ -163,10 +163,10 @@ QUERIES = {
     "health_rollup": (health_rollup, f"""with {X.HEALTH}, s as (select *, {_HEALTH} as s from health) select host, {_NAME('max(s)')} as status, count(*) filter (s = 0) as healthy, count(*) filter (s = 1) as warning, count(*) filter (s = 2) as critical,
         coalesce(string_agg(distinct metric || ':' || {_NAME('s')}, ',' order by metric || ':' || {_NAME('s')}) filter (s > 0), '') as issues from s group by 1"""),
     "call_rate": (call_rate, f"with {X.CALLS}, r as (select host, service, t_s, count(*) over w as recent, min(t_s) over w as f from calls window w as (partition by host, service order by t_s range between 59 preceding and current row)) select host, service, t_s, recent, recent > 2 as over, case when recent > 2 then f + 60 - t_s else 0 end as wait_s from r"),
-    "due_retries": (due_retries, f"with {X.RETRIES} select case when attempts >= max_attempts then 'exhausted' when retry_after_us <= {NOW} then 'ready' else 'waiting' end as state, count(*) as items, sum(item)::bigint as ids from retries group by 1"),
-    "failure_classes": (failure_classes, f"""with {X.LOGS}, f as (select * from (values {_FAIL}) t(error_type, known_retry, known_action)), e as (select case when error_type = 'QuotaExceeded' then 'QuotaExceededError' else error_type end as error_type, lower(message) as message from logs where level = 'ERROR'),
-        c as (select error_type, coalesce(known_retry, {_SAYS}) as retryable, coalesce(known_action, case when contains(message, 'quota') or contains(message, 'rate limit') then 'skip' when contains(message, 'permission') or contains(message, 'access') then 'skip' when {_SAYS} then 'retry_later' else 'use_alternative' end) as action from e left join f using (error_type))
-        select error_type, retryable, action, count(*) as errors from c group by 1, 2, 3"""),
+    "due_retries": (due_retries, f"with {X.RETRIES} select item, case when attempts >= max_attempts then 'exhausted' when retry_after_us <= {NOW} then 'ready' else 'waiting' end as state from retries"),
+    "failure_classes": (failure_classes, f"""with {X.LOGS}, f as (select * from (values {_FAIL}) t(error_type, known_retry, known_action)), e as (select event_id, case when error_type = 'QuotaExceeded' then 'QuotaExceededError' else error_type end as error_type, lower(message) as message from logs where level = 'ERROR'),
+        c as (select event_id, error_type, coalesce(known_retry, {_SAYS}) as retryable, coalesce(known_action, case when contains(message, 'quota') or contains(message, 'rate limit') then 'skip' when contains(message, 'permission') or contains(message, 'access') then 'skip' when {_SAYS} then 'retry_later' else 'use_alternative' end) as action from e left join f using (error_type))
+        select event_id, error_type, retryable, action from c"""),
     "stage_funnel": (stage_funnel, f"""with {X.JOB_STATES}, b as (select job_id, max(stage) as reached from job_states where stage >= 0 group by 1), l as (select job_id, stage = -1 as failed from job_states qualify row_number() over (partition by job_id order by updated_us desc, event_id desc) = 1), j as (select * from b join l using (job_id))
         select s::int as stage, count(reached) as jobs, count(*) filter (reached = s and failed) as failed from unnest(range(12)) u(s) left join j on reached >= s group by 1"""),
     "stream_timers": (stream_timers, f"with {X.LOGS} select (epoch_us(ts) // 300000000 * 300)::bigint as window_s, operation, count(*) as calls, round(sum(duration_ms), 6) as total_ms, round(avg(duration_ms), 6) as mean_ms, min(duration_ms) as min_ms, max(duration_ms) as max_ms from logs group by 1, 2"),
