@@ -47,6 +47,18 @@ def long_text(seed, size=3_000_000, line=True):
     return "".join(np.char.add(rng.choice(words, n), rng.choice(ends, n)))
 
 
+def test_samples_are_the_smallest_hashes(spark):
+    rows = [(i, "common" if i % 10 else "rare") for i in range(5000)] * 2 + [(None, "common"), (7000, None), (7001, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, label string")
+    got = {}
+    for r in common.sample_ids(df, "label", 100).collect():
+        got.setdefault(r["label"], []).append(r["doc_id"])
+    hashed = {r[0]: r[1] for r in spark.range(8000).selectExpr("id", "xxhash64(id) & %d" % ((1 << 62) - 1)).collect()}
+    for name, ids in (("common", [i for i in range(5000) if i % 10]), ("rare", range(0, 5000, 10)), ("alone", [7001])):
+        assert sorted(got.pop(name)) == sorted(sorted(ids, key=hashed.get)[:100])
+    assert not got
+
+
 def test_span_hashes_depend_on_bytes_only():
     data = np.frombuffer(b"hello world hello", np.uint8)
     sums = common.prefix_sums(data)
