@@ -4,7 +4,7 @@ its leftmost minimum-rank pair, by hashed pair lookup and compaction.
 A text is cut by the tokenizer's pattern; each piece is encoded alone. Within an Arrow batch the distinct pieces are put into
 matrices of like length, one row a piece, one column a token. A round looks up the ranks of all neighbouring pairs in an
 open-addressing table, finds each row's leftmost smallest rank, writes the merged token and closes the gap; rows without a
-pair leave the matrix. Encoded pieces are kept for later batches of the task up to ``CACHE`` pieces. In the matrices of pieces over
+pair leave the matrix. Encoded pieces of up to ``LONG`` characters are kept for later batches of the task, ``CACHE`` pieces at most. In the matrices of pieces over
 ``LONG`` bytes (a run of one kind of character can be a whole text) a row is cut into blocks of columns whose smallest ranks are kept,
 so that a round looks at those and at the blocks it changes; gaps are skipped by links and closed when the row is done.
 
@@ -224,6 +224,9 @@ class Encoder:
             fresh = list(fresh)
             known.update(zip(fresh, self.ranks.encode_pieces([p.encode() for p in fresh])))
             out += [b"".join(map(known.__getitem__, c)) for c in cut]
+            for piece in fresh:
+                if len(piece) > LONG:  # long pieces hardly come again and would fill the memory
+                    del known[piece]
             lo = hi
         return out
 
