@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from .ann import op10_hilbert_ann
 from .byte_bpe import op7_byte_bpe
+from .decontamination import ORACLE as DECONTAMINATION_SQL
+from .decontamination import op11_benchmark_decontamination
+from .hard_negatives import ORACLE as NEGATIVES_SQL
+from .hard_negatives import op13_hard_negatives
 from .language_id import op6_language_id
 from .license_scan import ORACLE as LICENSE_SQL
 from .license_scan import op2_license_scan
@@ -12,6 +16,7 @@ from .minhash import op5_minhash
 from .packing import op3_best_fit_packing
 from .progressive_jpeg import op9_progressive_jpeg
 from .quality import op4_quality
+from .spelling import op12_spelling_variants
 from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op1_toxicity
 
@@ -26,9 +31,14 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op1_toxicity": op1_toxicity,
     "op6_language_id": op6_language_id,
+    "op11_benchmark_decontamination": op11_benchmark_decontamination,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": LICENSE_SQL,
     "op5_minhash": MINHASH_SQL,
+    "op11_benchmark_decontamination": DECONTAMINATION_SQL,
+    "op13_hard_negatives": NEGATIVES_SQL,
 }
