@@ -70,17 +70,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def sample_ids(classes: DataFrame, class_col: str, per_class: int, id_col: str = "doc_id") -> DataFrame:
     """At most ``per_class`` ids of each class, those with the smallest id hashes: a bounded sample of labelled rows that
-    does not depend on the order or partitioning of the rows. One row per id and class. Counts of the thousand most
-    frequent classes (a thousand rows, broadcast) first leave about twice as many rows of each as are wanted, before anything is
-    shuffled, so that ranking sees few, however frequent a class is."""
+    does not depend on the order or partitioning of the rows, nor on how often an id is repeated. One row per id and class. Counts of
+    the distinct ids of the thousand most frequent classes (a thousand rows, broadcast) first leave about twice as many of each as are
+    wanted, so that ranking sees few, however frequent a class is."""
     from pyspark.sql import Window
 
-    named = classes.where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull()).select(id_col, class_col)
+    named = classes.where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull()).select(id_col, class_col).distinct()
     named = named.withColumn("_h", F.xxhash64(id_col).bitwiseAND(F.lit((1 << 62) - 1)))
     counts = named.groupBy(class_col).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), class_col).limit(1000)
     few = named.join(F.broadcast(counts), class_col, "left").where("_n is null or _h < double(%d) * %d / _n" % (1 << 62, 2 * per_class + 50))
     order = Window.partitionBy(class_col).orderBy("_h", id_col)
-    return few.select(id_col, class_col, "_h").distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).drop("_rank", "_h")
+    return few.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).drop("_rank", "_h")
 
 
 @dataclass

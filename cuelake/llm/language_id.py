@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, LOWER, Chunk, batch_udf, chunks, fold, sample_ids, tune, without
+from .common import CHUNK_BYTES, LOWER, Chunk, batch_udf, chunks, durable, fold, sample_ids, tune, without
 
 BITS = 15
 ORDERS = (2, 3, 4)
 BUCKETS = len(ORDERS) << BITS
 DIM = 12
+TRAIN_BYTES = 256 << 20
 OUT = ("lang_pred", "score", "rejected")
 
 _CLASS = LOWER.copy()
@@ -153,11 +154,22 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classe
 
 
 def fit(docs: DataFrame, label_col: str = "lang", per_language: int = 400) -> dict:
-    """Trains on the rows of docs with a label. Bounded: ``per_language`` documents of each language, each of at most BUCKETS counts."""
+    """Trains on the rows of docs with a label. Bounded: ``per_language`` documents of each language (of a repeated id, one text), and
+    ``TRAIN_BYTES`` of their counts, shared by the languages; beyond that the documents with the smallest hashes serve."""
     tune(docs.sparkSession)
     ids = sample_ids(docs.select("doc_id", F.col(label_col).cast("string").alias("label")), "label", per_language)
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
-    rows = picked.mapInArrow(_counted, f"doc_id {dict(docs.dtypes)['doc_id']}, label string, buckets binary, counts binary").collect()
+    picked = docs.select("doc_id", "text", F.col(label_col).cast("string").alias("label")).join(F.broadcast(ids), ["doc_id", "label"]).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    counted = durable(picked.select("doc_id", "text", "label").mapInArrow(_counted, f"doc_id {dict(docs.dtypes)['doc_id']}, label string, buckets binary, counts binary"))
+    sizes = counted.select("doc_id", "label", (F.octet_length("buckets") + F.octet_length("counts")).alias("size")).collect()  # a row for each sampled document
+    held, kept = {}, set()
+    for r in sorted(sizes, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["label"])):
+        held[r["label"]] = held.get(r["label"], 0) + r["size"]
+        if held[r["label"]] <= TRAIN_BYTES // len({x["label"] for x in sizes}):
+            kept.add((r["doc_id"], r["label"]))
+    if len(kept) < len(sizes):
+        few = docs.sparkSession.createDataFrame(sorted(kept), f"doc_id {dict(docs.dtypes)['doc_id']}, label string")
+        counted = counted.join(F.broadcast(few), ["doc_id", "label"])
+    rows = counted.collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["buckets"]), bytes(r["counts"])))
     classes = sorted({r["label"] for r in rows})
     if not rows:

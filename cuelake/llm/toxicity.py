@@ -367,7 +367,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
     labels = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     share = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     ids = F.broadcast(sample_ids(labels, "label", per_class))
-    picked = durable(docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "label"))
+    # of a repeated id, one text
+    picked = durable(docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"))
     rate = share.get(1, 0) / max(1, sum(share.values()))
     apart = F.crc32(F.concat(F.lit("v"), F.col("doc_id").cast("string")).cast("binary")) % 5 == 0
     learn = picked.where(~apart)

@@ -29,10 +29,12 @@ def test_stages(spark, sf):
 
 def test_odd_rows(spark, sf):
     rows = [(None, None, None, None, None, "x"), (1, "", "en", None, 0, "x"), (2, "...", None, "a", 3, "x"), (3, "the and of is to a in that it " * 20, "en", "a", 5, "y"), (3, "the and of is to a in that it " * 20, "en", "a", 5, "y")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    names = ["score", "_sha", "_kept", "_text", "_all"]
+    docs = spark.createDataFrame([(*r[:5], *[f"{n}-{r[5]}" for n in names]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns
         assert stage(spark, docs.where("false"), sf).count() == 0
-        out.collect()
+        for r in out.collect():
+            assert [r[n].rsplit("-", 1)[0] for n in names] == names and len({r[n][-1] for n in names}) == 1
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == len(rows)

@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cuelake.llm import byte_bpe, common, language_id, quality, registry, toxicity
 
@@ -59,6 +60,24 @@ def test_samples_are_the_smallest_hashes(spark):
     assert not got
 
 
+def test_samples_do_not_depend_on_repeats(spark):
+    """One id repeated 50,000 times beside 200 others, and a classifier's sample of such rows."""
+    ids = spark.range(200).union(spark.range(50_000).select(F.lit(900).cast("long")))
+    assert {r["doc_id"] for r in common.sample_ids(ids.select(F.col("id").alias("doc_id"), F.lit("a").alias("label")), "label", 400).collect()} == {*range(200), 900}
+    text = F.when(F.col("id") % 2 == 0, "the and of that with this").otherwise("der und das nicht mit ein")
+    docs = ids.select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    model = language_id.fit(docs)
+    assert model["classes"] == ["de", "en"]
+    got = language_id.predict(docs.distinct(), model).groupBy("lang").agg(F.min("lang_pred").alias("low"), F.max("lang_pred").alias("high")).collect()
+    assert all(r["low"] == r["high"] == r["lang"] for r in got)
+
+
+def test_language_training_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAIN_BYTES", 4000)
+    docs = spark.createDataFrame([(i, ("the and of that " if i % 2 else "der und das nicht ") + str(i), "en" if i % 2 else "de") for i in range(60)], "doc_id long, text string, lang string")
+    assert language_id.fit(docs)["classes"] == ["de", "en"]
+
+
 def test_span_hashes_depend_on_bytes_only():
     data = np.frombuffer(b"hello world hello", np.uint8)
     sums = common.prefix_sums(data)
