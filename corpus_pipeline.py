@@ -40,12 +40,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 bytes and more that a document with a smaller doc_id has; n_chars follows the text."""
     # one doc_id may stand for several texts: a row takes what is left of its own
-    found = suffix_dedup.deduplicated(docs.where("doc_id is not null and text is not null"), with_text=True)
+    found = suffix_dedup.deduplicated(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), with_text=True)
     kept = found.select("doc_id", F.col("text_sha256").alias("_sha"), F.col("kept").cast("string").alias("_kept")).dropDuplicates(["doc_id", "_sha"])
-    named = docs.withColumn("_sha", F.sha2(F.col("text").cast("binary"), 256))
-    joined = named.join(kept, ["doc_id", "_sha"], "left").withColumn("_text", F.coalesce("_kept", "text"))
-    new = {"text": F.col("_text"), "n_chars": F.char_length(F.col("_text")).cast(dict(docs.dtypes).get("n_chars", "bigint"))}
-    return joined.select(*[new[c].alias(c) if c in new else c for c in docs.columns])
+    named = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("_sha"), F.struct("*").alias("_all"))
+    own = lambda c: F.col("_all").getField(c)
+    left = F.coalesce("_kept", own("text"))
+    new = {"text": left, "n_chars": F.char_length(left).cast(dict(docs.dtypes).get("n_chars", "bigint"))}
+    joined = named.join(kept, ["doc_id", "_sha"], "left")
+    return joined.select(*[new.get(c, own(c)).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
