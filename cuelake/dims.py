@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A subtitle file: of each language a medium has a regular and an SDH file. A pair of texts, and a unit of work on a file.
+FILE_KEYS = ("media_id", "language", "sdh")
+PAIR_KEYS = ("media_id", "src_lang", "tgt_lang")
+UNIT_KEYS = (*FILE_KEYS, "chunk_no")
 #: Language code, name, and whether the language has a profile of its own.
 LANGUAGES = [
     ("eng", "English", True), ("hin", "Hindi", True), ("ben", "Bengali", True), ("tel", "Telugu", False), ("mar", "Marathi", False), ("tam", "Tamil", False), ("guj", "Gujarati", False),

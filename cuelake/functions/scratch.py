@@ -1,11 +1,11 @@
-"""Folders for intermediate files."""
+"""Intermediate files."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -14,3 +14,23 @@ def scratch(spark: SparkSession) -> str:
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{shared or tempfile.mkdtemp(prefix='spark-')}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in a scratch folder, so that loops do not grow their plans and a lost executor takes nothing with it."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders or files that nothing will read any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by ``stored``."""
+    for t in tables:
+        removed(t.sparkSession, *{f.rsplit("/", 1)[0] for f in t.inputFiles()})

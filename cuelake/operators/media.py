@@ -6,17 +6,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.dims import FILE_KEYS
 from cuelake.functions.joins import band, interval_join
+from cuelake.functions.scratch import dropped, stored
 from cuelake.functions.text import is_blank, listed, words
 
 HOP_MS = 200
 
 
-def align_events(cues: DataFrame, events: DataFrame) -> DataFrame:
+def align_events(cues: DataFrame, events: DataFrame, keys: tuple[str, ...] = FILE_KEYS) -> DataFrame:
     """Visual events during each cue (both ends included), times listed by kind; cues without events stay."""
-    found = interval_join(cues.select("media_id", "language", "seq", "start_ms", "end_ms"), events, how="left")
+    found = interval_join(cues.select(*keys, "seq", "start_ms", "end_ms"), events, how="left")
     times = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("t_ms")))).alias(f"{kind}s")
-    return found.groupBy("media_id", "language", "seq").agg(*[times(k) for k in ("scene", "appearance", "motion")])
+    return found.groupBy(*keys, "seq").agg(*[times(k) for k in ("scene", "appearance", "motion")])
 
 
 def change_alignment(changes: DataFrame, scenes: DataFrame, reach_ms: int = 2000) -> DataFrame:
@@ -48,25 +50,25 @@ def nearest_break(edges: DataFrame, pauses: DataFrame, minima: DataFrame, reach_
     return edges.join(best.select("media_id", "edge_id", "side", F.col("_m.to").alias("snap_ms"), (F.col("_m.kind") == 0).alias("is_pause")), ["media_id", "edge_id", "side"], "left")
 
 
-def speech_activity(cues: DataFrame, frames: DataFrame) -> DataFrame:
+def speech_activity(cues: DataFrame, frames: DataFrame, keys: tuple[str, ...] = FILE_KEYS) -> DataFrame:
     """Active speech within each cue: frames louder than the 30th percentile of the cue's sounding frames, with moderate zero crossings
     and enough high frequencies. The frames of a cue meet once."""
-    inside = cue_frames(cues.select("media_id", "language", "seq", "start_ms", "end_ms", "text"), frames)
-    per = inside.groupBy("media_id", "language", "seq", "start_ms", "end_ms", "text").agg(
+    inside = cue_frames(cues.select(*keys, "seq", "start_ms", "end_ms", "text"), frames)
+    per = inside.groupBy(*keys, "seq", "start_ms", "end_ms", "text").agg(
         F.coalesce(F.percentile(F.when(F.col("rms") > 0, F.col("rms")), 0.3), F.lit(0.0)).alias("_r"), F.avg("zcr").alias("_z"), F.avg("centroid").alias("_c"), F.collect_list(F.struct("rms", "zcr", "centroid")).alias("_f"), F.count("*").alias("frames"))
     # Compared to nine decimals, so that means summed in any order decide alike.
     over = lambda a, b: F.round(a - b, 9) > 0
     active = F.size(F.filter("_f", lambda x: over(x.rms, F.col("_r")) & over(x.zcr, F.col("_z") * 0.5) & over(F.col("_z") * 2.0, x.zcr) & over(x.centroid, F.col("_c") * 0.3)))
     ms = active.cast("long") * HOP_MS
-    return per.select("media_id", "language", "seq", "start_ms", "end_ms", F.size(words("text")).alias("words"), "frames", ms.alias("active_ms"), F.when(F.col("end_ms") > F.col("start_ms"), ms / (F.col("end_ms") - F.col("start_ms"))).otherwise(0.0).alias("activity_ratio"))
+    return per.select(*keys, "seq", "start_ms", "end_ms", F.size(words("text")).alias("words"), "frames", ms.alias("active_ms"), F.when(F.col("end_ms") > F.col("start_ms"), ms / (F.col("end_ms") - F.col("start_ms"))).otherwise(0.0).alias("activity_ratio"))
 
 
-def speech_rate(activity: DataFrame, frames: DataFrame) -> DataFrame:
-    """Words a minute of active speech: per media mean, deviation, median, range, cues over 200 and under 80, and the share of the audio
+def speech_rate(activity: DataFrame, frames: DataFrame, keys: tuple[str, ...] = FILE_KEYS) -> DataFrame:
+    """Words a minute of active speech: per file mean, deviation, median, range, cues over 200 and under 80, and the share of the audio
     that is speech."""
     rate = activity.where("active_ms > 0").withColumn("wpm", F.col("words") * 60000.0 / F.col("active_ms"))
     audio = frames.groupBy("media_id").agg((F.max("t_ms") + HOP_MS).alias("audio_ms"))
-    s = rate.groupBy("media_id").agg(F.avg("wpm").alias("mean_wpm"), F.stddev_pop("wpm").alias("std_wpm"), F.median("wpm").alias("median_wpm"), F.min("wpm").alias("min_wpm"), F.max("wpm").alias("max_wpm"), F.count(F.when(F.col("wpm") > 200, 1)).alias("too_fast"), F.count(F.when(F.col("wpm") < 80, 1)).alias("too_slow"), F.sum("active_ms").alias("active_ms"))
+    s = rate.groupBy(*keys).agg(F.avg("wpm").alias("mean_wpm"), F.stddev_pop("wpm").alias("std_wpm"), F.median("wpm").alias("median_wpm"), F.min("wpm").alias("min_wpm"), F.max("wpm").alias("max_wpm"), F.count(F.when(F.col("wpm") > 200, 1)).alias("too_fast"), F.count(F.when(F.col("wpm") < 80, 1)).alias("too_slow"), F.sum("active_ms").alias("active_ms"))
     return s.join(audio, "media_id").withColumn("speaking_ratio", F.col("active_ms") / F.col("audio_ms"))
 
 
@@ -81,14 +83,24 @@ def _runs(frames: DataFrame, inside: Column, least_ms: int, strict: bool) -> Dat
     return runs.withColumn("duration_ms", d).where(d > least_ms if strict else d >= least_ms).drop("_g", "_n", "_k")
 
 
-def _with_percentile(frames: DataFrame, p: float, sounding: bool) -> DataFrame:
+def percentiles(frames: DataFrame, value: Column, p: list[float], accuracy: int | None = None, keys: tuple[str, ...] = ("media_id",)) -> DataFrame:
+    """The keys and ``q``, the percentiles of a value: exact, or with ``accuracy`` from sketches that are merged (a rank error of at
+    most 1 / accuracy of the rows, in memory that does not grow with them). Partial results come before the shuffle."""
+    q = F.percentile(value, p) if accuracy is None else F.percentile_approx(value, p, accuracy).cast("array<double>")
+    return frames.groupBy(*keys).agg(q.alias("q"))
+
+
+def _with_percentile(frames: DataFrame, p: float, sounding: bool, accuracy: int | None = None) -> DataFrame:
+    """Adds _p. By default exact, in a window that holds a medium's frames; with ``accuracy`` by sketches."""
     value = F.when(F.col("rms") > 0, F.col("rms")) if sounding else F.col("rms")
-    return frames.withColumn("_p", F.percentile(value, p).over(Window.partitionBy("media_id")))
+    if accuracy is None:
+        return frames.withColumn("_p", F.percentile(value, p).over(Window.partitionBy("media_id")))
+    return frames.join(percentiles(frames, value, [p], accuracy).select("media_id", F.col("q")[0].alias("_p")), "media_id", "left")
 
 
-def detect_pauses(frames: DataFrame, min_ms: int = 300) -> DataFrame:
-    """Runs below the 25th percentile of the sounding frames, with type and confidence."""
-    runs = _runs(_with_percentile(frames, 0.25, True), F.col("rms") < F.col("_p"), min_ms, False)
+def detect_pauses(frames: DataFrame, min_ms: int = 300, accuracy: int | None = None) -> DataFrame:
+    """Runs below the 25th percentile of the sounding frames, with type and confidence. accuracy: see ``percentiles``."""
+    runs = _runs(_with_percentile(frames, 0.25, True, accuracy), F.col("rms") < F.col("_p"), min_ms, False)
     d, e = F.col("duration_ms"), F.col("energy")
     kind = F.when(d < 500, "short_pause").when(d < 1000, F.when(e < 0.01, "natural_break").otherwise("speech_pause")).when(d < 2000, "sentence_break").otherwise("long_silence")
     confidence = F.lit(50) + F.when(d.between(300, 2000), 30).when(d > 2000, 10).otherwise(0) + F.when(e < 0.01, 20).when(e < 0.05, 10).otherwise(0)
@@ -118,34 +130,35 @@ def energy_profile(frames: DataFrame) -> DataFrame:
     return s.withColumn("variability", F.when(F.col("mean_rms") > 0, F.col("std_rms") / F.col("mean_rms")).otherwise(0.0))
 
 
-def energy_minima(frames: DataFrame, order: int = 3) -> DataFrame:
+def energy_minima(frames: DataFrame, order: int = 3, accuracy: int | None = None) -> DataFrame:
     """Frames quieter than their ``order`` neighbours on both sides (frames at the edges are none) and than the 25th percentile."""
     w = Window.partitionBy("media_id").orderBy("t_ms")
     low = F.lit(True)
     for k in range(1, order + 1):
         low = low & F.coalesce(F.col("rms") < F.lag("rms", k).over(w), F.lit(False)) & F.coalesce(F.col("rms") < F.lead("rms", k).over(w), F.lit(False))
     marked = frames.withColumn("_low", low)
-    return _with_percentile(marked, 0.25, False).where("_low and rms < _p").select("media_id", "t_ms", "rms")
+    return _with_percentile(marked, 0.25, False, accuracy).where("_low and rms < _p").select("media_id", "t_ms", "rms")
 
 
-def energy_segments(frames: DataFrame) -> DataFrame:
+def energy_segments(frames: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Runs above the 60th percentile that last over a second."""
-    return _runs(_with_percentile(frames, 0.6, False), F.col("rms") > F.col("_p"), 1000, True)
+    return _runs(_with_percentile(frames, 0.6, False, accuracy), F.col("rms") > F.col("_p"), 1000, True)
 
 
-def retime_cues(cues: DataFrame, pauses: DataFrame, minima: DataFrame) -> DataFrame:
+def retime_cues(cues: DataFrame, pauses: DataFrame, minima: DataFrame, keys: tuple[str, ...] = FILE_KEYS) -> DataFrame:
     """New start and end of cues with text: as long as reading takes (200 words a minute, 20 characters a second, a second at least);
     the change is shared by both edges, which snap to pauses or energy minima; the result lasts a second at least."""
     c = cues.where(~is_blank("text")).withColumn("words", F.size(words("text"))).withColumn("chars", F.char_length(F.trim("text")))
     target = F.greatest(F.col("words") * 300.0, F.col("chars") * 50.0, F.lit(1000.0))
     half = (target - (F.col("end_ms") - F.col("start_ms"))) / 2
-    c = c.select("media_id", "language", "seq", "start_ms", "end_ms", "words", "chars", half.alias("_half"))
+    c = c.select(*keys, "seq", "start_ms", "end_ms", "words", "chars", half.alias("_half"))
+    own = [k for k in keys if k != "media_id"]
     edge = lambda side, t: F.struct(F.lit(side).alias("side"), t.alias("t_ms"))
     both = F.explode(F.array(edge("start", F.col("start_ms") - F.col("_half")), edge("end", F.col("end_ms") + F.col("_half"))))
-    edges = c.where(F.abs(F.col("_half")) > 100).select("media_id", F.struct("language", "seq").alias("edge_id"), both.alias("e")).select("media_id", "edge_id", "e.side", "e.t_ms")
+    edges = c.where(F.abs(F.col("_half")) > 100).select("media_id", F.struct(*own, "seq").alias("edge_id"), both.alias("e")).select("media_id", "edge_id", "e.side", "e.t_ms")
     snapped = nearest_break(edges, pauses, minima).groupBy("media_id", "edge_id").agg(*[F.max(F.when(F.col("side") == s, F.coalesce(F.col("snap_ms").cast("double"), F.greatest(F.lit(0.0), F.col("t_ms")) if s == "start" else F.col("t_ms")))).alias(f"_{s}") for s in ("start", "end")])
-    snapped = snapped.select("media_id", F.col("edge_id.language").alias("language"), F.col("edge_id.seq").alias("seq"), "_start", "_end")
-    out = c.join(snapped, ["media_id", "language", "seq"], "left").withColumn("new_start_ms", F.coalesce("_start", F.col("start_ms").cast("double"))).withColumn("_e", F.coalesce("_end", F.col("end_ms").cast("double")))
+    snapped = snapped.select("media_id", *[F.col(f"edge_id.{k}").alias(k) for k in (*own, "seq")], "_start", "_end")
+    out = c.join(snapped, [*keys, "seq"], "left").withColumn("new_start_ms", F.coalesce("_start", F.col("start_ms").cast("double"))).withColumn("_e", F.coalesce("_end", F.col("end_ms").cast("double")))
     return out.withColumn("new_end_ms", F.when(F.col("_e") - F.col("new_start_ms") < 1000, F.col("new_start_ms") + 1000).otherwise(F.col("_e"))).drop("_half", "_start", "_end", "_e")
 
 
@@ -159,41 +172,82 @@ def explained(retimed: DataFrame) -> DataFrame:
     return r.withColumn("kind", F.when(change > 0.5, "extend").when(change < -0.5, "shorten").otherwise("keep")).withColumn("reason", reason).withColumn("score", F.greatest(F.lit(0.0), score))
 
 
-def retime_report(retimed: DataFrame) -> DataFrame:
-    """Per media: cues, extended, shortened, changed by over 0.2 s, gain in mean speed and evenness, and mean score."""
+def retime_report(retimed: DataFrame, keys: tuple[str, ...] = FILE_KEYS) -> DataFrame:
+    """Per file: cues, extended, shortened, changed by over 0.2 s, gain in mean speed and evenness, and mean score."""
     r = explained(retimed)
     old = F.when(F.col("end_ms") > F.col("start_ms"), F.col("words") * 60000.0 / (F.col("end_ms") - F.col("start_ms")))
-    return r.groupBy("media_id").agg(
+    return r.groupBy(*keys).agg(
         F.count("*").alias("cues"), F.count(F.when(F.col("kind") == "extend", 1)).alias("extended"), F.count(F.when(F.col("kind") == "shorten", 1)).alias("shortened"), F.count(F.when(F.abs("change_s") > 0.2, 1)).alias("changed"),
         (F.avg("wpm") - F.avg(old)).alias("speed_gain"), (F.stddev_pop(old) - F.stddev_pop("wpm")).alias("evenness_gain"), F.avg("score").alias("timing_score"))
 
 
-def snr_quality(frames: DataFrame) -> DataFrame:
+def snr_quality(frames: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Ratio of the 75th to the 25th percentile of squared amplitude in decibels (60 if the latter is 0), and its band."""
-    q = frames.groupBy("media_id").agg(F.percentile(F.col("rms") * F.col("rms"), [0.25, 0.75]).alias("_q"))
+    q = percentiles(frames, F.col("rms") * F.col("rms"), [0.25, 0.75], accuracy).withColumnRenamed("q", "_q")
     snr = F.when(F.col("_q")[0] > 0, 10 * F.log10(F.col("_q")[1] / F.col("_q")[0])).otherwise(60.0)
     return q.select("media_id", snr.alias("snr_db"), F.when(snr > 20, "excellent").when(snr > 15, "good").when(snr > 10, "fair").otherwise("poor").alias("quality"))
 
 
 # ---- Speakers ----------------------------------------------------------------------------------------------------------------
 
-def speaker_cluster(segments: DataFrame, k: int | None = None, seed: int = 42, most: int = 6) -> DataFrame:
-    """Adds speaker_id by k-means over the feature vectors. Without k, 2 to ``most`` clusters are tried, and the one after the
-    smallest drop of the cost is taken."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = segments.drop("speaker_id").withColumn("_v", array_to_vector("features"))
-    fit = lambda n: KMeans(k=n, seed=seed, featuresCol="_v", predictionCol="speaker_id").fit(rows)
-    if k is None:
-        top = min(most, rows.count() // 2)
-        if top < 3:
-            k = 2
-        else:
-            cost = [fit(n).summary.trainingCost for n in range(2, top + 1)]
-            drops = [b - a for a, b in zip(cost, cost[1:])]
-            k = 2 + min(drops.index(max(drops)) + 1, len(cost) - 1)
-    return fit(k).transform(rows).drop("_v")
+def _square(a: Column | str, b: Column | str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def _starts(points: DataFrame, most: int) -> DataFrame:
+    """(media_id, n, starts): up to ``most`` segments of each medium, the earliest and then always the one farthest from those before."""
+    first = points.groupBy("media_id").agg(F.min(F.struct("start_ms", "features")).alias("_m"), F.count("*").alias("n"))
+    chosen = stored(first.select("media_id", "n", F.array("_m.features").alias("starts")))
+    for _ in range(1, most):
+        away = F.array_min(F.transform("starts", lambda c: _square("features", c)))
+        far = points.join(chosen, "media_id").groupBy("media_id").agg(F.max(F.struct(away.alias("d"), (-F.col("start_ms")).alias("t"), "features")).alias("_m"))
+        more = F.when(F.col("_m.d") > 0, F.concat("starts", F.array("_m.features"))).otherwise(F.col("starts"))
+        chosen, before = stored(chosen.join(far, "media_id").select("media_id", "n", more.alias("starts"))), chosen
+        dropped(before)
+    return chosen
+
+
+def _nearest(centres: Column, k: Column) -> Column:
+    """(d, c): squared distance and number of the nearest centre among those of k."""
+    return F.array_min(F.transform(F.filter(centres, lambda x: x.k == k), lambda x: F.struct(_square("features", x.v).alias("d"), x.c.alias("c"))))
+
+
+def speaker_cluster(segments: DataFrame, k: int | None = None, most: int = 6, rounds: int = 30) -> DataFrame:
+    """Adds speaker_id by k-means over the feature vectors of each medium. Without k, 2 to ``most`` clusters (at most half of its segments)
+    are tried, and the number after the smallest drop of the cost is taken.
+
+    All media and all numbers of clusters take their steps together: a row for each medium holds its centres (a bounded number), the
+    segments meet it, and the new centres are grouped means. Starts are fixed (see ``_starts``), so results do not depend on chance
+    or partitions. A cluster that loses all its segments is left out. The steps end when no centre moves, or after ``rounds``."""
+    points = segments.select("media_id", "start_ms", F.col("features").cast("array<double>").alias("features"))
+    dims = points.agg(F.max(F.size("features"))).first()[0] or 0
+    starts = _starts(points, k or most)
+    ks = F.array(F.lit(k)) if k else F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(most), F.floor(F.col("n") / 2).cast("int"))))
+    each = F.flatten(F.transform("_ks", lambda n: F.transform(F.slice("starts", F.lit(1), n), lambda v, i: F.struct(n.alias("k"), i.alias("c"), v.alias("v")))))
+    centres = stored(starts.withColumn("_ks", ks).select("media_id", "_ks", each.alias("centres")))
+    dropped(starts)
+    mean = F.array(*[F.avg(F.get("features", F.lit(i))) for i in range(dims)]).cast("array<double>")
+    moved = lambda a, b: F.exists(F.zip_with(a, b, lambda x, y: (x.c != y.c) | F.exists(F.zip_with(x.v, y.v, lambda p, q: F.abs(p - q) > 1e-9 * (1 + F.abs(p))), lambda z: z)), lambda z: F.coalesce(z, F.lit(True)))
+    for _ in range(rounds):
+        put = points.join(centres, "media_id").select("media_id", "_ks", "features", F.explode("_ks").alias("k"), "centres")
+        put = put.select("media_id", "_ks", "features", "k", _nearest(F.col("centres"), F.col("k")).c.alias("c"))
+        means = put.groupBy("media_id", "_ks", "k", "c").agg(mean.alias("v"))
+        new = means.groupBy("media_id", "_ks").agg(F.array_sort(F.collect_list(F.struct("k", "c", "v"))).alias("centres"))
+        new, before = stored(new), centres
+        still = new.join(before.select("media_id", F.col("centres").alias("_b")), "media_id").where((F.size("centres") != F.size("_b")) | moved("centres", "_b"))
+        ended = still.isEmpty()
+        dropped(before)
+        centres = new
+        if ended:
+            break
+    costs = points.join(centres, "media_id").select("media_id", "features", "centres", F.explode("_ks").alias("k")).groupBy("media_id", "k").agg(F.sum(_nearest(F.col("centres"), F.col("k")).d).alias("cost"))
+    listed_ = costs.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("k", "cost"))).alias("_c"))
+    drops = F.transform(F.sequence(F.lit(1), F.size("_c") - 1), lambda i: F.col("_c")[i].cost - F.col("_c")[i - 1].cost)
+    place = F.when(F.size("_c") < 2, 0).otherwise(F.least(F.array_position(drops, F.array_max(drops)).cast("int"), F.size("_c") - 1))
+    best = listed_.select("media_id", F.col("_c")[place].k.alias("_k"))
+    final = centres.join(best, "media_id").select("media_id", F.filter("centres", lambda x: x.k == F.col("_k")).alias("_centres"), "_k")
+    rows = segments.drop("speaker_id").join(final, "media_id")
+    return rows.withColumn("speaker_id", _nearest(F.col("_centres"), F.col("_k")).c).drop("_centres", "_k")
 
 
 def _means(segments: DataFrame) -> DataFrame:
@@ -257,22 +311,22 @@ def dominant_faces(faces: DataFrame) -> DataFrame:
     return best.select("media_id", "t_ms", (-F.col("f.n")).alias("face_id"), "f.area", confidence.alias("confidence"), "faces")
 
 
-def cross_modal(segments: DataFrame, events: DataFrame, cues: DataFrame) -> DataFrame:
-    """Per media: share of speaker changes near a scene change, and mean of speaker confidence and appearances a cue."""
+def cross_modal(segments: DataFrame, events: DataFrame, cues: DataFrame, keys: tuple[str, ...] = FILE_KEYS) -> DataFrame:
+    """Per file of a medium (one row with null keys where it has none): share of speaker changes near a scene change, and mean of speaker confidence and appearances a cue."""
     s = speaker_confidence(segments)
     aligned = change_alignment(speaker_changes(s), events.where("kind = 'scene'")).select("media_id", F.col("share").alias("alignment"))
     conf = s.groupBy("media_id").agg(F.avg("confidence").alias("confidence"))
     seen = events.where("kind = 'appearance'").groupBy("media_id").agg(F.count("*").alias("_a"))
-    n = cues.groupBy("media_id").agg(F.count("*").alias("_n"))
+    n = cues.groupBy(*keys).agg(F.count("*").alias("_n"))
     x = conf.join(aligned, "media_id", "left").join(seen, "media_id", "left").join(n, "media_id", "left")
     visual = F.coalesce("_a", F.lit(0)) / F.greatest(F.coalesce("_n", F.lit(0)), F.lit(1))
-    return x.select("media_id", F.coalesce("alignment", F.lit(0.0)).alias("alignment"), "confidence", ((F.col("confidence") + visual) / 2).alias("multimodal"))
+    return x.select(*keys, F.coalesce("alignment", F.lit(0.0)).alias("alignment"), "confidence", ((F.col("confidence") + visual) / 2).alias("multimodal"))
 
 
-def media_recommendations(snr: DataFrame, cross: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Findings of each media by priority. Media come from the sound table; parts that are missing count as 0, scenes as absent."""
+def media_recommendations(snr: DataFrame, cross: DataFrame, scenes: DataFrame, keys: tuple[str, ...] = FILE_KEYS) -> DataFrame:
+    """Findings of each file by priority. Media come from the sound table; parts that are missing count as 0, scenes as absent."""
     x = snr.join(cross, "media_id", "left").join(scenes, "media_id", "left").na.fill(0.0, ["confidence", "multimodal"])
     found = listed(
         (F.col("snr_db") < 15, "high: low audio quality"), (F.col("confidence") < 0.7, "medium: low speaker confidence"),
         ((F.coalesce(F.col("scenes"), F.lit(0)) > 0) & (F.col("mean_scene_s") < 5), "low: frequent scene changes"), (F.col("multimodal") > 0.8, "info: consistent"))
-    return x.select("media_id", found.alias("findings"))
+    return x.select(*keys, found.alias("findings"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.dims import FILE_KEYS, UNIT_KEYS
+from cuelake.functions.scratch import stored
 from cuelake.functions.text import clock
 
 CHUNK_MS = 60_000
-FILE_KEYS = ("media_id", "language", "sdh")
 FORMATS = ("mp4", "avi", "mkv", "mov", "webm", "flv", "wmv")
 LIMITS = {"least_bytes": 100 * 1024, "most_bytes": 50 * 1024**3, "most_ms": 12 * 3600 * 1000}
 STAGES = ("validated", "probed", "chunked", "bucket", "uploaded", "client", "generated", "downloaded", "merged", "verified", "completed")
@@ -61,22 +62,49 @@ def admit_media(media: DataFrame, limits: dict = LIMITS, formats: tuple[str, ...
     return media.withColumn("reasons", reasons).withColumn("accepted", F.size("reasons") == 0)
 
 
+_EXTENSION = r"(\.[A-Za-z0-9]{1,20})$"
+_DIGITS = 12
+
+
+def _running(rows: DataFrame, keys: tuple[str, ...], value: str, then: str, bucket: int) -> DataFrame:
+    """Adds _before: how many rows of the same keys with ``_counts`` stand before each in order of value and then. They are counted within
+    ranges of ``bucket`` values, and ranges start from the totals of those before, so that a common key is not one task."""
+    rows = rows.withColumn("_b", F.floor(F.col(value) / bucket))
+    totals = rows.groupBy(*keys, "_b").agg(F.count(F.when(F.col("_counts"), 1)).alias("_t"))
+    earlier = F.sum("_t").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    base = totals.select(*keys, "_b", F.coalesce(earlier, F.lit(0)).alias("_base"))
+    within = F.count(F.when(F.col("_counts"), 1)).over(Window.partitionBy(*keys, "_b").orderBy(value, then).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_w", within).join(base, [*keys, "_b"]).withColumn("_before", F.col("_base") + F.col("_w")).drop("_b", "_w", "_base", "_t")
+
+
 def safe_output_name(media: DataFrame, most: int = 200, bucket: int = 50_000) -> DataFrame:
-    """Output names without characters that file systems refuse, at most ``most`` long with their extension; equal names are
-    numbered in order of media_id. They are counted within ranges of ``bucket`` ids, and ranges start from the totals of those before,
-    so that a common name is not one task."""
+    """Output names without characters that file systems refuse, all different, at most ``most`` long with their extension (up to 20
+    letters and digits).
+
+    Of equal names the smallest media_id keeps its own; the others take the free numbers from 2 on, in order of media_id, as
+    stem~number.extension, where the stem leaves room for the number. Such a name says which stem, number and extension it was made from, so
+    numbered names can only meet names that media have of themselves; those numbers are left out."""
     base = F.regexp_extract("path", r"([^/]*)$", 1)
-    clean = F.trim(F.translate(base, '<>:"/\\|?*', "_________"))
-    clean = F.regexp_replace(clean, r"^[. ]+|[. ]+$", "")
-    extension = F.regexp_extract(clean, r"(\.[^.]*)$", 1)
+    clean = F.regexp_replace(F.translate(base, '<>:"/\\|?*', "_________"), r"^[. ]+|[. ]+$", "")
+    extension = F.regexp_extract(clean, _EXTENSION, 1)
     stem = F.substring(clean, F.lit(1), F.char_length(clean) - F.char_length(extension))
-    short = F.concat(F.substring(stem, F.lit(1), F.lit(most) - F.char_length(extension)), extension)
-    named = media.select("media_id", short.alias("name"), F.floor(F.col("media_id") / bucket).alias("_b"))
-    totals = named.groupBy("name", "_b").count()
-    earlier = F.sum("count").over(Window.partitionBy("name").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    base = totals.select("name", "_b", F.coalesce(earlier, F.lit(0)).alias("_base"))
-    again = F.row_number().over(Window.partitionBy("name", "_b").orderBy("media_id"))
-    return named.withColumn("_i", again).join(base, ["name", "_b"]).withColumn("_n", F.col("_base") + F.col("_i")).select("media_id", F.when(F.col("_n") == 1, F.col("name")).otherwise(F.concat("name", F.lit("~"), F.col("_n").cast("string"))).alias("name"))
+    named = media.select("media_id", stem.alias("stem"), extension.alias("ext")).withColumn("name", F.concat(F.substring("stem", F.lit(1), F.lit(most) - F.char_length("ext")), "ext"))
+    first = named.groupBy("name").agg(F.min("media_id").alias("_first"))
+    marked = named.join(first, "name").withColumn("stem", F.substring("stem", F.lit(1), F.lit(most - _DIGITS) - F.char_length("ext")))
+    own, others = marked.where("media_id = _first").select("media_id", "name"), marked.where("media_id <> _first")
+    # i-th of the media that need a number, from 1
+    placed = _running(others.select("stem", "ext", "media_id", F.lit(True).alias("_counts"), F.lit(0).alias("_k")), ("stem", "ext"), "media_id", "_k", bucket)
+    placed = stored(placed.select("stem", "ext", "media_id", (F.col("_before") + 1).alias("_i")))
+    # numbers that names of media already say: those of a stem and an extension, or of a stem alone
+    says = lambda end: F.struct(F.regexp_extract("name", rf"(?s)^(.*)~([1-9][0-9]{{0,10}}){end}$", 1).alias("stem"), (F.regexp_extract("name", _EXTENSION, 1) if end else F.lit("")).alias("ext"), F.regexp_extract("name", rf"(?s)^(.*)~([1-9][0-9]{{0,10}}){end}$", 2).alias("n"))
+    taken = first.select(F.explode(F.array(says(r"\.[A-Za-z0-9]{1,20}"), says(""))).alias("s")).where("s.n <> ''").select("s.stem", "s.ext", F.col("s.n").cast("long").alias("n")).where("n >= 2").distinct()
+    taken = stored(taken.join(placed.select("stem", "ext").distinct(), ["stem", "ext"], "left_semi"))
+    # free numbers below each taken one, in order of the numbers
+    ordered = _running(taken.withColumn("_counts", F.lit(True)).withColumn("_k", F.lit(0)), ("stem", "ext"), "n", "_k", bucket)
+    gaps = ordered.select("stem", "ext", F.lit(None).cast("long").alias("media_id"), (F.col("n") - 2 - F.col("_before")).alias("_i"), F.lit(True).alias("_counts"), F.lit(1).alias("_k"))
+    both = placed.select("stem", "ext", F.col("media_id").cast("long"), "_i", F.lit(False).alias("_counts"), F.lit(0).alias("_k")).unionByName(gaps)
+    number = _running(both, ("stem", "ext"), "_i", "_k", bucket).where("not _counts").withColumn("_n", F.col("_i") + 1 + F.col("_before"))
+    return own.unionByName(number.select(F.col("media_id").cast(dict(media.dtypes)["media_id"]).alias("media_id"), F.concat("stem", F.lit("~"), F.col("_n").cast("string"), "ext").alias("name")))
 
 
 def latest_states(states: DataFrame) -> DataFrame:
@@ -110,18 +138,18 @@ def merge_chunks(cues: DataFrame, chunk_ms: int = CHUNK_MS, keys: tuple[str, ...
     return cues.select(*keys, number.alias("seq"), (F.col("start_ms") + shift).alias("start_ms"), (F.col("end_ms") + shift).alias("end_ms"), "text")
 
 
-def latest_file(files: DataFrame, fmt: str = "srt", keys: tuple[str, ...] = ("media_id", "language", "chunk_no")) -> DataFrame:
+def latest_file(files: DataFrame, fmt: str = "srt", keys: tuple[str, ...] = UNIT_KEYS) -> DataFrame:
     """The newest delivery of each file in a format. The maximum is taken map-side, so re-deliveries are not shuffled."""
     rest = [c for c in files.columns if c not in (*keys, "modified")]
     newest = files.where(F.col("format") == fmt).groupBy(*keys).agg(F.max(F.struct("modified", *rest)).alias("_m"))
     return newest.select(*keys, "_m.*")
 
 
-def missing_units(units: DataFrame, files: DataFrame, keys: tuple[str, ...] = ("media_id", "language", "chunk_no")) -> DataFrame:
+def missing_units(units: DataFrame, files: DataFrame, keys: tuple[str, ...] = UNIT_KEYS) -> DataFrame:
     return units.join(files.select(*keys), list(keys), "left_anti")
 
 
-def delivery_rate(units: DataFrame, files: DataFrame, least: float = 0.3, keys: tuple[str, ...] = ("media_id", "language", "chunk_no")) -> DataFrame:
+def delivery_rate(units: DataFrame, files: DataFrame, least: float = 0.3, keys: tuple[str, ...] = UNIT_KEYS) -> DataFrame:
     """Share of units delivered by language and in all (language null), and what it amounts to."""
     done = files.select(*keys).distinct().withColumn("_d", F.lit(1))
     rate = units.join(done, list(keys), "left").rollup("language").agg(F.count("*").alias("units"), F.count("_d").alias("delivered"))
@@ -130,7 +158,7 @@ def delivery_rate(units: DataFrame, files: DataFrame, least: float = 0.3, keys:
     return rate.select("language", "units", "delivered", share.alias("rate"), (share >= least).alias("accepted"), status.alias("status"))
 
 
-def short_coverage(cues: DataFrame, media: DataFrame | None = None, least_ms: int = 30_000, share: float = 0.95, keys: tuple[str, ...] = ("media_id", "language", "sdh", "chunk_no")) -> DataFrame:
+def short_coverage(cues: DataFrame, media: DataFrame | None = None, least_ms: int = 30_000, share: float = 0.95, keys: tuple[str, ...] = UNIT_KEYS) -> DataFrame:
     """Files whose last cue ends too early: before ``least_ms`` of a chunk, or before ``share`` of the media's duration."""
     last = cues.groupBy(*keys).agg(F.max("end_ms").alias("last_end_ms"), F.count("*").alias("cues"))
     if media is None:
@@ -154,8 +182,8 @@ def prefer_method(candidates: DataFrame, order: tuple[str, ...] = ("direct", "tr
     return best.select("unit", "_m.attempt", "_m.method", "_m.score")
 
 
-def context_window(df: DataFrame, n: int = 3, width: int = 100, keys: tuple[str, ...] = ("media_id",)) -> DataFrame:
-    """The n texts before each cue, cut to ``width`` characters, joined with blanks."""
+def context_window(df: DataFrame, n: int = 3, width: int = 100, keys: tuple[str, ...] = FILE_KEYS) -> DataFrame:
+    """The n texts before each cue of its file, cut to ``width`` characters, joined with blanks."""
     w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(-n, -1)
     return df.withColumn("context", F.array_join(F.collect_list(F.substring("text", 1, width)).over(w), " | "))
 

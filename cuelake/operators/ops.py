@@ -67,11 +67,16 @@ def health_rollup(samples: DataFrame, limits: list[tuple] = LIMITS) -> DataFrame
     return s.groupBy("host").agg(named(F.max("_s")).alias("status"), *[F.count(F.when(F.col("_s") == k, 1)).alias(n) for k, n in enumerate(SEVERITY)], F.array_join(F.array_sort(F.collect_set(F.when(F.col("_s") > 0, F.concat("metric", F.lit(":"), named(F.col("_s")))))), ",").alias("issues"))
 
 
-def call_rate(calls: DataFrame, quotas: DataFrame, keys: tuple[str, ...] = ("host", "service"), window_s: int = 60) -> DataFrame:
+def call_rate(calls: DataFrame, quotas: DataFrame, keys: tuple[str, ...] = ("service",), window_s: int = 60, bucket_s: int = 3600) -> DataFrame:
     """Calls in the ``window_s`` seconds up to each call (the call itself counts), over quota or not, and the seconds to wait until the
-    oldest of them has left the window."""
-    w = Window.partitionBy(*keys).orderBy("t_s").rangeBetween(-(window_s - 1), 0)
-    x = calls.withColumn("recent", F.count("*").over(w)).withColumn("_first", F.min("t_s").over(w)).join(quotas, "service", "left")
+    oldest of them has left the window. Calls are counted within buckets of ``bucket_s`` seconds (at least a window), to which those of
+    the last window before are lent, so that a busy service is not one task."""
+    size = max(bucket_s, window_s)
+    own = F.floor(F.col("t_s") / size)
+    lent = F.when(F.col("t_s") > (own + 1) * size - window_s, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = calls.withColumn("_own", own).withColumn("_b", F.explode(lent))
+    w = Window.partitionBy(*keys, "_b").orderBy("t_s").rangeBetween(-(window_s - 1), 0)
+    x = rows.withColumn("recent", F.count("*").over(w)).withColumn("_first", F.min("t_s").over(w)).where("_b = _own").drop("_b", "_own").join(quotas, "service", "left")
     over = F.col("recent") > F.col("quota")
     return x.withColumn("over", F.coalesce(over, F.lit(False))).withColumn("wait_s", F.when(over, F.col("_first") + window_s - F.col("t_s")).otherwise(0)).drop("_first")
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.dims import FILE_KEYS, PAIR_KEYS
 from cuelake.functions.text import clip, is_blank, listed, tokens, words
 
-KEYS = ("media_id", "language")
+KEYS = FILE_KEYS
 RANGES = [(1000, "0-1s"), (3000, "1-3s"), (5000, "3-5s"), (10000, "5-10s")]
 METRICS = ("cues", "words", "chars", "avg_words", "avg_chars", "avg_duration", "reading_speed", "timing_issues", "empty_cues", "overlapping")
 #: Weights of the parts of the overall assessment.
@@ -91,20 +92,28 @@ def duration_range() -> Column:
     return out.otherwise("10s+")
 
 
-def confidence_summary(df: DataFrame, keys: tuple[str, ...] = KEYS, listed_most: int = 50) -> DataFrame:
+def confidence_summary(df: DataFrame, keys: tuple[str, ...] = KEYS, listed_most: int = 50, block: int = 4096) -> DataFrame:
     """Per file: mean, deviation and median (hundredths), counts by tenths, counts by duration range, and numbers of cues with low
-    (under 60) and high (over 85) confidence; the first ``listed_most`` low ones by number."""
-    c = cue_confidence(df).withColumn("_range", duration_range())
+    (under 60) and high (over 85) confidence, with the first ``listed_most`` of either by number.
+
+    Cues meet as short rows, in blocks of ``block`` numbers, so that a very long file is not one task. The lists are ranked within
+    blocks first; no list of all cues is made."""
     conf = F.col("confidence")
+    c = cue_confidence(df).select(*keys, "seq", conf, duration_range().alias("_range"), F.floor(F.col("seq") / block).alias("_block")).repartition(*keys, "_block")
+    kind = F.when(conf < 60, "low").when(conf > 85, "high")
+    first = lambda df, *by: df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, *by, "_kind").orderBy("seq"))).where(F.col("_r") <= listed_most).drop("_r")
+    named = first(first(c.select(*keys, "_block", "seq", kind.alias("_kind")).where("_kind is not null"), "_block"))
+    numbers = lambda k: F.array_join(F.array_sort(F.collect_list(F.when(F.col("_kind") == k, F.col("seq")))).cast("array<string>"), ",").alias(f"{k}_cues")
+    lists = named.groupBy(*keys).agg(numbers("low"), numbers("high"))
     names = [n for _, n in RANGES] + ["10s+"]
     joined = lambda cols: F.concat_ws(",", *[x.cast("string") for x in cols])
-    return c.groupBy(*keys).agg(
+    summary = c.groupBy(*keys).agg(
         F.avg(conf).alias("mean"), F.stddev_pop(conf).alias("std"), F.median(conf).alias("median"),
         joined([F.count(F.when(F.floor(conf / 10) == k, 1)) for k in range(11)]).alias("histogram"),
         joined([F.count(F.when(F.col("_range") == n, 1)) for n in names]).alias("by_duration"),
         F.count(F.when(conf < 60, 1)).alias("low"), F.count(F.when(conf > 85, 1)).alias("high"),
-        F.array_join(F.slice(F.array_sort(F.collect_list(F.when(conf < 60, F.col("seq")))), 1, listed_most).cast("array<string>"), ",").alias("low_cues"),
     )
+    return summary.join(lists, list(keys), "left").na.fill("", ["low_cues", "high_cues"])
 
 
 def timing_quality(df: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -138,14 +147,14 @@ def overall_assessment(parts: DataFrame) -> DataFrame:
     return parts.withColumn("overall", overall).withColumn("grade", grade).withColumn("recommendations", advice)
 
 
-def sentiment_preservation(pairs: DataFrame, lexicon: DataFrame, a: str = "ref", b: str = "hyp") -> DataFrame:
+def sentiment_preservation(pairs: DataFrame, lexicon: DataFrame, a: str = "ref", b: str = "hyp", keys: tuple[str, ...] = PAIR_KEYS) -> DataFrame:
     """Polarity and subjectivity of both texts of a pair (means over the words found in the lexicon), their differences, and whether the sentiment is preserved."""
     sides = F.explode(F.array(F.struct(F.lit("a").alias("side"), tokens(a).alias("w")), F.struct(F.lit("b").alias("side"), tokens(b).alias("w")))).alias("s")
-    toks = pairs.select("media_id", sides).select("media_id", "s.side", F.explode("s.w").alias("token"))
+    toks = pairs.select(*keys, sides).select(*keys, "s.side", F.explode("s.w").alias("token"))
     found = toks.join(lexicon, "token")
     mean = lambda c, side: F.coalesce(F.avg(F.when(F.col("side") == side, F.col(c))), F.lit(0.0))
-    scores = found.groupBy("media_id").agg(*[mean(c, s).alias(f"{c}_{s}") for c in ("polarity", "subjectivity") for s in "ab"])
-    full = pairs.select("media_id").join(scores, "media_id", "left").na.fill(0.0)
+    scores = found.groupBy(*keys).agg(*[mean(c, s).alias(f"{c}_{s}") for c in ("polarity", "subjectivity") for s in "ab"])
+    full = pairs.select(*keys).join(scores, list(keys), "left").na.fill(0.0)
     kind = lambda c: F.when(F.col(c) > 0.1, "positive").when(F.col(c) < -0.1, "negative").otherwise("neutral")
     dp, ds = F.abs(F.col("polarity_a") - F.col("polarity_b")), F.abs(F.col("subjectivity_a") - F.col("subjectivity_b"))
     return full.withColumns({"class_a": kind("polarity_a"), "class_b": kind("polarity_b"), "polarity_diff": dp, "subjectivity_diff": ds, "preserved": (dp < 0.3) & (ds < 0.4) & (kind("polarity_a") == kind("polarity_b")), "score": 1 - (dp + ds) / 2})

@@ -16,7 +16,7 @@ from cuelake.functions.text import BLANK, clip, is_blank, words
 
 from .quality import cue_totals, duration_ms
 
-KEYS = ("media_id", "language")
+KEYS = dims.FILE_KEYS
 CRITICAL, WARNING = "critical", "warning"
 MOST_CHARS = 42
 INDICATORS = ["[inaudible]", "???", "...", "unclear", "mumble"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelake import dims
+from cuelake.dims import FILE_KEYS, PAIR_KEYS
 from cuelake.functions.text import let, listed, tokens, words
 
 from .rules import BENGALI, DEVANAGARI
@@ -21,47 +22,51 @@ def all_of(c: str | Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.col(c) if isinstance(c, str) else c, F.lit(pattern), F.lit(0))
 
 
-def pair_languages(cues: DataFrame, src: str, tgt: str) -> DataFrame:
-    """Media that have cues in both languages, with the whole text of either side."""
-    rows = cues.where(F.col("language").isin(src, tgt)).groupBy("media_id", "language").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("_t"))
-    text = rows.select("media_id", "language", F.array_join(F.transform("_t", lambda x: x.text), " ").alias("text"))
+def pair_languages(cues: DataFrame, src: str, tgt: str, keys: tuple[str, ...] = FILE_KEYS) -> DataFrame:
+    """Files of a medium in both languages (a regular one with the regular one, SDH with SDH), with the whole text of either side."""
+    rest = [k for k in keys if k != "language"]
+    rows = cues.where(F.col("language").isin(src, tgt)).groupBy(*rest, "language").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("_t"))
+    text = rows.select(*rest, "language", F.array_join(F.transform("_t", lambda x: x.text), " ").alias("text"))
     a, b = text.where(F.col("language") == src), text.where(F.col("language") == tgt)
-    return a.select("media_id", F.lit(src).alias("src_lang"), F.col("text").alias("ref")).join(b.select("media_id", F.lit(tgt).alias("tgt_lang"), F.col("text").alias("hyp")), "media_id")
+    return a.select(*rest, F.lit(src).alias("src_lang"), F.col("text").alias("ref")).join(b.select(*rest, F.lit(tgt).alias("tgt_lang"), F.col("text").alias("hyp")), rest)
 
 
-def ngram_precisions(pairs: DataFrame, max_n: int = 4, by_language: bool = False, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
-    """media_id, hyp_len, ref_len, and clipped precision p1..pN. The texts of a pair are dealt by media_id once; their n-grams (64-bit
-    hashes) are then made, counted and compared without another shuffle. ``by_language``: whitespace tokens for Bengali and
-    Hindi."""
+def dealt_by(pairs: DataFrame, keys: tuple[str, ...] = PAIR_KEYS) -> DataFrame:
+    """Pairs dealt by their key, so that what is made from them needs no other shuffle."""
+    return pairs.repartition(*keys)
+
+
+def ngram_precisions(pairs: DataFrame, max_n: int = 4, by_language: bool = False, hyp: str = "hyp", ref: str = "ref", keys: tuple[str, ...] = PAIR_KEYS) -> DataFrame:
+    """The keys, hyp_len, ref_len, and clipped precision p1..pN of pairs that ``dealt_by`` has dealt. Their n-grams (64-bit hashes) are
+    made, counted and compared without another shuffle. ``by_language``: whitespace tokens for Bengali and Hindi."""
     token = lambda c: F.when(F.col("tgt_lang").isin("bn", "hi"), words(c)).otherwise(tokens(c)) if by_language else tokens(c)
-    dealt = pairs.select("media_id", "tgt_lang", hyp, ref).repartition("media_id")
     sides = F.explode(F.array(F.struct(F.lit(1).alias("a"), token(hyp).alias("t")), F.struct(F.lit(0).alias("a"), token(ref).alias("t"))))
-    rows = dealt.select("media_id", sides.alias("s")).select("media_id", "s.a", *[(F.expr(f"slice(s.t, {k + 1}, size(s.t))") if k else F.col("s.t")).alias(f"w{k}") for k in range(max_n)])
+    rows = pairs.select(*keys, sides.alias("s")).select(*keys, "s.a", *[(F.expr(f"slice(s.t, {k + 1}, size(s.t))") if k else F.col("s.t")).alias(f"w{k}") for k in range(max_n)])
     # explode_outer, as explode would add a filter that makes the arrays once more
-    rows = rows.select("media_id", "a", F.explode_outer(F.arrays_zip(*[f"w{k}" for k in range(max_n)])).alias("g")).select("media_id", "a", *[f"g.w{k}" for k in range(max_n)])
+    rows = rows.select(*keys, "a", F.explode_outer(F.arrays_zip(*[f"w{k}" for k in range(max_n)])).alias("g")).select(*keys, "a", *[f"g.w{k}" for k in range(max_n)])
     grams = [F.struct(F.lit(n).alias("n"), F.when(F.col(f"w{n - 1}").isNotNull(), F.xxhash64(*[f"w{k}" for k in range(n)])).alias("h")) for n in range(1, max_n + 1)]
-    rows = rows.select("media_id", "a", F.explode(F.array(*grams)).alias("g")).select("media_id", "g.n", "g.h", "a")
-    counts = rows.groupBy("media_id", "n", "h").agg(F.sum("a").alias("a"), F.sum(1 - F.col("a")).alias("b"))
+    rows = rows.select(*keys, "a", F.explode(F.array(*grams)).alias("g")).select(*keys, "g.n", "g.h", "a")
+    counts = rows.groupBy(*keys, "n", "h").agg(F.sum("a").alias("a"), F.sum(1 - F.col("a")).alias("b"))
     at = lambda k, c: F.coalesce(F.sum(F.when((F.col("n") == k) & F.col("h").isNotNull(), c)), F.lit(0))
     same = F.least("a", "b")
-    return counts.groupBy("media_id").agg(at(1, F.col("a")).alias("hyp_len"), at(1, F.col("b")).alias("ref_len"), *[F.when(at(k, F.col("a")) > 0, at(k, same) / at(k, F.col("a"))).otherwise(0.0).alias(f"p{k}") for k in range(1, max_n + 1)])
+    return counts.groupBy(*keys).agg(at(1, F.col("a")).alias("hyp_len"), at(1, F.col("b")).alias("ref_len"), *[F.when(at(k, F.col("a")) > 0, at(k, same) / at(k, F.col("a"))).otherwise(0.0).alias(f"p{k}") for k in range(1, max_n + 1)])
 
 
 def brevity() -> Column:
     return F.when(F.col("hyp_len") > F.col("ref_len"), 1.0).when(F.col("hyp_len") > 0, F.exp(1 - F.col("ref_len") / F.col("hyp_len"))).otherwise(0.0)
 
 
-def bleu(pairs: DataFrame, max_n: int = 4) -> DataFrame:
-    """Geometric mean of the clipped precisions times the brevity penalty; 0 if one of them is 0."""
+def bleu(pairs: DataFrame, max_n: int = 4, keys: tuple[str, ...] = PAIR_KEYS, dealt: bool = False) -> DataFrame:
+    """Of each pair (``dealt``: already by key): geometric mean of the clipped precisions times the brevity penalty; 0 if one of them is 0."""
     p = [F.col(f"p{k}") for k in range(1, max_n + 1)]
     mean = F.exp(sum((F.ln(x) for x in p), F.lit(0.0)) / max_n)
     zero = F.least(*p) == 0 if max_n > 1 else p[0] == 0
-    return ngram_precisions(pairs, max_n).select("media_id", "hyp_len", "ref_len", F.when(zero, 0.0).otherwise(brevity() * mean).alias("bleu"))
+    return ngram_precisions(pairs if dealt else dealt_by(pairs, keys), max_n, keys=keys).select(*keys, "hyp_len", "ref_len", F.when(zero, 0.0).otherwise(brevity() * mean).alias("bleu"))
 
 
-def bleu_components(pairs: DataFrame, max_n: int = 4) -> DataFrame:
+def bleu_components(pairs: DataFrame, max_n: int = 4, keys: tuple[str, ...] = PAIR_KEYS) -> DataFrame:
     """Each order's precision with the brevity penalty."""
-    return ngram_precisions(pairs, max_n, by_language=True).select("media_id", *[(brevity() * F.col(f"p{k}")).alias(f"bleu_{k}") for k in range(1, max_n + 1)])
+    return ngram_precisions(dealt_by(pairs, keys), max_n, by_language=True, keys=keys).select(*keys, *[(brevity() * F.col(f"p{k}")).alias(f"bleu_{k}") for k in range(1, max_n + 1)])
 
 
 def token_f1(hyp: str = "hyp", ref: str = "ref") -> Column:
@@ -134,11 +139,12 @@ def tfa(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"terminology": F.lit(1.0), "n_terms": F.size(terms()), "terms_verbatim": _kept(terms(), F.col("hyp")), "fluency": fluency(), "adequacy": adequacy()})
 
 
-def scored(pairs: DataFrame) -> DataFrame:
-    """All parts of the score of every pair. The texts are dealt by media_id before the parts are computed, so that the join with
-    the n-gram score finds them there."""
-    parts = tfa(pairs.repartition("media_id")).withColumns({"meteor": token_f1(), "semantic": semantic_estimate(), "cultural": cultural_accuracy()})
-    return parts.join(bleu(pairs).select("media_id", "bleu"), "media_id")
+def scored(pairs: DataFrame, keys: tuple[str, ...] = PAIR_KEYS) -> DataFrame:
+    """All parts of the score of every pair. The texts are dealt by key once; the n-gram counts, the other parts and the join of both
+    are made from the dealt rows."""
+    dealt = dealt_by(pairs, keys)
+    parts = tfa(dealt).withColumns({"meteor": token_f1(), "semantic": semantic_estimate(), "cultural": cultural_accuracy()})
+    return parts.join(bleu(dealt, keys=keys, dealt=True).select(*keys, "bleu"), list(keys))
 
 
 def with_benchmarks(scores: DataFrame, dim: DataFrame) -> DataFrame:

@@ -27,20 +27,21 @@ def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cues(spark: SparkSession, sf_dir: str, read: Callable = table) -> DataFrame:
-    """One cue for each non-blank line of a document."""
+    """One cue for each non-blank line of a document. Four documents in a row are the files of a medium: regular and SDH, in English and in
+    one or two other languages."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     lines = d.select("doc_id", "lang", F.posexplode_outer(F.expr(r"filter(split(text, '\n'), x -> trim(x) <> '')")).alias("pos", "text")).where("text is not null")
     n = F.char_length("text").cast("long")
     start = (F.col("pos") * 3000 + F.col("doc_id") % 7 * 100).cast("long")
     return lines.select(
-        F.col("doc_id").alias("media_id"), F.when(F.col("lang") == "en", "eng").otherwise(F.col("lang")).alias("language"), (F.col("doc_id") % 5 == 0).alias("sdh"),
+        F.expr("doc_id div 4").alias("media_id"), F.expr("case when doc_id % 4 < 2 then 'eng' when lang = 'en' then 'fr' else lang end").alias("language"), (F.col("doc_id") % 2 == 1).alias("sdh"),
         (F.col("pos") + 1).cast("int").alias("seq"), start.alias("start_ms"), (start + 400 + n * 53 % 4200).alias("end_ms"), "text",
     )
 
 
 CUES = r"""
 lines0 as (select doc_id, lang, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as text, unnest(range(1, 1 + len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))) as seq from documents where text is not null),
-cues as (select doc_id as media_id, case when lang = 'en' then 'eng' else lang end as language, doc_id % 5 = 0 as sdh, seq::int as seq,
+cues as (select doc_id // 4 as media_id, case when doc_id % 4 < 2 then 'eng' when lang = 'en' then 'fr' else lang end as language, doc_id % 2 = 1 as sdh, seq::int as seq,
   ((seq - 1) * 3000 + doc_id % 7 * 100)::bigint as start_ms, ((seq - 1) * 3000 + doc_id % 7 * 100 + 400 + length(text) * 53 % 4200)::bigint as end_ms, text from lines0)"""
 
 
@@ -63,15 +64,17 @@ CHUNK_CUES = CUES + """,
 chunk_cues as (select media_id, language, sdh, (start_ms // 60000)::int as chunk_no, seq, start_ms % 60000 as start_ms, end_ms - (start_ms // 60000) * 60000 as end_ms, text from cues)"""
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reference text, a hypothesis without every seventh word, and a back-translation without every eleventh."""
+def pairs(spark: SparkSession, sf_dir: str, mapped: bool = False) -> DataFrame:
+    """A reference text, a hypothesis without every seventh word, and a back-translation without every eleventh. A medium has a pair in each
+    of two target languages; ``mapped``: from Hindi and from Bengali into English, which have least scores."""
     d = table(spark, sf_dir, "documents").where("text is not null")
     cut = lambda n: F.expr(f"array_join(filter(split(text, ' '), (w, i) -> i % {n} <> 0), ' ')")
-    return d.select(F.col("doc_id").alias("media_id"), F.lit("en").alias("src_lang"), F.col("lang").alias("tgt_lang"), F.col("text").alias("ref"), cut(7).alias("hyp"), cut(11).alias("back"))
+    src, tgt = ("case when doc_id % 2 = 0 then 'hi' else 'bn' end", "'en'") if mapped else ("'en'", "case when doc_id % 2 = 0 then lang else 'it' end")
+    return d.select(F.expr("doc_id div 2").alias("media_id"), F.expr(src).alias("src_lang"), F.expr(tgt).alias("tgt_lang"), F.col("text").alias("ref"), cut(7).alias("hyp"), cut(11).alias("back"))
 
 
 PAIRS = """
-pairs as (select doc_id as media_id, 'en' as src_lang, lang as tgt_lang, text as ref, array_to_string(list_filter(string_split(text, ' '), lambda w, i: i % 7 <> 1), ' ') as hyp,
+pairs as (select doc_id // 2 as media_id, 'en' as src_lang, case when doc_id % 2 = 0 then lang else 'it' end as tgt_lang, text as ref, array_to_string(list_filter(string_split(text, ' '), lambda w, i: i % 7 <> 1), ' ') as hyp,
   array_to_string(list_filter(string_split(text, ' '), lambda w, i: i % 11 <> 1), ' ') as back from documents where text is not null)"""
 
 
@@ -106,23 +109,23 @@ visual as (select user_id as media_id, case event_type when 'click' then 'scene'
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_cues(spark, sf_dir).select("media_id", "language", "chunk_no").distinct()
+    return chunk_cues(spark, sf_dir).select("media_id", "language", "sdh", "chunk_no").distinct()
 
 
 UNITS = CHUNK_CUES + """,
-units as (select distinct media_id, language, chunk_no from chunk_cues)"""
+units as (select distinct media_id, language, sdh, chunk_no from chunk_cues)"""
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivered files of units: some missing, some delivered twice, and a VTT twin that is not merged."""
-    u = units(spark, sf_dir).where("(media_id + chunk_no) % 5 <> 0")
+    u = units(spark, sf_dir).where("(media_id + chunk_no + int(sdh)) % 5 <> 0")
     copies = F.explode(F.expr("case when media_id % 3 = 0 then array(named_struct('modified', 2L, 'format', 'srt'), named_struct('modified', 1L, 'format', 'srt'), named_struct('modified', 3L, 'format', 'vtt')) else array(named_struct('modified', 2L, 'format', 'srt'), named_struct('modified', 3L, 'format', 'vtt')) end"))
-    return u.select("media_id", "language", "chunk_no", copies.alias("x")).select("media_id", "language", "chunk_no", "x.modified", "x.format")
+    return u.select("media_id", "language", "sdh", "chunk_no", copies.alias("x")).select("media_id", "language", "sdh", "chunk_no", "x.modified", "x.format")
 
 
 FILES = UNITS + """,
-files as (select media_id, language, chunk_no, modified, format from units, (values (2::bigint, 'srt', 1), (1, 'srt', 3), (3, 'vtt', 1)) v(modified, format, m)
-  where (media_id + chunk_no) % 5 <> 0 and media_id % m = 0)"""
+files as (select media_id, language, sdh, chunk_no, modified, format from units, (values (2::bigint, 'srt', 1), (1, 'srt', 3), (3, 'vtt', 1)) v(modified, format, m)
+  where (media_id + chunk_no + sdh::int) % 5 <> 0 and media_id % m = 0)"""
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

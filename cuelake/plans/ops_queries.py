@@ -43,7 +43,7 @@ def health_rollup(spark, d):
 
 
 def call_rate(spark, d):
-    return L.call_rate(X.calls(spark, d), _quotas(spark, 2)).select("host", "service", "t_s", "recent", "over", "wait_s")
+    return L.call_rate(X.calls(spark, d), _quotas(spark, 30)).select("event_id", "host", "service", "t_s", "recent", "over", "wait_s")
 
 
 def due_retries(spark, d):
@@ -162,7 +162,7 @@ QUERIES = {
     "event_counters": (event_counters, f"with {X.LOGS} select event_id, operation, count(*) over (partition by operation order by ts, event_id rows unbounded preceding) as counter from logs"),
     "health_rollup": (health_rollup, f"""with {X.HEALTH}, s as (select *, {_HEALTH} as s from health) select host, {_NAME('max(s)')} as status, count(*) filter (s = 0) as healthy, count(*) filter (s = 1) as warning, count(*) filter (s = 2) as critical,
         coalesce(string_agg(distinct metric || ':' || {_NAME('s')}, ',' order by metric || ':' || {_NAME('s')}) filter (s > 0), '') as issues from s group by 1"""),
-    "call_rate": (call_rate, f"with {X.CALLS}, r as (select host, service, t_s, count(*) over w as recent, min(t_s) over w as f from calls window w as (partition by host, service order by t_s range between 59 preceding and current row)) select host, service, t_s, recent, recent > 2 as over, case when recent > 2 then f + 60 - t_s else 0 end as wait_s from r"),
+    "call_rate": (call_rate, f"with {X.CALLS}, r as (select event_id, host, service, t_s, count(*) over w as recent, min(t_s) over w as f from calls window w as (partition by service order by t_s range between 59 preceding and current row)) select event_id, host, service, t_s, recent, recent > 30 as over, case when recent > 30 then f + 60 - t_s else 0 end as wait_s from r"),
     "due_retries": (due_retries, f"with {X.RETRIES} select item, case when attempts >= max_attempts then 'exhausted' when retry_after_us <= {NOW} then 'ready' else 'waiting' end as state from retries"),
     "failure_classes": (failure_classes, f"""with {X.LOGS}, f as (select * from (values {_FAIL}) t(error_type, known_retry, known_action)), e as (select event_id, case when error_type = 'QuotaExceeded' then 'QuotaExceededError' else error_type end as error_type, lower(message) as message from logs where level = 'ERROR'),
         c as (select event_id, error_type, coalesce(known_retry, {_SAYS}) as retryable, coalesce(known_action, case when contains(message, 'quota') or contains(message, 'rate limit') then 'skip' when contains(message, 'permission') or contains(message, 'access') then 'skip' when {_SAYS} then 'retry_later' else 'use_alternative' end) as action from e left join f using (error_type))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuelake.dims import FILE_KEYS
 from cuelake.functions.text import clock
 
 TIME = r"(\d+):(\d{1,2}):(\d{1,2})[,.](\d{1,3})"
@@ -88,7 +89,7 @@ def repair_responses(responses: DataFrame, body_col: str = "body", strict_compat
     return out.where("text <> ''")
 
 
-KEYS = ("media_id", "language", "sdh")
+KEYS = FILE_KEYS
 
 
 def _rendered(cues: DataFrame, block: Column, keys: tuple[str, ...]) -> DataFrame:

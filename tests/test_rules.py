@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from cuelake.operators import quality, rules, translation
 
-SCHEMA = "media_id long, language string, seq int, start_ms long, end_ms long, text string"
+SCHEMA = "media_id long, language string, sdh boolean, seq int, start_ms long, end_ms long, text string"
 
 
 def cues(spark, language, *texts):
-    return spark.createDataFrame([(1, language, i + 1, i * 4000, i * 4000 + 3000, t) for i, t in enumerate(texts)], SCHEMA)
+    return spark.createDataFrame([(1, language, False, i + 1, i * 4000, i * 4000 + 3000, t) for i, t in enumerate(texts)], SCHEMA)
 
 
 def fired(df, group):
@@ -44,12 +44,12 @@ def test_user_rule_and_empty_file(spark):
     mine = rules.rule("X1", rules.WARNING, "cue", F.col("text").rlike("[0-9]{7}"), F.regexp_extract("text", "[0-9]{7}", 0))
     got = [r for r in rules.validate(df, [mine]).collect()]
     assert [(r["rule_id"], r["seq"], r["detail"]) for r in got] == [("X1", 1, "5551234")]
-    files = spark.createDataFrame([(1, "eng"), (2, "eng")], "media_id long, language string")
+    files = spark.createDataFrame([(1, "eng", False), (2, "eng", True)], "media_id long, language string, sdh boolean")
     assert [(r["media_id"], r["rule_id"]) for r in rules.empty_files(files, df).collect()] == [(2, "R00")]
 
 
 def test_auto_fix_leaves_no_order_or_overlap_findings(spark):
-    df = spark.createDataFrame([(1, "eng", 5, 0, 3000, "A."), (1, "eng", 9, 2000, 5000, "B."), (1, "eng", 2, 4000, 6000, "C.")], SCHEMA)
+    df = spark.createDataFrame([(1, "eng", False, 5, 0, 3000, "A."), (1, "eng", False, 9, 2000, 5000, "B."), (1, "eng", False, 2, 4000, 6000, "C.")], SCHEMA)
     fixed = rules.auto_fix(df)
     assert not {r for r, _ in fired(fixed, "format")} & {"R01", "R08"}
 
