@@ -110,16 +110,33 @@ def stream_call_rate(spark, d):
 
 
 def _services(events):
-    return events.select(F.col("event_type").alias("service"), (F.col("event_id") * 7).alias("t_s"), (F.col("value") < 60).alias("ok"))
+    return events.select(F.col("event_type").alias("service"), (F.col("event_id") * 7 + 7).alias("t_s"), (F.col("value") < 60).alias("ok"))
 
 
 def failure_streak(spark, d):
     return S.failure_streak(_services(X.table(spark, d, "events")))
 
 
+def _out_of_order(rows, key: str, parts: int = 4):
+    """Rows (with ts) as a stream of files in which every fifth row comes a quarter of the time later than it should, and how late the
+    stream has to wait. A last row of a key of its own, far ahead, lets the watermark pass all others."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+    first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    step = max(1, ((last or 0) - (first or 0)) // parts + 1)
+    part = F.least(F.lit(parts - 1), F.expr(f"int((unix_micros(ts) - {first or 0}) div {step})") + F.when(F.pmod(F.xxhash64(*rows.columns), F.lit(5)) == 0, 1).otherwise(0))
+    for k in range(parts):
+        rows.where(part == k).write.parquet(f"{path}/{k}")
+    rows.limit(1).withColumn(key, F.lit("~").cast(dict(rows.dtypes)[key])).withColumn("ts", F.timestamp_micros(F.lit((last or 0) + 3 * step + 3_600_000_000))).coalesce(1).write.parquet(f"{path}/{parts}")
+    many = max(1, -(-len(spark.read.parquet(f"{path}/*").inputFiles()) // (parts + 1)))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", many).parquet(f"{path}/*")
+    return stream, f"{2 * step // 1_000_000 + 61} seconds"
+
+
 def stream_failure_streak(spark, d):
+    calls = _services(X.table(spark, d, "events")).withColumn("ts", F.timestamp_seconds("t_s"))
+    stream, late = _out_of_order(calls, "service")
     with _rocks(spark):
-        return S.as_table(S.stream_failure_streak(_services(X.arriving(spark, d, "events"))))
+        return S.as_table(S.stream_failure_streak(stream.withColumn("t_s", F.unix_seconds("ts")), late))
 
 
 def health_changes(spark, d):
@@ -127,8 +144,10 @@ def health_changes(spark, d):
 
 
 def stream_health(spark, d):
+    samples = X.health_samples(spark, d).withColumn("host", F.col("host").cast("string")).select("host", "ts", "metric", "value", "event_id")
+    stream, late = _out_of_order(samples, "host")
     with _rocks(spark):
-        return S.as_table(S.stream_health(X.health_samples(spark, d, X.arriving)))
+        return S.as_table(S.stream_health(stream, late))
 
 
 def stream_merge(spark, d):
@@ -138,13 +157,12 @@ def stream_merge(spark, d):
     both = c.withColumn("_v", F.explode(F.when(F.col("media_id") % 3 == 0, F.array(old, new)).otherwise(F.array(new))))
     arrivals = both.select("media_id", "language", "sdh", "chunk_no", "seq", "start_ms", "end_ms", F.col("_v.text").alias("text"), F.timestamp_seconds("_v.s").alias("modified"))
     path = scratch(spark)
-    S.stream_merge(arrivals, f"{path}/store", f"{path}/merged", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    now = spark.read.schema("media_id long, language string, sdh boolean, seq int, start_ms long, end_ms long, text string").parquet(f"{path}/merged")
-    return now.groupBy("media_id", "language", "sdh").agg(F.max("seq").alias("cues"), F.max("end_ms").alias("last_ms"), F.sum(F.char_length("text")).alias("chars"))
+    S.stream_merge(arrivals, f"{path}/table", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return S.merged_cues(spark, f"{path}/table").groupBy("media_id", "language", "sdh").agg(F.max("seq").alias("cues"), F.max("end_ms").alias("last_ms"), F.sum(F.char_length("text")).alias("chars"))
 
 
 #: Breaker states by islands of calls since the last success.
-STREAKS = f"""with n as (select event_type as service, event_id * 7 as t_s, value < 60 as ok, row_number() over (partition by event_type order by event_id) as n from events),
+STREAKS = f"""with n as (select event_type as service, event_id * 7 + 7 as t_s, value < 60 as ok, row_number() over (partition by event_type order by event_id) as n from events),
         s as (select *, n - coalesce(max(case when ok then n end) over (partition by service order by n rows unbounded preceding), 0) as failures, t_s - lag(t_s) over (partition by service order by n) as waited from n),
         r as (select *, coalesce(lag(failures) over (partition by service order by n), 0) as met from s)
         select service, t_s, ok, case when met < {S.OPEN_AFTER} then 'CLOSED' when waited >= {S.RECOVERY_S} then 'HALF_OPEN' else 'OPEN' end as state, failures from r"""

@@ -1,12 +1,13 @@
 """Structured Streaming: timers and call rates by window, failure streaks, merging of arriving chunk files, and health changes.
 
-Functions take a DataFrame and work on streams; those without their own state also give the same result on tables."""
+Functions take a DataFrame and work on streams; those without their own state also give the same result on tables. Failure streaks and
+health changes go by event time: rows wait in state until the watermark has passed them, and are then taken in order of time."""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from cuelake.functions.scratch import scratch
+from cuelake.functions.scratch import removed, scratch
 from cuelake.operators import merge, ops
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -78,31 +79,76 @@ def failure_streak(calls: DataFrame, bucket_s: int = 3600) -> DataFrame:
     return x.withColumn("state", _state(met, F.col("t_s") - F.coalesce("_t", "_before"))).select("service", "t_s", "ok", "state", F.col("failures").cast("long").alias("failures"))
 
 
-class StreakProcessor(StatefulProcessor):
-    """Keeps (failures in a row, second of the last call) of a service between batches."""
+class InOrder(StatefulProcessor):
+    """Rows of a key in order of event time: they wait in stretches of ``HOLD_MS`` until the watermark has passed a stretch, when its timer
+    hands it, sorted, to ``taken``. Rows behind the watermark have been dropped before. State holds what the watermark still waits for."""
+
+    HOLD_MS = 60_000
+    WIDTH = 0  # whole numbers a row, as ``numbers`` gives them; the first is the time in milliseconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("streak", "failures long, last long")
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "until long", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        calls = pd.concat(list(rows)).sort_values(["t_s", "ok"])
-        t, ok, place = calls["t_s"].to_numpy(), calls["ok"].to_numpy(bool), np.arange(1, len(calls) + 1)
+        for part in rows:
+            x = self.numbers(part)
+            until = (x[:, 0] // self.HOLD_MS + 1) * self.HOLD_MS
+            for u in np.unique(until).tolist():
+                held = self.waiting.containsKey((u,))
+                before = bytes(self.waiting.getValue((u,))[0]) if held else b""
+                self.waiting.updateValue((u,), (before + x[until == u].tobytes(),))
+                if not held:
+                    self.handle.registerTimer(u)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        u = expiredTimerInfo.getExpiryTimeInMs()
+        x = np.frombuffer(bytes(self.waiting.getValue((u,))[0]), np.int64).reshape(-1, self.WIDTH)
+        self.waiting.removeKey((u,))
+        out = self.taken(key, x[np.lexsort(x.T[::-1])])
+        if len(out):
+            yield out
+
+    def numbers(self, rows: pd.DataFrame) -> np.ndarray:
+        raise NotImplementedError
+
+    def taken(self, key, x: np.ndarray) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class StreakProcessor(InOrder):
+    """Keeps (failures in a row, second of the last call) of a service."""
+
+    WIDTH = 3
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.kept = handle.getValueState("streak", "failures long, last long")
+
+    def numbers(self, rows: pd.DataFrame) -> np.ndarray:
+        t = rows["t_s"].to_numpy(np.int64)
+        return np.stack([t * 1000, t, rows["ok"].to_numpy(bool).astype(np.int64)], 1)
+
+    def taken(self, key, x: np.ndarray) -> pd.DataFrame:
+        t, ok, place = x[:, 1], x[:, 2] == 1, np.arange(1, len(x) + 1)
         held, last = self.kept.get() if self.kept.exists() else (0, 0)
         success = np.maximum.accumulate(np.where(ok, place, 0))
         failures = place - success + np.where(success, 0, held)
         met, waited = np.r_[held, failures[:-1]], t - np.r_[last, t[:-1]]
         state = np.where(met < OPEN_AFTER, "CLOSED", np.where(waited >= RECOVERY_S, "HALF_OPEN", "OPEN"))
         self.kept.update((int(failures[-1]), int(t[-1])))
-        yield pd.DataFrame({"service": key[0], "t_s": t, "ok": ok, "state": state, "failures": failures})
+        return pd.DataFrame({"service": key[0], "t_s": t, "ok": ok, "state": state, "failures": failures})
 
-    def close(self) -> None:
-        pass
 
-
-def stream_failure_streak(calls: DataFrame) -> DataFrame:
-    """As failure_streak, for a stream. Needs the RocksDB state store (PROVIDER). Calls of a batch are taken in order of time; the
-    source's limits on a trigger bound what one service has in a batch."""
-    return calls.select("service", "t_s", "ok").groupBy("service").transformWithStateInPandas(statefulProcessor=StreakProcessor(), outputStructType=STREAK, outputMode="Append", timeMode="None")
+def stream_failure_streak(calls: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """As failure_streak, for a stream of calls (service, t_s, ok) that come in any order up to ``late``; later ones are dropped, as are
+    times up to 1970, where watermarks begin. A call comes out when the watermark has passed its minute. Needs the RocksDB state store (PROVIDER)."""
+    timed = calls.select("service", "t_s", "ok", F.timestamp_seconds("t_s").alias("ts")).withWatermark("ts", late)
+    return timed.groupBy("service").transformWithStateInPandas(statefulProcessor=StreakProcessor(), outputStructType=STREAK, outputMode="Append", timeMode="EventTime")
 
 
 # ---- Health changes ----------------------------------------------------------------------------------------------------------
@@ -111,36 +157,50 @@ CHANGE = "host string, t_us long, before string, status string"
 METRICS = tuple(m for m, *_ in ops.LIMITS)
 
 
-class HealthProcessor(StatefulProcessor):
+NAMES = (*sorted(METRICS), "other")
+
+
+class HealthProcessor(InOrder):
     """Keeps the last severity of each metric of a host, and reports when the worst of them changes."""
 
+    WIDTH = 4
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.kept = handle.getMapState("levels", "metric string", "level int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def numbers(self, rows: pd.DataFrame) -> np.ndarray:
+        t, place = rows["t_us"].to_numpy(np.int64), rows["metric"].map({m: k for k, m in enumerate(sorted(NAMES))})
+        return np.stack([t // 1000, t, place.to_numpy(np.int64), rows["level"].to_numpy(np.int64)], 1)
+
+    def taken(self, key, x: np.ndarray) -> pd.DataFrame:
+        names = sorted(NAMES)
         held = {k[0]: v[0] for k, v in self.kept.iterator()}
-        samples = pd.concat(list(rows)).sort_values(["t_us", "metric", "level"])
-        wide = pd.DataFrame({m: samples["level"].where(samples["metric"] == m).ffill().fillna(held.get(m, np.nan)) for m in {*held, *samples["metric"]}})
+        level = pd.Series(x[:, 3])
+        wide = pd.DataFrame({m: level.where(x[:, 2] == k).ffill().fillna(held.get(m, np.nan)) for k, m in enumerate(names) if m in held or (x[:, 2] == k).any()})
         worst = wide.max(axis=1).to_numpy(int)
         before = np.r_[max(held.values(), default=-1), worst[:-1]]
-        for metric, level in wide.iloc[-1].dropna().items():
-            self.kept.updateValue((metric,), (int(level),))
+        for metric, last in wide.iloc[-1].dropna().items():
+            self.kept.updateValue((metric,), (int(last),))
         at = np.flatnonzero(worst != before)
-        yield pd.DataFrame({"host": key[0], "t_us": samples["t_us"].to_numpy()[at], "before": [ops.SEVERITY[b] if b >= 0 else None for b in before[at]], "status": [ops.SEVERITY[w] for w in worst[at]]})
-
-    def close(self) -> None:
-        pass
+        return pd.DataFrame({"host": key[0], "t_us": x[at, 1], "before": [ops.SEVERITY[b] if b >= 0 else None for b in before[at]], "status": [ops.SEVERITY[w] for w in worst[at]]})
 
 
-def _levels(samples: DataFrame) -> DataFrame:
+def _level_columns() -> list[Column]:
     """Severity of each sample. Metrics without limits are always warnings, so they count as one."""
     name = F.when(F.col("metric").isin(*METRICS), F.col("metric")).otherwise("other")
-    return samples.select(F.col("host").cast("string").alias("host"), F.unix_micros("ts").alias("t_us"), name.alias("metric"), ops.severity().cast("int").alias("level"))
+    return [F.col("host").cast("string").alias("host"), F.unix_micros("ts").alias("t_us"), name.alias("metric"), ops.severity().cast("int").alias("level")]
 
 
-def stream_health(samples: DataFrame) -> DataFrame:
-    """Changes of the worst status of each host of a stream (host, ts, metric, value)."""
-    return _levels(samples).groupBy("host").transformWithStateInPandas(statefulProcessor=HealthProcessor(), outputStructType=CHANGE, outputMode="Append", timeMode="None")
+def _levels(samples: DataFrame) -> DataFrame:
+    return samples.select(*_level_columns())
+
+
+def stream_health(samples: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Changes of the worst status of each host of a stream (host, ts, metric, value) whose samples come in any order up to ``late``; later
+    ones are dropped. A change comes out when the watermark has passed its minute, so no late sample undoes it. Needs PROVIDER."""
+    timed = samples.withWatermark("ts", late).select(*_level_columns(), "ts")
+    return timed.groupBy("host").transformWithStateInPandas(statefulProcessor=HealthProcessor(), outputStructType=CHANGE, outputMode="Append", timeMode="EventTime")
 
 
 def health_changes(samples: DataFrame, bucket_us: int = 3_600_000_000) -> DataFrame:
@@ -165,40 +225,103 @@ def health_changes(samples: DataFrame, bucket_us: int = 3_600_000_000) -> DataFr
 # ---- Merging arriving chunk files ----------------------------------------------------------------------------------------------
 
 CHUNK_FILE = "media_id long, language string, sdh boolean, chunk_no int, seq int, start_ms long, end_ms long, text string, modified timestamp"
-
-
-def stream_merge(arrivals: DataFrame, store: str, merged: str, checkpoint: str, late: str = "1 hour", buckets: int = 64):
-    """Keeps a merged cue table up to date with arriving cues of chunk files. Re-deliveries within the watermark are dropped; later
-    ones replace a chunk if they are newer. Chunk cues (``store``) and their merge (``merged``) lie in partitions by language and one of
-    ``buckets`` of media; only those that a batch touches are written again, in place. A repeated batch gives the same tables."""
+MERGED = "media_id long, language string, sdh boolean, seq int, start_ms long, end_ms long, text string"
+
+
+class VersionedTable:
+    """A table of ``places`` (partitions by a hash) below a folder, of which each place has one current version.
+
+    A write puts new versions of some places into a folder of its own and then a new manifest, one small file that names the folder of
+    every place: until that file stands, readers and restarts see the version before. Versions that a manifest has replaced are removed
+    by the write after the next, so that a reader of the version before is not cut off. One writer at a time."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _names(self, folder: str) -> list[str]:
+        path, fs = self._fs(f"{self.root}/{folder}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def manifest(self) -> dict:
+        """number, source and batch of the last write, places (folder of each), and gone (what it has replaced)."""
+        numbers = [n for n in self._names("manifest") if n.isdigit()]
+        if not numbers:
+            return {"number": -1, "source": None, "batch": -1, "places": {}, "gone": []}
+        path, fs = self._fs(f"{self.root}/manifest/{numbers[-1]}")
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def commit(self, manifest: dict) -> None:
+        """Writes the manifest beside its place and then renames it, in one step."""
+        name = f"{self.root}/manifest/{manifest['number']:020d}"
+        draft, fs = self._fs(f"{self.root}/manifest/draft-{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if not fs.rename(draft, self._fs(name)[0]):
+            raise RuntimeError(f"{name} exists: another writer is at work")
+
+    def read(self, part: str, schema: str, places: list[int] | None = None) -> DataFrame:
+        """Rows of the current version, of some places or of all, with their place."""
+        now = self.manifest()["places"]
+        chosen = {p: f for p, f in now.items() if places is None or int(p) in places}
+        if not chosen:
+            return self.spark.createDataFrame([], f"{schema}, place int")
+        held = F.create_map(*[x for p, f in chosen.items() for x in (F.lit(f"{f}/{part}/place={p}"), F.lit(int(p)))])
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/data/{f}/{part}/place={p}" for p, f in chosen.items()])
+        return rows.withColumn("place", held[F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+/place=[^/]+)/[^/]+$", 1)])
+
+    def clean(self) -> None:
+        """Removes what the last but one write has replaced, drafts, and folders of writes that did not end."""
+        now = self.manifest()
+        removed(self.spark, *[f"{self.root}/data/{g}" for g in now["gone"]])
+        used = set(now["places"].values()) | {g.split("/")[0] for g in now["gone"]}
+        removed(self.spark, *[f"{self.root}/data/{f}" for f in self._names("data") if f not in used])
+        removed(self.spark, *[f"{self.root}/manifest/{n}" for n in self._names("manifest") if not n.isdigit() or int(n) < now["number"]])
+
+
+def merged_cues(spark: SparkSession, root: str) -> DataFrame:
+    """The merged cue table that ``stream_merge`` keeps."""
+    return VersionedTable(spark, root).read("merged", MERGED).drop("place")
+
+
+def stream_merge(arrivals: DataFrame, root: str, checkpoint: str, late: str = "1 hour", places: int = 64):
+    """Keeps a merged cue table (``merged_cues``) up to date with arriving cues of chunk files. Re-deliveries within the watermark are
+    dropped; later ones replace a chunk if they are newer. Chunk cues and their merge lie in ``places`` by a hash of the file; a batch
+    writes new versions of the places it touches and makes all of them current in one step (see VersionedTable), so a driver lost at any
+    time leaves the table of the batch before or after. A repeated batch gives the same table."""
     keys = ["media_id", "language", "sdh", "chunk_no", "seq", "modified"]
-    place = ["language", "bucket"]
     fresh = arrivals.withWatermark("modified", late).dropDuplicatesWithinWatermark(keys)
-    bucketed = lambda df: df.withColumn("bucket", F.pmod(F.hash("media_id"), F.lit(buckets)))
+    columns = [c.split()[0] for c in CHUNK_FILE.split(", ")]
 
     def upsert(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = bucketed(batch.dropDuplicates(keys)).persist()
-        touched = [tuple(r) for r in rows.select(*place).distinct().collect()]  # at most languages times buckets
+        table = VersionedTable(batch.sparkSession, root)
+        before = table.manifest()
+        if before["source"] == checkpoint and before["batch"] >= number:
+            # the driver was lost after this batch had become current; it is read so that the stream's own state is kept
+            return batch.write.format("noop").mode("overwrite").save()
+        table.clean()
+        rows = batch.dropDuplicates(keys).withColumn("place", F.pmod(F.hash("media_id", "language", "sdh"), F.lit(places))).persist()
+        touched = [r[0] for r in rows.select("place").distinct().collect()]  # at most ``places`` numbers
         if touched:
-            here = reduce(or_, [F.col("language").eqNullSafe(a) & (F.col("bucket") == b) for a, b in touched])
-            old = _stored(spark, store).where(here)
-            both = old.unionByName(rows.select(*old.columns))
+            folder = f"{number:010d}-{uuid.uuid4().hex}"
+            both = table.read("store", CHUNK_FILE, touched).unionByName(rows.select(*columns, "place"))
             newest = both.groupBy("media_id", "language", "sdh", "chunk_no").agg(F.max("modified").alias("modified"))
             now = both.join(newest, ["media_id", "language", "sdh", "chunk_no", "modified"]).dropDuplicates(keys)
-            _write(now.select(*old.columns), store)
-            _write(bucketed(merge.merge_chunks(_stored(spark, store).where(here))), merged)
+            path = f"{table.root}/data/{folder}"
+            now.select(*columns, "place").repartition("place").write.partitionBy("place").parquet(f"{path}/store")
+            stored = table.spark.read.schema(f"{CHUNK_FILE}, place int").parquet(f"{path}/store")
+            merge.merge_chunks(stored, keys=("media_id", "language", "sdh", "place")).repartition("place").write.partitionBy("place").parquet(f"{path}/merged")
+            names = [str(p) for p in touched]
+            gone = [f"{before['places'][p]}/{part}/place={p}" for p in names if p in before["places"] for part in ("store", "merged")]
+            table.commit({"number": before["number"] + 1, "source": checkpoint, "batch": number, "places": {**before["places"], **{p: folder for p in names}}, "gone": gone})
         rows.unpersist()
 
     return fresh.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-
-
-def _stored(spark: SparkSession, store: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    schema = f"{CHUNK_FILE}, bucket int"
-    return spark.read.schema(schema).parquet(store) if exists else spark.createDataFrame([], schema)
-
-
-def _write(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("language", "bucket").parquet(path)

@@ -1,6 +1,10 @@
 """Streams: late rows, restarts from the checkpoint, re-deliveries, and agreement with the tables' side."""
 
 import datetime as dt
+import pathlib
+import random
+
+import pytest
 
 from cuelake import dims
 from cuelake.streaming import streams as S
@@ -44,25 +48,41 @@ def test_call_rate(spark, tmp_path):
     assert rows and {(r["calls"], r["over"]) for r in rows} == {(5, True)} and len(rows) == 6
 
 
+def in_batches(spark, path, schema, batches, make):
+    """Feeds the batches one after the other, the query restarted in between, and returns what has come out."""
+    for number, rows in enumerate(batches):
+        feed(spark, path, number, rows, schema)
+        out = run(spark, path, schema, make)
+    return sorted(map(tuple, out.collect()), key=repr)
+
+
+CALLS = "service string, t_s long, ok boolean"
+END = [("~", 4_000_000_000, True)]
+
+
 def test_failure_streak_and_its_table_side(spark, tmp_path):
-    schema = "service string, t_s long, ok boolean"
-    path = str(tmp_path)
-    first = [("s", k, False) for k in range(5)] + [("t", 0, True)]
-    second = [("s", 70, False), ("s", 71, False), ("s", 200, True), ("t", 5, False)]
-    feed(spark, path, 1, first, schema)
-    run(spark, path, schema, S.stream_failure_streak)
-    feed(spark, path, 2, second, schema)
-    got = sorted(map(tuple, run(spark, path, schema, S.stream_failure_streak).collect()))
-    assert got == sorted(map(tuple, S.failure_streak(spark.createDataFrame(first + second, schema)).collect()))
-    states = [r[3] for r in got if r[0] == "s"]
-    assert states == ["CLOSED"] * 5 + ["HALF_OPEN", "OPEN", "HALF_OPEN"]
-    assert [r[4] for r in got if r[0] == "s"] == [1, 2, 3, 4, 5, 6, 7, 0]
+    first = [("s", 1000 + k, False) for k in range(5)] + [("t", 1000, True)]
+    second = [("s", 1070, False), ("s", 1071, False), ("s", 1200, True), ("t", 1005, False)]
+    got = in_batches(spark, str(tmp_path), CALLS, [first, second, END], S.stream_failure_streak)
+    assert got == sorted(map(tuple, S.failure_streak(spark.createDataFrame(first + second, CALLS)).collect()), key=repr)
+    by_time = sorted(r for r in got if r[0] == "s")
+    assert [r[3] for r in by_time] == ["CLOSED"] * 5 + ["HALF_OPEN", "OPEN", "HALF_OPEN"] and [r[4] for r in by_time] == [1, 2, 3, 4, 5, 6, 7, 0]
+
+
+def test_failure_streak_of_shuffled_batches(spark, tmp_path):
+    """Calls dealt to batches in any order within the watermark give the table's rows; a later one is dropped."""
+    r = random.Random(6)
+    calls = [(s, 10_000 + t, r.random() < 0.3) for s in "ab" for t in sorted(r.sample(range(900), 120))]
+    shuffled = r.sample(calls, len(calls))
+    batches = [shuffled[k::3] for k in range(3)]
+    late = [("a", 9_000, False)]
+    ahead = [("b", 12_000, True)]
+    got = in_batches(spark, str(tmp_path), CALLS, [*batches, ahead, late, END], lambda x: S.stream_failure_streak(x, "20 minutes"))
+    assert got == sorted(map(tuple, S.failure_streak(spark.createDataFrame(calls + ahead, CALLS)).collect()), key=repr)
 
 
 def test_failure_streak_over_hours(spark):
     """Streaks that go on over several hours without a success, against a walk call by call."""
-    import random
-
     r = random.Random(4)
     calls = [(s, t, r.random() < (0.02 if s == "a" else 0.4)) for s in "ab" for t in sorted(r.sample(range(40_000), 500))]
     want = []
@@ -77,35 +97,93 @@ def test_failure_streak_over_hours(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+SAMPLES = "host string, ts timestamp, metric string, value double"
+
+
 def test_health_changes(spark, tmp_path):
-    schema = "host string, ts timestamp, metric string, value double"
-    path = str(tmp_path)
     rows = [("h", at(0), "rss_mb", 100.0), ("h", at(1), "disk_free_gb", 0.5), ("h", at(2), "rss_mb", 5000.0)]
-    feed(spark, path, 1, rows, schema)
-    run(spark, path, schema, S.stream_health)
     more = [("h", at(3), "disk_free_gb", 50.0), ("h", at(4), "rss_mb", 50.0)]
-    feed(spark, path, 2, more, schema)
-    got = run(spark, path, schema, S.stream_health).orderBy("t_us").collect()
-    assert [(r["before"], r["status"]) for r in got] == [(None, "healthy"), ("healthy", "critical"), ("critical", "warning"), ("warning", "healthy")]
+    got = sorted(in_batches(spark, str(tmp_path), SAMPLES, [rows, more, [("~", at(10**6), "rss_mb", 1.0)]], S.stream_health), key=lambda r: r[1])
+    assert [r[2:] for r in got] == [(None, "healthy"), ("healthy", "critical"), ("critical", "warning"), ("warning", "healthy")]
     for bucket_us in (3_600_000_000, 2_000_000):
-        table = S.health_changes(spark.createDataFrame(rows + more, schema), bucket_us).orderBy("t_us").collect()
-        assert list(map(tuple, got)) == list(map(tuple, table))
+        table = S.health_changes(spark.createDataFrame(rows + more, SAMPLES), bucket_us).orderBy("t_us").collect()
+        assert got == list(map(tuple, table))
+
+
+def test_health_changes_of_shuffled_batches(spark, tmp_path):
+    """A sample that comes late takes back no change: changes wait for it."""
+    r = random.Random(8)
+    rows = [(h, at(t), r.choice(["rss_mb", "disk_free_gb", "odd"]), r.choice([0.5, 3.0, 100.0, 5000.0, 9000.0])) for h in "gh" for t in sorted(r.sample(range(800), 60))]
+    shuffled = r.sample(rows, len(rows))
+    got = in_batches(spark, str(tmp_path), SAMPLES, [shuffled[::2], shuffled[1::2], [("~", at(10**6), "rss_mb", 1.0)]], lambda x: S.stream_health(x, "20 minutes"))
+    assert got == sorted(map(tuple, S.health_changes(spark.createDataFrame(rows, SAMPLES)).collect()), key=repr)
+
+
+class Merging:
+    """Deliveries to a merged table below a folder."""
+
+    def __init__(self, spark, path):
+        self.spark, self.path, self.number = spark, str(path), 0
+
+    def arrive(self, *files):
+        self.number += 1
+        feed(self.spark, self.path, self.number, [(1, lang, False, chunk, s, 1000 * s, 1000 * s + 500, text, at(when)) for lang, chunk, s, text, when in files], S.CHUNK_FILE)
+
+    def run(self):
+        stream = self.spark.readStream.schema(S.CHUNK_FILE).option("recursiveFileLookup", "true").parquet(f"{self.path}/in")
+        S.stream_merge(stream, f"{self.path}/table", f"{self.path}/check").trigger(availableNow=True).start().awaitTermination()
+        return self.rows()
+
+    def rows(self, language="eng"):
+        now = S.merged_cues(self.spark, f"{self.path}/table").where(f"language = '{language}'").orderBy("seq").collect()
+        return [(r["seq"], r["start_ms"], r["text"]) for r in now]
+
+    def folders(self):
+        return {p.name for p in pathlib.Path(self.path, "table", "data").iterdir() if any(p.rglob("*.parquet"))}
 
 
 def test_merge_of_arrivals(spark, tmp_path):
-    path = str(tmp_path)
-    schema = S.CHUNK_FILE
-
-    def deliver(number, *files):
-        feed(spark, path, number, [(1, lang, False, chunk, s, 1000 * s, 1000 * s + 500, text, at(when)) for lang, chunk, s, text, when in files], schema)
-        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/in")
-        S.stream_merge(stream, f"{path}/store", f"{path}/merged", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
-        rows = spark.read.parquet(f"{path}/merged").where("language = 'eng'").orderBy("seq").collect()
-        return [(r["seq"], r["start_ms"], r["text"]) for r in rows]
-
-    assert deliver(1, ("eng", 1, 1, "b", 10), ("hin", 0, 1, "x", 10)) == [(1, 61000, "b")]
-    assert deliver(2, ("eng", 0, 1, "a", 20)) == [(1, 1000, "a"), (2, 61000, "b")]
-    untouched = {p.name for p in (tmp_path / "merged" / "language=hin").rglob("*.parquet")}
-    assert deliver(3, ("eng", 0, 1, "a", 20), ("eng", 1, 1, "B", 30)) == [(1, 1000, "a"), (2, 61000, "B")]
-    assert {p.name for p in (tmp_path / "merged" / "language=hin").rglob("*.parquet")} == untouched
-    assert {p.name for p in (tmp_path / "store").iterdir() if p.is_dir()} == {"language=eng", "language=hin"}  # no earlier versions
+    m = Merging(spark, tmp_path)
+    m.arrive(("eng", 1, 1, "b", 10), ("hin", 0, 1, "x", 10))
+    assert m.run() == [(1, 61000, "b")] and m.rows("hin") == [(1, 1000, "x")]
+    m.arrive(("eng", 0, 1, "a", 20))
+    assert m.run() == [(1, 1000, "a"), (2, 61000, "b")]
+    m.arrive(("eng", 0, 1, "a", 20), ("eng", 1, 1, "B", 30))
+    assert m.run() == [(1, 1000, "a"), (2, 61000, "B")] and m.rows("hin") == [(1, 1000, "x")]
+    for k in range(3):
+        m.arrive(("eng", 2, 1, f"c{k}", 40 + k))
+        assert m.run()[2] == (3, 121000, f"c{k}")
+    assert len(m.folders()) <= 3  # the versions of both places, and the one that the last write has replaced
+
+
+def test_merge_survives_a_lost_driver(spark, tmp_path, monkeypatch):
+    """Killed after the data is written and before it becomes current, and after it has become current and before the stream knows."""
+    m = Merging(spark, tmp_path)
+    m.arrive(("eng", 0, 1, "a", 10))
+    before = m.run()
+    m.arrive(("eng", 0, 1, "A", 20), ("eng", 1, 1, "b", 20))
+
+    def killed(self, manifest):
+        raise RuntimeError("killed before")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(S.VersionedTable, "commit", killed)
+        with pytest.raises(Exception, match="killed before"):
+            m.run()
+    assert m.rows() == before and len(m.folders()) == 2  # the new version lies there and nobody reads it
+    commit = S.VersionedTable.commit
+
+    def late(self, manifest):
+        commit(self, manifest)
+        raise RuntimeError("killed after")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(S.VersionedTable, "commit", late)
+        with pytest.raises(Exception, match="killed after"):
+            m.run()
+    after = [(1, 1000, "A"), (2, 61000, "b")]
+    assert m.rows() == after
+    number = S.VersionedTable(spark, f"{m.path}/table").manifest()["number"]
+    assert m.run() == after and S.VersionedTable(spark, f"{m.path}/table").manifest()["number"] == number  # the repeated batch is known
+    m.arrive(("eng", 1, 1, "B", 30))
+    assert m.run() == [(1, 1000, "A"), (2, 61000, "B")]
