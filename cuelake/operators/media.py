@@ -35,19 +35,38 @@ def cue_frames(cues: DataFrame, frames: DataFrame) -> DataFrame:
     return interval_join(cues, frames, closed=False)
 
 
-def nearest_break(edges: DataFrame, pauses: DataFrame, minima: DataFrame, reach_ms: int = 500) -> DataFrame:
-    """For each edge (media_id, edge_id, side, t_ms) the break to snap to: of the pauses whose same side is within reach the one with
-    the highest confidence (then the earliest), giving its other side; else the nearest energy minimum (then the earliest);
-    else null."""
-    start = pauses.select("media_id", F.lit("start").alias("side"), F.col("start_ms").alias("at"), F.col("end_ms").alias("to"), "confidence")
-    end = pauses.select("media_id", F.lit("end").alias("side"), F.col("end_ms").alias("at"), F.col("start_ms").alias("to"), "confidence")
-    low = minima.select("media_id", F.explode(F.array(F.lit("start"), F.lit("end"))).alias("side"), F.col("t_ms").alias("at"), F.col("t_ms").alias("to"), F.lit(None).cast("double").alias("confidence"))
-    breaks = start.unionByName(end).unionByName(low).withColumn("_b", F.floor(F.col("at") / reach_ms))
-    near = edges.withColumn("_b", F.explode(band(F.col("t_ms"), reach_ms))).join(breaks, ["media_id", "side", "_b"]).where(F.abs(F.col("at") - F.col("t_ms")) < reach_ms)
+def breaks(pauses: DataFrame, minima: DataFrame) -> DataFrame:
+    """(media_id, side, at, to, confidence): where edges can snap to: the same side of a pause, giving its other side, or an energy minimum
+    (confidence null)."""
+    both = pauses.select("media_id", "start_ms", "end_ms", "confidence").unionByName(minima.select("media_id", F.col("t_ms").alias("start_ms"), F.col("t_ms").alias("end_ms"), F.lit(None).cast("double").alias("confidence")))
+    return _sides(both)
+
+
+def _sides(spans: DataFrame) -> DataFrame:
+    side = lambda name, at, to: F.struct(F.lit(name).alias("side"), F.col(at).alias("at"), F.col(to).alias("to"))
+    return spans.select("media_id", "confidence", F.explode(F.array(side("start", "start_ms", "end_ms"), side("end", "end_ms", "start_ms"))).alias("s")).select("media_id", "s.side", "s.at", "s.to", "confidence")
+
+
+def snapped(edges: DataFrame, places: DataFrame, keys: list[str], reach_ms: int = 500) -> DataFrame:
+    """For each row of keys of edges (media_id, side, t_ms, and more), one ``start`` and one ``end``, each (kind, d, at, to): the break that its
+    edges of that side snap to. Of the pauses within reach the one with the highest confidence (then the earliest; kind 0), else the
+    nearest energy minimum (then the earliest; kind 1), else null. Edges meet the breaks once, in buckets of time."""
+    b = places.withColumn("_b", F.floor(F.col("at") / reach_ms)).alias("b")
+    a = edges.withColumn("_b", F.explode_outer(band(F.col("t_ms"), reach_ms))).alias("a")
+    near = (F.col("a.media_id") == F.col("b.media_id")) & (F.col("a.side") == F.col("b.side")) & (F.col("a._b") == F.col("b._b")) & (F.abs(F.col("b.at") - F.col("a.t_ms")) < reach_ms)
+    met = a.join(b, near, "left").select("a.*", "b.at", "b.to", "b.confidence")
     pause = F.col("confidence").isNotNull()
     order = F.struct(F.when(pause, 0).otherwise(1).alias("kind"), F.when(pause, -F.col("confidence")).otherwise(F.abs(F.col("at") - F.col("t_ms"))).alias("d"), "at", "to")
-    best = near.groupBy("media_id", "edge_id", "side").agg(F.min(order).alias("_m"))
-    return edges.join(best.select("media_id", "edge_id", "side", F.col("_m.to").alias("snap_ms"), (F.col("_m.kind") == 0).alias("is_pause")), ["media_id", "edge_id", "side"], "left")
+    best = lambda side: F.min(F.when((F.col("side") == side) & F.col("at").isNotNull(), order)).alias(side)
+    return met.groupBy(*keys).agg(best("start"), best("end"))
+
+
+def nearest_break(edges: DataFrame, places: DataFrame, reach_ms: int = 500) -> DataFrame:
+    """Each edge (media_id, edge_id, side, t_ms) with the break of its side to snap to (see ``snapped``): snap_ms and is_pause, null if there
+    is none."""
+    found = snapped(edges, places, ["media_id", "edge_id", "side", "t_ms"], reach_ms)
+    own = F.when(F.col("side") == "start", F.col("start")).otherwise(F.col("end"))
+    return found.select("media_id", "edge_id", "side", "t_ms", own.to.alias("snap_ms"), (own.kind == 0).alias("is_pause"))
 
 
 def speech_activity(cues: DataFrame, frames: DataFrame, keys: tuple[str, ...] = FILE_KEYS) -> DataFrame:
@@ -98,13 +117,17 @@ def _with_percentile(frames: DataFrame, p: float, sounding: bool, accuracy: int
     return frames.join(percentiles(frames, value, [p], accuracy).select("media_id", F.col("q")[0].alias("_p")), "media_id", "left")
 
 
+def _pause_confidence() -> Column:
+    d, e = F.col("duration_ms"), F.col("energy")
+    return F.least(F.lit(100), F.lit(50) + F.when(d.between(300, 2000), 30).when(d > 2000, 10).otherwise(0) + F.when(e < 0.01, 20).when(e < 0.05, 10).otherwise(0)) / 100
+
+
 def detect_pauses(frames: DataFrame, min_ms: int = 300, accuracy: int | None = None) -> DataFrame:
     """Runs below the 25th percentile of the sounding frames, with type and confidence. accuracy: see ``percentiles``."""
     runs = _runs(_with_percentile(frames, 0.25, True, accuracy), F.col("rms") < F.col("_p"), min_ms, False)
     d, e = F.col("duration_ms"), F.col("energy")
     kind = F.when(d < 500, "short_pause").when(d < 1000, F.when(e < 0.01, "natural_break").otherwise("speech_pause")).when(d < 2000, "sentence_break").otherwise("long_silence")
-    confidence = F.lit(50) + F.when(d.between(300, 2000), 30).when(d > 2000, 10).otherwise(0) + F.when(e < 0.01, 20).when(e < 0.05, 10).otherwise(0)
-    return runs.withColumn("kind", kind).withColumn("confidence", F.least(F.lit(100), confidence) / 100)
+    return runs.withColumn("kind", kind).withColumn("confidence", _pause_confidence())
 
 
 def pause_stats(pauses: DataFrame) -> DataFrame:
@@ -130,13 +153,17 @@ def energy_profile(frames: DataFrame) -> DataFrame:
     return s.withColumn("variability", F.when(F.col("mean_rms") > 0, F.col("std_rms") / F.col("mean_rms")).otherwise(0.0))
 
 
-def energy_minima(frames: DataFrame, order: int = 3, accuracy: int | None = None) -> DataFrame:
-    """Frames quieter than their ``order`` neighbours on both sides (frames at the edges are none) and than the 25th percentile."""
+def _lowest(order: int) -> Column:
     w = Window.partitionBy("media_id").orderBy("t_ms")
     low = F.lit(True)
     for k in range(1, order + 1):
         low = low & F.coalesce(F.col("rms") < F.lag("rms", k).over(w), F.lit(False)) & F.coalesce(F.col("rms") < F.lead("rms", k).over(w), F.lit(False))
-    marked = frames.withColumn("_low", low)
+    return low
+
+
+def energy_minima(frames: DataFrame, order: int = 3, accuracy: int | None = None) -> DataFrame:
+    """Frames quieter than their ``order`` neighbours on both sides (frames at the edges are none) and than the 25th percentile."""
+    marked = frames.withColumn("_low", _lowest(order))
     return _with_percentile(marked, 0.25, False, accuracy).where("_low and rms < _p").select("media_id", "t_ms", "rms")
 
 
@@ -145,21 +172,40 @@ def energy_segments(frames: DataFrame, accuracy: int | None = None) -> DataFrame
     return _runs(_with_percentile(frames, 0.6, False, accuracy), F.col("rms") > F.col("_p"), 1000, True)
 
 
-def retime_cues(cues: DataFrame, pauses: DataFrame, minima: DataFrame, keys: tuple[str, ...] = FILE_KEYS) -> DataFrame:
+def sound_breaks(frames: DataFrame, least_confidence: float = 0.7, min_ms: int = 300, order: int = 3) -> DataFrame:
+    """``breaks`` of the good pauses and the energy minima of frames, in one pass: both percentiles, the runs and the neighbours come from
+    windows over the same frames, and pauses and minima are groups of one aggregation there."""
+    media, w = Window.partitionBy("media_id"), Window.partitionBy("media_id").orderBy("t_ms")
+    r = F.col("rms")
+    low = _lowest(order)
+    x = frames.select("media_id", "t_ms", "rms", F.percentile(F.when(r > 0, r), 0.25).over(media).alias("_p"), F.percentile(r, 0.25).over(media).alias("_q"), F.lead("t_ms").over(w).alias("_next"), F.row_number().over(w).alias("_i"), low.alias("_low"))
+    quiet = r < F.col("_p")
+    x = x.withColumn("_g", F.col("_i") - F.count(F.when(quiet, 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    kinds = F.array_compact(F.array(F.when(quiet, F.struct(F.lit(True).alias("pause"), F.col("_g").alias("g"))), F.when(F.col("_low") & (r < F.col("_q")), F.struct(F.lit(False).alias("pause"), F.col("_i").cast("long").alias("g")))))
+    each = x.select("media_id", "t_ms", "rms", "_next", F.explode(kinds).alias("k")).groupBy("media_id", "k").agg(F.min("t_ms").alias("start_ms"), F.max("_next").alias("_end"), F.count("_next").alias("_n"), F.count("*").alias("_k"), F.avg("rms").alias("energy"))
+    pause = F.col("k.pause")
+    spans = each.withColumn("end_ms", F.when(pause, F.col("_end")).otherwise(F.col("start_ms"))).withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
+    spans = spans.where(~pause | ((F.col("_n") == F.col("_k")) & (F.col("duration_ms") >= min_ms)))
+    sure = F.when(pause, _pause_confidence())
+    return _sides(spans.select("media_id", "start_ms", "end_ms", sure.alias("confidence")).where(F.col("confidence").isNull() | (F.col("confidence") > least_confidence)))
+
+
+def retime_cues(cues: DataFrame, places: DataFrame, keys: tuple[str, ...] = FILE_KEYS) -> DataFrame:
     """New start and end of cues with text: as long as reading takes (200 words a minute, 20 characters a second, a second at least);
-    the change is shared by both edges, which snap to pauses or energy minima; the result lasts a second at least."""
+    the change is shared by both edges, which snap to ``breaks`` (or sound_breaks); the result lasts a second at least. Cues meet the
+    breaks once; those that hardly change ask for none."""
     c = cues.where(~is_blank("text")).withColumn("words", F.size(words("text"))).withColumn("chars", F.char_length(F.trim("text")))
     target = F.greatest(F.col("words") * 300.0, F.col("chars") * 50.0, F.lit(1000.0))
     half = (target - (F.col("end_ms") - F.col("start_ms"))) / 2
-    c = c.select(*keys, "seq", "start_ms", "end_ms", "words", "chars", half.alias("_half"))
-    own = [k for k in keys if k != "media_id"]
+    own = [*keys, "seq", "start_ms", "end_ms", "words", "chars"]
+    c = c.select(*own, F.when(F.abs(half) > 100, half).alias("_half"))
     edge = lambda side, t: F.struct(F.lit(side).alias("side"), t.alias("t_ms"))
     both = F.explode(F.array(edge("start", F.col("start_ms") - F.col("_half")), edge("end", F.col("end_ms") + F.col("_half"))))
-    edges = c.where(F.abs(F.col("_half")) > 100).select("media_id", F.struct(*own, "seq").alias("edge_id"), both.alias("e")).select("media_id", "edge_id", "e.side", "e.t_ms")
-    snapped = nearest_break(edges, pauses, minima).groupBy("media_id", "edge_id").agg(*[F.max(F.when(F.col("side") == s, F.coalesce(F.col("snap_ms").cast("double"), F.greatest(F.lit(0.0), F.col("t_ms")) if s == "start" else F.col("t_ms")))).alias(f"_{s}") for s in ("start", "end")])
-    snapped = snapped.select("media_id", *[F.col(f"edge_id.{k}").alias(k) for k in (*own, "seq")], "_start", "_end")
-    out = c.join(snapped, [*keys, "seq"], "left").withColumn("new_start_ms", F.coalesce("_start", F.col("start_ms").cast("double"))).withColumn("_e", F.coalesce("_end", F.col("end_ms").cast("double")))
-    return out.withColumn("new_end_ms", F.when(F.col("_e") - F.col("new_start_ms") < 1000, F.col("new_start_ms") + 1000).otherwise(F.col("_e"))).drop("_half", "_start", "_end", "_e")
+    out = snapped(c.select(*own, "_half", both.alias("e")).select(*own, "_half", "e.side", "e.t_ms"), places, [*own, "_half"])
+    new_start = F.coalesce(F.col("start.to").cast("double"), F.greatest(F.lit(0.0), F.col("start_ms") - F.col("_half")), F.col("start_ms").cast("double"))
+    new_end = F.coalesce(F.col("end.to").cast("double"), F.col("end_ms") + F.col("_half"), F.col("end_ms").cast("double"))
+    out = out.select(*own, F.when(F.col("_half").isNull(), F.col("start_ms").cast("double")).otherwise(new_start).alias("new_start_ms"), new_end.alias("_e"))
+    return out.withColumn("new_end_ms", F.when(F.col("_e") - F.col("new_start_ms") < 1000, F.col("new_start_ms") + 1000).otherwise(F.col("_e"))).drop("_e")
 
 
 def explained(retimed: DataFrame) -> DataFrame:

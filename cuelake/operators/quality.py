@@ -9,6 +9,7 @@ from cuelake.dims import FILE_KEYS, PAIR_KEYS
 from cuelake.functions.text import clip, is_blank, listed, tokens, words
 
 KEYS = FILE_KEYS
+#: Ranges of duration by their end.
 RANGES = [(1000, "0-1s"), (3000, "1-3s"), (5000, "3-5s"), (10000, "5-10s")]
 METRICS = ("cues", "words", "chars", "avg_words", "avg_chars", "avg_duration", "reading_speed", "timing_issues", "empty_cues", "overlapping")
 #: Weights of the parts of the overall assessment.

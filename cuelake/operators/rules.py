@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from cuelake import dims
 from cuelake.functions.text import BLANK, clip, is_blank, words
 
-from .quality import cue_totals, duration_ms
+from .quality import duration_ms
 
 KEYS = dims.FILE_KEYS
 CRITICAL, WARNING = "critical", "warning"
 MOST_CHARS = 42
+#: Signs of unclear speech, contractions without their apostrophe, and ranges of scripts.
 INDICATORS = ["[inaudible]", "???", "...", "unclear", "mumble"]
 CONTRACTIONS = ["cant", "wont", "isnt", "arent", "dont", "doesnt"]
 BENGALI, DEVANAGARI = r"[ঀ-৿]", r"[ऀ-ॿ]"
@@ -121,20 +122,29 @@ def _findings(rows: DataFrame, rules: list[Rule], keys: tuple[str, ...], seq: Co
     return rows.select(*keys, seq.alias("seq"), F.explode(each).alias("f")).select(*keys, "seq", "f.*")
 
 
+def _placed(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Cues with their position in the file and the start of the next."""
+    w = Window.partitionBy(*keys).orderBy("start_ms", "seq")
+    return df.withColumn("position", F.row_number().over(w)).withColumn("next_start", F.lead("start_ms").over(w))
+
+
+def _file_sums() -> list[Column]:
+    return [F.count("*").alias("cues"), F.sum(F.char_length("text")).alias("chars"), F.count_distinct(F.xxhash64("text")).alias("kinds"), F.max("end_ms").alias("last_end")]
+
+
+def _with_audio(sums: DataFrame, audio: DataFrame | None) -> DataFrame:
+    return sums.join(audio.select("media_id", "audio_ms"), "media_id", "left") if audio is not None else sums.withColumn("audio_ms", F.lit(None).cast("long"))
+
+
 def validate(df: DataFrame, rules: list[Rule] | None = None, audio: DataFrame | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Findings (keys, seq, rule_id, severity, detail) of cues; seq is null for findings on a file. audio: media_id, audio_ms. A file
     without cues has no row here; see ``empty_files``."""
     rules = default_rules() if rules is None else rules
-    w = Window.partitionBy(*keys).orderBy("start_ms", "seq")
     parts = []
     if cue_rules := [r for r in rules if r.scope == "cue"]:
-        placed = df.withColumn("position", F.row_number().over(w)).withColumn("next_start", F.lead("start_ms").over(w))
-        parts.append(_findings(placed, cue_rules, keys, F.col("seq")))
+        parts.append(_findings(_placed(df, keys), cue_rules, keys, F.col("seq")))
     if file_rules := [r for r in rules if r.scope == "file"]:
-        n = F.count("*")
-        sums = df.groupBy(*keys).agg(n.alias("cues"), F.sum(F.char_length("text")).alias("chars"), F.count_distinct(F.xxhash64("text")).alias("kinds"), F.max("end_ms").alias("last_end"))
-        sums = sums.join(audio.select("media_id", "audio_ms"), "media_id", "left") if audio is not None else sums.withColumn("audio_ms", F.lit(None).cast("long"))
-        parts.append(_findings(sums, file_rules, keys, F.lit(None).cast("int")))
+        parts.append(_findings(_with_audio(df.groupBy(*keys).agg(*_file_sums()), audio), file_rules, keys, F.lit(None).cast("int")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -196,7 +206,10 @@ def infer_source_language(files: DataFrame) -> DataFrame:
 def validation_report(findings: DataFrame, totals: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Counts, human equivalence, accuracy and status of every file in totals (cps, avg_duration); files without findings too."""
     counts = findings.groupBy(*keys).agg(F.count(F.when(F.col("severity") == CRITICAL, 1)).alias("errors"), F.count(F.when(F.col("severity") == WARNING, 1)).alias("warnings"))
-    r = totals.select(*keys, "cps", "avg_duration").join(counts, list(keys), "left").na.fill(0, ["errors", "warnings"])
+    return _judged(totals.select(*keys, "cps", "avg_duration").join(counts, list(keys), "left").na.fill(0, ["errors", "warnings"]), keys)
+
+
+def _judged(r: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     e, w = F.col("errors"), F.col("warnings")
     human = clip(F.lit(100.0) - 15 * e - 3 * w + F.when(F.col("cps").between(15, 20), 5).otherwise(0) + F.when(F.col("avg_duration").between(2, 6), 3).otherwise(0), 0.0, 100.0)
     accuracy = F.when(e == 0, 95.0 - F.least(2.0 * w, F.lit(15.0))).otherwise(F.greatest(F.lit(0.0), 70.0 - 10.0 * e))
@@ -204,8 +217,16 @@ def validation_report(findings: DataFrame, totals: DataFrame, keys: tuple[str, .
     return r.select(*keys, "errors", "warnings", human.alias("human_equivalence"), accuracy.alias("accuracy_score"), status.alias("status"), status.isin("PRODUCTION_READY", "MINOR_ISSUES").alias("production_ready"))
 
 
-def report(df: DataFrame, rules: list[Rule] | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    return validation_report(validate(df, rules, keys=keys), cue_totals(df, keys), keys)
+def report(df: DataFrame, rules: list[Rule] | None = None, keys: tuple[str, ...] = KEYS, audio: DataFrame | None = None) -> DataFrame:
+    """validation_report of the findings of all rules, in one pass: findings are counted where the cues are, with the sums that file rules
+    and totals need, so that the cues are made and shuffled once and no finding is a row."""
+    rules = default_rules() if rules is None else rules
+    number = lambda scope, severity: sum((F.size(r.details) for r in rules if (r.scope, r.severity) == (scope, severity)), F.lit(0)).cast("long")
+    each = _placed(df, keys).withColumns({"_errors": number("cue", CRITICAL), "_warnings": number("cue", WARNING)})
+    files = each.groupBy(*keys).agg(*_file_sums(), F.sum(duration_ms()).alias("_ms"), F.sum("_errors").alias("_errors"), F.sum("_warnings").alias("_warnings"))
+    files = _with_audio(files, audio).withColumns({"errors": F.col("_errors") + number("file", CRITICAL), "warnings": F.col("_warnings") + number("file", WARNING)})
+    speed = F.when(F.col("_ms") > 0, F.col("chars") * 1000.0 / F.col("_ms")).otherwise(0.0)
+    return _judged(files.withColumns({"cps": speed, "avg_duration": F.col("_ms") / F.lit(1000.0) / F.col("cues")}), keys)
 
 
 #: Rules with a suggestion: category, what to do, and whether auto_fix does it.

@@ -62,7 +62,7 @@ def change_alignment(spark, d):
 def nearest_break(spark, d):
     f = X.frames(spark, d)
     edges = X.cues(spark, d).select("media_id", F.struct("language", "sdh", "seq").alias("edge_id"), F.lit("start").alias("side"), F.col("start_ms").alias("t_ms"))
-    return M.nearest_break(edges, M.detect_pauses(f), M.energy_minima(f)).select("media_id", "edge_id.*", "t_ms", "snap_ms", "is_pause")
+    return M.nearest_break(edges, M.breaks(M.detect_pauses(f), M.energy_minima(f))).select("media_id", "edge_id.*", "t_ms", "snap_ms", "is_pause")
 
 
 def cue_frame_join(spark, d):
@@ -105,8 +105,7 @@ def energy_segments(spark, d):
 
 
 def _retimed(spark, d):
-    f = X.frames(spark, d)
-    return M.retime_cues(X.cues(spark, d), M.good_pauses(M.detect_pauses(f)), M.energy_minima(f))
+    return M.retime_cues(X.cues(spark, d), M.sound_breaks(X.frames(spark, d)))
 
 
 def retime_cues(spark, d):

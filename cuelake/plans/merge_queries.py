@@ -30,6 +30,14 @@ def srt_ingest(spark, d):
 _BACK = "select media_id, language, sdh, count(*) as cues, sum(seq)::bigint as seqs, sum(start_ms)::bigint as starts, sum(end_ms)::bigint as ends, sum(length(trim(text)))::bigint as chars from plain group by all"
 
 
+def srt_ingest_plain(spark, d):
+    """Rendered files whose numbers are words in every second medium, read without them."""
+    files = srt.srt_render(_plain(spark, d))
+    named = files.withColumn("content", F.when(F.col("media_id") % 2 == 0, F.regexp_replace("content", r"(^|\n)\d+\n(\d\d:)", "$1cue\n$2")).otherwise(F.col("content")))
+    back = srt.srt_ingest(named, "plain")
+    return back.groupBy(*dims.FILE_KEYS).agg(F.count("*").alias("cues"), F.sum("seq").alias("seqs"), F.sum("start_ms").alias("starts"), F.sum("end_ms").alias("ends"), F.sum(F.char_length(F.trim("text"))).alias("chars"))
+
+
 def _damaged(spark, d):
     """Rendered files with a broken time line in the second block of every third media."""
     files = srt.srt_render(_plain(spark, d))
@@ -137,6 +145,7 @@ def batch_summary(spark, d):
 LATEST = X.JOB_STATES + ",\nlatest as (select * from job_states qualify row_number() over (partition by job_id order by updated_us desc, event_id desc) = 1)"
 QUERIES = {
     "srt_ingest": (srt_ingest, f"with {SAFE} {_BACK}"),
+    "srt_ingest_plain": (srt_ingest_plain, f"with {SAFE} {_BACK}"),
     "srt_ingest_strict": (srt_ingest_strict, f"""with {SAFE} select media_id, language, sdh, count(*) filter (not (media_id % 3 = 0 and seq = 2)) as accepted, count(*) filter (media_id % 3 = 0 and seq = 2) as refused,
         coalesce(max(case when media_id % 3 = 0 and seq = 2 then 'bad times' end), '') as reason, sum(end_ms) filter (not (media_id % 3 = 0 and seq = 2))::bigint as ends from plain group by all"""),
     "model_response_repair": (model_response_repair, f"with {SAFE} {_BACK}"),

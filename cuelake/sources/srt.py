@@ -9,6 +9,7 @@ from cuelake.dims import FILE_KEYS
 from cuelake.functions.text import clock
 
 TIME = r"(\d+):(\d{1,2}):(\d{1,2})[,.](\d{1,3})"
+PLAIN_TIME = r"(\d{1,2}):(\d{2}):(\d{2})[,.](\d{1,3})"
 #: Two digits of hours: strict files end before 100 hours.
 STRICT_TIME = r"(\d{2}):(\d{2}):(\d{2}),(\d{3})"
 
@@ -29,12 +30,15 @@ def srt_ingest(files: DataFrame, mode: str = "lenient", content_col: str = "cont
     """Cues of SRT texts: the columns of files but its content, and pos, seq, start_ms, end_ms, text.
 
     ``lenient``: a byte-order mark is dropped, blocks are cut at blank lines, a block needs a number, a line with two times
-    (comma or point, one to three digits of fraction) and text; others are skipped. ``strict`` returns what the strict rules
-    accept; see srt_ingest_strict."""
+    (comma or point, one to three digits of fraction) and text; others are skipped. ``plain``: a block needs any line, a line that
+    begins with two times, and text; seq is its place among these. ``strict`` returns what the strict rules accept; see
+    srt_ingest_strict."""
     if mode == "strict":
         return srt_ingest_strict(files, content_col)[0]
+    if mode == "plain":
+        return _plain(files, content_col)
     if mode != "lenient":
-        raise ValueError("mode is lenient or strict")
+        raise ValueError("mode is lenient, plain or strict")
     keep = [c for c in files.columns if c != content_col]
     text = F.replace(F.replace(F.col(content_col), F.lit("﻿"), F.lit("")), F.lit("\r\n"), F.lit("\n"))
     blocks = files.select(*keep, F.posexplode_outer(F.split(text, r"\n[ \t]*\n\s*")).alias("pos", "_block")).where("_block is not null")
@@ -46,6 +50,16 @@ def srt_ingest(files: DataFrame, mode: str = "lenient", content_col: str = "cont
     return out.where(F.trim("text") != "")
 
 
+def _plain(files: DataFrame, content_col: str) -> DataFrame:
+    keep = [c for c in files.columns if c != content_col]
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    content = F.replace(F.col(content_col), F.lit("\r\n"), F.lit("\n"))
+    pattern = rf"(?s)^[^\n]*\n{PLAIN_TIME}\s*-->\s*{PLAIN_TIME}[^\n]*\n(.*)$"
+    blocks = F.filter(F.transform(F.split(trimmed(content), r"\n\s*\n"), trimmed), lambda b: b.rlike(pattern))
+    rows = files.select(*keep, F.posexplode_outer(blocks).alias("pos", "_block")).where("_block is not null")
+    return rows.select(*keep, "pos", (F.col("pos") + 1).alias("seq"), _ms(F.col("_block"), pattern, 1).alias("start_ms"), _ms(F.col("_block"), pattern, 5).alias("end_ms"), F.regexp_extract("_block", pattern, 9).alias("text"))
+
+
 def strict_blocks(files: DataFrame, content_col: str = "content") -> DataFrame:
     """Every block of strict SRT texts with its fields and the reason why it is refused (null: accepted). Hours have two digits, so
     times from 100 hours on are refused as bad times; the lenient mode reads them."""

@@ -30,10 +30,11 @@ def test_events_and_retiming_are_by_file(spark, two):
     events = spark.createDataFrame([(1, "scene", 1000), (1, "scene", 4000)], "media_id long, kind string, t_ms long")
     assert sorted((r["sdh"], r["seq"], r["scenes"]) for r in media.align_events(two, events).collect()) == [(s, k, [1000 if k == 1 else 4000]) for s in (False, True) for k in (1, 2)]
     frames = spark.createDataFrame([(1, k * 200, 0.5 + (k * 7 % 11) / 50, 0.3, 500.0) for k in range(40)], "media_id long, t_ms long, rms double, zcr double, centroid double")
-    pauses, minima = media.detect_pauses(frames), media.energy_minima(frames)
-    both = {(r["sdh"], r["seq"]): (r["new_start_ms"], r["new_end_ms"]) for r in media.retime_cues(two, pauses, minima).collect()}
+    places = media.breaks(media.good_pauses(media.detect_pauses(frames)), media.energy_minima(frames))
+    assert sorted(map(tuple, places.collect()), key=repr) == sorted(map(tuple, media.sound_breaks(frames).select(places.columns).collect()), key=repr) and places.count() > 4
+    both = {(r["sdh"], r["seq"]): (r["new_start_ms"], r["new_end_ms"]) for r in media.retime_cues(two, places).collect()}
     for sdh in (False, True):
-        alone = {(r["sdh"], r["seq"]): (r["new_start_ms"], r["new_end_ms"]) for r in media.retime_cues(two.where(F.col("sdh") == sdh), pauses, minima).collect()}
+        alone = {(r["sdh"], r["seq"]): (r["new_start_ms"], r["new_end_ms"]) for r in media.retime_cues(two.where(F.col("sdh") == sdh), places).collect()}
         assert alone == {k: v for k, v in both.items() if k[0] == sdh}
     assert media.speech_activity(two, frames).count() == 4
 
@@ -60,6 +61,14 @@ def test_language_pairs_keep_variants_apart(spark, two):
     assert got == {s: (text(s), text(s)) for s in (False, True)}
 
 
+def test_reports_in_one_pass_are_those_of_the_findings(spark, sf):
+    from cuelake.plans import fixtures
+
+    c = fixtures.lined_cues(spark, sf)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(rules.report(c)) == rows(rules.validation_report(rules.validate(c), quality.cue_totals(c)))
+
+
 def test_texts_are_dealt_once(spark, sf):
     """The score of a pair needs one shuffle of the texts."""
     from cuelake.plans import translation_queries

@@ -28,6 +28,14 @@ def test_lenient_accepts_what_files_have(spark):
     assert set(rows) == {"good", "bom", "dots", "blank_text"}
 
 
+def test_plain_needs_times_and_text_only(spark):
+    f = texts(spark, good=GOOD.replace("\n", "\r\n"), odd="cue one\n0:00:01.5 --> 00:00:02,25 x:1\nx\n\n \nno\n\n7\n00:00:03,000-->00:00:04,000\ny\n\n\nz\n00:00:05,000 --> bad\nw", empty="", hours="1\n100:00:01,000 --> 100:00:02,000\nx")
+    rows = {}
+    for r in srt.srt_ingest(f, "plain").orderBy("name", "pos").collect():
+        rows.setdefault(r["name"], []).append((r["seq"], r["start_ms"], r["end_ms"], r["text"]))
+    assert rows == {"good": [(1, 1000, 2500, "Hello"), (2, 3000, 4000, "Two\nlines")], "odd": [(1, 1500, 2250, "x"), (2, 3000, 4000, "y")]}
+
+
 def test_strict_refuses_with_reasons(spark):
     f = texts(spark, good=GOOD, dots="1\n00:00:01.000 --> 00:00:02.000\nx", few="1\n00:00:01,000 --> 00:00:02,000", number="one\n00:00:01,000 --> 00:00:02,000\nx")
     cues, rejects = srt.srt_ingest_strict(f)
