@@ -97,24 +97,22 @@ def confidence_summary(df: DataFrame, keys: tuple[str, ...] = KEYS, listed_most:
     """Per file: mean, deviation and median (hundredths), counts by tenths, counts by duration range, and numbers of cues with low
     (under 60) and high (over 85) confidence, with the first ``listed_most`` of either by number.
 
-    Cues meet as short rows, in blocks of ``block`` numbers, so that a very long file is not one task. The lists are ranked within
-    blocks first; no list of all cues is made."""
-    conf = F.col("confidence")
-    c = cue_confidence(df).select(*keys, "seq", conf, duration_range().alias("_range"), F.floor(F.col("seq") / block).alias("_block")).repartition(*keys, "_block")
-    kind = F.when(conf < 60, "low").when(conf > 85, "high")
-    first = lambda df, *by: df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, *by, "_kind").orderBy("seq"))).where(F.col("_r") <= listed_most).drop("_r")
-    named = first(first(c.select(*keys, "_block", "seq", kind.alias("_kind")).where("_kind is not null"), "_block"))
-    numbers = lambda k: F.array_join(F.array_sort(F.collect_list(F.when(F.col("_kind") == k, F.col("seq")))).cast("array<string>"), ",").alias(f"{k}_cues")
-    lists = named.groupBy(*keys).agg(numbers("low"), numbers("high"))
-    names = [n for _, n in RANGES] + ["10s+"]
-    joined = lambda cols: F.concat_ws(",", *[x.cast("string") for x in cols])
-    summary = c.groupBy(*keys).agg(
-        F.avg(conf).alias("mean"), F.stddev_pop(conf).alias("std"), F.median(conf).alias("median"),
-        joined([F.count(F.when(F.floor(conf / 10) == k, 1)) for k in range(11)]).alias("histogram"),
-        joined([F.count(F.when(F.col("_range") == n, 1)) for n in names]).alias("by_duration"),
-        F.count(F.when(conf < 60, 1)).alias("low"), F.count(F.when(conf > 85, 1)).alias("high"),
+    Cues are first counted by confidence and range within blocks of ``block`` numbers, where lists are cut, before the shuffle in part; files
+    are made from those counts, so neither a list of all cues nor a very long file is one task."""
+    conf, n = F.col("confidence"), F.col("_n")
+    names = [name for _, name in RANGES] + ["10s+"]
+    c = cue_confidence(df).select(*keys, "seq", "confidence", duration_range().alias("_range"), F.floor(F.col("seq") / block).alias("_block"))
+    first = lambda a: F.slice(F.array_sort(a), 1, listed_most)
+    counts = c.groupBy(*keys, "_block", "confidence", "_range").agg(F.count("*").alias("_n"), first(F.collect_list(F.when((conf < 60) | (conf > 85), F.col("seq")))).alias("_s"))
+    some = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
+    joined = lambda tests: F.concat_ws(",", *[some(t).cast("string") for t in tests])
+    numbers = lambda test: F.array_join(first(F.flatten(F.collect_list(F.when(test, F.col("_s"))))).cast("array<string>"), ",")
+    total, square, cues = F.sum(conf * n), F.sum(conf * conf * n), F.sum(n)
+    return counts.groupBy(*keys).agg(
+        (total / cues).alias("mean"), (F.sqrt(cues * square - total * total) / cues).alias("std"), F.percentile(conf, 0.5, n).alias("median"),
+        joined([F.floor(conf / 10) == k for k in range(11)]).alias("histogram"), joined([F.col("_range") == name for name in names]).alias("by_duration"),
+        some(conf < 60).alias("low"), some(conf > 85).alias("high"), numbers(conf < 60).alias("low_cues"), numbers(conf > 85).alias("high_cues"),
     )
-    return summary.join(lists, list(keys), "left").na.fill("", ["low_cues", "high_cues"])
 
 
 def timing_quality(df: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -32,41 +32,54 @@ def pair_languages(cues: DataFrame, src: str, tgt: str, keys: tuple[str, ...] =
 
 
 def dealt_by(pairs: DataFrame, keys: tuple[str, ...] = PAIR_KEYS) -> DataFrame:
-    """Pairs dealt by their key, so that what is made from them needs no other shuffle."""
-    return pairs.repartition(*keys)
+    """Pairs with a short name of their key (``_p``, beside media_id), dealt by it, so that what is made from them needs no other shuffle."""
+    return pairs.withColumn("_p", F.xxhash64(*keys)).repartition(*_NAME)
 
 
-def ngram_precisions(pairs: DataFrame, max_n: int = 4, by_language: bool = False, hyp: str = "hyp", ref: str = "ref", keys: tuple[str, ...] = PAIR_KEYS) -> DataFrame:
-    """The keys, hyp_len, ref_len, and clipped precision p1..pN of pairs that ``dealt_by`` has dealt. Their n-grams (64-bit hashes) are
-    made, counted and compared without another shuffle. ``by_language``: whitespace tokens for Bengali and Hindi."""
+_NAME = ("media_id", "_p")
+
+
+def ngram_precisions(dealt: DataFrame, max_n: int = 4, by_language: bool = False, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
+    """media_id, _p, hyp_len, ref_len, and clipped precision p1..pN of pairs that ``dealt_by`` has dealt. Their n-grams (64-bit hashes)
+    are made, counted and compared without another shuffle. ``by_language``: whitespace tokens for Bengali and Hindi."""
     token = lambda c: F.when(F.col("tgt_lang").isin("bn", "hi"), words(c)).otherwise(tokens(c)) if by_language else tokens(c)
     sides = F.explode(F.array(F.struct(F.lit(1).alias("a"), token(hyp).alias("t")), F.struct(F.lit(0).alias("a"), token(ref).alias("t"))))
-    rows = pairs.select(*keys, sides.alias("s")).select(*keys, "s.a", *[(F.expr(f"slice(s.t, {k + 1}, size(s.t))") if k else F.col("s.t")).alias(f"w{k}") for k in range(max_n)])
+    rows = dealt.select(*_NAME, sides.alias("s")).select(*_NAME, "s.a", *[(F.expr(f"slice(s.t, {k + 1}, size(s.t))") if k else F.col("s.t")).alias(f"w{k}") for k in range(max_n)])
     # explode_outer, as explode would add a filter that makes the arrays once more
-    rows = rows.select(*keys, "a", F.explode_outer(F.arrays_zip(*[f"w{k}" for k in range(max_n)])).alias("g")).select(*keys, "a", *[f"g.w{k}" for k in range(max_n)])
+    rows = rows.select(*_NAME, "a", F.explode_outer(F.arrays_zip(*[f"w{k}" for k in range(max_n)])).alias("g")).select(*_NAME, "a", *[f"g.w{k}" for k in range(max_n)])
     grams = [F.struct(F.lit(n).alias("n"), F.when(F.col(f"w{n - 1}").isNotNull(), F.xxhash64(*[f"w{k}" for k in range(n)])).alias("h")) for n in range(1, max_n + 1)]
-    rows = rows.select(*keys, "a", F.explode(F.array(*grams)).alias("g")).select(*keys, "g.n", "g.h", "a")
-    counts = rows.groupBy(*keys, "n", "h").agg(F.sum("a").alias("a"), F.sum(1 - F.col("a")).alias("b"))
+    rows = rows.select(*_NAME, "a", F.explode(F.array(*grams)).alias("g")).select(*_NAME, "g.n", "g.h", "a")
+    counts = rows.groupBy(*_NAME, "n", "h").agg(F.sum("a").alias("a"), F.sum(1 - F.col("a")).alias("b"))
     at = lambda k, c: F.coalesce(F.sum(F.when((F.col("n") == k) & F.col("h").isNotNull(), c)), F.lit(0))
     same = F.least("a", "b")
-    return counts.groupBy(*keys).agg(at(1, F.col("a")).alias("hyp_len"), at(1, F.col("b")).alias("ref_len"), *[F.when(at(k, F.col("a")) > 0, at(k, same) / at(k, F.col("a"))).otherwise(0.0).alias(f"p{k}") for k in range(1, max_n + 1)])
+    return counts.groupBy(*_NAME).agg(at(1, F.col("a")).alias("hyp_len"), at(1, F.col("b")).alias("ref_len"), *[F.when(at(k, F.col("a")) > 0, at(k, same) / at(k, F.col("a"))).otherwise(0.0).alias(f"p{k}") for k in range(1, max_n + 1)])
+
+
+def _keyed(scores: DataFrame, pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Scores by media_id and _p with the keys of their pairs, which are read without the texts."""
+    return pairs.select(*keys, F.xxhash64(*keys).alias("_p")).join(scores, list(_NAME)).drop("_p")
 
 
 def brevity() -> Column:
     return F.when(F.col("hyp_len") > F.col("ref_len"), 1.0).when(F.col("hyp_len") > 0, F.exp(1 - F.col("ref_len") / F.col("hyp_len"))).otherwise(0.0)
 
 
-def bleu(pairs: DataFrame, max_n: int = 4, keys: tuple[str, ...] = PAIR_KEYS, dealt: bool = False) -> DataFrame:
-    """Of each pair (``dealt``: already by key): geometric mean of the clipped precisions times the brevity penalty; 0 if one of them is 0."""
+def _bleu(dealt: DataFrame, max_n: int) -> DataFrame:
     p = [F.col(f"p{k}") for k in range(1, max_n + 1)]
     mean = F.exp(sum((F.ln(x) for x in p), F.lit(0.0)) / max_n)
     zero = F.least(*p) == 0 if max_n > 1 else p[0] == 0
-    return ngram_precisions(pairs if dealt else dealt_by(pairs, keys), max_n, keys=keys).select(*keys, "hyp_len", "ref_len", F.when(zero, 0.0).otherwise(brevity() * mean).alias("bleu"))
+    return ngram_precisions(dealt, max_n).select(*_NAME, "hyp_len", "ref_len", F.when(zero, 0.0).otherwise(brevity() * mean).alias("bleu"))
+
+
+def bleu(pairs: DataFrame, max_n: int = 4, keys: tuple[str, ...] = PAIR_KEYS) -> DataFrame:
+    """Of each pair: geometric mean of the clipped precisions times the brevity penalty; 0 if one of them is 0."""
+    return _keyed(_bleu(dealt_by(pairs, keys), max_n), pairs, keys)
 
 
 def bleu_components(pairs: DataFrame, max_n: int = 4, keys: tuple[str, ...] = PAIR_KEYS) -> DataFrame:
     """Each order's precision with the brevity penalty."""
-    return ngram_precisions(dealt_by(pairs, keys), max_n, by_language=True, keys=keys).select(*keys, *[(brevity() * F.col(f"p{k}")).alias(f"bleu_{k}") for k in range(1, max_n + 1)])
+    parts = ngram_precisions(dealt_by(pairs, keys), max_n, by_language=True).select(*_NAME, *[(brevity() * F.col(f"p{k}")).alias(f"bleu_{k}") for k in range(1, max_n + 1)])
+    return _keyed(parts, pairs, keys)
 
 
 def token_f1(hyp: str = "hyp", ref: str = "ref") -> Column:
@@ -140,11 +153,11 @@ def tfa(pairs: DataFrame) -> DataFrame:
 
 
 def scored(pairs: DataFrame, keys: tuple[str, ...] = PAIR_KEYS) -> DataFrame:
-    """All parts of the score of every pair. The texts are dealt by key once; the n-gram counts, the other parts and the join of both
-    are made from the dealt rows."""
+    """All parts of the score of every pair. Texts are dealt by key; the n-gram counts, the other parts and the join of both are made from
+    the dealt rows without another shuffle."""
     dealt = dealt_by(pairs, keys)
     parts = tfa(dealt).withColumns({"meteor": token_f1(), "semantic": semantic_estimate(), "cultural": cultural_accuracy()})
-    return parts.join(bleu(dealt, keys=keys, dealt=True).select(*keys, "bleu"), list(keys))
+    return parts.join(_bleu(dealt, 4).select(*_NAME, "bleu"), list(_NAME)).drop("_p")
 
 
 def with_benchmarks(scores: DataFrame, dim: DataFrame) -> DataFrame:

@@ -69,14 +69,12 @@ def test_reports_in_one_pass_are_those_of_the_findings(spark, sf):
     assert rows(rules.report(c)) == rows(rules.validation_report(rules.validate(c), quality.cue_totals(c)))
 
 
-def test_texts_are_dealt_once(spark, sf):
-    """The score of a pair needs one shuffle of the texts."""
+def test_scores_need_no_shuffle_but_the_dealing(spark, sf):
+    """Grams are counted and joined where the texts of their pair lie."""
     from cuelake.plans import translation_queries
 
-    q = translation_queries.translation_score(spark, sf)
-    q.collect()
-    plan = q._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert plan.count("ReusedExchange") >= 1
+    plan = translation_queries.bleu(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ENSURE_REQUIREMENTS") <= 1 and plan.count("REPARTITION_BY_COL") == 1
 
 
 # ---- intervals of any length
