@@ -6,7 +6,7 @@ and numbered along a Hilbert curve. Spark range-partitions and sorts the keys of
 place on the curve, and ``CELL_ROWS`` to ``CELL_MOST`` places in a row are a cell (so many that a window has about ``CELLS``), however
 many vectors share a key. A query takes the curves on
 whose directions it lies farthest out, where neighbours stand out most, and on each the window of so many places on either side
-of its own key; in the window's cells it is compared with all vectors in double precision, and the best of all windows are
+of its own key; in the window's cells, which meet their queries in parts of about ``VISITS``, it is compared with all vectors in double precision, and the best of all windows are
 merged and ranked.
 
 The number of curves that a query takes and the width of its windows are fitted: of ``SAMPLE`` queries the true neighbours are looked up
@@ -36,6 +36,7 @@ from .common import durable, tune
 
 CURVES, DIMS, BITS = 16, 4, 10
 CELL_ROWS, CELL_MOST, CELLS = 1024, 1 << 16, 16
+VISITS = 2048
 SAMPLE, TARGET = 100, 0.95
 
 
@@ -227,11 +228,15 @@ def neighbours(vectors: DataFrame, is_query, k: int = 20, target: float = TARGET
     places = durable(placed(points))
     fit = durable(fitted(entries, queries, places, sizes, k, target, sample))
     cell = lambda c: F.floor(c / F.col("rows"))
-    cells = places.where("not asked").join(fit, "n").select("n", "curve", cell(F.col("place")).alias("cell"), "rep").join(entries.select("n", "rep", "low", "embedding"), ["n", "rep"])
     first, last = F.greatest(F.col("place") - F.col("width"), F.lit(0)), F.least(F.col("place") + F.col("width"), F.col("held") - 1)
-    visits = places.where("asked").join(fit, "n").where("turn < turns").select(F.col("n").alias("at_n"), F.col("curve").alias("at_curve"), F.col("rep").alias("query"), F.explode(F.sequence(cell(F.least(first, F.col("held") - 1)), cell(last))).alias("at_cell"))
-    visits = visits.join(queries.select(F.col("n").alias("at_n"), F.col("rep").alias("query"), F.col("embedding").alias("vector")), ["at_n", "query"])
-    found = cells.groupBy("n", "curve", "cell").cogroup(visits.groupBy("at_n", "at_curve", "at_cell")).applyInArrow(_compared(k + 1), _BEST)
+    visits = durable(places.where("asked").join(fit, "n").where("turn < turns").select(F.col("n").alias("at_n"), F.col("curve").alias("at_curve"), F.col("rep").alias("query"), F.explode(F.sequence(cell(F.least(first, F.col("held") - 1)), cell(last))).alias("at_cell")))
+    # a cell meets its queries in parts of about ``VISITS``; cells that none visits meet nothing
+    parts = visits.groupBy("at_n", "at_curve", "at_cell").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("_of"))
+    visited = parts.select(F.col("at_n").alias("n"), F.col("at_curve").alias("curve"), F.col("at_cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("part"))
+    cells = places.where("not asked").join(fit, "n").select("n", "curve", cell(F.col("place")).alias("cell"), "rep").join(visited, ["n", "curve", "cell"]).join(entries.select("n", "rep", "low", "embedding"), ["n", "rep"])
+    dealt = visits.join(parts, ["at_n", "at_curve", "at_cell"]).withColumn("at_part", F.pmod(F.xxhash64("query"), F.col("_of")).cast("int")).drop("_of")
+    dealt = dealt.join(queries.select(F.col("n").alias("at_n"), F.col("rep").alias("query"), F.col("embedding").alias("vector")), ["at_n", "query"])
+    found = cells.groupBy("n", "curve", "cell", "part").cogroup(dealt.groupBy("at_n", "at_curve", "at_cell", "at_part")).applyInArrow(_compared(k + 1), _BEST)
     best = _best(found, k + 1)
     full = best.join(entries.select("n", "rep", "ids"), ["n", "rep"]).select("n", "query", F.explode("ids").alias("vec_id"), "score")
     lists = full.groupBy("n", "query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("list"))

@@ -111,7 +111,11 @@ def packed(lengths: DataFrame, capacity: int = CAPACITY, per_source: int = PER_S
     kind = dict(lengths.dtypes)["doc_id"]
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     shards = max(1, -(-lengths.count() // shard))
-    dealt = lengths.where("length > 0").withColumn("_shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    # rows that share an id (or have none) by the thousand are dealt one by one
+    heavy = lengths.groupBy(F.col("doc_id").alias("_id")).count().where(F.col("count") > shard // 8).select("_id", F.lit(True).alias("_many"))
+    full = lengths.where("length > 0").join(heavy, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    name = F.when(F.col("_many"), F.xxhash64("doc_id", F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id"))
+    dealt = full.withColumn("_shard", F.pmod(name, F.lit(shards)).cast("int")).drop("_id", "_many")
     schema = f"doc_id {kind}, piece int, start_word long, length int, bin_id string, bin_offset int"
     placed = dealt.groupBy("_shard").applyInArrow(_packed(capacity, per_source, id_type), schema)
     empty = lengths.where("length = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start_word"), F.lit(0).alias("length"), F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("int").alias("bin_offset"))

@@ -112,9 +112,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def fourier(x: np.ndarray, m: dict) -> np.ndarray:
-    """Random Fourier features of standardised statistics, a constant and the statistics themselves."""
+    """Random Fourier features of standardised statistics, and a constant."""
     z = np.clip((x - m["mean"]) / m["scale"], -6, 6)
-    return np.concatenate([np.cos(z @ m["freq"] + m["phase"]) * np.sqrt(2 / FEATURES), np.ones((len(z), 1)), z], 1)
+    return np.concatenate([np.cos(z @ m["freq"] + m["phase"]) * np.sqrt(2 / FEATURES), np.ones((len(z), 1))], 1)
 
 
 def raw_score(x: np.ndarray, m: dict) -> np.ndarray:
@@ -141,7 +141,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", seed: i
         return {"bins": None, "constant": 0.5}
     rng = np.random.default_rng(seed)
     m = {"mean": np.array([r["mean"] for r in moments]), "scale": np.array([max(r["std"], 1e-3) for r in moments]), "freq": rng.normal(0, np.sqrt(2 * gamma), (STATS, FEATURES)), "phase": rng.uniform(0, 2 * np.pi, FEATURES)}
-    n = FEATURES + 1 + STATS
+    n = FEATURES + 1
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((n, n + 1))

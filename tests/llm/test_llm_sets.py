@@ -130,6 +130,14 @@ def test_packing_query_is_best_fit_in_each_shard(spark, sf):
     assert {(r["doc_id"], r["piece"], r["length"], r["bin_id"], r["bin_offset"]) for r in got} == want and len(got) == len(want)
 
 
+def test_packing_deals_rows_that_share_an_id(spark):
+    rows = [(None if i % 2 else 7, f"w{i} x y", "s") for i in range(1200)]
+    got = packing.packed(packing.measured(spark.createDataFrame(rows, "doc_id long, text string, source string")), capacity=30, shard=64).collect()
+    assert len(got) == len(rows) and all(r["length"] == 3 for r in got)
+    shards = [r["bin_id"].split("-")[0] for r in got]
+    assert len(set(shards)) > 10 and max(map(shards.count, set(shards))) < 200
+
+
 # ---- near-duplicates
 
 
@@ -601,6 +609,17 @@ def test_neighbours_edge_cases(spark):
     assert ann.neighbours(df.where("false"), "vec_id % 20 = 0").count() == 0
 
 
+def test_neighbours_of_cells_that_many_visit(spark, monkeypatch):
+    """Queries of a cell in several parts."""
+    monkeypatch.setattr(ann, "VISITS", 5)
+    rng = np.random.default_rng(6)
+    rows = [(i * 4, [float(np.float32(a)) for a in rng.normal(size=3)]) for i in range(300)]
+    got = {}
+    for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id % 20 = 0").orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == brute_neighbours(rows)
+
+
 def test_neighbours_leave_clashing_columns_alone(spark):
     rng = np.random.default_rng(7)
     rows = [(i, [float(np.float32(a)) for a in rng.normal(size=6)]) for i in range(100)]
