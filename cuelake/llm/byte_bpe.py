@@ -6,7 +6,8 @@ matrices of like length, one row a piece, one column a token. A round looks up t
 open-addressing table, finds each row's leftmost smallest rank, writes the merged token and closes the gap; rows without a
 pair leave the matrix. Encoded pieces of up to ``LONG`` characters are kept for later batches of the task, ``CACHE`` pieces at most. In the matrices of pieces over
 ``LONG`` bytes (a run of one kind of character can be a whole text) a row is cut into blocks of columns whose smallest ranks are kept,
-so that a round looks at those and at the blocks it changes; gaps are skipped by links and closed when the row is done.
+so that a round looks at those and at the blocks it changes; gaps are skipped by links and closed when the row is done. A piece over
+``RUN`` bytes is a row of its own, in which a round merges every place of the smallest rank.
 
 Edge cases: a null or empty text has no tokens and decodes to nothing; text is taken as its UTF-8 bytes, special-token strings are
 ordinary text; ids outside the vocabulary raise ValueError when decoding; extra columns pass through, columns named as
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_udf, tune, without
 
-LONG, BLOCK, CELLS = 64, 64, 1 << 20
+LONG, BLOCK, CELLS, RUN = 64, 64, 1 << 20, 4096
 CACHE = 400_000
 NO_RANK = np.int32(2**31 - 1)
 
@@ -173,6 +174,41 @@ class Ranks:
                 least[row, k] = by_block[row, k].min(1)
         return [t[t >= 0].astype("<u4").tobytes() for t in tokens]
 
+    def encode_run(self, piece: bytes) -> bytes:
+        """Token ids of one very long piece. Every place of the smallest rank is merged in one round, as they would be one after the
+        other from the left; the round ends early at the first merge that makes a pair of no larger rank."""
+        tokens = self.of_byte[np.frombuffer(piece, np.uint8)].astype(np.int32)
+        ranks = self.pair_ranks(tokens[:-1], tokens[1:])
+        while len(ranks):
+            low = ranks.min()
+            if low == NO_RANK:
+                break
+            at = np.flatnonzero(ranks == low)
+            # of places that overlap in a row, every second one
+            first = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) > 1], np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            while True:
+                pos = at - np.arange(len(at))
+                now = tokens.copy()
+                now[at] = low
+                now = np.delete(now, at + 1)
+                new = np.delete(ranks, np.minimum(at + 1, len(ranks) - 1))
+                right, left = pos[pos < len(new)], pos[pos > 0]
+                new[right] = self.pair_ranks(now[right], now[right + 1])
+                new[left - 1] = self.pair_ranks(now[left - 1], now[left])
+                made = np.full(len(at), NO_RANK)
+                made[pos < len(new)] = new[right]
+                made[pos > 0] = np.minimum(made[pos > 0], new[left - 1])
+                # the pair with what stands to the right before that is merged too
+                inner = np.flatnonzero(at + 2 < len(tokens))
+                made[inner] = np.minimum(made[inner], self.pair_ranks(np.full(len(inner), low, np.int32), tokens[at[inner] + 2]))
+                bad = np.flatnonzero(made <= low)
+                if not len(bad) or bad[0] == len(at) - 1:
+                    break
+                at = at[: bad[0] + 1]
+            tokens, ranks = now, new
+        return tokens.astype("<u4").tobytes()
+
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Token ids of each piece. Pieces of 1-4, 5-8, 9-12, ... bytes share a matrix; over LONG bytes, those up to an eighth longer."""
         out: list[bytes | None] = [None] * len(pieces)
@@ -181,6 +217,8 @@ class Ranks:
             token = self.ranks.get(p)
             if token is not None:
                 out[i] = token.to_bytes(4, "little")
+            elif len(p) > RUN:
+                out[i] = self.encode_run(p)
             elif len(p) > LONG:
                 groups.setdefault(-int(np.log(len(p)) / np.log(1.125)), []).append(i)
             else:

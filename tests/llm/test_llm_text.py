@@ -422,3 +422,23 @@ def test_bpe_edge_cases(spark, odd, empty, ranks):
     assert byte_bpe.encode(empty, path, ranks.pattern).count() == 0
     with pytest.raises(ValueError):
         ranks.decode(np.array([60000], "<u4").tobytes())
+
+
+def test_long_runs_merge_as_one_pair_at_a_time():
+    """Whole rounds on vocabularies whose ranks are in any order, so that merges make pairs of smaller rank."""
+    import random
+
+    r = random.Random(9)
+    for trial in range(60):
+        words = {bytes(r.choice(b"abc") for _ in range(r.randrange(2, 6))) for _ in range(r.randrange(1, 40))}
+        # tokens that can be reached by merges of tokens
+        tokens = {bytes([b]) for b in range(256)}
+        for w in sorted(words, key=len):
+            if any(w[:k] in tokens and w[k:] in tokens for k in range(1, len(w))):
+                tokens.add(w)
+        rest = [t for t in tokens if len(t) > 1]
+        r.shuffle(rest)
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(rest)}
+        table = byte_bpe.Ranks(ranks, ".*")
+        for piece in (bytes(r.choice(b"abc") for _ in range(300)), b"a" * 77, b"ab" * 50 + b"c"):
+            assert table.encode_run(piece) == slow_merges(table, piece)
