@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm import language_id, minhash, packing, suffix_dedup, toxicity
-from cuelake.llm.common import durable
+from cuelake.llm.common import discard, durable
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -69,6 +69,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs, before = durable(stage(spark, docs, sf_dir)), docs
+        if k:  # not the input itself
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
