@@ -1,6 +1,6 @@
 """Translation scores of text pairs: media_id, src_lang, tgt_lang, ref (source and reference), hyp, back.
 
-Only the n-gram scores explode texts; all others are expressions on the row that holds both texts."""
+All scores are expressions on the row that holds both texts."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelake import dims
-from cuelake.dims import FILE_KEYS, PAIR_KEYS
+from cuelake.dims import FILE_KEYS
 from cuelake.functions.text import let, listed, tokens, words
 
 from .rules import BENGALI, DEVANAGARI
@@ -31,55 +31,63 @@ def pair_languages(cues: DataFrame, src: str, tgt: str, keys: tuple[str, ...] =
     return a.select(*rest, F.lit(src).alias("src_lang"), F.col("text").alias("ref")).join(b.select(*rest, F.lit(tgt).alias("tgt_lang"), F.col("text").alias("hyp")), rest)
 
 
-def dealt_by(pairs: DataFrame, keys: tuple[str, ...] = PAIR_KEYS) -> DataFrame:
-    """Pairs with a short name of their key (``_p``, beside media_id), dealt by it, so that what is made from them needs no other shuffle."""
-    return pairs.withColumn("_p", F.xxhash64(*keys)).repartition(*_NAME)
+def _grams(hashes: Column, n: int) -> Column:
+    """The n-grams of a text as hashes."""
+    if n == 1:
+        return hashes
+    starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - n, F.lit(0)))
+    return F.when(F.size(hashes) >= n, F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-_NAME = ("media_id", "_p")
+def _again(values: Column) -> Column:
+    """Values without one of each kind, sorted."""
+    return let(F.sort_array(values), lambda s: F.filter(s, lambda x, i: F.get(s, i - 1) == x))
 
 
-def ngram_precisions(dealt: DataFrame, max_n: int = 4, by_language: bool = False, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
-    """media_id, _p, hyp_len, ref_len, and clipped precision p1..pN of pairs that ``dealt_by`` has dealt. Their n-grams (64-bit hashes)
-    are made, counted and compared without another shuffle. ``by_language``: whitespace tokens for Bengali and Hindi."""
-    token = lambda c: F.when(F.col("tgt_lang").isin("bn", "hi"), words(c)).otherwise(tokens(c)) if by_language else tokens(c)
-    sides = F.explode(F.array(F.struct(F.lit(1).alias("a"), token(hyp).alias("t")), F.struct(F.lit(0).alias("a"), token(ref).alias("t"))))
-    rows = dealt.select(*_NAME, sides.alias("s")).select(*_NAME, "s.a", *[(F.expr(f"slice(s.t, {k + 1}, size(s.t))") if k else F.col("s.t")).alias(f"w{k}") for k in range(max_n)])
-    # explode_outer, as explode would add a filter that makes the arrays once more
-    rows = rows.select(*_NAME, "a", F.explode_outer(F.arrays_zip(*[f"w{k}" for k in range(max_n)])).alias("g")).select(*_NAME, "a", *[f"g.w{k}" for k in range(max_n)])
-    grams = [F.struct(F.lit(n).alias("n"), F.when(F.col(f"w{n - 1}").isNotNull(), F.xxhash64(*[f"w{k}" for k in range(n)])).alias("h")) for n in range(1, max_n + 1)]
-    rows = rows.select(*_NAME, "a", F.explode(F.array(*grams)).alias("g")).select(*_NAME, "g.n", "g.h", "a")
-    counts = rows.groupBy(*_NAME, "n", "h").agg(F.sum("a").alias("a"), F.sum(1 - F.col("a")).alias("b"))
-    at = lambda k, c: F.coalesce(F.sum(F.when((F.col("n") == k) & F.col("h").isNotNull(), c)), F.lit(0))
-    same = F.least("a", "b")
-    return counts.groupBy(*_NAME).agg(at(1, F.col("a")).alias("hyp_len"), at(1, F.col("b")).alias("ref_len"), *[F.when(at(k, F.col("a")) > 0, at(k, same) / at(k, F.col("a"))).otherwise(0.0).alias(f"p{k}") for k in range(1, max_n + 1)])
+def _shared(hyp: Column, ref: Column) -> Column:
+    """How many values of hyp are in ref, each counted as often as ref has it. Most stand once, which a set tells; those that come again are
+    sorted together, those of ref first, and one pass over them pairs each of hyp with one of ref that is still free."""
+    none = F.struct(F.lit(0).cast("bigint").alias("v"), F.lit(0).alias("free"), F.lit(0).alias("m"))
 
+    def step(s: Column, x: Column) -> Column:
+        free = F.when(s.v == x.v, s.free).otherwise(0)
+        return F.when(x.hyp, F.struct(x.v.alias("v"), F.greatest(free - 1, F.lit(0)).alias("free"), (s.m + F.least(free, F.lit(1))).alias("m"))).otherwise(F.struct(x.v.alias("v"), (free + 1).alias("free"), s.m.alias("m")))
 
-def _keyed(scores: DataFrame, pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Scores by media_id and _p with the keys of their pairs, which are read without the texts."""
-    return pairs.select(*keys, F.xxhash64(*keys).alias("_p")).join(scores, list(_NAME)).drop("_p")
+    side = lambda values, is_hyp: F.transform(values, lambda v: F.struct(v.alias("v"), F.lit(is_hyp).alias("hyp")))
+    paired = lambda h, r: F.aggregate(F.sort_array(F.concat(side(r, False), side(h, True))), none, step, lambda s: s.m)
+    more = let(_again(hyp), lambda h: F.when(F.size(h) == 0, 0).otherwise(let(_again(ref), lambda r: F.when(F.size(r) == 0, 0).otherwise(paired(h, r)))))
+    return F.size(F.array_intersect(hyp, ref)) + more
 
 
-def brevity() -> Column:
-    return F.when(F.col("hyp_len") > F.col("ref_len"), 1.0).when(F.col("hyp_len") > 0, F.exp(1 - F.col("ref_len") / F.col("hyp_len"))).otherwise(0.0)
+def ngram_precisions(max_n: int = 4, by_language: bool = False, hyp: str = "hyp", ref: str = "ref") -> Column:
+    """A struct of hyp_len, ref_len and the clipped precisions p1..pN of a row's texts (null: no tokens), made on the row that holds both,
+    so texts are never shuffled. ``by_language``: whitespace tokens for Bengali and Hindi."""
+    token = lambda c: F.when(F.col("tgt_lang").isin("bn", "hi"), words(c)).otherwise(tokens(c)) if by_language else tokens(c)
+    hashed = lambda c: F.coalesce(F.transform(token(c), lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
+    part = lambda h, r, n: F.when(F.size(h) >= n, let(_grams(h, n), lambda x: let(_grams(r, n), lambda y: _shared(x, y))) / (F.size(h) - n + 1)).otherwise(0.0)
+    size = lambda x: F.size(x).cast("bigint")
+    return let(hashed(hyp), lambda h: let(hashed(ref), lambda r: F.struct(size(h).alias("hyp_len"), size(r).alias("ref_len"), *[part(h, r, n).alias(f"p{n}") for n in range(1, max_n + 1)])))
 
 
-def _bleu(dealt: DataFrame, max_n: int) -> DataFrame:
-    p = [F.col(f"p{k}") for k in range(1, max_n + 1)]
-    mean = F.exp(sum((F.ln(x) for x in p), F.lit(0.0)) / max_n)
-    zero = F.least(*p) == 0 if max_n > 1 else p[0] == 0
-    return ngram_precisions(dealt, max_n).select(*_NAME, "hyp_len", "ref_len", F.when(zero, 0.0).otherwise(brevity() * mean).alias("bleu"))
+def _brevity(g: Column) -> Column:
+    return F.when(g.hyp_len > g.ref_len, 1.0).when(g.hyp_len > 0, F.exp(1 - g.ref_len / g.hyp_len)).otherwise(0.0)
 
 
-def bleu(pairs: DataFrame, max_n: int = 4, keys: tuple[str, ...] = PAIR_KEYS) -> DataFrame:
-    """Of each pair: geometric mean of the clipped precisions times the brevity penalty; 0 if one of them is 0."""
-    return _keyed(_bleu(dealt_by(pairs, keys), max_n), pairs, keys)
+def bleu(pairs: DataFrame, max_n: int = 4, by_language: bool = False) -> DataFrame:
+    """Adds hyp_len, ref_len and bleu: geometric mean of the clipped precisions times the brevity penalty; 0 if one of them is 0."""
+    g = F.col("_g")
+    p = [g[f"p{k}"] for k in range(1, max_n + 1)]
+    mean = F.exp(sum((F.ln(x) for x in p), F.lit(0.0)) / max_n)
+    zero = F.least(*p) == 0 if max_n > 1 else p[0] == 0
+    rows = pairs.withColumn("_g", ngram_precisions(max_n, by_language))
+    return rows.withColumns({"hyp_len": g.hyp_len, "ref_len": g.ref_len, "bleu": F.when(zero, 0.0).otherwise(_brevity(g) * mean)}).drop("_g")
 
 
-def bleu_components(pairs: DataFrame, max_n: int = 4, keys: tuple[str, ...] = PAIR_KEYS) -> DataFrame:
-    """Each order's precision with the brevity penalty."""
-    parts = ngram_precisions(dealt_by(pairs, keys), max_n, by_language=True).select(*_NAME, *[(brevity() * F.col(f"p{k}")).alias(f"bleu_{k}") for k in range(1, max_n + 1)])
-    return _keyed(parts, pairs, keys)
+def bleu_components(pairs: DataFrame, max_n: int = 4) -> DataFrame:
+    """Adds each order's precision with the brevity penalty."""
+    g = F.col("_g")
+    rows = pairs.withColumn("_g", ngram_precisions(max_n, by_language=True))
+    return rows.withColumns({f"bleu_{k}": _brevity(g) * g[f"p{k}"] for k in range(1, max_n + 1)}).drop("_g")
 
 
 def token_f1(hyp: str = "hyp", ref: str = "ref") -> Column:
@@ -152,12 +160,10 @@ def tfa(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"terminology": F.lit(1.0), "n_terms": F.size(terms()), "terms_verbatim": _kept(terms(), F.col("hyp")), "fluency": fluency(), "adequacy": adequacy()})
 
 
-def scored(pairs: DataFrame, keys: tuple[str, ...] = PAIR_KEYS) -> DataFrame:
-    """All parts of the score of every pair. Texts are dealt by key; the n-gram counts, the other parts and the join of both are made from
-    the dealt rows without another shuffle."""
-    dealt = dealt_by(pairs, keys)
-    parts = tfa(dealt).withColumns({"meteor": token_f1(), "semantic": semantic_estimate(), "cultural": cultural_accuracy()})
-    return parts.join(_bleu(dealt, 4).select(*_NAME, "bleu"), list(_NAME)).drop("_p")
+def scored(pairs: DataFrame) -> DataFrame:
+    """Adds all parts of the score of every pair, on the row that holds its texts."""
+    parts = tfa(pairs).withColumns({"meteor": token_f1(), "semantic": semantic_estimate(), "cultural": cultural_accuracy()})
+    return bleu(parts).drop("hyp_len", "ref_len")
 
 
 def with_benchmarks(scores: DataFrame, dim: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Media with several files: regular and SDH, several languages, several target languages; and what is computed on them."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,12 +70,27 @@ def test_reports_in_one_pass_are_those_of_the_findings(spark, sf):
     assert rows(rules.report(c)) == rows(rules.validation_report(rules.validate(c), quality.cue_totals(c)))
 
 
-def test_scores_need_no_shuffle_but_the_dealing(spark, sf):
-    """Grams are counted and joined where the texts of their pair lie."""
+def test_scores_need_no_shuffle(spark, sf):
+    """Texts are scored on the row that holds both (the fixture deals documents once)."""
     from cuelake.plans import translation_queries
 
-    plan = translation_queries.bleu(spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ENSURE_REQUIREMENTS") <= 1 and plan.count("REPARTITION_BY_COL") == 1
+    for query in (translation_queries.bleu, translation_queries.translation_score):
+        plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "ENSURE_REQUIREMENTS" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_precisions_are_counted_by_hand(spark):
+    dice = random.Random(5)
+    text = lambda n, kinds: " ".join(dice.choice("abcdefgh"[:kinds]) for _ in range(n))
+    rows = [(text(n, k), text(m, k)) for n in (1, 3, 9, 60, 400) for m in (1, 4, 50, 300) for k in (1, 2, 8)] + [("a b", ""), ("", "a b"), (None, "a"), ("a", None), (None, None), ("a a a a a", "a b a"), ("a b a", "a a a a a")]
+    got = spark.createDataFrame(rows, "hyp string, ref string").select("hyp", "ref", translation.ngram_precisions().alias("g")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        h, f = ((r[c] or "").split() for c in ("hyp", "ref"))
+        assert (r["g"]["hyp_len"], r["g"]["ref_len"]) == (len(h), len(f))
+        for n in range(1, 5):
+            grams = [Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for t in (h, f)]
+            assert r["g"][f"p{n}"] == pytest.approx(sum((grams[0] & grams[1]).values()) / max(1, sum(grams[0].values())))
 
 
 # ---- intervals of any length
