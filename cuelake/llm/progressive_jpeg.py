@@ -12,7 +12,9 @@ refinement scans for that bit. A comment segment holds the number of units; a mi
 
 Edge cases: null and empty texts are one unit of blanks; empty payloads are not images and raise ValueError; a
 null medium gives null tensors; streams that are not progressive JPEG raise ValueError; copies give equal bytes; images are as
-high as 4,095 MCUs, then more columns are used, so texts may be as long as Spark's strings.
+high as 4,095 MCUs, then more columns are used, so texts may be as long as Spark's strings. Texts and streams of the stored form over
+a megabyte are written and read in strips of rows, cut where the restart markers of all scans begin their cycle anew: the bytes are
+those of one picture, and beside the row's own values the work takes memory for one strip.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import batch_udf, raw, tune, without
 
 UNIT, ROWS_MOST, INTERVAL = 192, 4095, 4
+#: MCUs of a strip; its rows are a multiple of 32, eight restart intervals of a column.
+STRIP = 2048
 #: Sampling of the stored images: (horizontal, vertical) of Y, Cb and Cr.
 SAMPLING = ((2, 2), (1, 1), (1, 1))
 CHUNK = 1 << 20
@@ -251,14 +255,19 @@ class _Lanes:
         self.of_picture = np.append(self.lane[base], self.count)
 
 
-def write(payloads: list[bytes]) -> list[bytes]:
-    """Progressive JPEG streams of payloads of whole units."""
-    units = np.array([len(p) // UNIT for p in payloads])
-    if not len(units):
-        return []
-    if (units == 0).any() or any(len(p) % UNIT for p in payloads):
+def _strip_rows(columns: int) -> int:
+    return max(32, STRIP // columns // 32 * 32)
+
+
+def _units(payload: bytes) -> int:
+    if not payload or len(payload) % UNIT:
         raise ValueError("a payload is a positive number of 192-byte units")
-    shapes = [shape(-(-int(u) // 2)) for u in units]
+    return len(payload) // UNIT
+
+
+def _scans(payloads: list[bytes], shapes: list[tuple[int, int]]) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
+    """Header and entropy-coded data of every scan of pictures of these MCU rows and columns, and where each picture's data begin."""
+    units = np.array([len(p) // UNIT for p in payloads])
     mcus = np.array([r * c for r, c in shapes])
     base = np.cumsum(mcus) - mcus
     total = int(mcus.sum())
@@ -298,15 +307,37 @@ def write(payloads: list[bytes]) -> list[bytes]:
     for c, (v, lanes) in enumerate(parts):
         value, length, row = _ac_refine(v)
         add(_scan_header([c + 1], 0, 1, 1, 63, 1, 0), value, length, lanes, row)
-    out = []
-    for i, u in enumerate(units):
-        rows, columns = shapes[i]
-        frame = _segment(0xC2, struct.pack(">BHHB", 8, rows * 16, columns * 16, 3) + bytes(x for k, (h, v) in enumerate(SAMPLING) for x in (k + 1, h << 4 | v, 0)))
-        parts = [b"\xff\xd8", _segment(0xFE, struct.pack(">Q", int(u))), _FIXED, frame]
-        for header, data, at in scans:
-            parts += [header, data[at[i] : at[i + 1]].tobytes()]
-        out.append(b"".join([*parts, b"\xff\xd9"]))
-    return out
+    return scans
+
+
+def _stream(units: int, rows: int, columns: int, scans: list[bytes]) -> bytes:
+    """The stream of one picture from its scans, headers included."""
+    frame = _segment(0xC2, struct.pack(">BHHB", 8, rows * 16, columns * 16, 3) + bytes(x for k, (h, v) in enumerate(SAMPLING) for x in (k + 1, h << 4 | v, 0)))
+    return b"".join([b"\xff\xd8", _segment(0xFE, struct.pack(">Q", units)), _FIXED, frame, *scans, b"\xff\xd9"])
+
+
+def write(payloads: list[bytes]) -> list[bytes]:
+    """Progressive JPEG streams of payloads of whole units."""
+    if not payloads:
+        return []
+    units = [_units(p) for p in payloads]
+    shapes = [shape(-(-u // 2)) for u in units]
+    scans = _scans(payloads, shapes)
+    return [_stream(u, *shapes[i], [x for header, data, at in scans for x in (header, data[at[i] : at[i + 1]].tobytes())]) for i, u in enumerate(units)]
+
+
+def write_long(payload: bytes) -> bytes:
+    """The stream that write() gives for one payload, made a strip at a time."""
+    units = _units(payload)
+    rows, columns = shape(-(-units // 2))
+    step, scans = _strip_rows(columns), []
+    for lo in range(0, rows, step):
+        own = min(step, rows - lo)
+        for k, (header, data, _) in enumerate(_scans([payload[lo * columns * 2 * UNIT : (lo + own) * columns * 2 * UNIT]], [(own, columns)])):
+            if not lo:
+                scans.append([header])
+            scans[k].append(b"\xff\xd7" * bool(lo) + data.tobytes())
+    return _stream(units, rows, columns, [x for s in scans for x in s])
 
 
 # ---- Reading --------------------------------------------------------------------------------------------------------------
@@ -334,6 +365,13 @@ class _Picture:
             at += rows * columns
         self.blocks = at
 
+    def of_rows(self, rows: int) -> _Picture:
+        """A picture like this one with so many rows of MCUs."""
+        p = _Picture()
+        p.quant, p.tables, p.interval = self.quant, self.tables, self.interval
+        p.frame(struct.pack(">BHHB", 8, rows * 8 * self.vmax, self.width, len(self.components)) + bytes(x for c in self.components for x in (c["name"], c["h"] << 4 | c["v"], c["q"])))
+        return p
+
 
 @lru_cache(maxsize=256)
 def _quant_tables(body: bytes) -> dict[int, np.ndarray]:
@@ -587,13 +625,18 @@ def _read_ac_refine(scans, restarts: np.ndarray, bits: _Bits, tables: _Tables, o
 _READERS = {(True, True): _read_dc_first, (True, False): _read_dc_refine, (False, True): _read_ac_first, (False, False): _read_ac_refine}
 
 
-def read(streams: list[bytes]) -> tuple[list[_Picture], np.ndarray]:
-    """Pictures and the coefficients (zigzag order) of all their blocks, after all scans."""
-    data = np.frombuffer(b"".join(streams), np.uint8)
+def _markers(data: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Places of restart markers and of all others."""
     mark = np.flatnonzero((data[:-1] == 255) & (data[1:] != 0) & (data[1:] != 255))
     kind = data[mark + 1]
     restart = (kind >= 0xD0) & (kind <= 0xD7)
-    restarts, others = mark[restart], mark[~restart].tolist()
+    return mark[restart], mark[~restart].tolist()
+
+
+def read(streams: list[bytes]) -> tuple[list[_Picture], np.ndarray]:
+    """Pictures and the coefficients (zigzag order) of all their blocks, after all scans."""
+    data = np.frombuffer(b"".join(streams), np.uint8)
+    restarts, others = _markers(data)
     pictures, plans, offset, blocks = [], [], 0, 0
     for s in streams:
         p, scans = _parsed(s, offset, lambda at: others[bisect_left(others, at)])
@@ -602,8 +645,13 @@ def read(streams: list[bytes]) -> tuple[list[_Picture], np.ndarray]:
         pictures.append(p)
         plans.append(scans)
         offset += len(s)
-    out, bits, tables = np.zeros((blocks, 64), np.int32), _Bits(data), _Tables()
-    at = [0] * len(streams)
+    return pictures, _accumulated(pictures, plans, data, restarts)
+
+
+def _accumulated(pictures: list[_Picture], plans: list[list[dict]], data: np.ndarray, restarts: np.ndarray) -> np.ndarray:
+    """The coefficients that the scans of pictures add up to. plans: the scans of each picture, at their places in data."""
+    out, bits, tables = np.zeros((sum(p.blocks for p in pictures), 64), np.int32), _Bits(data), _Tables()
+    at = [0] * len(plans)
     while True:
         phase, which = [], None
         for i, scans in enumerate(plans):
@@ -620,10 +668,40 @@ def read(streams: list[bytes]) -> tuple[list[_Picture], np.ndarray]:
                 phase.append((s, pictures[i]))
                 at[i] += 1
         if which is None:
-            return pictures, out
+            return out
         _READERS[which](phase, restarts, bits, tables, out)
 
 
+def read_strips(stream: bytes) -> Iterator[tuple[_Picture, np.ndarray]]:
+    """One stream of the stored form, a strip at a time: each as a picture of its own with its coefficients. Other streams come whole."""
+    restarts, others = _markers(np.frombuffer(stream, np.uint8))
+    whole, scans = _parsed(stream, 0, lambda at: others[bisect_left(others, at)])
+    rows, columns = whole.mcus
+    if not _is_stored_form(whole) or len(whole.comment) != 8 or any(s["interval"] != INTERVAL for s in scans):
+        pictures, coefficients = read([stream])
+        yield pictures[0], coefficients
+        return
+    units, step = struct.unpack(">Q", whole.comment)[0], _strip_rows(columns)
+    # MCUs of a row in each scan (a scan of one component counts its blocks), and each scan's restart markers
+    per_row = [columns * (s["parts"][0]["h"] * s["parts"][0]["v"] if len(s["parts"]) == 1 else 1) for s in scans]
+    marks = [restarts[slice(*np.searchsorted(restarts, [s["begin"], s["end"]]))] for s in scans]
+    if any(len(m) != -(-rows * n // INTERVAL) - 1 for m, n in zip(marks, per_row)):
+        raise ValueError("restart markers do not match the interval")
+    for lo in range(0, rows, step):
+        own = min(step, rows - lo)
+        p = whole.of_rows(own)
+        p.comment = struct.pack(">Q", min(max(units - 2 * lo * columns, 0), 2 * own * columns))
+        named, plan, pieces, at = {c["name"]: c for c in p.components}, [], [], 0
+        for s, m, n in zip(scans, marks, per_row):
+            begin = s["begin"] if not lo else int(m[lo * n // INTERVAL - 1]) + 2
+            end = s["end"] if lo + own == rows else int(m[(lo + own) * n // INTERVAL - 1])
+            plan.append({**s, "parts": [named[c["name"]] for c in s["parts"]], "begin": at, "end": at + end - begin})
+            pieces += [stream[begin:end], b"\xff\xd9"]
+            at += end - begin + 2
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        yield p, _accumulated([p], [plan], data, _markers(data)[0])
+
+
 # ---- Pixels ---------------------------------------------------------------------------------------------------------------
 
 _COS = np.round(np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u == 0 else 0.5) for x in range(8)] for u in range(8)]) * 4096)
@@ -761,7 +839,8 @@ def stored(docs: DataFrame, text_col: str = "text", out_col: str = "media") -> D
             data, at = raw(texts)
             out: list[bytes] = []
             for lo, hi in _groups(np.diff(at)):
-                out += write([padded(data[at[i] : at[i + 1]].tobytes()) for i in range(lo, hi)])
+                payloads = [padded(data[at[i] : at[i + 1]].tobytes()) for i in range(lo, hi)]
+                out += [write_long(*payloads)] if len(payloads[0]) > CHUNK else write(payloads)
             yield pa.array(out, pa.binary())
 
     return without(docs, out_col).withColumn(out_col, batch_udf(run, "binary")(F.col(text_col)))
@@ -773,6 +852,18 @@ def _streams(media: pa.Array) -> Iterator[list[bytes | None]]:
         yield values[lo:hi]
 
 
+def _opened(streams: list[bytes], with_payload: bool) -> list[tuple]:
+    """Height, width and rgb bytes of streams, and what they store if asked for."""
+    long = len(streams) == 1 and len(streams[0]) > CHUNK
+    out: list[tuple] = []
+    for pictures, coefficients in (([p], c) for p, c in read_strips(streams[0])) if long else [read(streams)]:
+        out += zip([p.height for p in pictures], [p.width for p in pictures], [x.tobytes() for x in images(pictures, coefficients)], contents(pictures, coefficients) if with_payload else pictures)
+    if long:
+        height, width, rgb, payload = zip(*out)
+        out = [(sum(height), width[0], b"".join(rgb), b"".join(payload) if with_payload else None)]
+    return out if with_payload else [x[:3] for x in out]
+
+
 _IMAGE = "height int, width int, rgb binary"
 
 
@@ -786,11 +877,7 @@ def decoded(media: DataFrame, media_col: str = "media", out_col: str = "image",
         for column in batches:
             rows: list[tuple | None] = []
             for values in _streams(column):
-                pictures, coefficients = read([v for v in values if v is not None])
-                found = [(p.height, p.width, x.tobytes()) for p, x in zip(pictures, images(pictures, coefficients))]
-                if with_payload:
-                    found = [(*f, x) for f, x in zip(found, contents(pictures, coefficients))]
-                each = iter(found)
+                each = iter(_opened([v for v in values if v is not None], with_payload))
                 rows += [None if v is None else next(each) for v in values]
             columns = [pa.array([None if r is None else r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)]
             yield pa.StructArray.from_arrays(columns, fields=[pa.field(*k) for k in kinds], mask=pa.array([r is None for r in rows], pa.bool_()))

@@ -563,6 +563,33 @@ def test_jpeg_chroma_of_the_stored_form():
         assert (J._coloured(planes[0], J._tints(*planes[1:])) == got).all() and got.shape == (p.height, p.width, 3)
 
 
+@pytest.mark.parametrize("units", [5, 4096, 5700, 8193, 12_001])
+def test_jpeg_strips_are_the_whole_picture(units):
+    """Long payloads, a strip at a time: the bytes, pixels and contents of one picture, of one column of MCUs or two."""
+    J = progressive_jpeg
+    p = np.random.default_rng(units).integers(0, 256, 192 * units, dtype=np.uint8).tobytes()
+    stream = J.write([p])[0]
+    assert J.write_long(p) == stream
+    pictures, coefficients = J.read([stream])
+    strips = list(J.read_strips(stream))
+    assert len(strips) == -(-pictures[0].mcus[0] // J._strip_rows(pictures[0].mcus[1])) and (units < 4097) == (len(strips) == 1)
+    assert np.concatenate([J.images([q], c)[0] for q, c in strips]).tobytes() == J.images(pictures, coefficients)[0].tobytes()
+    assert b"".join(J.contents([q], c)[0] for q, c in strips) == p
+    if len(strips) > 1:
+        begin = stream.index(b"\xff\xd0")
+        with pytest.raises(ValueError):
+            list(J.read_strips(stream[:begin] + stream[begin + 2 :]))
+    with pytest.raises(ValueError):
+        J.write_long(b"")
+
+
+def test_jpeg_other_streams_come_whole():
+    J = progressive_jpeg
+    stream = J.write([b"a" * 192])[0].replace(b"\xff\xdd\x00\x04\x00\x04", b"\xff\xdd\x00\x04\x00\x08")
+    (picture, coefficients), *rest = J.read_strips(stream)
+    assert not rest and (coefficients == J.read([stream])[1]).all() and picture.height == 16
+
+
 def test_media_query(spark, sf):
     rows = {r["doc_id"]: r for r in registry.QUERIES["op9_progressive_jpeg"](spark, sf).collect()}
     texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
