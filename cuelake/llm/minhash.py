@@ -224,16 +224,16 @@ def links_between(sets: list[np.ndarray], ask: np.ndarray) -> list[tuple[int, in
 
 
 def _block_links(key, table):
-    """Links between the two parts of a bucket that meet in a group, among texts of different components. A pair of texts is looked at
-    only in the first band that they share."""
-    band = key[0].as_py()
+    """Links between the two parts of a bucket that meet in a group (of one part with itself: among its texts), among texts of
+    different components. A pair of texts is looked at only in the first band that they share."""
+    band, i, j = (k.as_py() for k in key)
     nodes, side, component = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "side", "component"))
     keys = np.array(table.column("bands").to_pylist())
     sets: list[np.ndarray] = []
     for _, value, bounds in shingle_sets(table.column("text").combine_chunks()):
         sets += [value[x:z] for x, z in zip(bounds[:-1], bounds[1:])]
     size = np.array([len(x) for x in sets])
-    ask = (side[:, None] != side[None, :]) & (component[:, None] != component[None, :])
+    ask = ((side[:, None] != side[None, :]) | (i == j)) & (component[:, None] != component[None, :])
     ask &= 100 * np.minimum.outer(size, size) >= NUMERATOR * np.maximum.outer(size, size)
     for earlier in range(int(np.flatnonzero((keys == band).all(0))[0])):
         ask &= keys[:, earlier, None] != keys[None, :, earlier]
@@ -243,13 +243,16 @@ def _block_links(key, table):
 
 
 def links_across(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, size: int = 300) -> DataFrame:
-    """Links (a, b) between different components within the buckets of ``mixed``. All members of a bucket are cut into parts of about
-    ``size`` texts, those outside its largest component once more; every two parts of the two kinds meet in a group of their
-    own, in which sets are compared by matrix products: neither one task nor one row for each pair."""
-    part = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / size)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / size).cast("int") - 1))
-    whole = mixed.select("band", part("k").alias("i"), every("u").alias("j"), "node", "component", F.lit(0).alias("side"))
-    others = mixed.where("other").select("band", every("k").alias("i"), part("u").alias("j"), "node", "component", F.lit(1).alias("side"))
+    """Links (a, b) between different components within the buckets of ``mixed``. A bucket's members are cut into parts of about ``size``
+    texts, those of its largest component apart from the others (parts -1, -2, ...). Every part of the others meets every other part,
+    and itself, once, in a group of their own, in which sets are compared by matrix products: neither one task nor one row for each pair."""
+    parts = lambda n: F.ceil(n / size).cast("int")
+    outside, inside = parts(F.col("u")), parts(F.col("k") - F.col("u"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("other"), outside).otherwise(inside)).cast("int")
+    named = mixed.withColumn("side", F.when(F.col("other"), own).otherwise(-1 - own)).withColumn("_in", inside)
+    whole = named.where("not other").select("band", F.col("side").alias("i"), F.explode(F.sequence(F.lit(0), outside - 1)).alias("j"), "node", "component", "side")
+    others = named.where("other").withColumn("_j", F.explode(F.sequence(-F.col("_in"), outside - 1)))
+    others = others.select("band", F.least("side", "_j").alias("i"), F.greatest("side", "_j").alias("j"), "node", "component", "side")
     full = whole.unionByName(others).join(nodes.select("node", "bands"), "node").join(texts, "node")
     kind = dict(mixed.dtypes)["node"]
     return full.groupBy("band", "i", "j").applyInArrow(_block_links, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -203,6 +203,20 @@ def test_near_duplicates_with_two_texts_under_one_id(spark, seed):
     assert got == {(1 if i == far else i, root[c]) for i, (_, c) in want.items()}
 
 
+@pytest.mark.parametrize("size", [4, 7, 300])
+def test_links_across_parts_of_a_bucket(spark, size):
+    """One bucket of all texts, half a class already joined: every part meets every other and itself, and no link is lost."""
+    rows = near_rows(5, n=60, base=2, edits=10)
+    want = brute_classes(rows)
+    main = [d for d, (_, c) in want.items() if c == max(want.values(), key=lambda v: [c for _, c in want.values()].count(v[1]))[1]][::2]
+    nodes = spark.createDataFrame([(d, [7, d]) for d, _ in rows], "node long, bands array<long>")
+    mixed = spark.createDataFrame([(7, d, len(rows), len(rows) - len(main), main[0] if d in main else d, d not in main) for d, _ in rows], "band long, node long, k long, u long, component long, other boolean")
+    found = [tuple(r) for r in minhash.links_across(mixed, nodes, spark.createDataFrame(rows, "node long, text string"), size).collect()]
+    assert len(main) > 3 and all(not {a, b} <= set(main) for a, b in found)
+    got = linked(found + [(main[0], d) for d in main])
+    assert {d: got.get(d, d) for d, _ in rows} == {d: c for d, (_, c) in want.items()}
+
+
 def linked(edges):
     """Union-find: the smallest node that each node reaches."""
     root = {x: x for e in edges for x in e}
