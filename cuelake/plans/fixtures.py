@@ -5,13 +5,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def rounded(c: str | Column, digits: int = 6) -> Column:
+    """A double rounded as DuckDB does it: scaled, to a whole number, and back. Spark's round goes by the shortest decimal form instead, so
+    0.0640625, whose millionfold is 64062.49999999999, would come out one higher."""
+    return F.round((F.col(c) if isinstance(c, str) else c) * 10.0**digits, 0) / 10.0**digits
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table. Documents of less than a scan partition, which one row group may hold, are dealt to all cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,7 +8,7 @@ from cuelake.operators import media as M
 
 from . import fixtures as X
 
-R = lambda c: F.round(c, 6).alias(c)
+R = lambda c: X.rounded(c).alias(c)
 PAUSES = X.FRAMES + """,
 p25 as (select media_id, quantile_cont(rms, 0.25) filter (rms > 0) as p from frames group by 1),
 f25 as (select f.*, rms < p as q, lead(t_ms) over w as nxt, row_number() over w as i from frames f join p25 using (media_id) window w as (partition by media_id order by t_ms)),
@@ -66,7 +66,7 @@ def nearest_break(spark, d):
 
 
 def cue_frame_join(spark, d):
-    return M.cue_frames(X.cues(spark, d), X.frames(spark, d)).groupBy("media_id", "language", "sdh", "seq").agg(F.count("*").alias("frames"), F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"), F.round(F.sum("rms"), 6).alias("rms"))
+    return M.cue_frames(X.cues(spark, d), X.frames(spark, d)).groupBy("media_id", "language", "sdh", "seq").agg(F.count("*").alias("frames"), F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"), X.rounded(F.sum("rms")).alias("rms"))
 
 
 def speech_activity(spark, d):
@@ -132,11 +132,11 @@ def sketch_percentiles(spark, d):
 
 def speaker_profiles(spark, d):
     p = M.speaker_profiles(X.speaker_segments(spark, d))
-    return p.select("media_id", "speaker_id", "total_ms", "segments", R("mean_pitch"), R("var_pitch"), R("mean_energy"), R("mean_centroid"), R("mean_rolloff"), F.round(F.aggregate("mfcc", F.lit(0.0), lambda a, x: a + x), 6).alias("mfcc_sum"))
+    return p.select("media_id", "speaker_id", "total_ms", "segments", R("mean_pitch"), R("var_pitch"), R("mean_energy"), R("mean_centroid"), R("mean_rolloff"), X.rounded(F.aggregate("mfcc", F.lit(0.0), lambda a, x: a + x)).alias("mfcc_sum"))
 
 
 def speaker_confidence(spark, d):
-    return M.speaker_confidence(X.speaker_segments(spark, d)).groupBy("media_id").agg(F.round(F.avg("confidence"), 6).alias("confidence"), F.round(F.min("confidence"), 6).alias("least"))
+    return M.speaker_confidence(X.speaker_segments(spark, d)).groupBy("media_id").agg(X.rounded(F.avg("confidence")).alias("confidence"), X.rounded(F.min("confidence")).alias("least"))
 
 
 def speaker_changes(spark, d):

@@ -14,7 +14,7 @@ from cuelake.streaming import streams as S
 
 from . import fixtures as X
 
-R = lambda c: F.round(c, 6).alias(c)
+R = lambda c: X.rounded(c).alias(c)
 NOW = 1_704_500_000_000_000
 _HEALTH = "case metric when 'disk_free_gb' then case when value < 1 then 2 when value < 5 then 1 else 0 end when 'rss_mb' then case when value > 6144 then 2 when value > 4096 then 1 else 0 end else case when value > 2048 then 2 when value > 1024 then 1 else 0 end end"
 _NAME = lambda c: f"case {c} when 2 then 'critical' when 1 then 'warning' else 'healthy' end"
@@ -67,7 +67,7 @@ def log_ingest(spark, d):
     path = scratch(spark)
     lines.select("line").write.text(path)
     p = files.log_ingest(spark, path)
-    return p.groupBy(F.col("context")["operation"].alias("operation")).agg(F.count("*").alias("lines"), F.count("_corrupt_record").alias("corrupt"), F.count("error_type").alias("errors"), F.round(F.sum("duration_ms"), 6).alias("total_ms"), F.max(F.unix_micros("timestamp")).alias("last_us"))
+    return p.groupBy(F.col("context")["operation"].alias("operation")).agg(F.count("*").alias("lines"), F.count("_corrupt_record").alias("corrupt"), F.count("error_type").alias("errors"), X.rounded(F.sum("duration_ms")).alias("total_ms"), F.max(F.unix_micros("timestamp")).alias("last_us"))
 
 
 def job_state_ingest(spark, d):

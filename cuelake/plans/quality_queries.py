@@ -8,7 +8,7 @@ from cuelake.operators import quality as Q
 
 from . import fixtures as X
 
-R = lambda c: F.round(c, 6).alias(c)
+R = lambda c: X.rounded(c).alias(c)
 NW = r"len(list_filter(regexp_split_to_array(text, '[\p{Z}\s]+'), lambda x: x <> ''))"
 BLANK = r"regexp_replace(text, '[\p{Z}\s]+', '', 'g') = ''"
 

@@ -66,7 +66,7 @@ def rule_registry(spark, d):
 
 
 def validation_report(spark, d):
-    return V.report(X.lined_cues(spark, d)).select("media_id", "language", "sdh", "errors", "warnings", F.round("human_equivalence", 6).alias("human_equivalence"), "accuracy_score", "status", "production_ready")
+    return V.report(X.lined_cues(spark, d)).select("media_id", "language", "sdh", "errors", "warnings", X.rounded("human_equivalence").alias("human_equivalence"), "accuracy_score", "status", "production_ready")
 
 
 def correction_suggestions(spark, d):
