@@ -118,8 +118,8 @@ def failure_streak(spark, d):
 
 
 def _out_of_order(rows, key: str, parts: int = 4):
-    """Rows (with ts) as a stream of files in which every fifth row comes a quarter of the time later than it should, and how late the
-    stream has to wait. A last row of a key of its own, far ahead, lets the watermark pass all others."""
+    """Rows (with ts) as a stream of files in which every fifth row comes a quarter of the time later than it should, how many seconds the
+    stream has to wait for them, and the seconds of its stretches. A last row of a key of its own, far ahead, lets the watermark pass all others."""
     spark, path = rows.sparkSession, scratch(rows.sparkSession)
     first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     step = max(1, ((last or 0) - (first or 0)) // parts + 1)
@@ -129,14 +129,15 @@ def _out_of_order(rows, key: str, parts: int = 4):
     rows.limit(1).withColumn(key, F.lit("~").cast(dict(rows.dtypes)[key])).withColumn("ts", F.timestamp_micros(F.lit((last or 0) + 3 * step + 3_600_000_000))).coalesce(1).write.parquet(f"{path}/{parts}")
     many = max(1, -(-len(spark.read.parquet(f"{path}/*").inputFiles()) // (parts + 1)))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", many).parquet(f"{path}/*")
-    return stream, f"{2 * step // 1_000_000 + 61} seconds"
+    late = 2 * step // 1_000_000 + 61
+    return stream, f"{late} seconds", max(60, late // 10)
 
 
 def stream_failure_streak(spark, d):
     calls = _services(X.table(spark, d, "events")).withColumn("ts", F.timestamp_seconds("t_s"))
-    stream, late = _out_of_order(calls, "service")
+    stream, late, hold = _out_of_order(calls, "service")
     with _rocks(spark):
-        return S.as_table(S.stream_failure_streak(stream.withColumn("t_s", F.unix_seconds("ts")), late))
+        return S.as_table(S.stream_failure_streak(stream.withColumn("t_s", F.unix_seconds("ts")), late, hold))
 
 
 def health_changes(spark, d):
@@ -145,9 +146,9 @@ def health_changes(spark, d):
 
 def stream_health(spark, d):
     samples = X.health_samples(spark, d).withColumn("host", F.col("host").cast("string")).select("host", "ts", "metric", "value", "event_id")
-    stream, late = _out_of_order(samples, "host")
+    stream, late, hold = _out_of_order(samples, "host")
     with _rocks(spark):
-        return S.as_table(S.stream_health(stream, late))
+        return S.as_table(S.stream_health(stream, late, hold))
 
 
 def stream_merge(spark, d):

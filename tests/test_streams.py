@@ -187,3 +187,11 @@ def test_merge_survives_a_lost_driver(spark, tmp_path, monkeypatch):
     assert m.run() == after and S.VersionedTable(spark, f"{m.path}/table").manifest()["number"] == number  # the repeated batch is known
     m.arrive(("eng", 1, 1, "B", 30))
     assert m.run() == [(1, 1000, "A"), (2, 61000, "B")]
+
+
+def test_wider_stretches_and_few_places(spark, tmp_path):
+    r = random.Random(3)
+    calls = [(f"s{k % 40}", 10_000 + k * 7, r.random() < 0.2) for k in range(400)]
+    shuffled = r.sample(calls, len(calls))
+    got = in_batches(spark, str(tmp_path), CALLS, [shuffled[::2], shuffled[1::2], END], lambda x: S.stream_failure_streak(x, "2 hours", 700, 2))
+    assert got == sorted(map(tuple, S.failure_streak(spark.createDataFrame(calls, CALLS)).collect()), key=repr)
