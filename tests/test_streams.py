@@ -4,6 +4,7 @@ import datetime as dt
 import pathlib
 import random
 
+import pandas as pd
 import pytest
 
 from cuelake import dims
@@ -189,6 +190,55 @@ def test_merge_survives_a_lost_driver(spark, tmp_path, monkeypatch):
     assert m.run() == [(1, 1000, "A"), (2, 61000, "B")]
 
 
+class Handle:
+    """State in memory, with the number of calls to it."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def state(self, *_):
+        handle, held = self, {}
+
+        class State:
+            def __getattr__(self, name):
+                handle.calls += 1
+                return {
+                    "containsKey": held.__contains__, "getValue": held.get, "removeKey": held.pop, "updateValue": held.__setitem__,
+                    "exists": lambda: () in held, "get": lambda: held[()], "update": lambda v: held.__setitem__((), v),
+                }[name]
+
+        return State()
+
+    getMapState = getValueState = state  # noqa: N815
+
+    def registerTimer(self, until):  # noqa: N802
+        self.timers.append(until)
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return self.timers.pop(0)
+
+
+def test_keys_of_a_place_share_calls(spark):
+    """Keys of a place are taken together: what state is asked for goes by arrivals and stretches, not by hosts."""
+    r = random.Random(9)
+    rows = [(f"={h}", t, r.choice(S.NAMES), r.randrange(3)) for h in range(300) for t in r.sample(range(2_000_000_000), 5)]
+    want, state = [], {}
+    for k, t, metric, level in sorted(rows, key=lambda x: (x[1], x[0])):
+        levels = state.setdefault(k, {})
+        before = max(levels.values(), default=None)
+        levels[metric] = level
+        if before != max(levels.values()):
+            want.append((k[1:], t, None if before is None else S.ops.SEVERITY[before], S.ops.SEVERITY[max(levels.values())]))
+    handle, processor = Handle(), S.HealthProcessor(1_000_000)
+    processor.init(handle)
+    frame = pd.DataFrame(r.sample(rows, len(rows)), columns=["key", "t_us", "metric", "level"]).assign(t_ms=lambda x: x["t_us"] // 1000)
+    for part in (frame[:700], frame[700:]):
+        processor.handleInputRows((0,), iter([part]), None)
+    handle.timers.sort()
+    out = pd.concat([x for _ in range(len(handle.timers)) for x in processor.handleExpiredTimer((0,), None, handle)])
+    assert sorted(out.itertuples(index=False, name=None)) == sorted(want) and handle.calls < 100
+
+
 def test_wider_stretches_and_few_places(spark, tmp_path):
     r = random.Random(3)
     calls = [(f"s{k % 40}", 10_000 + k * 7, r.random() < 0.2) for k in range(400)]
