@@ -99,14 +99,18 @@ def _brevity(g: Column) -> Column:
     return F.when(g.hyp_len > g.ref_len, 1.0).when(g.hyp_len > 0, F.exp(1 - g.ref_len / g.hyp_len)).otherwise(0.0)
 
 
-def bleu(pairs: DataFrame, max_n: int = 4, by_language: bool = False) -> DataFrame:
-    """Adds hyp_len, ref_len and bleu: geometric mean of the clipped precisions times the brevity penalty; 0 if one of them is 0."""
-    g = F.col("_g")
+def _bleu(g: Column, max_n: int = 4) -> Column:
     p = [g[f"p{k}"] for k in range(1, max_n + 1)]
     mean = F.exp(sum((F.ln(x) for x in p), F.lit(0.0)) / max_n)
     zero = F.least(*p) == 0 if max_n > 1 else p[0] == 0
+    return F.when(zero, 0.0).otherwise(_brevity(g) * mean)
+
+
+def bleu(pairs: DataFrame, max_n: int = 4, by_language: bool = False) -> DataFrame:
+    """Adds hyp_len, ref_len and bleu: geometric mean of the clipped precisions times the brevity penalty; 0 if one of them is 0."""
+    g = F.col("_g")
     rows = pairs.withColumn("_g", ngram_precisions(max_n, by_language))
-    return rows.withColumns({"hyp_len": g.hyp_len, "ref_len": g.ref_len, "bleu": F.when(zero, 0.0).otherwise(_brevity(g) * mean)}).drop("_g")
+    return rows.withColumns({"hyp_len": g.hyp_len, "ref_len": g.ref_len, "bleu": _bleu(g, max_n)}).drop("_g")
 
 
 def bleu_components(pairs: DataFrame, max_n: int = 4) -> DataFrame:
@@ -187,9 +191,10 @@ def tfa(pairs: DataFrame) -> DataFrame:
 
 
 def scored(pairs: DataFrame) -> DataFrame:
-    """Adds all parts of the score of every pair, on the row that holds its texts."""
-    parts = tfa(pairs).withColumns({"meteor": token_f1(), "semantic": semantic_estimate(), "cultural": cultural_accuracy()})
-    return bleu(parts).drop("hyp_len", "ref_len")
+    """Adds all parts of the score of every pair, on the row that holds its texts; bleu and meteor come from one count of tokens."""
+    g = F.col("_g")
+    parts = tfa(pairs.withColumn("_g", ngram_precisions()))
+    return parts.withColumns({"meteor": g.f1, "semantic": semantic_estimate(), "cultural": cultural_accuracy(), "bleu": _bleu(g)}).drop("_g")
 
 
 def with_benchmarks(scores: DataFrame, dim: DataFrame) -> DataFrame:
