@@ -348,7 +348,7 @@ class _Picture:
     def __init__(self) -> None:
         self.quant: dict[int, np.ndarray] = {}
         self.tables: dict[int, bytes] = {}
-        self.interval, self.comment, self.components, self.base = 0, b"", [], 0
+        self.interval, self.comment, self.components, self.named, self.base = 0, b"", [], {}, 0
 
     def frame(self, body: bytes) -> None:
         precision, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
@@ -362,6 +362,7 @@ class _Picture:
             rows, columns = self.mcus[0] * v, self.mcus[1] * h
             seen = -(-(-(-self.height * v // self.vmax)) // 8), -(-(-(-self.width * h // self.hmax)) // 8)
             self.components.append({"name": name, "h": h, "v": v, "q": q, "rows": rows, "columns": columns, "base": at, "key": (at, columns, v, h, *seen)})
+            self.named.setdefault(name, self.components[-1])
             at += rows * columns
         self.blocks = at
 
@@ -424,7 +425,7 @@ def _parsed(data: bytes, offset: int, entropy_end) -> tuple[_Picture, list[dict]
             p.tables.update(_huffman_tables(body))
         elif marker == 0xDA:
             n = body[0]
-            parts = [next(c for c in p.components if c["name"] == body[1 + 2 * k]) for k in range(n)]
+            parts = [p.named[body[1 + 2 * k]] for k in range(n)]
             lo, hi, both = body[1 + 2 * n : 4 + 2 * n]
             ids = [body[2 + 2 * k] for k in range(n)]
             end = entropy_end(offset + at) - offset
@@ -707,11 +708,24 @@ def read_strips(stream: bytes) -> Iterator[tuple[_Picture, np.ndarray]]:
 _COS = np.round(np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u == 0 else 0.5) for x in range(8)] for u in range(8)]) * 4096)
 
 
+#: Blocks that are transformed at a time: they stay in the cache, and products this small start no threads of the linear algebra library,
+#: which would only wait for each other.
+TOGETHER = 256
+
+
 def samples(coefficients: np.ndarray) -> np.ndarray:
     """8 x 8 samples (0 to 255) of dequantised blocks in natural order. Whole numbers in double precision: exact everywhere."""
-    x = coefficients.reshape(-1, 8, 8).astype(np.float64)
-    half = (x.reshape(-1, 8) @ _COS).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 8) @ _COS
-    return np.clip(np.floor(half.reshape(-1, 8, 8).transpose(0, 2, 1) / (1 << 24) + 0.5) + 128, 0, 255).astype(np.int16)
+    blocks = coefficients.reshape(-1, 8, 8)
+    out = np.empty(blocks.shape, np.int16)
+    for lo in range(0, len(blocks), TOGETHER):
+        x = blocks[lo : lo + TOGETHER].astype(np.float64)
+        half = (x.reshape(-1, 8) @ _COS).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 8) @ _COS
+        half *= 1 / (1 << 24)
+        half += 128.5
+        np.floor(half, out=half)
+        np.clip(half, 0, 255, out=half)
+        out[lo : lo + TOGETHER] = half.reshape(-1, 8, 8).transpose(0, 2, 1)
+    return out
 
 
 def _tints(cb: np.ndarray, cr: np.ndarray) -> list[np.ndarray]:
