@@ -88,14 +88,17 @@ def media_inventory(spark, d):
 
 @contextmanager
 def _rocks(spark):
-    """State of own operators needs the RocksDB store."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
+    """State of own operators needs the RocksDB store. A batch opens and commits the store of every shuffle partition, with rows or
+    without, so there are no more of them than cores: what a place holds at a time does not depend on their number."""
+    name, parts = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
+    before = {c: spark.conf.get(c, None) for c in (name, parts)}
     spark.conf.set(name, S.PROVIDER)
+    spark.conf.set(parts, min(int(before[parts]), max(4, spark.sparkContext.defaultParallelism)))
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for c, value in before.items():
+            spark.conf.set(c, value) if value else spark.conf.unset(c)
 
 
 def stream_timers(spark, d):

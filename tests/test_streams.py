@@ -245,3 +245,47 @@ def test_wider_stretches_and_few_places(spark, tmp_path):
     shuffled = r.sample(calls, len(calls))
     got = in_batches(spark, str(tmp_path), CALLS, [shuffled[::2], shuffled[1::2], END], lambda x: S.stream_failure_streak(x, "2 hours", 700, 2))
     assert got == sorted(map(tuple, S.failure_streak(spark.createDataFrame(calls, CALLS)).collect()), key=repr)
+
+
+def test_rows_come_to_state_in_packs(spark, tmp_path, monkeypatch):
+    """Spark hands a processor rows one by one: a task packs those of a place and stretch into one row, large ones into several."""
+    r = random.Random(12)
+    rows = [(f"={h}", h % 4, t, r.choice(S.NAMES), r.randrange(3)) for h in range(200) for t in r.sample(range(2_000_000_000), 10)]
+    frame = pd.DataFrame(rows, columns=["key", "place", "t_us", "metric", "level"]).assign(t_ms=lambda x: x["t_us"] // 1000)
+    processor = S.HealthProcessor(1_000_000)
+    got = pd.concat(processor.packs(iter([frame[k : k + 300] for k in range(0, len(frame), 300)])))
+    assert len(got) == len(got[["place", "until"]].drop_duplicates()) == 8
+    assert all((got["t_ms"] < got["until"]) & (got["t_ms"] >= got["until"] - 1_000_000))
+    monkeypatch.setattr(S, "PACK_ROWS", 100)
+    monkeypatch.setattr(S, "BLOCK_BYTES", 5_000)
+    assert len(list(processor.packs(iter([frame])))[0]) > 20
+    out = []
+    for packed in (False, True):
+        handle, processor = Handle(), S.HealthProcessor(1_000_000)
+        processor.init(handle)
+        one = frame[frame["place"] == 1].drop(columns="place")
+        processor.handleInputRows((1,), processor.packs(iter([one[:200], one[200:]])) if packed else iter([one]), None)
+        handle.timers.sort()
+        out.append(pd.concat([x for _ in range(len(handle.timers)) for x in processor.handleExpiredTimer((1,), None, handle)]).values.tolist())
+    assert out[0] == out[1] and len(out[0]) > 100
+
+
+def test_state_partitions_go_by_cores(spark):
+    """The store of each shuffle partition costs every batch an opening and a commit."""
+    from cuelake.plans import ops_queries
+
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "300")
+    try:
+        with ops_queries._rocks(spark):
+            assert int(spark.conf.get(name)) == max(4, spark.sparkContext.defaultParallelism)
+        assert spark.conf.get(name) == "300"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_times_from_1970_on(spark, tmp_path):
+    calls = [("a", 0, False), ("a", 1, False), ("b", 59, True)]
+    got = in_batches(spark, str(tmp_path), CALLS, [calls, END], S.stream_failure_streak)
+    assert got == sorted(map(tuple, S.failure_streak(spark.createDataFrame(calls, CALLS)).collect()), key=repr)
