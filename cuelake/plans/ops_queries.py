@@ -93,7 +93,7 @@ def _rocks(spark):
     name, parts = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
     before = {c: spark.conf.get(c, None) for c in (name, parts)}
     spark.conf.set(name, S.PROVIDER)
-    spark.conf.set(parts, min(int(before[parts]), max(4, spark.sparkContext.defaultParallelism)))
+    spark.conf.set(parts, min(int(spark.conf.get(parts)), max(4, spark.sparkContext.defaultParallelism)))
     try:
         yield
     finally:

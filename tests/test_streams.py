@@ -281,6 +281,9 @@ def test_state_partitions_go_by_cores(spark):
         with ops_queries._rocks(spark):
             assert int(spark.conf.get(name)) == max(4, spark.sparkContext.defaultParallelism)
         assert spark.conf.get(name) == "300"
+        spark.conf.unset(name)
+        with ops_queries._rocks(spark):
+            assert int(spark.conf.get(name)) > 0
     finally:
         spark.conf.set(name, before)
 
